@@ -93,7 +93,7 @@ def shuffled(sized: DataFrame, buckets: int, seed: str = "mix") -> DataFrame:
     return joined.select("d.doc_id", "d.source", "d.size", (F.col("t.start") + F.col("d.local")).alias("at"), F.col("d.row_key"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, block: int = 256, docs_per_bucket: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, block: int = 256, docs_per_bucket: int = 1000) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs`` (doc_id, text, source).
 
     Returns the schedule's pieces (slot, source, doc_id, row_key, pass_, from_word, words): ``words`` words
