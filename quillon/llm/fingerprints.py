@@ -5,8 +5,8 @@ modulo 2^32: so equal multisets have equal fingerprints in any order, and a para
 away by adding or subtracting its own vector (``plus`` and ``minus``). A paragraph's vector has
 
 * ``WIDE`` lanes of 32 hashed bits of the whole paragraph, which decide equality, and
-* ``SIGNS`` lanes that sum -1 or +1 over the paragraph's blocks of 64 code points, from the bits of two
-  block hashes. The mean square of such lanes of a difference estimates how many blocks two texts don't
+* ``SIGNS`` lanes that sum -1 or +1 over the paragraph's blocks of 64 code points, from the bits of the block's
+  hash. The mean square of such lanes of a difference estimates how many blocks two texts don't
   share, which gives a likeness from two fingerprints alone.
 
 Defined cases: a null text counts as the empty text, whose fingerprint is all zero; two empty texts are
@@ -20,32 +20,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.llm.shared import store
 
-WIDE, SIGNS, HALF = 8, 128, 64
+WIDE, SIGNS = 8, 64
 LOW = 0xFFFFFFFF
 PAIR = (1 << 32) + 1  # two lanes of 32 bits in a long
 
 
-def vectors(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Distinct ``keys`` with ``vec``, the fingerprint of ``text`` as array<bigint>, and ``copies``, the number of
-    rows that have them. Rows of equal keys must have equal texts.
+def sums(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Distinct ``keys`` with ``acc``, the summed lanes of ``text`` packed for the way (see ``lanes``), and ``copies``, the
+    number of rows that have them. Rows of equal keys must have equal texts.
 
     Blocks and paragraphs become rows and are summed by key, the larger part of it before the shuffle; a key that
     a third of all rows share costs no more than its rows.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    lines = F.transform(F.filter(F.split(raw, "\n"), lambda p: p != ""), lambda p: F.struct(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.xxhash64(p, F.lit("w")).alias("w")))
-    blocks = F.transform(F.regexp_extract_all(raw, F.lit("[^\n]{1,64}"), F.lit(0)), lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(p, F.lit("b")).alias("b"), F.lit(None).cast("long").alias("w")))
-    mark = F.array(F.struct(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("w")))
+    none = F.lit(None).cast("long")
+    lines = F.transform(F.filter(F.split(raw, "\n"), lambda p: p != ""), lambda p: F.struct(none.alias("a"), F.xxhash64(p, F.lit("w")).alias("w")))
+    blocks = F.transform(F.regexp_extract_all(raw, F.lit("[^\n]{1,64}"), F.lit(0)), lambda p: F.struct(F.xxhash64(p).alias("a"), none.alias("w")))
+    mark = F.array(F.struct(none.alias("a"), none.alias("w")))
     parts = rows.select(*keys, F.posexplode(F.concat(mark, lines, blocks)).alias("p", "x")).select(*keys, "p", "x.*")
-    sums = [f"coalesce(sum(shiftright({h}, {s}) & {PAIR}), 0L) as {h}{s}" for h in "ab" for s in range(32)]
+    signs = [f"coalesce(sum(shiftright(a, {s}) & {PAIR}), 0L) as a{s}" for s in range(SIGNS // 2)]
     wide = [f"coalesce(sum(if(w is null, 0L, shiftrightunsigned(xxhash64(w, {i // 2}), {32 * (i % 2)}) & {LOW})), 0L) as w{i}" for i in range(WIDE)]
-    summed = parts.groupBy(*keys).agg(*map(F.expr, ["sum(if(p = 0, 1L, 0L)) as copies", "count(a) as n", *wide, *sums]))
-    lanes = [f"w{i} div copies" for i in range(WIDE)]
-    for h in "ab":
-        for s in range(32):
-            lanes += [f"(({h}{s} div copies) & {LOW}) * 2 - n div copies", f"shiftrightunsigned({h}{s} div copies, 32) * 2 - n div copies"]
-    vec = F.expr("array(" + ", ".join(f"({x}) & {LOW}" for x in lanes) + ")")
-    return summed.select(*keys, "copies", vec.alias("vec"))
+    summed = parts.groupBy(*keys).agg(*map(F.expr, ["sum(if(p = 0, 1L, 0L)) as copies", "count(a) as n", *wide, *signs]))
+    packed = ["n div copies"] + [f"shiftleft((w{i + 1} div copies) & {LOW}, 32) | ((w{i} div copies) & {LOW})" for i in range(0, WIDE, 2)] + [f"a{s} div copies" for s in range(SIGNS // 2)]
+    return summed.select(*keys, "copies", F.expr("array(" + ", ".join(packed) + ")").alias("acc"))
+
+
+def lanes(acc: str) -> Column:
+    """The fingerprint, array<bigint> of WIDE and then SIGNS lanes from 0 to 2^32 - 1, of packed sums."""
+    out = []
+    for i in range(WIDE // 2):
+        out += [f"{acc}[{1 + i}]", f"shiftrightunsigned({acc}[{1 + i}], 32)"]
+    for s in range(SIGNS // 2):
+        at = 1 + WIDE // 2 + s
+        out += [f"({acc}[{at}] & {LOW}) * 2 - {acc}[0]", f"shiftrightunsigned({acc}[{at}], 32) * 2 - {acc}[0]"]
+    return F.expr("array(" + ", ".join(f"({x}) & {LOW}" for x in out) + ")")
 
 
 def plus(one: Column, other: Column) -> Column:
@@ -109,17 +117,18 @@ def with_next(docs: DataFrame, payload: list[str], buckets: int | None = None) -
 def with_edits(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, the edited text's sha256, and the vectors of the text, the edited text and the next text.
 
-    The edit replaces the last quarter of a text's code points by the first as many of the next document's.
+    The edit replaces the last quarter of a text's code points by the first as many of the next document's. Texts move
+    once, to their range of ids; what meets afterwards are packed sums, by the digest of the text.
     """
-    digest = lambda text: F.sha2(F.col(text).cast("binary"), 256)
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", digest("text"))
-    own = store(vectors(base.select("sha", "text"), ["sha"], "text").drop("copies"), "vectors")
+    digest = lambda text: F.unhex(F.sha2(text.cast("binary"), 256))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = store(sums(base.select(digest(F.col("text")).alias("sha"), "text"), ["sha"], "text").drop("copies"), "vectors")
     n = F.char_length("text")
     cut = F.expr("char_length(text) div 4")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.col("next.text"), F.lit(1), cut.cast("int")))
-    led = with_next(base, ["text", "sha"]).select("doc_id", n.cast("long").alias("n_chars"), "sha", F.col("next.sha").alias("next_sha"), edited.alias("edited"))
-    led = led.withColumn("edited_sha256", digest("edited"))
-    out = store(vectors(led, ["doc_id", "n_chars", "sha", "next_sha", "edited_sha256"], "edited").withColumnRenamed("vec", "edited_vec"), "edits")
-    out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
-    out = out.join(own, "sha", "left").join(own.select(F.col("sha").alias("next_sha"), F.col("vec").alias("next_vec")), "next_sha", "left")
-    return out.select("doc_id", "n_chars", "edited_sha256", "vec", "edited_vec", "next_vec")
+    led = with_next(base, ["text"]).select("doc_id", n.cast("long").alias("n_chars"), digest(F.col("text")).alias("sha"), digest(F.col("next.text")).alias("next_sha"), edited.alias("edited"))
+    led = led.withColumn("edited_sha", digest(F.col("edited")))
+    out = sums(led, ["doc_id", "n_chars", "sha", "next_sha", "edited_sha"], "edited").withColumnRenamed("acc", "edited_acc")
+    out = out.join(own, "sha", "left").drop("sha").join(own.select(F.col("sha").alias("next_sha"), F.col("acc").alias("next_acc")), "next_sha", "left")
+    out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select("doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"), lanes("acc").alias("vec"), lanes("edited_acc").alias("edited_vec"), lanes("next_acc").alias("next_vec"))
