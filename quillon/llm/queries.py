@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import fingerprints, mixing, url_filter
-from quillon.llm.shared import table
+from quillon.llm import fingerprints, jaccard_join, langid, mixing, unigram, url_filter
+from quillon.llm.shared import ship, table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +15,17 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
+def vocabulary() -> str:
+    """The SentencePiece model file on the driver; QUILLON_PIECES names another."""
+    return os.environ.get("QUILLON_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = unigram.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    return out.select("doc_id", "ids", "n_tokens", "n_byte_tokens", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.with_edits(table(spark, sf_dir, "documents"))
     return out.select(
@@ -22,11 +35,37 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return jaccard_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
+    out = langid.classified(docs.select("doc_id", "text"), dictionaries)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+OP5_SQL = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) end as s from words),
+sizes as (select doc_id, len(s)::bigint as n from sets),
+grams as (select doc_id, unnest(s) as g from sets),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as c from grams x join grams y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+links as (select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c >= 85 * (p.n + q.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from sizes union select r.a, l.b from reach r join both_ways l on r.b = l.a)
+select s.doc_id, s.n as n_shingles, min(r.b)::bigint as component_id from sizes s join reach r on r.a = s.doc_id group by 1, 2
+"""
+
 OP9_SQL = r"""
 with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 per as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as pos from sized group by source),
@@ -49,8 +88,8 @@ from laid l left join owned o on l.pos = o.pos
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_document_fingerprints, op9_source_mix)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_document_fingerprints, op5_ngram_jaccard_join, op9_source_mix, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": OP9_SQL}
+    return {"op5_ngram_jaccard_join": OP5_SQL, "op9_source_mix": OP9_SQL}
