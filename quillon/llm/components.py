@@ -44,8 +44,8 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def merged(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, chunk: int = 1 << 16) -> np.ndarray:
-    """The sum of ``part``'s arrays (uint32, ``size`` long) over the partitions of ``df``, added up by chunk on the executors."""
+def merged(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, chunk: int = 1 << 16, kind: type = np.uint32) -> np.ndarray:
+    """The sum of ``part``'s arrays (``size`` long) over the partitions of ``df``, added up by chunk on the executors; uint8 stops at 255."""
 
     def emit(batches):
         counts = part(batches)
@@ -55,14 +55,15 @@ def merged(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]
     def add(group: pa.Table) -> pa.Table:
         total = None
         for data in group.column("data"):
-            counts = np.frombuffer(zlib.decompress(data.as_py()), np.uint32)
-            total = counts.copy() if total is None else total + counts
+            counts = np.frombuffer(zlib.decompress(data.as_py()), kind)
+            total = counts.astype(np.uint32) if total is None else total + counts
+        total = np.minimum(total, np.iinfo(kind).max).astype(kind)
         return pa.table({"chunk": group.column("chunk")[:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     schema = "chunk int, data binary"
-    out = np.zeros(size, np.uint32)
+    out = np.zeros(size, kind)
     for row in df.mapInArrow(emit, schema).groupBy("chunk").applyInArrow(add, schema).collect():  # `size` counters in all
-        counts = np.frombuffer(zlib.decompress(row["data"]), np.uint32)
+        counts = np.frombuffer(zlib.decompress(row["data"]), kind)
         out[row["chunk"] * chunk : row["chunk"] * chunk + len(counts)] = counts
     return out
 

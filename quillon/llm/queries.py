@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import fingerprints, jaccard_join, langid, mixing, unigram, url_filter
+from quillon.llm import fingerprints, jaccard_join, langid, mixing, substring_dedup, suffix_dedup, unigram, url_filter
 from quillon.llm.shared import ship, table
 
 
@@ -40,6 +40,18 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -66,6 +78,17 @@ reach as (select doc_id as a, doc_id as b from sizes union select r.a, l.b from
 select s.doc_id, s.n as n_shingles, min(r.b)::bigint as component_id from sizes s join reach r on r.a = s.doc_id group by 1, 2
 """
 
+OP6_SQL = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50),
+windows as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from starts),
+firsts as (select h, min(doc_id) as f from windows group by h),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as j from windows join firsts using (h) where doc_id > f),
+each as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as j from words),
+kept as (select e.doc_id, string_agg(e.word, ' ' order by e.j) as t, count(*) as n from each e left join gone g on e.doc_id = g.doc_id and e.j = g.j where g.j is null group by e.doc_id)
+select w.doc_id, len(w.w)::bigint as n_words, (len(w.w) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from words w left join kept k using (doc_id)
+"""
+
 OP9_SQL = r"""
 with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 per as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as pos from sized group by source),
@@ -88,8 +111,8 @@ from laid l left join owned o on l.pos = o.pos
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_document_fingerprints, op5_ngram_jaccard_join, op9_source_mix, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_document_fingerprints, op5_ngram_jaccard_join, op6_substring_dedup, op8_suffix_array_dedup, op9_source_mix, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": OP5_SQL, "op9_source_mix": OP9_SQL}
+    return {"op5_ngram_jaccard_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op9_source_mix": OP9_SQL}
