@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import fingerprints, jaccard_join, langid, mixing, substring_dedup, suffix_dedup, unigram, url_filter
+from quillon.llm import embedding_dedup, fingerprints, jaccard_join, langid, lm_scoring, mixing, substring_dedup, suffix_dedup, unigram, url_filter
 from quillon.llm.shared import ship, table
 
 
@@ -35,6 +35,11 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return jaccard_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
@@ -46,6 +51,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return lm_scoring.scored(table(spark, sf_dir, "documents"), order=3)
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     out = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -65,6 +75,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+OP4_SQL = """
+with recursive fine as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from fine a join fine b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a as vec_id, min(b)::bigint as component_id from reach group by a)
+select vec_id, (select count(*) from links where a = vec_id)::bigint as n_links, component_id, vec_id = component_id as kept from least
+"""
+
 OP5_SQL = r"""
 with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
@@ -89,6 +109,24 @@ kept as (select e.doc_id, string_agg(e.word, ' ' order by e.j) as t, count(*) as
 select w.doc_id, len(w.w)::bigint as n_words, (len(w.w) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from words w left join kept k using (doc_id)
 """
 
+OP7_SQL = r"""
+with words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+each as (select doc_id, generate_subscripts(w, 1) as j, unnest(w) as a from words),
+grams as (select doc_id, j, a, lag(a) over d as b, lag(a, 2) over d as c from each window d as (partition by doc_id order by j)),
+c1 as (select a, count(*) as n from grams group by a),
+c2 as (select b, a, count(*) as n from grams where b is not null group by all having count(*) >= 2),
+c3 as (select c, b, a, count(*) as n from grams where c is not null group by all having count(*) >= 2),
+total as (select count(*) as n from grams),
+scored as (select g.doc_id, case
+    when c3.n is not null then ln(c3.n / x2.n)
+    when c2.n is not null then ln(c2.n / x1.n) + (least(g.j, 3) - 2) * ln(0.4)
+    else ln(c1.n / total.n) + (least(g.j, 3) - 1) * ln(0.4) end as s
+  from grams g cross join total join c1 on c1.a = g.a left join c2 on c2.a = g.a and c2.b = g.b left join c1 x1 on x1.a = g.b
+  left join c3 on c3.a = g.a and c3.b = g.b and c3.c = g.c left join c2 x2 on x2.a = g.b and x2.b = g.c)
+select w.doc_id, len(w.w)::bigint as n_words, round(coalesce(sum(s), 0), 4) as log_score, round(sum(s) / len(w.w), 6) as mean_log_score
+from words w left join scored s on s.doc_id = w.doc_id group by w.doc_id, len(w.w)
+"""
+
 OP9_SQL = r"""
 with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 per as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as pos from sized group by source),
@@ -111,8 +149,8 @@ from laid l left join owned o on l.pos = o.pos
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_document_fingerprints, op5_ngram_jaccard_join, op6_substring_dedup, op8_suffix_array_dedup, op9_source_mix, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_document_fingerprints, op4_embedding_dedup, op5_ngram_jaccard_join, op6_substring_dedup, op7_lm_scoring, op8_suffix_array_dedup, op9_source_mix, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op9_source_mix": OP9_SQL}
+    return {"op4_embedding_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_lm_scoring": OP7_SQL, "op9_source_mix": OP9_SQL}

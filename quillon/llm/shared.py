@@ -6,6 +6,7 @@ that is unset), so a lost executor never takes the only copy of one with it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -24,11 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start from the files."""
+    """Write ``df`` to the shared folder and read it back: later plans start from the files.
+
+    Shuffle files of plans that are no longer referred to are let go first, so disk holds few steps at a time.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/quillon-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillon_path = path  # for forget()
+    return out
+
+
+def forget(stored: DataFrame) -> None:
+    """Remove the files of a table that ``store`` wrote and nothing will read again."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored._quillon_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -119,3 +119,9 @@ def dedup(docs: DataFrame, width: int = 200) -> DataFrame:
 
     out = joined.withColumn("_kept", keep(F.col("text"), F.col("_spans")))
     return out.withColumns({c: F.col(f"_kept.{c}") for c in ("kept", "n_bytes", "n_removed", "n_spans")}).drop("_kept", "_spans")
+
+
+@F.arrow_udf("string")
+def whole_characters(data: pa.Array) -> pa.Array:
+    """The UTF-8 text of bytes, without characters that a cut has split."""
+    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in data.to_pylist()], pa.string())
