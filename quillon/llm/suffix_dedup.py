@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.llm import kernels
 from quillon.llm.induced_sort import suffix_order
@@ -121,7 +121,11 @@ def dedup(docs: DataFrame, width: int = 200) -> DataFrame:
     return out.withColumns({c: F.col(f"_kept.{c}") for c in ("kept", "n_bytes", "n_removed", "n_spans")}).drop("_kept", "_spans")
 
 
-@F.arrow_udf("string")
-def whole_characters(data: pa.Array) -> pa.Array:
+def whole_characters(data: Column) -> Column:
     """The UTF-8 text of bytes, without characters that a cut has split."""
-    return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in data.to_pylist()], pa.string())
+
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in column.to_pylist()], pa.string())
+
+    return text(data)
