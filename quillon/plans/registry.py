@@ -4,18 +4,433 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quillon import schema
+from quillon.functions import text as T
+from quillon.operators import extract, index, search, session
+from quillon.schema import SearchOptions
+from quillon.sources import corpus
+from quillon.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+# SQL of the synthetic corpus and what is extracted from it
+
+CORPUS = """
+corpus as (select path as relative_path, row_number() over (partition by path order by tag, k)::int as line_number, line from (
+  select 'include/' || lower(replace(p_brand, '#', '_')) || '.h' as path, 1 as tag, p_partkey as k,
+    '#define PART_' || p_partkey::varchar || '_' || upper(replace(p_name, ' ', '_')) || ' ' || p_size::varchar as line from part
+  union all select 'src/nation_' || s_nationkey::varchar || '.cpp', 1, s_suppkey, 'struct supplier_' || s_suppkey::varchar || ' {' from supplier
+  union all select 'src/nation_' || c_nationkey::varchar || '.cpp', 2, c_custkey,
+    'static inline const char *customer_' || c_custkey::varchar || '_' || lower(c_mktsegment) || '(int a, struct t *b) {' from customer))"""
+SYMBOLS = CORPUS + """,
+found as (select relative_path, line_number, line, 'macro' as kind, regexp_extract(line, '^[ \\t]*#[ \\t]*define[ \\t]+([A-Za-z_][A-Za-z0-9_]*)', 1) as name from corpus
+  union all select relative_path, line_number, line, 'struct', regexp_extract(line, '^[ \\t]*(?:typedef[ \\t]+)?struct[ \\t]+([A-Za-z_][A-Za-z0-9_]*)[ \\t]*\\{', 1) from corpus
+  union all select relative_path, line_number, line, 'function', regexp_extract(line, '^[ \\t]*(?:(?:static|inline|extern|const|virtual|explicit|constexpr|[A-Z_]+)[ \\t]+)*[A-Za-z_][A-Za-z0-9_:<>, \\t\\*&]*?[ \\t\\*&]+([A-Za-z_][A-Za-z0-9_]*)[ \\t]*\\([^;{}]*\\)[ \\t]*\\{', 1) from corpus),
+symbols as (select name, kind, relative_path, line_number, (strpos(line, name) - 1)::int as col, line,
+  translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as name_fold,
+  ' ' || array_to_string(list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''), ' ') || ' ' as toks from found where name <> '')"""
+DOC_LINES = """
+doc_lines as (select relative_path, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1)::int as line_number
+  from (select 'docs/' || coalesce(source, 'none') || '/' || doc_id::varchar || '.txt' as relative_path, text from documents where text is not null))"""
+
+
+def _symbols(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.symbols(extract.by_line(corpus.synthetic_lines(spark, sf)))
+
+
+def register(name: str, run: Query, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        SQL[name] = sql
+
+
+# corpus and extraction
+
+register("corpus_lines", corpus.synthetic_lines, f"with {CORPUS} select relative_path, line_number, line from corpus")
+register("doc_lines", lambda s, d: corpus.document_lines(s, d), f"with {DOC_LINES} select relative_path, line_number, rtrim(line, chr(13)) as line from doc_lines")
+for _kind in ("macro", "struct", "function"):
+    register(
+        f"extract_{_kind}s",
+        lambda s, d, k=_kind: extract.by_line(corpus.synthetic_lines(s, d)).filter(F.col("kind") == k),
+        f"with {SYMBOLS} select relative_path, line_number, col, name, kind, line from symbols where kind = '{_kind}'",
+    )
+
+
+def brace_next_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Function heads whose brace is put on a line of its own."""
+    lines = corpus.synthetic_lines(spark, sf).filter("line like 'static%'")
+    two = lines.select("relative_path", F.posexplode(F.array(F.regexp_replace("line", r" \{$", ""), F.lit("{"))).alias("p", "line"), (F.col("line_number") * 2).alias("n"))
+    return extract.by_line(two.select("relative_path", (F.col("n") + F.col("p")).alias("line_number"), "line")).drop("line")
+
+
+register("extract_brace_next_line", brace_next_line, f"with {SYMBOLS} select relative_path, line_number * 2 as line_number, col, name, kind from symbols where kind = 'function'")
+register(
+    "extract_whole_text",
+    lambda s, d: extract.by_text(corpus.synthetic_lines(s, d).groupBy("relative_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]), "\n").alias("content"))),
+    f"with {SYMBOLS} select relative_path, line_number, 0 as col, name, kind from symbols",
+)
+register(
+    "extract_macros_only",
+    lambda s, d: extract.by_line(corpus.synthetic_lines(s, d), macros_only=True).drop("line"),
+    f"with {SYMBOLS} select relative_path, line_number, col, name, kind from symbols where kind = 'macro'",
+)
+register(
+    "symbols_all",
+    lambda s, d: _symbols(s, d).select("name", "name_fold", F.col("kind").cast("int").alias("kind"), "relative_path", "line_number", "col", F.array_join("tokens", " ").alias("tokens")),
+    f"with {SYMBOLS} select name, name_fold, case kind when 'function' then 0 when 'struct' then 2 else 6 end as kind, relative_path, line_number, col, trim(toks) as tokens from symbols",
+)
+register(
+    "kind_codec",
+    lambda s, d: s.range(-1, 10).select(F.col("id").alias("code"), schema.decode_kind(F.col("id")).alias("kind"), schema.encode_kind(schema.decode_kind(F.col("id"))).cast("int").alias("back")),
+    "select code, coalesce(k, 'variable') as kind, coalesce(list_position(ks, k), 8) - 1 as back from (select code::bigint as code, ks, case when code between 0 and 8 then ks[code + 1] end as k from range(-1, 10) r(code), (select ['function','class','struct','enum','typedef','namespace','macro','variable','union'] as ks))",
+)
+register(
+    "clean_names",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").filter("text is not null").select("doc_id", T.clean_name(F.col("text")).alias("name")),
+    "select doc_id, substring(regexp_replace(text, '\\r\\n|\\r|\\n', ' ', 'g'), 1, 1024) as name from documents where text is not null",
+)
+
+# search
+
+FIND = {
+    "find_exact_cs": ("customer_7_building", SearchOptions(True, True), "name = '{q}'"),
+    "find_exact_ci": ("CUSTOMER_7_Building", SearchOptions(False, True), "name_fold = lower('{q}')"),
+    "find_substring_ci": ("Ring", SearchOptions(), "contains(name_fold, lower('{q}')) and contains(toks, ' ring ')"),
+    "find_substring_cs": ("RING", SearchOptions(True), "contains(name, '{q}') and contains(toks, ' ring ')"),
+    "find_substring_no_token": ("_", SearchOptions(), "contains(name_fold, '_')"),
+    "find_token_phrase": ("small_ring", SearchOptions(), "contains(name_fold, 'small_ring') and contains(toks, ' small ring ')"),
+    "find_partial_token": ("rin", SearchOptions(), "contains(name_fold, 'rin') and contains(toks, ' rin ')"),
+    "find_number_token": ("PART_1", SearchOptions(), "contains(name_fold, 'part_1') and contains(toks, ' part 1 ')"),
+    "find_regex": ("supplier.*1$", SearchOptions(regex=True), "regexp_matches(name, '(?i)supplier.*1$') and contains(toks, ' supplier ')"),
+    "find_regex_no_token": ("^c.+g$", SearchOptions(True, regex=True), "regexp_matches(name, '^c.+g$')"),
+    "find_nothing": ("", SearchOptions(), "false"),
+    "find_bad_regex": ("foo(", SearchOptions(regex=True), "false"),
+    "find_two_words": ("small ring", SearchOptions(), "contains(name_fold, 'small ring') and (contains(toks, ' small ') or contains(toks, ' ring '))"),
+}
+_ROW = "name, relative_path, line_number, col"
+for _name, (_q, _options, _where) in FIND.items():
+    _cond = _where.format(q=_q)
+    register(_name, lambda s, d, q=_q, o=_options: search.matching(_symbols(s, d), q, o).select("name", "relative_path", "line_number", "col"), f"with {SYMBOLS} select {_ROW} from symbols where {_cond}")
+    register(_name.replace("find_", "count_"), lambda s, d, q=_q, o=_options: search.count_matches(_symbols(s, d), q, o), f"with {SYMBOLS} select count(*)::bigint as n from symbols where {_cond}")
+for _name, _q, _options, _where in (
+    ("exact_mode_substring", "rin", SearchOptions(), "contains(name_fold, 'rin')"),
+    ("exact_mode_regex", "dev.*|.*ring", SearchOptions(regex=True), "regexp_matches(name, '(?i)dev.*|.*ring')"),
+):
+    register(_name, lambda s, d, q=_q, o=_options: search.matching(_symbols(s, d), q, o, "exact").select("name", "relative_path", "line_number", "col"), f"with {SYMBOLS} select {_ROW} from symbols where {_where}")
+
+_PAGE_SQL = "select name, relative_path, line_number, col, 0 as match_start, len(name)::int as match_length from symbols where contains(name_fold, 'ring') and contains(toks, ' ring ') order by relative_path, line_number, col, name"
+register("page_first", lambda s, d: search.search(_symbols(s, d), "ring"), f"with {SYMBOLS} {_PAGE_SQL} limit 200")
+register("page_second", lambda s, d: search.search(_symbols(s, d), "ring", offset=200), f"with {SYMBOLS} {_PAGE_SQL} limit 200 offset 200")
+register(
+    "result_lines",
+    lambda s, d: search.result_lines(search.search(_symbols(s, d), "ring", limit=50), corpus.synthetic_lines(s, d), "/work").select("file_path", "relative_path", "line_number", "line_content", "match_start", "match_length"),
+    f"with {SYMBOLS}, page as ({_PAGE_SQL} limit 50) select '/work/' || relative_path as file_path, relative_path, line_number, coalesce(c.line, '') as line_content, match_start, match_length from page left join corpus c using (relative_path, line_number)",
+)
+register(
+    "line_lookup",
+    lambda s, d: corpus.line_at(corpus.synthetic_lines(s, d), s.range(0, 60, 1).select(F.lit("src/nation_3.cpp").alias("relative_path"), F.col("id").cast("int").alias("line_number"))),
+    f"with {CORPUS} select 'src/nation_3.cpp' as relative_path, i::int as line_number, coalesce(line, '') as line from range(0, 60) r(i) left join corpus on relative_path = 'src/nation_3.cpp' and line_number = i",
+)
+register(
+    "preview_window",
+    lambda s, d: corpus.preview(corpus.synthetic_lines(s, d), "src/nation_3.cpp", 20, 10),
+    f"with {CORPUS} select line_number as num, line as content from corpus where relative_path = 'src/nation_3.cpp' and line_number between 10 and 30",
+)
+register(
+    "global_index",
+    lambda s, d: session.numbered(search.search(_symbols(s, d), "ring", limit=50), ["relative_path", "line_number", "col", "name"]).select("name", F.col("global_index").cast("int").alias("global_index")),
+    f"with {SYMBOLS}, page as ({_PAGE_SQL} limit 50) select name, (row_number() over (order by relative_path, line_number, col, name) - 1)::int as global_index from page",
+)
+register(
+    "search_filtered",
+    lambda s, d: search.path_filter(_symbols(s, d), ["src/**"], ["**/nation_1*"]).select("name", "relative_path", "line_number", "col"),
+    f"with {SYMBOLS} select {_ROW} from symbols where relative_path like 'src/%' and relative_path not like '%/nation\\_1%' escape '\\'",
+)
+
+# full text
+
+_GREP = "relative_path, line_number, line as line_content"
+_BYTES = "strlen(substr(line, 1, strpos({hay}, {needle}) - 1))::int as match_start, 0 as match_length"
+register(
+    "grep_literal_ci",
+    lambda s, d: search.text_search(corpus.document_lines(s, d), "tion"),
+    f"with {DOC_LINES} select relative_path, line_number, case when strlen(line) > 4096 then '[Omitted long line with ' || len(regexp_extract_all(line, '(?i)tion'))::varchar || ' matches]' else line end as line_content, "
+    + _BYTES.format(hay="lower(line)", needle="'tion'") + " from doc_lines where regexp_matches(line, '(?i)tion')",
+)
+register(
+    "grep_literal_cs",
+    lambda s, d: search.text_search(corpus.synthetic_lines(s, d), "struct supplier", SearchOptions(True)),
+    f"with {CORPUS} select {_GREP}, " + _BYTES.format(hay="line", needle="'struct supplier'") + " from corpus where contains(line, 'struct supplier')",
+)
+register(
+    "grep_word",
+    lambda s, d: search.text_search(corpus.document_lines(s, d), "the", SearchOptions(whole_word=True)).select("relative_path", "line_number"),
+    f"with {DOC_LINES} select relative_path, line_number from doc_lines where regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)')",
+)
+register(
+    "grep_regex",
+    lambda s, d: search.text_search(corpus.synthetic_lines(s, d), "customer_[0-9]+5_[a-m]", SearchOptions(regex=True)).select("relative_path", "line_number", "match_start"),
+    f"with {CORPUS} select relative_path, line_number, strlen(regexp_extract(line, '(?i)^(.*?)customer_[0-9]+5_[a-m]', 1))::int as match_start from corpus where regexp_matches(line, '(?i)customer_[0-9]+5_[a-m]')",
+)
+register(
+    "grep_globs",
+    lambda s, d: search.text_search(corpus.synthetic_lines(s, d), "struct", include=[".cpp"], exclude=["src/nation_2*"]).select("relative_path", "line_number"),
+    f"with {CORPUS} select relative_path, line_number from corpus where contains(lower(line), 'struct') and relative_path like '%.cpp' and relative_path not like 'src/nation\\_2%' escape '\\'",
+)
+register(
+    "grep_long_line",
+    lambda s, d: search.text_search(s.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("p/"), F.col("page_id").cast("string")).alias("relative_path"), F.lit(1).alias("line_number"), F.regexp_replace("html", "\n", " ").alias("line")), "div", SearchOptions(True)),
+    "select 'p/' || page_id::varchar as relative_path, 1 as line_number, case when strlen(line) > 4096 then '[Omitted long line with ' || len(regexp_extract_all(line, 'div'))::varchar || ' matches]' else line end as line_content, strlen(substr(line, 1, strpos(line, 'div') - 1))::int as match_start, 0 as match_length from (select page_id, replace(html, chr(10), ' ') as line from pages) where contains(line, 'div')",
+)
+register(
+    "grep_conversations",
+    lambda s, d: search.text_search(s.read.parquet(f"{d}/conversations.parquet").select(F.concat(F.lit("c/"), F.col("conv_id").cast("string")).alias("relative_path"), F.col("turn").cast("int").alias("line_number"), F.col("text").alias("line")), "th", SearchOptions(True)).select("relative_path", "line_number", "match_start"),
+    "select 'c/' || conv_id::varchar as relative_path, turn::int as line_number, strlen(substr(text, 1, strpos(text, 'th') - 1))::int as match_start from conversations where contains(text, 'th')",
+)
+_RAW = "concat_ws(':', concat('./', relative_path), cast(line_number as string), cast(line_number % 9 + 1 as string), line)"
+register(
+    "parse_grep_line",
+    lambda s, d: corpus.synthetic_lines(s, d).select(search.parse_grep_line(F.expr(_RAW)).alias("x")).filter("x is not null").select("x.*"),
+    f"with {CORPUS} select relative_path, line_number, (line_number % 9)::int as match_start, line as line_content, 0 as match_length from corpus",
+)
+
+# hybrid
+
+_RESULT = "relative_path, line_number, line_content, match_start, match_length"
+register(
+    "hybrid_hit",
+    lambda s, d: search.hybrid_search(_symbols(s, d), corpus.synthetic_lines(s, d), "ring"),
+    f"with {SYMBOLS}, page as ({_PAGE_SQL} limit 200) select relative_path, line_number, c.line as line_content, match_start, match_length from page join corpus c using (relative_path, line_number)",
+)
+register(
+    "hybrid_fallback",
+    lambda s, d: search.hybrid_search(_symbols(s, d), corpus.synthetic_lines(s, d), "omer_1"),
+    f"with {CORPUS} select {_GREP}, " + _BYTES.format(hay="lower(line)", needle="'omer_1'") + " from corpus where contains(lower(line), 'omer_1')",
+)
+register(
+    "hybrid_page_past_end",
+    lambda s, d: search.hybrid_search(_symbols(s, d), corpus.synthetic_lines(s, d), "omer_1", offset=200),
+    "select '' as relative_path, 0 as line_number, '' as line_content, 0 as match_start, 0 as match_length where false",
+)
+
+
+def sync_time_decision(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*map(F.lit, ("cancel", "grep-fallback", "prompt-cancel", "prompt-grep-fallback", "other")))
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.element_at(names, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("behavior"), (F.col("o_orderkey") * 7 % 2000).alias("age"), F.element_at(F.array(F.lit(""), F.lit("grep"), F.lit("cancel")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("cached"))
+    return rows.select("o_orderkey", search.sync_decision(F.col("behavior"), F.lit(10_000), 10_000 - F.col("age"), F.col("cached")).alias("x")).select("o_orderkey", "x.action", "x.expect")
+
+
+register("sync_time_decision", sync_time_decision, """
+with rows as (select o_orderkey, ['cancel','grep-fallback','prompt-cancel','prompt-grep-fallback','other'][o_orderkey % 5 + 1] as b, o_orderkey * 7 % 2000 < 1000 and o_orderkey % 3 > 0 as held, ['','grep','cancel'][o_orderkey % 3 + 1] as cached from orders)
+select o_orderkey, case when held then cached when b = 'cancel' then 'cancel' when b = 'grep-fallback' then 'grep' else 'prompt' end as action,
+  case when held or b in ('cancel', 'grep-fallback') then null when b = 'prompt-cancel' then 'cancel' else 'grep-fallback' end as expect from rows""")
+
+# maintenance
+
+
+def _files(spark: SparkSession, sf: str, old: bool) -> DataFrame:
+    """Orders as files: the old state lacks some and differs in others."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat(F.lit("f/"), F.col("o_orderkey").cast("string"), F.lit(".c")).alias("relative_path"), "o_orderkey")
+    if old:
+        rows = rows.filter("o_orderkey % 11 <> 0")
+        return rows.select("relative_path", (F.col("o_orderkey") * 10 + F.when(F.expr("o_orderkey % 7 = 0"), 1).otherwise(0)).alias("mtime_ms"), (F.col("o_orderkey") % 100).alias("size_bytes"), (F.col("o_orderkey") % 3).cast("int").alias("symbol_count"))
+    rows = rows.filter("o_orderkey % 13 <> 0")
+    return rows.select("relative_path", (F.col("o_orderkey") * 10).alias("mtime_ms"), (F.col("o_orderkey") % 100 + F.when(F.expr("o_orderkey % 17 = 0"), 1).otherwise(0)).alias("size_bytes"), F.lit(1).alias("symbol_count"))
+
+
+_CHANGED = "k % 13 <> 0 and (k % 11 = 0 or k % 7 = 0 or k % 17 = 0)"
+_ORDERS = "orders_ as (select o_orderkey as k, 'f/' || o_orderkey::varchar || '.c' as relative_path from orders)"
+register("classify_changed", lambda s, d: index.changed(_files(s, d, False), _files(s, d, True)).select("relative_path"), f"with {_ORDERS} select relative_path from orders_ where {_CHANGED}")
+register("classify_deleted", lambda s, d: index.deleted(_files(s, d, False), _files(s, d, True)), f"with {_ORDERS} select relative_path from orders_ where k % 11 <> 0 and k % 13 = 0")
+register(
+    "apply_changes_files",
+    lambda s, d: index.apply_files(_files(s, d, True), index.changed(_files(s, d, False), _files(s, d, True)), index.deleted(_files(s, d, False), _files(s, d, True))),
+    f"with {_ORDERS} select relative_path, k * 10 as mtime_ms, k % 100 + case when k % 17 = 0 then 1 else 0 end as size_bytes, case when {_CHANGED} then 1 else (k % 3)::int end as symbol_count from orders_ where k % 13 <> 0",
+)
+
+
+def apply_changes_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Re-read one nation's files, remove another's, and bring in symbols of a file that isn't in the batch (dropped)."""
+    have = _symbols(spark, sf)
+    meta = spark.createDataFrame([("src/nation_3.cpp",)], "relative_path string")
+    gone = spark.createDataFrame([("src/nation_4.cpp",)], "relative_path string")
+    new = have.filter("relative_path in ('src/nation_3.cpp', 'src/nation_5.cpp') and kind = 2").withColumn("name", F.concat(F.lit("new_"), "name"))
+    return index.apply_symbols(have, new, meta, gone).select("name", "relative_path", "line_number")
+
+
+register("apply_changes_symbols", apply_changes_symbols, f"with {SYMBOLS} select name, relative_path, line_number from symbols where relative_path not in ('src/nation_3.cpp', 'src/nation_4.cpp') union all select 'new_' || name, relative_path, line_number from symbols where relative_path = 'src/nation_3.cpp' and kind = 'struct'")
+register(
+    "group_symbols",
+    lambda s, d: index.group_symbols(corpus.synthetic_lines(s, d).select("relative_path").distinct().unionByName(s.createDataFrame([("empty.c",)], "relative_path string")), extract.by_line(corpus.synthetic_lines(s, d))).select("relative_path", F.size("symbols").alias("n"), F.array_join(F.transform("symbols", lambda x: x["name"]), ",").alias("names")),
+    f"with {SYMBOLS} select relative_path, count(*)::int as n, string_agg(name, ',' order by line_number, name, kind) as names from symbols group by 1 union all select 'empty.c', 0, ''",
+)
+register(
+    "symbol_counts",
+    lambda s, d: index.symbol_counts(corpus.synthetic_lines(s, d).select("relative_path").distinct(), _symbols(s, d)),
+    f"with {SYMBOLS} select relative_path, count(*)::int as symbol_count from symbols group by 1",
+)
+register(
+    "index_stats",
+    lambda s, d: index.stats(corpus.synthetic_lines(s, d).select("relative_path").distinct(), _symbols(s, d)),
+    f"with {SYMBOLS} select (select count(distinct relative_path) from corpus)::bigint as files, (select count(*) from symbols)::bigint as symbols",
+)
+register(
+    "size_routing",
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", extract.route(F.col("o_orderkey") * 1000).alias("how")),
+    "select o_orderkey, case when o_orderkey * 1000 < 1048576 then 'ast' when o_orderkey * 1000 < 10485760 then 'stream' else 'macros' end as how from orders",
+)
+register(
+    "language_routing",
+    lambda s, d: corpus.synthetic_lines(s, d).select("relative_path").distinct().select("relative_path", extract.language(F.col("relative_path")).alias("lang")),
+    f"with {CORPUS} select distinct relative_path, case when relative_path like '%.h' then 'c' else 'cpp' end as lang from corpus",
+)
+register(
+    "parse_batches",
+    lambda s, d: index.batches(_files(s, d, False).select("relative_path")).groupBy("batch").agg(F.count("*").alias("n")).agg(F.max(F.col("n") <= index.BATCH).alias("fits"), F.sum("n").alias("files")),
+    "select true as fits, count(*)::bigint as files from orders where o_orderkey % 13 <> 0",
+)
+
+# change streams (batch form; tests run them as streams)
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "create").otherwise("change")
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").cast("string").alias("relative_path"), op.alias("op"), "ts", "event_id")
+
+
+register(
+    "last_event_wins",
+    lambda s, d: _events(s, d).groupBy("relative_path").agg(F.max_by("op", F.struct("ts", "event_id")).alias("op")),
+    "select user_id::varchar as relative_path, arg_max(case event_type when 'error' then 'delete' when 'signup' then 'create' else 'change' end, row(ts, event_id)) as op from events group by 1",
+)
+register(
+    "debounce_sessions",
+    lambda s, d: changes.debounce(_events(s, d), "5 minutes").select(F.unix_micros(F.col("first_ts").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("last_ts").cast("timestamp")).alias("last_us"), "n"),
+    """with gaps as (select ts, case when ts - lag(ts) over (order by ts) <= interval 5 minutes then 0 else 1 end as new from events),
+runs as (select ts, sum(new) over (order by ts rows unbounded preceding) as run from gaps)
+select epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us, count(*)::bigint as n from runs group by run""",
+)
+
+# session
+
+
+def _loaded(spark: SparkSession, sf: str) -> DataFrame:
+    page = search.result_lines(search.search(_symbols(spark, sf), "ring", limit=50), corpus.synthetic_lines(spark, sf))
+    return session.numbered(page, ["relative_path", "line_number", "col", "name"])
+
+
+_LOADED = f"{SYMBOLS}, page as ({_PAGE_SQL} limit 50), loaded as (select page.*, c.line as line_content, (row_number() over (order by relative_path, line_number, col, name) - 1)::int as global_index from page join corpus c using (relative_path, line_number))"
+register(
+    "navigate_wrap",
+    lambda s, d: session.neighbours(_loaded(s, d)).select("name", F.col("next_index").cast("int").alias("next_index"), F.col("previous_index").cast("int").alias("previous_index")),
+    f"with {_LOADED} select name, ((global_index + 1) % count(*) over ())::int as next_index, ((global_index - 1 + count(*) over ()) % count(*) over ())::int as previous_index from loaded",
+)
+register(
+    "navigate_ends",
+    lambda s, d: session.neighbours(_loaded(s, d), wrap=False).select("name", *[F.coalesce(F.col(c), F.lit(-1)).cast("int").alias(c) for c in ("next_index", "previous_index")]),
+    f"with {_LOADED} select name, coalesce(lead(global_index) over (order by global_index), -1)::int as next_index, coalesce(lag(global_index) over (order by global_index), -1)::int as previous_index from loaded",
+)
+register(
+    "find_in_results",
+    lambda s, d: session.find_in_results(_loaded(s, d), "big").select("name", "line_content"),
+    f"with {_LOADED} select name, line_content from loaded where regexp_matches(line_content || chr(10) || relative_path, '(?i)big')",
+)
+register(
+    "jump_to_result",
+    lambda s, d: _loaded(s, d).filter("relative_path = 'include/brand_11.h'").orderBy("global_index").limit(1).select("name"),
+    f"with {_LOADED} select name from loaded where relative_path = 'include/brand_11.h' order by global_index limit 1",
+)
+register(
+    "highlight_positions",
+    lambda s, d: session.occurrences(corpus.synthetic_lines(s, d), s.createDataFrame([("ring", "red"), ("11", "blue")], "text string, color string")).select("relative_path", "line_number", F.col("at").cast("int").alias("at"), "text", "color"),
+    f"with {CORPUS}, marks as (select * from (values ('ring', 'red'), ('11', 'blue')) m(text, color)) select relative_path, line_number, (i - 1)::int as at, text, color from (select *, unnest(range(1, len(line) + 1)) as i from corpus, marks) where substr(lower(line), i, len(text)) = text",
+)
+register(
+    "color_cycle",
+    lambda s, d: s.range(20).select("id", session.cycled(F.col("id"), ["a", "b", "c"]).alias("color")),
+    "select i::bigint as id, ['a', 'b', 'c'][i % 3 + 1] as color from range(20) r(i)",
+)
+
+
+def history_summary(spark: SparkSession, sf: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.concat(F.lit("q"), F.first("conv_id").cast("string")).alias("query"), F.collect_list("turn").alias("results"))
+    return session.history_summary(turns.withColumn("total_count", F.when(F.length("id") > 1, F.lit(None).cast("int")).otherwise(7)), "3")
+
+
+register("history_summary", history_summary, "select conv_id::varchar as id, 'q' || conv_id::varchar as query, case when len(conv_id::varchar) > 1 then count(turn) else 7 end::int as n, conv_id::varchar = '3' as active from conversations group by conv_id")
+
+# scalar functions
+
+register(
+    "escape_functions",
+    lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", T.quote_phrase(F.concat("p_name", F.lit('"'))).alias("phrase"), T.escape_glob(F.concat(F.lit("*["), "p_brand", F.lit("]?"))).alias("glob"), T.escape_like(F.concat(F.lit("%_"), "p_brand", F.lit("\\"))).alias("like"), T.escape_regex(F.concat("p_brand", F.lit(".*(x)"))).alias("regex")),
+    """select p_partkey, '"' || replace(p_name || '"', '"', '""') || '"' as phrase, '[*][[]' || p_brand || '[]][?]' as glob, '\\%\\_' || replace(p_brand, '_', '\\_') || '\\\\' as "like", p_brand || '\\.\\*\\(x\\)' as regex from part""",
+)
+register(
+    "html_escape",
+    lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.escape_html(F.col("html")).alias("html")),
+    "select page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as html from pages",
+)
+register(
+    "extract_tokens",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(T.literal_tokens(F.col("text"))).alias("n"), F.array_join(F.slice(T.literal_tokens(F.col("text")), 1, 20), "|").alias("first")),
+    "select doc_id, len(t)::int as n, array_to_string(t[1:20], '|') as first from (select doc_id, regexp_extract_all(text, '[A-Za-z0-9_一-鿿]{2,}') as t from documents)",
+)
+register(
+    "tokenize",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("digest")),
+    "select doc_id, len(t)::int as n, md5(array_to_string(t, ' ')) as digest from (select doc_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\\p{L}\\p{N}\\p{Co}]+'), lambda x: x <> '') as t from documents)",
+)
+register(
+    "ascii_fold",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.ascii_fold(F.col("text")).alias("folded")),
+    "select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as folded from documents",
+)
+register(
+    "comma_list",
+    lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(T.comma_list(F.concat(F.lit(" a, ,"), "p_name", F.lit(" , b"))), "|").alias("items")),
+    "select p_partkey, 'a|' || trim(p_name) || '|b' as items from part",
+)
+register(
+    "size_setting",
+    lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", T.max_file_bytes_column(F.col("c_acctbal")).alias("bytes")),
+    "select c_custkey, case when c_acctbal is null or c_acctbal < 0 then 1048576 else floor(c_acctbal)::bigint end as bytes from customer",
+)
+register(
+    "status_text",
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", session.status_text(F.col("o_orderkey"), F.expr("o_orderkey % 2 = 0")).alias("label")),
+    "select o_orderkey, format('{:,}', o_orderkey) || ' symbols' || case when o_orderkey % 2 = 0 then ' (stale)' else '' end as label from orders",
+)
+register(
+    "progress_running",
+    lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.sum("n_nationkey").over(session.Window.orderBy("n_nationkey").rowsBetween(session.Window.unboundedPreceding, 0)).cast("bigint").alias("done")),
+    "select n_nationkey, sum(n_nationkey) over (order by n_nationkey)::bigint as done from nation",
+)
+register(
+    "diagnostics_json",
+    lambda s, d: s.read.parquet(f"{d}/nation.parquet").select(F.to_json(F.struct(F.lit("parse").alias("event"), F.col("n_name").alias("file"), F.lit(1).alias("pid"))).alias("line")),
+    """select '{"event":"parse","file":"' || n_name || '","pid":1}' as line from nation""",
+)
+register(
+    "counts_by_kind",
+    lambda s, d: _symbols(s, d).groupBy(schema.decode_kind(F.col("kind")).alias("kind")).agg(F.count("*").alias("n")),
+    f"with {SYMBOLS} select kind, count(*)::bigint as n from symbols group by 1",
+)
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey").limit(1)
+    """Where is `ring` defined: the first page of definitions, with their lines."""
+    sf = "/root/testdata/sf0.001"
+    return search.hybrid_search(_symbols(spark, sf), corpus.synthetic_lines(spark, sf), "ring")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
