@@ -28,7 +28,7 @@ def scan_tree(spark: SparkSession, root: str, extensions=EXTENSIONS, excludes=EX
     files = path_filter(files, (), excludes)
     columns = ["relative_path", plain.alias("abs_path"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size_bytes")]
     if with_content:
-        columns.append(F.decode("content", F.lit("UTF-8")).alias("content"))
+        columns.append(F.decode("content", "UTF-8").alias("content"))
     out = files.select(*columns)
     return out.dropDuplicates(["relative_path"]) if len(tops) > 1 else out
 

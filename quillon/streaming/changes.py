@@ -28,7 +28,8 @@ def debounce(events: DataFrame, gap: str = "5 seconds", keys: tuple[str, ...] =
     On a stream, give ``events`` a watermark first: a run is put out once the watermark passes its end.
     """
     window = F.session_window("ts", gap)
-    out = events.groupBy(window, *keys).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+    whole = [F.pmod(F.hash("ts"), F.lit(1)).alias("_whole")] if events.isStreaming and not keys else []  # streams need a key
+    out = events.groupBy(window, *keys, *whole).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
     return out.select(*keys, "first_ts", "last_ts", "n", F.col("session_window.end").alias("fires_at"))
 
 
