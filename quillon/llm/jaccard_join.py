@@ -6,14 +6,14 @@ few in this order, so documents meet by those prefixes. Where they meet, the can
 probe's set walks: a node's overlap is found once for all sets below it, and a subtree is left when the overlap so far and
 the shortest remainder can't reach what its sets need. What is linked is decided on whole sets, in integers.
 
-Documents with equal sets are one class and meet others once. Two passes find the components: the first three
-shingles of each set tie most near copies to the smallest of them; then all prefix shingles are met, but for documents
-already in one component. No pair is left out but those that are tied already or too unlike by length or position.
+Documents with equal sets are one class and meet others once. Rounds find the components: in the first ones the
+documents that share one of their first few shingles are held against one centre of them each, which ties most near copies; the last
+meets all prefix shingles, but for documents already in one component. No pair is left out but those that are tied already
+or too unlike by length or by what their prefixes share.
 
 Defined cases: null doc_ids are dropped; a null text or one without words has an empty set and links with nothing (its
 component is its own); with fewer than ``n`` words the whole sequence is the one shingle; very long texts are taken whole; equal rows
-are equal sets; repeated doc_ids count once, as the union of nothing: their first row in set order stands for them; an
-empty table gives an empty result; other columns are ignored.
+are equal sets; rows with one doc_id are one node of the links and keep a row each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from quillon.llm import kernels
 from quillon.llm.components import components, id_filter, merged, passes
 from quillon.llm.shared import store
 
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
+STARS = ((3, 0), (8, 1), (8, 2))  # shingles of each prefix and seed of the centres, by round
 BLOCK = 512  # partners of a probe that go into one tree
 
 
@@ -74,8 +75,9 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
         return counts.astype(np.uint32)
 
     counts = merged(docs.select("text"), part, COUNTERS)
-    usual = 16 + 4 * counts.mean()
-    return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1).astype(np.uint8)
+    usual = float(np.median(counts))  # most counters hold rare shingles alone, as many as chance deals them
+    above = np.maximum(counts - usual, 1) / (8 + 4 * usual**0.5)
+    return np.maximum(0, np.floor(np.log2(above)) + 1).astype(np.uint8)
 
 
 def ordered_sets(batches: Iterator[pa.RecordBatch], levels: np.ndarray, n: int, wanted=None):
@@ -195,36 +197,45 @@ class Join:
         rows = lambda batches: ((d, k.tobytes()) for d, k in ordered_sets(batches, levels.value, n, lambda x: passes(flags.value, x)))
         return self.docs.mapInArrow(lambda b: _batches(rows(b), schema), "doc_id long, keys binary")
 
-    def met(self, entries: DataFrame, stars: bool) -> DataFrame:
+    def met(self, entries: DataFrame, seed: int | None) -> DataFrame:
         """Distinct pairs (a, b), a < b, of rows (key, doc_id, size, pos, tie) that share a key and may be linked.
 
-        ``stars``: only pairs with a key's smallest document; else all pairs with different ``tie``.
+        Only pairs with different ``tie``. With a ``seed``, only those with one centre among a key's documents, drawn by hash; else
+        all, and then they share ``met`` of their prefixes and at most the longer remainder beyond, which together must reach
+        what a link needs.
         """
-        percent = self.percent
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        percent, stars = self.percent, seed is not None
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("met", pa.int32()), ("least", pa.int32())])
 
         def pairs_of(doc, size, pos, tie):
-            order = np.argsort(doc, kind="stable")
+            rank = kernels.mix(doc.view(np.uint64) ^ kernels.mix(np.full(1, seed, np.uint64))) if seed else doc
+            order = np.argsort(rank, kind="stable")
             doc, size, pos, tie = doc[order], size[order], pos[order], tie[order]
             for i in range(1 if stars else len(doc) - 1):
                 rest = slice(i + 1, None)
                 need = needed(size[i], size[rest], percent)
-                ok = (np.minimum(size[i] - pos[i], size[rest] - pos[rest]) >= need) & (np.minimum(size[i], size[rest]) >= need)
-                ok &= (doc[rest] != doc[i]) if stars else (tie[rest] != tie[i])
+                ok = np.minimum(size[i], size[rest]) >= need
+                ok &= (tie[rest] != tie[i]) & (doc[rest] != doc[i])
+                if stars:
+                    ok &= np.minimum(size[i] - pos[i], size[rest] - pos[rest]) >= need
                 if ok.any():
                     b = doc[rest][ok]
-                    yield np.full(len(b), doc[i]), b
+                    beyond = -(-percent * np.maximum(size[i], size[rest][ok]) // 100) - 1
+                    yield np.minimum(doc[i], b), np.maximum(doc[i], b), (need[ok] - beyond) if not stars else np.ones(len(b), np.int64)
 
         def emit(batches):
             held = None
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
             def flush():
                 if out:
-                    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-                    both = np.unique(np.stack([a, b], 1), axis=0)
+                    a, b, least = (np.concatenate(x) for x in zip(*out, strict=True))
                     out.clear()
-                    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=schema)
+                    order = np.lexsort((b, a))
+                    a, b, least = a[order], b[order], least[order]
+                    cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                    n = np.diff(np.append(cut, len(a)))
+                    return pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), pa.array(n.astype(np.int32)), pa.array(least[cut].astype(np.int32))], schema=schema)
                 return None
 
             def runs(cols, last):
@@ -234,7 +245,7 @@ class Join:
                 long = np.flatnonzero(np.diff(bounds) > 1)
                 for r in long if last else long[long < len(bounds) - 2]:
                     s = slice(bounds[r], bounds[r + 1])
-                    if stars or (cols[4][s] != cols[4][bounds[r]]).any():
+                    if (cols[4][s] != cols[4][bounds[r]]).any():
                         out.extend(pairs_of(*(c[s] for c in cols[1:])))
                 return bounds[-2]
 
@@ -245,7 +256,7 @@ class Join:
                 if len(cols[0]):
                     left = runs(cols, False)
                     held = [c[left:] for c in cols]
-                if sum(len(a) for a, _ in out) > 200_000:
+                if sum(len(x[0]) for x in out) > 500_000:
                     yield flush()
             if held is not None and len(held[0]):
                 runs(held, True)
@@ -253,17 +264,19 @@ class Join:
                 yield batch
 
         dealt = entries.select("key", "doc_id", "size", "pos", "tie").repartition("key").sortWithinPartitions("key")
-        return dealt.mapInArrow(emit, "a long, b long").distinct()
+        pairs = dealt.mapInArrow(emit, "a long, b long, met int, least int")
+        return pairs.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).filter("met >= least").select("a", "b")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose sets are as alike as asked."""
         percent = self.percent
         pairs = store(pairs, "pairs")
-        sets = store(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
-        load = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-        probes = load.join(sets, F.col("a") == F.col("doc_id")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(-1).cast("long").alias("b"), "keys")
-        partners = pairs.join(load, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))).join(sets, F.col("b") == F.col("doc_id")).select("a", "block", "b", "keys")
-        both = probes.unionByName(partners).repartition("a", "block").sortWithinPartitions("a", "block", "b")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        load = store(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "load")
+        probes = load.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"))
+        partners = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
+        wanted = store(probes.unionByName(partners).withColumn("doc_id", F.coalesce("b", "a")), "wanted")
+        both = wanted.join(sets, "doc_id").select("a", "block", "b", "keys").repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def emit(batches):
@@ -282,7 +295,7 @@ class Join:
                         if where != (a, blk):
                             yield from done()
                             probe, where, block = None, (a, blk), []
-                        if b == -1 and probe is None:
+                        if b is None:
                             probe = keys
                         else:
                             block.append((b, keys))
@@ -300,11 +313,12 @@ class Join:
         reps = members.filter("doc_id = rep and size > 0").select("doc_id")
         heads = store(every.filter("size > 0").join(reps, "doc_id", "left_semi").select("doc_id", "size", "prefix"), "heads")
 
-        first = store(self.linked(self.met(self.entries(heads.withColumn("tie", F.col("doc_id")), 3), True)), "links")
-        ties = components(first)
-        tied = heads.join(ties.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "size", "prefix", F.coalesce("component", "doc_id").alias("tie"))
-        rest = store(self.linked(self.met(self.entries(tied, None), False)), "links")
-        found = components(first.unionByName(rest))
+        links, tied = None, heads.withColumn("tie", F.col("doc_id"))
+        for most, seed in [*STARS, (None, None)]:
+            more = store(self.linked(self.met(self.entries(tied, most), seed)), "links")
+            links = more if links is None else links.unionByName(more)
+            found = components(links)
+            tied = heads.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "size", "prefix", F.coalesce("component", "doc_id").alias("tie"))
         out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
