@@ -47,7 +47,7 @@ def removed_windows(docs: DataFrame, width: int) -> DataFrame:
 def dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     """``docs`` with ``kept`` (the kept words, joined by one space), ``n_words`` and ``n_removed``."""
     gone = spans(removed_windows(docs, width))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id").withColumnRenamed("spans", "_spans"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    joined = docs.join(gone.withColumnRenamed("doc_id", "_quillon_id").withColumnRenamed("spans", "_quillon_spans"), F.col("doc_id") == F.col("_quillon_id"), "left").drop("_quillon_id")
 
     @F.arrow_udf("struct<kept:string,n_words:bigint,n_removed:bigint>")
     def keep(texts: pa.Array, spans_: pa.Array) -> pa.Array:
@@ -64,5 +64,5 @@ def dedup(docs: DataFrame, width: int = 50) -> DataFrame:
             kept.append(b" ".join(words).decode())
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["kept", "n_words", "n_removed"])
 
-    out = joined.withColumn("_kept", keep(F.col("text"), F.col("_spans")))
-    return out.withColumns({c: F.col(f"_kept.{c}") for c in ("kept", "n_words", "n_removed")}).drop("_kept", "_spans")
+    out = joined.withColumn("_quillon_kept", keep(F.col("text"), F.col("_quillon_spans")))
+    return out.withColumns({c: F.col(f"_quillon_kept.{c}") for c in ("kept", "n_words", "n_removed")}).drop("_quillon_kept", "_quillon_spans")
