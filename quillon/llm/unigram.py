@@ -155,36 +155,41 @@ class Unigram:
         own = re.escape(breaks)
         # a literal marker stands apart, as a part of its own; a text's spaces become markers in ``_solve``
         self.parts = None if inner else re.compile(f" *[^ {own}{MARK}]+| +|[{own}{MARK}]" if own else f" *[^ {MARK}]+| +|{MARK}")
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the cache of solved parts: place by part, and ids end to end."""
         self._index: dict[str, int] = {}
-        self._ids: list[np.ndarray] = []
-        self._sizes = np.zeros(0, np.int64)
+        self._pool, self._sizes, self._starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __getstate__(self):
-        return self.__dict__ | {"_index": {}, "_ids": [], "_sizes": np.zeros(0, np.int64)}
+        none = {"_index": {}, "_pool": np.zeros(0, np.int32), "_sizes": np.zeros(0, np.int64), "_starts": np.zeros(0, np.int64)}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_plain", "_raw_sizes", "_raw_table")} | none
 
     # solving parts
 
-    def solve(self, parts: list[str]) -> list[np.ndarray]:
-        """The ids of each part, a marker standing for each space."""
-        raw = [p.replace(" ", MARK).encode() if p != MARK else None for p in parts]
-        out: list[np.ndarray | None] = [self.byte_id[list(MARK.encode())] if r is None else None for r in raw]
-        todo = sorted((i for i, r in enumerate(raw) if r is not None), key=lambda i: len(raw[i]))
+    def solve(self, parts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(positions in ``parts``, ids end to end, number of ids of each), a marker standing for each space."""
+        raw = [p.replace(" ", MARK).encode() for p in parts]
+        marks = [i for i, p in enumerate(parts) if p == MARK]
+        if marks:
+            yield marks, np.tile(self.byte_id[list(MARK.encode())], len(marks)), np.full(len(marks), 3)
+        todo = sorted((i for i, p in enumerate(parts) if p != MARK), key=lambda i: len(raw[i]))
         at = 0
         while at < len(todo):
             n = len(raw[todo[at]])
             if n > LONG_PART:
-                out[todo[at]] = self._solve_one(raw[todo[at]])
+                ids = self._solve_one(raw[todo[at]])
+                yield [todo[at]], ids, np.array([len(ids)])
                 at += 1
                 continue
             end = at
-            while end < len(todo) and len(raw[todo[end]]) <= max(n + 3, 8) and len(raw[todo[end]]) <= LONG_PART and end - at < 20_000:
+            while end < len(todo) and len(raw[todo[end]]) <= max(n + 3, 8) and len(raw[todo[end]]) <= LONG_PART and end - at < 8_000:
                 end += 1
-            for i, ids in zip(todo[at:end], self._solve_many([raw[i] for i in todo[at:end]]), strict=True):
-                out[i] = ids
+            yield todo[at:end], *self._solve_many([raw[i] for i in todo[at:end]])
             at = end
-        return out
 
-    def _solve_many(self, raw: list[bytes]) -> list[np.ndarray]:
+    def _solve_many(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi over all of ``raw`` at once, one array step per start and byte."""
         base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.score
         size = np.array([len(r) for r in raw])
@@ -220,8 +225,26 @@ class Unigram:
                 row, to = live[w], whole[w]
                 if (total := best[i, row] + self.unknown) > best[to, row]:
                     best[to, row], last[to, row] = total, -2 - (to - i)
+        # back from the ends, a piece of each row at a time
+        lengths = self._length_table
+        here, trail, lost = size.copy(), [], np.zeros(rows, bool)
+        while True:
+            at = np.flatnonzero(here > 0)
+            if not len(at):
+                break
+            piece = last[here[at], at]
+            lost[at[piece < 0]] = True
+            step = np.full(rows, -1, np.int32)
+            step[at] = piece
+            trail.append(step)
+            here[at] -= np.where(piece >= 0, lengths[np.maximum(piece, 0)], -2 - piece)
+        grid = np.stack(trail[::-1], 1)
+        sizes = (grid >= 0).sum(1)
+        if not lost.any():
+            return grid[grid >= 0], sizes
         spans = np.where(last >= 0, 0, -2 - last)
-        return [self._walk(last[:, r], spans[:, r], text[r], int(size[r])) for r in range(rows)]
+        found = [self._walk(last[:, r], spans[:, r], text[r], int(size[r])) if lost[r] else grid[r][grid[r] >= 0] for r in range(rows)]
+        return np.concatenate(found), np.array([len(f) for f in found])
 
     def _walk(self, last, spans, text, at: int) -> np.ndarray:
         ids: list[int] = []
@@ -245,6 +268,12 @@ class Unigram:
             self._raw_sizes = [int(n) + 2 * c for n, c in zip(self.piece_size, blanks, strict=True)]
         return self._raw_sizes
 
+    @property
+    def _length_table(self) -> np.ndarray:
+        if "_raw_table" not in self.__dict__:
+            self._raw_table = np.array(self._lengths)
+        return self._raw_table
+
     def _solve_one(self, raw: bytes) -> np.ndarray:
         """Viterbi over one long part."""
         base, check, value, score = self._lists()
@@ -297,17 +326,19 @@ class Unigram:
 
     def _lists_of(self, rows: list[list[str] | None]) -> pa.Array:
         if len(self._index) > CACHE_PARTS:
-            self._index, self._ids, self._sizes = {}, [], np.zeros(0, np.int64)
+            self._forget()
         index = self._index
         flat = list(chain.from_iterable(r for r in rows if r))
         new = list({p for p in flat if p not in index})
-        for p, ids in zip(new, self.solve(new), strict=True):
-            index[p] = len(self._ids)
-            self._ids.append(ids)
         if new:
-            self._sizes = np.fromiter(map(len, self._ids), np.int64, len(self._ids))
-            self._pool = np.concatenate(self._ids)
-            self._starts = np.concatenate([[0], np.cumsum(self._sizes)[:-1]])
+            pools, all_sizes = [self._pool], [self._sizes]
+            for at, ids, sizes in self.solve(new):
+                start = len(index)
+                index.update(zip([new[i] for i in at], range(start, start + len(at)), strict=True))
+                pools.append(ids)
+                all_sizes.append(sizes)
+            self._pool, self._sizes = np.concatenate(pools), np.concatenate(all_sizes)
+            self._starts = np.cumsum(self._sizes) - self._sizes
         which = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
         if len(which):
             sizes = self._sizes[which]
