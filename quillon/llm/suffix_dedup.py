@@ -27,9 +27,9 @@ from quillon.llm.induced_sort import suffix_order
 from quillon.llm.repeats import Repeats, covered, spans
 from quillon.llm.shared import store
 
-GRAM = 24
-SHARD = 6 << 20  # bytes of segments sorted at once
-SORT_MEMORY = 256 << 20
+GRAM = 64  # shorter anchors recur by chance, in segments that then have to be sorted
+SHARD = 2 << 20  # bytes of segments sorted at once
+SORT_MEMORY = 128 << 20
 
 
 def repeated_starts(segments: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -40,10 +40,13 @@ def repeated_starts(segments: list[bytes], width: int) -> Iterator[tuple[int, np
     text = data.astype(np.int16) + 2
     text[begins + sizes] = 1
     order = suffix_order(np.append(text, np.int16(0)), SORT_MEMORY)
-    owner = np.repeat(np.arange(len(segments)), sizes + 1)
-    room = (begins + sizes)[owner] - np.arange(len(data))
-    order = order[order < len(data)]
-    order = order[room[order] >= width]  # starts of whole windows
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), sizes + 1)
+    whole = np.ones(len(data) + 1, bool)  # starts of whole windows: not the last ones of a segment
+    whole[-1] = False
+    for back in range(width):
+        whole[np.maximum(begins + sizes - back, begins)] = False
+    order = order[whole[order]]
+    del whole, text
     same = np.zeros(len(order), bool)
     marks = kernels.byte_windows(data, width)
     close = np.flatnonzero(marks[order[1:]] == marks[order[:-1]])
@@ -62,7 +65,7 @@ def repeated_starts(segments: list[bytes], width: int) -> Iterator[tuple[int, np
 
 def removed_windows(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, at, n): runs of window starts that repeat anywhere."""
-    repeats = Repeats(docs, width, GRAM, False)
+    repeats = Repeats(docs, width, min(GRAM, width // 2), False)
     segments = repeats.candidates()
     grouped = repeats.grouped(segments)
     keys = ["anchor", "s1", "s2"]
