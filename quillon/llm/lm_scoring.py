@@ -1,11 +1,12 @@
 """Language-model scores by stupid backoff, computed relationally.
 
 Words are runs without white space, A-Z lower-cased. The corpus's n-grams are counted into tables partitioned by hash; n-grams of two and more words
-that occur fewer than ``CUTOFF`` times in it are left out. A word's score is ``ln(c(w1..wn) / c(w1..wn-1))`` for the longest n-gram
+that occur fewer than ``cutoff`` times in it are left out; with a cutoff of 1 every n-gram counts, and as each scored text is part of the
+corpus, no word backs off then. A word's score is ``ln(c(w1..wn) / c(w1..wn-1))`` for the longest n-gram
 ending there that the tables hold, and ``ln(ALPHA)`` more for each word by which that is shorter than the longest one that the text has
 there; single words score ``ln(c(w) / words)``. A document's score is the sum.
 
-A merged sketch tells which n-grams occur once for certain, and these are neither counted nor looked up. The rest are rows, counted
+Above a cutoff of 1 a merged sketch tells which n-grams are rarer for certain, and these are neither counted nor looked up. The rest are rows, counted
 by document before they move, joined with the tables on hashed keys (a key that many documents share is split by the skew join) and
 summed by document. Counting and look-ups go through in slices by hash, so disk holds one
 slice at a time.
@@ -31,13 +32,13 @@ ALPHA, CUTOFF = 0.4, 2
 
 
 class Model:
-    def __init__(self, docs: DataFrame, order: int = 3, slices: int = 8):
+    def __init__(self, docs: DataFrame, order: int = 3, slices: int = 8, cutoff: int = CUTOFF):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.order, self.slices = order, slices
+        self.order, self.slices, self.cutoff = order, slices, cutoff
         self.size = 1 << max(20, min(26, (plan_bytes(self.docs) // 8).bit_length()))
 
     def __getstate__(self):
-        return {"order": self.order, "slices": self.slices, "size": self.size}
+        return {"order": self.order, "slices": self.slices, "cutoff": self.cutoff, "size": self.size}
 
     def keys(self, data: np.ndarray, offsets: np.ndarray):
         """(text, place in it, keys by n) of each word; the key of n words that would reach over the text's start is not to be used."""
@@ -56,7 +57,9 @@ class Model:
         return (keys >> np.uint64(9)).astype(np.int64) & (self.size - 1)
 
     def sketches(self) -> list[np.ndarray]:
-        """For n = 2 and up: the slots in which ``CUTOFF`` or more n-grams fall."""
+        """For n = 2 and up: the slots in which ``cutoff`` or more n-grams fall; none are needed where all count."""
+        if self.cutoff == 1:
+            return []
 
         def counter(n):
             def part(batches) -> np.ndarray:
@@ -65,14 +68,16 @@ class Model:
                     for _, data, offsets in kernels.chunks(batch.column("text")):
                         _, place, keys = self.keys(data, offsets)
                         at, times = np.unique(self.slot(keys[n - 1][place >= n - 1]), return_counts=True)
-                        counts[at] = np.minimum(counts[at] + np.minimum(times, CUTOFF), CUTOFF)
+                        counts[at] = np.minimum(counts[at] + np.minimum(times, self.cutoff), self.cutoff)
                 return counts
 
             return part
 
-        return [np.packbits(merged(self.docs.select("text"), counter(n), self.size, 1 << 18, np.uint8) >= CUTOFF) for n in range(2, self.order + 1)]
+        return [np.packbits(merged(self.docs.select("text"), counter(n), self.size, 1 << 18, np.uint8) >= self.cutoff) for n in range(2, self.order + 1)]
 
     def repeated(self, bits: list[np.ndarray], n: int, keys: np.ndarray, place: np.ndarray) -> np.ndarray:
+        if self.cutoff == 1:
+            return place >= n - 1
         slot = self.slot(keys)
         return (place >= n - 1) & ((bits[n - 2][slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 != 0)
 
@@ -99,7 +104,7 @@ class Model:
         for part in range(parts):
             rows = self.docs.select("text").mapInArrow(counted(part, parts), "n int, key long, context long, c long")
             counts = rows.groupBy("n", "key", "context").agg(F.sum("c").alias("c"))
-            every.append(store(counts.filter((F.col("n") == 1) | (F.col("c") >= CUTOFF)), "counts"))
+            every.append(store(counts.filter((F.col("n") == 1) | (F.col("c") >= self.cutoff)), "counts"))
         counts = every[0]
         for more in every[1:]:
             counts = counts.unionByName(more)
@@ -176,5 +181,5 @@ class Model:
         return out.drop("_row")
 
 
-def scored(docs: DataFrame, order: int = 3, slices: int = 8) -> DataFrame:
-    return Model(docs, order, slices).scores()
+def scored(docs: DataFrame, order: int = 3, slices: int = 8, cutoff: int = CUTOFF) -> DataFrame:
+    return Model(docs, order, slices, cutoff).scores()

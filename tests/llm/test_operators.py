@@ -306,6 +306,22 @@ def test_scores(spark, odd, odd_rows, none):
     assert lm_scoring.scored(none, order, 2).count() == 0
 
 
+def test_whole_scores_count_single_ngrams(spark, odd, odd_rows, none):
+    tokens = [words(ascii_lower(r[1] or "")) for r in odd_rows]
+    counts = [Counter(tuple(t[i : i + n]) for t in tokens for i in range(len(t) - n + 1)) for n in range(1, 4)]
+    total = sum(map(len, tokens))
+
+    def score(t):
+        grams = [tuple(t[max(0, j - 2) : j + 1]) for j in range(len(t))]
+        return sum(math.log(counts[len(g) - 1][g] / (counts[len(g) - 2][g[:-1]] if len(g) > 1 else total)) for g in grams)
+
+    got = {r["doc_id"]: r for r in lm_scoring.scored(odd, 3, 2, cutoff=1).collect()}
+    assert any(c == 1 for c in counts[2].values())
+    for r, t in zip(odd_rows, tokens, strict=True):
+        assert got[r[0]]["n_words"] == len(t) and got[r[0]]["log_score"] == pytest.approx(score(t), abs=1e-3)
+    assert lm_scoring.scored(none, 3, 2, cutoff=1).count() == 0
+
+
 # 9 mixing
 
 
