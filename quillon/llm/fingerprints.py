@@ -5,9 +5,11 @@ modulo 2^32: so equal multisets have equal fingerprints in any order, and a para
 away by adding or subtracting its own vector (``plus`` and ``minus``). A paragraph's vector has
 
 * ``WIDE`` lanes of 32 hashed bits of the whole paragraph, which decide equality, and
-* ``SIGNS`` lanes that sum -1 or +1 over the paragraph's blocks of 64 code points, from the bits of the block's
-  hash. The mean square of such lanes of a difference estimates how many blocks two texts don't
-  share, which gives a likeness from two fingerprints alone.
+* ``SIGNS`` lanes that sum a weight of either sign over the paragraph's blocks, from the bits of two block
+  hashes. The mean square of such lanes of a difference estimates how much of their blocks two texts don't
+  share, which gives a likeness from two fingerprints alone. The first 64 code points of a paragraph are blocks of 4,
+  hashed with their place, so that short texts have enough of them; the rest are blocks of 16. The mean square grows with
+  the square of the weight, so blocks of 16 weigh 2 and count as much as the 4 small ones of as many code points.
 
 Defined cases: a null text counts as the empty text, whose fingerprint is all zero; two empty texts are
 alike with 1; very long texts only add terms (lanes wrap modulo 2^32); repeated rows and equal texts get equal
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.llm.shared import store
 
-WIDE, SIGNS = 8, 64
+WIDE, SIGNS = 8, 128
 LOW = 0xFFFFFFFF
 PAIR = (1 << 32) + 1  # two lanes of 32 bits in a long
 
@@ -34,14 +36,18 @@ def sums(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     none = F.lit(None).cast("long")
-    lines = F.transform(F.filter(F.split(raw, "\n"), lambda p: p != ""), lambda p: F.struct(none.alias("a"), F.xxhash64(p, F.lit("w")).alias("w")))
-    blocks = F.transform(F.regexp_extract_all(raw, F.lit("[^\n]{1,64}"), F.lit(0)), lambda p: F.struct(F.xxhash64(p).alias("a"), none.alias("w")))
-    mark = F.array(F.struct(none.alias("a"), none.alias("w")))
+    block = lambda weight, *key: F.struct(F.xxhash64(*key).alias("a"), F.xxhash64(*key, F.lit("b")).alias("b"), F.lit(weight).cast("long").alias("_k"), none.alias("w"))
+    small = lambda p: F.transform(F.regexp_extract_all(F.substring(p, 1, 64), F.lit("[^\n]{1,4}"), F.lit(0)), lambda q, i: block(1, q, i))
+    large = lambda p: F.transform(F.regexp_extract_all(F.substring(p, 65, 1 << 30), F.lit("[^\n]{1,16}"), F.lit(0)), lambda q: block(2, q))
+    paragraphs = F.filter(F.split(raw, "\n"), lambda p: p != "")
+    lines = F.transform(paragraphs, lambda p: F.struct(none.alias("a"), none.alias("b"), none.alias("_k"), F.xxhash64(p, F.lit("w")).alias("w")))
+    blocks = F.flatten(F.transform(paragraphs, lambda p: F.concat(small(p), large(p))))
+    mark = F.array(F.struct(*[none.alias(c) for c in ("a", "b", "_k", "w")]))
     parts = rows.select(*keys, F.posexplode(F.concat(mark, lines, blocks)).alias("p", "x")).select(*keys, "p", "x.*")
-    signs = [f"coalesce(sum(shiftright(a, {s}) & {PAIR}), 0L) as a{s}" for s in range(SIGNS // 2)]
+    signs = [f"coalesce(sum((shiftright({h}, {s}) & {PAIR}) * _k), 0L) as {h}{s}" for h in "ab" for s in range(SIGNS // 4)]
     wide = [f"coalesce(sum(if(w is null, 0L, shiftrightunsigned(xxhash64(w, {i // 2}), {32 * (i % 2)}) & {LOW})), 0L) as w{i}" for i in range(WIDE)]
-    summed = parts.groupBy(*keys).agg(*map(F.expr, ["sum(if(p = 0, 1L, 0L)) as copies", "count(a) as n", *wide, *signs]))
-    packed = ["n div copies"] + [f"shiftleft((w{i + 1} div copies) & {LOW}, 32) | ((w{i} div copies) & {LOW})" for i in range(0, WIDE, 2)] + [f"a{s} div copies" for s in range(SIGNS // 2)]
+    summed = parts.groupBy(*keys).agg(*map(F.expr, ["sum(if(p = 0, 1L, 0L)) as copies", "coalesce(sum(_k), 0L) as n", *wide, *signs]))
+    packed = ["n div copies"] + [f"shiftleft((w{i + 1} div copies) & {LOW}, 32) | ((w{i} div copies) & {LOW})" for i in range(0, WIDE, 2)] + [f"{h}{s} div copies" for h in "ab" for s in range(SIGNS // 4)]
     return summed.select(*keys, "copies", F.expr("array(" + ", ".join(packed) + ")").alias("acc"))
 
 
@@ -77,7 +83,7 @@ def _energy(lanes: Column) -> Column:
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """About the share of blocks in common (Dice), 1 for equal fingerprints, 0 to 1."""
+    """About the share of text in common blocks (Dice), 1 for equal fingerprints, 0 to 1."""
     a, b = (F.slice(v, WIDE + 1, SIGNS) for v in (one, other))
     both = _energy(a) + _energy(b)
     close = F.when(both == 0, F.lit(0.0)).otherwise(1.0 - _energy(minus(a, b)) / both)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -140,6 +141,18 @@ def test_fingerprint_is_homomorphic(spark):
     assert (r["x"], r["y"], r["z"], r["same"], r["none"]) == (True, True, True, 1.0, 0.0)
 
 
+def test_likeness_is_near_exact_shares(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    assert fingerprints.SIGNS == 128
+    for size, off in ((40, 0.1), (64, 0.1), (200, 0.1), (3200, 0.05)):
+        docs = spark.createDataFrame([(i, text(size)) for i in range(60)], "doc_id long, text string")
+        got = fingerprints.with_edits(docs).select(fingerprints.likeness(F.col("vec"), F.col("edited_vec")).alias("e"), fingerprints.likeness(F.col("vec"), F.col("next_vec")).alias("x"), F.size("vec").alias("n")).collect()
+        assert all(r["n"] == 8 + 128 for r in got)
+        assert sum(r["e"] for r in got) / len(got) == pytest.approx(0.75, abs=off)  # the edit replaces a quarter
+        assert sum((r["e"] - 0.75) ** 2 for r in got) / len(got) < 0.12**2
+        assert sum(r["x"] for r in got) / len(got) < 0.1  # nothing is shared
+
 # 4 embeddings
 
 
