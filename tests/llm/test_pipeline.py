@@ -20,3 +20,18 @@ def test_stages(spark, odd, odd_rows, none):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, "")
         assert empty.count() == 0
+
+
+def test_repeated_row_survives_once(spark, odd, odd_rows):
+    docs = odd.select(cp.COLUMNS)
+    for stage in (cp.join_near_copies, cp.remove_repeated_strings):
+        docs = stage(spark, docs, "").cache()
+        assert [r["text"] for r in docs.filter("doc_id = 15").collect()] == [odd_rows[5][1]]
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(9, text("a")), (2, text("a")), (9, text("b")), (2, text("c")), (2, text("c")), (7, text("c")), (1, text("d")), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in cp.join_near_copies(spark, docs, "").collect())
+    assert got == sorted([(2, text("a")), (9, text("b")), (2, text("c")), (1, text("d")), (0, text("a"))])
