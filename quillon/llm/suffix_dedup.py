@@ -2,12 +2,14 @@
 
 Every byte covered by a ``width``-byte string that also starts anywhere else, in any document, goes; strings are judged on
 the input, texts as UTF-8. Anchored segments (see ``repeats``) settle what repeats as a whole; what is left, one copy of each
-distinct segment whose anchor has others, is dealt to shards by anchor, so that equal strings meet. Each shard is sorted by
-external induced sorting (``induced_sort``), and neighbours in suffix order with a common prefix of ``width`` bytes or more are
+distinct segment whose anchor has others, is dealt to shards by anchor, so that equal strings meet. Each shard is sorted in memory
+by induced sorting (``induced_sort``), and neighbours in suffix order with a common prefix of ``width`` bytes or more are
 repeats. The common prefix of neighbours is found by comparing their bytes after the sort.
 
-A shard whose rows don't fit the sort's memory goes through it on disk; equal segments are one, so a passage that a third of all
-documents share fills no shard with its copies.
+A shard has to fit in memory: its rows, text, positions and order are held there, some 70 bytes a byte of the shard (1.2 GB measured
+for 16 MB), and only the sort's queues could go to disk, which shards of ``SHARD`` bytes never fill. Equal segments are one, so a
+passage that a third of all documents share fills no shard with its copies; but shards are cut by average size, and one anchor's
+distinct segments are all in one shard, so they may have some 16 MB together where a task has 1.2 GB.
 
 Defined cases: a null text is empty; texts shorter than ``width`` keep all; very long texts are taken whole; repeated rows
 repeat each other; rows with a null doc_id are kept out of the comparison and keep all; an empty table gives an empty result; other
