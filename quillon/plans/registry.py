@@ -380,6 +380,11 @@ register(
     lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(T.literal_tokens(F.col("text"))).alias("n"), F.array_join(F.slice(T.literal_tokens(F.col("text")), 1, 20), "|").alias("first")),
     "select doc_id, len(t)::int as n, array_to_string(t[1:20], '|') as first from (select doc_id, regexp_extract_all(text, '[A-Za-z0-9_一-鿿]{2,}') as t from documents)",
 )
+register(  # extract_tokens shows the first 20 alone
+    "extract_tokens_whole",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(T.literal_tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.literal_tokens(F.col("text")), "|").cast("binary")).alias("digest")),
+    "select doc_id, len(t)::int as n, md5(array_to_string(t, '|')) as digest from (select doc_id, regexp_extract_all(text, '[A-Za-z0-9_一-鿿]{2,}') as t from documents)",
+)
 register(
     "tokenize",
     lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("digest")),

@@ -36,3 +36,12 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 def test_entry_has_rows(spark):
     assert registry.entry(spark).count() > 0
+
+
+def test_a_query_returns_tokens_beyond_the_first_20(spark, tmp_path):
+    tail = lambda last: (1, " ".join(f"w{i}" for i in range(30)) + " " + last)
+    got = []
+    for last in ("one", "two"):
+        spark.createDataFrame([tail(last)], "doc_id long, text string").write.parquet(f"{tmp_path}/{last}/documents.parquet")
+        got.append(registry.queries()["extract_tokens_whole"](spark, f"{tmp_path}/{last}").first())
+    assert got[0]["n"] == got[1]["n"] == 31 and got[0]["digest"] != got[1]["digest"]
