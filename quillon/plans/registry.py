@@ -318,8 +318,8 @@ select epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us, count(*)::bi
 # session
 
 
-def _loaded(spark: SparkSession, sf: str) -> DataFrame:
-    page = search.result_lines(search.search(_symbols(spark, sf), "ring", limit=50), corpus.synthetic_lines(spark, sf))
+def _loaded(spark: SparkSession, sf: str, limit: int = 50) -> DataFrame:
+    page = search.result_lines(search.search(_symbols(spark, sf), "ring", limit=limit), corpus.synthetic_lines(spark, sf))
     return session.numbered(page, ["relative_path", "line_number", "col", "name"])
 
 
@@ -344,6 +344,45 @@ register(
     lambda s, d: _loaded(s, d).filter("relative_path = 'include/brand_11.h'").orderBy("global_index").limit(1).select("name"),
     f"with {_LOADED} select name from loaded where relative_path = 'include/brand_11.h' order by global_index limit 1",
 )
+
+# the queries above that run on 50 rows, on the default page
+_WHOLE = _LOADED.replace("limit 50", f"limit {search.PAGE}")
+register(
+    "result_lines_whole_page",
+    lambda s, d: search.result_lines(search.search(_symbols(s, d), "ring"), corpus.synthetic_lines(s, d), "/work").select("file_path", "relative_path", "line_number", "line_content", "match_start", "match_length"),
+    f"with {SYMBOLS}, page as ({_PAGE_SQL} limit {search.PAGE}) select '/work/' || relative_path as file_path, relative_path, line_number, coalesce(c.line, '') as line_content, match_start, match_length from page left join corpus c using (relative_path, line_number)",
+)
+register(
+    "line_lookup_all_symbols",
+    lambda s, d: corpus.line_at(corpus.synthetic_lines(s, d), _symbols(s, d).select("relative_path", "line_number").distinct()),
+    f"with {SYMBOLS}, wanted as (select distinct relative_path, line_number from symbols) select relative_path, line_number, coalesce(line, '') as line from wanted left join corpus using (relative_path, line_number)",
+)
+register(
+    "global_index_whole_page",
+    lambda s, d: session.numbered(search.search(_symbols(s, d), "ring"), ["relative_path", "line_number", "col", "name"]).select("name", F.col("global_index").cast("int").alias("global_index")),
+    f"with {SYMBOLS}, page as ({_PAGE_SQL} limit {search.PAGE}) select name, (row_number() over (order by relative_path, line_number, col, name) - 1)::int as global_index from page",
+)
+register(
+    "navigate_wrap_whole_page",
+    lambda s, d: session.neighbours(_loaded(s, d, search.PAGE)).select("name", F.col("next_index").cast("int").alias("next_index"), F.col("previous_index").cast("int").alias("previous_index")),
+    f"with {_WHOLE} select name, ((global_index + 1) % count(*) over ())::int as next_index, ((global_index - 1 + count(*) over ()) % count(*) over ())::int as previous_index from loaded",
+)
+register(
+    "navigate_ends_whole_page",
+    lambda s, d: session.neighbours(_loaded(s, d, search.PAGE), wrap=False).select("name", *[F.coalesce(F.col(c), F.lit(-1)).cast("int").alias(c) for c in ("next_index", "previous_index")]),
+    f"with {_WHOLE} select name, coalesce(lead(global_index) over (order by global_index), -1)::int as next_index, coalesce(lag(global_index) over (order by global_index), -1)::int as previous_index from loaded",
+)
+register(
+    "find_in_results_whole_page",
+    lambda s, d: session.find_in_results(_loaded(s, d, search.PAGE), "big").select("name", "line_content"),
+    f"with {_WHOLE} select name, line_content from loaded where regexp_matches(line_content || chr(10) || relative_path, '(?i)big')",
+)
+register(
+    "jump_to_result_whole_page",
+    lambda s, d: _loaded(s, d, search.PAGE).filter("relative_path = 'include/brand_11.h'").orderBy("global_index").limit(1).select("name"),
+    f"with {_WHOLE} select name from loaded where relative_path = 'include/brand_11.h' order by global_index limit 1",
+)
+
 register(
     "highlight_positions",
     lambda s, d: session.occurrences(corpus.synthetic_lines(s, d), s.createDataFrame([("ring", "red"), ("11", "blue")], "text string, color string")).select("relative_path", "line_number", F.col("at").cast("int").alias("at"), "text", "color"),

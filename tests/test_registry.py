@@ -45,3 +45,8 @@ def test_a_query_returns_tokens_beyond_the_first_20(spark, tmp_path):
         spark.createDataFrame([tail(last)], "doc_id long, text string").write.parquet(f"{tmp_path}/{last}/documents.parquet")
         got.append(registry.queries()["extract_tokens_whole"](spark, f"{tmp_path}/{last}").first())
     assert got[0]["n"] == got[1]["n"] == 31 and got[0]["digest"] != got[1]["digest"]
+
+
+def test_page_queries_run_on_a_whole_page(spark, sf):
+    assert registry.queries()["result_lines_whole_page"](spark, sf).count() == 200
+    assert registry.queries()["line_lookup_all_symbols"](spark, sf).select("relative_path").distinct().count() > 1
