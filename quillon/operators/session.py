@@ -43,13 +43,10 @@ def find_in_results(results: DataFrame, query: str, options: SearchOptions = Sea
 def occurrences(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Every place of every highlight (text, color) in the lines, overlapping ones too, without regard to case.
 
-    The highlights are a user's own short list; each line carries them as one array.
+    The highlights are a user's own short list, sent to every task; none is left out.
     """
-    marks = [(r["text"], r["color"]) for r in texts.filter("text <> ''").limit(1000).collect()]
-    if not marks:
-        return lines.select("relative_path", "line_number", F.lit(0).alias("at"), F.lit("").alias("text"), F.lit("").alias("color")).limit(0)
-    every = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(c).alias("color")) for t, c in marks])
-    rows = lines.select("relative_path", "line_number", "line", F.explode(every).alias("m")).filter(F.lower("line").contains(F.lower("m.text")))
+    marks = F.broadcast(texts.filter("text <> ''").select(F.struct("text", "color").alias("m")))
+    rows = lines.select("relative_path", "line_number", "line").join(marks, F.lower("line").contains(F.lower("m.text")))
     at = F.expr("filter(sequence(1, char_length(line)), i -> substring(lower(line), i, char_length(m.text)) = lower(m.text))")
     return rows.select("relative_path", "line_number", "m", F.explode(at).alias("i")).select("relative_path", "line_number", (F.col("i") - 1).alias("at"), "m.text", "m.color")
 

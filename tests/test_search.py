@@ -112,3 +112,14 @@ def test_random_names_against_plain_python(spark):
                 ok = ok and any(p and any(parts[i : i + len(p)] == p for i in range(len(parts))) for p in phrases)
             want += [n] if ok else []
         assert sorted(r["name"] for r in search.matching(table, query).collect()) == sorted(want)
+
+
+def test_occurrences_of_more_than_1000_highlights(spark):
+    lines = spark.createDataFrame([("a", i, f"<{i}>") for i in range(1200)], "relative_path string, line_number int, line string")
+    marks = spark.createDataFrame([(f"<{i}>", "red") for i in range(1200)], "text string, color string")
+    from quillon.operators import session
+
+    got = session.occurrences(lines, marks)
+    assert got.columns == ["relative_path", "line_number", "at", "text", "color"]
+    assert got.select("text").distinct().count() == got.count() == 1200
+    assert session.occurrences(lines, marks.limit(0)).count() == 0
