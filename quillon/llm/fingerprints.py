@@ -4,7 +4,7 @@ A text is the multiset of its paragraphs (lines). Its fingerprint is a vector of
 modulo 2^32: so equal multisets have equal fingerprints in any order, and a paragraph is added or taken
 away by adding or subtracting its own vector (``plus`` and ``minus``). A paragraph's vector has
 
-* ``WIDE`` lanes of 32 hashed bits of the whole paragraph, which decide equality, and
+* ``WIDE`` lanes of 32 bits, two from each of four hashes of the whole paragraph, which decide equality, and
 * ``SIGNS`` lanes that sum a weight of either sign over the paragraph's blocks, from the bits of two block
   hashes. The mean square of such lanes of a difference estimates how much of their blocks two texts don't
   share, which gives a likeness from two fingerprints alone. The first 64 code points of a paragraph are blocks of 4,
@@ -20,8 +20,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillon.llm.shared import store
-
 WIDE, SIGNS = 8, 128
 LOW = 0xFFFFFFFF
 PAIR = (1 << 32) + 1  # two lanes of 32 bits in a long
@@ -31,35 +29,34 @@ def sums(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Distinct ``keys`` with ``acc``, the summed lanes of ``text`` packed for the way (see ``lanes``), and ``copies``, the
     number of rows that have them. Rows of equal keys must have equal texts.
 
-    Blocks and paragraphs become rows and are summed by key, the larger part of it before the shuffle; a key that
-    a third of all rows share costs no more than its rows.
+    Blocks and paragraphs become rows and are summed by key, the larger part of it before the shuffle (or all of it, where
+    ``rows`` are dealt by some of the keys already); a key that a third of all rows share costs no more than its rows.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     none = F.lit(None).cast("long")
-    block = lambda weight, *key: F.struct(F.xxhash64(*key).alias("a"), F.xxhash64(*key, F.lit("b")).alias("b"), F.lit(weight).cast("long").alias("_k"), none.alias("w"))
+    block = lambda weight, *key: F.struct(F.xxhash64(*key).alias("a"), F.xxhash64(*key, F.lit("b")).alias("b"), F.lit(weight).cast("long").alias("_k"), *[none.alias(f"w{i}") for i in range(WIDE // 2)])
     small = lambda p: F.transform(F.regexp_extract_all(F.substring(p, 1, 64), F.lit("[^\n]{1,4}"), F.lit(0)), lambda q, i: block(1, q, i))
     large = lambda p: F.transform(F.regexp_extract_all(F.substring(p, 65, 1 << 30), F.lit("[^\n]{1,16}"), F.lit(0)), lambda q: block(2, q))
     paragraphs = F.filter(F.split(raw, "\n"), lambda p: p != "")
-    lines = F.transform(paragraphs, lambda p: F.struct(none.alias("a"), none.alias("b"), none.alias("_k"), F.xxhash64(p, F.lit("w")).alias("w")))
+    # each pair of wide lanes is a hash of the whole paragraph, with a seed of its own
+    lines = F.transform(paragraphs, lambda p: F.struct(none.alias("a"), none.alias("b"), none.alias("_k"), *[F.xxhash64(p, F.lit(f"w{i}")).alias(f"w{i}") for i in range(WIDE // 2)]))
     blocks = F.flatten(F.transform(paragraphs, lambda p: F.concat(small(p), large(p))))
-    mark = F.array(F.struct(*[none.alias(c) for c in ("a", "b", "_k", "w")]))
+    mark = F.array(F.struct(*[none.alias(c) for c in ("a", "b", "_k", *[f"w{i}" for i in range(WIDE // 2)])]))
     parts = rows.select(*keys, F.posexplode(F.concat(mark, lines, blocks)).alias("p", "x")).select(*keys, "p", "x.*")
     signs = [f"coalesce(sum((shiftright({h}, {s}) & {PAIR}) * _k), 0L) as {h}{s}" for h in "ab" for s in range(SIGNS // 4)]
-    wide = [f"coalesce(sum(if(w is null, 0L, shiftrightunsigned(xxhash64(w, {i // 2}), {32 * (i % 2)}) & {LOW})), 0L) as w{i}" for i in range(WIDE)]
+    wide = [f"coalesce(sum(shiftrightunsigned(w{i // 2}, {32 * (i % 2)}) & {LOW}), 0L) as lane{i}" for i in range(WIDE)]
     summed = parts.groupBy(*keys).agg(*map(F.expr, ["sum(if(p = 0, 1L, 0L)) as copies", "coalesce(sum(_k), 0L) as n", *wide, *signs]))
-    packed = ["n div copies"] + [f"shiftleft((w{i + 1} div copies) & {LOW}, 32) | ((w{i} div copies) & {LOW})" for i in range(0, WIDE, 2)] + [f"{h}{s} div copies" for h in "ab" for s in range(SIGNS // 4)]
+    packed = ["n div copies"] + [f"shiftleft((lane{i + 1} div copies) & {LOW}, 32) | ((lane{i} div copies) & {LOW})" for i in range(0, WIDE, 2)] + [f"{h}{s} div copies" for h in "ab" for s in range(SIGNS // 4)]
     return summed.select(*keys, "copies", F.expr("array(" + ", ".join(packed) + ")").alias("acc"))
 
 
 def lanes(acc: str) -> Column:
     """The fingerprint, array<bigint> of WIDE and then SIGNS lanes from 0 to 2^32 - 1, of packed sums."""
-    out = []
-    for i in range(WIDE // 2):
-        out += [f"{acc}[{1 + i}]", f"shiftrightunsigned({acc}[{1 + i}], 32)"]
-    for s in range(SIGNS // 2):
-        at = 1 + WIDE // 2 + s
-        out += [f"({acc}[{at}] & {LOW}) * 2 - {acc}[0]", f"shiftrightunsigned({acc}[{at}], 32) * 2 - {acc}[0]"]
-    return F.expr("array(" + ", ".join(f"({x}) & {LOW}" for x in out) + ")")
+    packed = F.col(acc)
+    both = lambda x, of: F.array(*[of(half).bitwiseAND(F.lit(LOW)) for half in (x.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(x, 32))])
+    wide = F.transform(F.slice(packed, 2, WIDE // 2), lambda x: both(x, lambda half: half))
+    signs = F.transform(F.slice(packed, 2 + WIDE // 2, SIGNS // 2), lambda x: both(x, lambda half: half * 2 - packed[0]))
+    return F.flatten(F.concat(wide, signs))
 
 
 def plus(one: Column, other: Column) -> Column:
@@ -90,12 +87,11 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(one == other, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), close)))
 
 
-def with_next(docs: DataFrame, payload: list[str], buckets: int | None = None) -> DataFrame:
-    """``docs`` with ``next``: a struct of ``payload`` from the row that follows in ascending doc_id (ties by payload;
-    after the last row: the first).
+def ranges(docs: DataFrame, payload: list[str], buckets: int | None = None) -> tuple[DataFrame, Window]:
+    """``docs`` dealt to ranges (``_range``) of doc_id that are cut at actual ids, and the order within one.
 
-    Rows are dealt to ranges of doc_id cut at actual ids, and the first rows of a range also go to the range
-    before, so that no row needs more than its own range.
+    The first rows of a range also go to the range before, as guests (``_guest``), so that no row needs more than its
+    own range to find the row that follows; those of the first range are guests of the last.
     """
     n = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(n + 1)]), 20_000).alias("c")).first()["c"]
@@ -111,30 +107,38 @@ def with_next(docs: DataFrame, payload: list[str], buckets: int | None = None) -
     at = F.when(F.col("doc_id").isNull() | (block == 0), F.lit(0)).otherwise((block - 1) * step + place - 1)
     dealt = docs.withColumn("_at", at)
     opens = F.element_at(F.array(*map(many, fine)), F.expr(f"cast(_at div {step} + 1 as int)"))
-    is_first = (F.col("doc_id") == F.element_at(opens, (F.col("_at") % step + 1).cast("int"))) if cuts else F.lit(False)
-    low = F.lit(True)
-    copies = F.when(F.col("doc_id").isNull() & low, F.array("_at", F.lit(len(cuts) - 1 + len(cuts)))).when(is_first & (F.col("_at") > 0), F.array(F.col("_at"), F.col("_at") - 1 + len(cuts))).when(is_first, F.array(F.col("_at"), F.lit(len(cuts) - 1 + len(cuts)))).otherwise(F.array("_at"))
+    is_first = F.col("doc_id") == F.element_at(opens, (F.col("_at") % step + 1).cast("int"))
+    last = F.lit(len(cuts) - 1 + len(cuts))
+    copies = F.when(F.col("doc_id").isNull(), F.array(F.col("_at"), last)).when(is_first & (F.col("_at") > 0), F.array(F.col("_at"), F.col("_at") - 1 + len(cuts))).when(is_first, F.array(F.col("_at"), last)).otherwise(F.array("_at"))
     spread = dealt.withColumn("_copy", F.explode(copies)).withColumns({"_guest": F.col("_copy") >= len(cuts), "_range": F.col("_copy") % len(cuts)})
-    order = Window.partitionBy("_range").orderBy("_guest", F.col("doc_id").asc_nulls_first(), *payload)
+    return spread.drop("_at", "_copy"), Window.partitionBy("_range").orderBy("_guest", F.col("doc_id").asc_nulls_first(), *payload)
+
+
+def with_next(docs: DataFrame, payload: list[str], buckets: int | None = None) -> DataFrame:
+    """``docs`` with ``next``: a struct of ``payload`` from the row that follows in ascending doc_id (ties by payload;
+    after the last row: the first)."""
+    spread, order = ranges(docs, payload, buckets)
     led = spread.withColumn("next", F.lead(F.struct(*payload)).over(order))
-    return led.filter(~F.col("_guest")).drop("_at", "_copy", "_guest", "_range")
+    return led.filter(~F.col("_guest")).drop("_guest", "_range")
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, the edited text's sha256, and the vectors of the text, the edited text and the next text.
 
     The edit replaces the last quarter of a text's code points by the first as many of the next document's. Texts move
-    once, to their range of ids; what meets afterwards are packed sums, by the digest of the text.
+    once, to their range of ids; the sums are made there, by range and place in it, and need no other shuffle.
     """
-    digest = lambda text: F.unhex(F.sha2(text.cast("binary"), 256))
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = store(sums(base.select(digest(F.col("text")).alias("sha"), "text"), ["sha"], "text").drop("copies"), "vectors")
+    spread, order = ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"])
     n = F.char_length("text")
     cut = F.expr("char_length(text) div 4")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.col("next.text"), F.lit(1), cut.cast("int")))
-    led = with_next(base, ["text"]).select("doc_id", n.cast("long").alias("n_chars"), digest(F.col("text")).alias("sha"), digest(F.col("next.text")).alias("next_sha"), edited.alias("edited"))
-    led = led.withColumn("edited_sha", digest(F.col("edited")))
-    out = sums(led, ["doc_id", "n_chars", "sha", "next_sha", "edited_sha"], "edited").withColumnRenamed("acc", "edited_acc")
-    out = out.join(own, "sha", "left").drop("sha").join(own.select(F.col("sha").alias("next_sha"), F.col("acc").alias("next_acc")), "next_sha", "left")
-    out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.select("doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"), lanes("acc").alias("vec"), lanes("edited_acc").alias("edited_vec"), lanes("next_acc").alias("next_vec"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.substring(F.col("_next"), F.lit(1), cut.cast("int")))
+    led = spread.withColumns({"_place": F.row_number().over(order), "_next": F.lead("text").over(order)})
+    led = led.select("_range", "_place", "_guest", "doc_id", n.cast("long").alias("n_chars"), "text", F.when(~F.col("_guest"), edited).alias("edited"))
+    led = led.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    both = F.array(F.struct(F.lit(0).alias("_which"), F.col("text").alias("_of")), F.struct(F.lit(1).alias("_which"), F.col("edited").alias("_of")))
+    keys = ["_range", "_place", "_guest", "doc_id", "n_chars", "edited_sha256"]
+    each = led.select(*keys, F.explode(both).alias("x")).select(*keys, "x.*").filter("_which = 0 or not _guest")
+    made = sums(each, [*keys, "_which"], "_of")
+    along = Window.partitionBy("_range").orderBy("_place", "_which")
+    out = made.withColumns({"edited_acc": F.lead("acc", 1).over(along), "next_acc": F.lead("acc", 2).over(along)}).filter("_which = 0 and not _guest")
+    return out.select("doc_id", "n_chars", "edited_sha256", lanes("acc").alias("vec"), lanes("edited_acc").alias("edited_vec"), lanes("next_acc").alias("next_vec"))
