@@ -1,185 +1,383 @@
 """Language-model scores by stupid backoff, computed relationally.
 
-Words are runs without white space, A-Z lower-cased. The corpus's n-grams are counted into tables partitioned by hash; n-grams of two and more words
-that occur fewer than ``cutoff`` times in it are left out; with a cutoff of 1 every n-gram counts, and as each scored text is part of the
-corpus, no word backs off then. A word's score is ``ln(c(w1..wn) / c(w1..wn-1))`` for the longest n-gram
-ending there that the tables hold, and ``ln(ALPHA)`` more for each word by which that is shorter than the longest one that the text has
-there; single words score ``ln(c(w) / words)``. A document's score is the sum.
+Words are runs without white space, A-Z lower-cased. A word's score is ``ln(c(w1..wn) / c(w1..wn-1))`` for the longest n-gram ending
+there that the corpus holds, and ``ln(ALPHA)`` more for each word by which that is shorter than the longest one that the text
+has there; single words score ``ln(c(w) / words)``. A document's score is the sum. Every n-gram counts, those that occur once too.
 
-Above a cutoff of 1 a merged sketch tells which n-grams are rarer for certain, and these are neither counted nor looked up. The rest are rows, counted
-by document before they move, joined with the tables on hashed keys (a key that many documents share is split by the skew join) and
-summed by document. Counting and look-ups go through in slices by hash, so disk holds one
-slice at a time.
+Where a corpus scores itself (``scored(docs)``), every n-gram of a text is in the tables. The n-grams, exploded with the texts they
+are of, are dealt by the hash of their context, so one shuffle brings together all that a count table's part needs and all that
+is looked up there: the part is counted, joined with its own rows and summed by text. Rows travel packed, a
+block of arrays for each part of a run of texts; texts of few words ask the tables of shorter n-grams. Parts hold
+about ``ROWS`` rows at any size of the input, in ``slices`` so that disk holds a share of the rows at a time.
+
+N-grams that make up more than a share ``HOT`` of all are not dealt: at most ``2 / HOT`` of a length have more than half of that share
+within runs of texts that they are frequent in, so their exact counts, gathered by run, are a table of bounded size that every task has.
+
+With another corpus (``scored(docs, corpus)``) the tables are counted once each, by key, and joined level by level with the
+words that the level above left over.
 
 Defined cases: a null text or one without words has no words and score 0, with a null mean; very long texts are taken whole; repeated
-rows each count in the corpus, and each gets its score; null doc_ids are scored as one document with a null id; an empty table gives an empty
-result; other columns are ignored.
+rows each count in the corpus, and each gets its score; rows with one doc_id and different texts are scored apart; null doc_ids
+are scored like others; an empty table gives an empty result; other columns are ignored; words outside the corpus score as if
+they had been seen once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import kernels
-from quillon.llm.components import merged
-from quillon.llm.shared import forget, plan_bytes, store
+from quillon.llm.shared import forget, store
+
+ALPHA = 0.4
+HOT = 1 / 2048
+ROWS = 500_000  # rows of a part
+MANY = 2_000_000  # words from which rows go by slices
+RUN = 3 << 20  # bytes of text packed together
+END, ASK, FULL = 0, 1, 2  # in place of a full n-gram's key: a context with no word after it, one that is looked up, and a full n-gram without its context
+
+
+def keys_of(data: np.ndarray, offsets: np.ndarray, order: int):
+    """(text, place in it, keys by n) of each word; the key of n words that would reach over the text's start is not to be used."""
+    lower = kernels.LOWER[data]
+    starts, _, first = kernels.words(lower, offsets)
+    words = kernels.word_hashes(lower, starts)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    place = np.arange(len(words)) - first[text]
+    out = [words]
+    for n in range(2, order + 1):
+        out.append(np.concatenate([np.zeros(min(n - 1, len(words)), np.uint64), kernels.window_hashes(words, n)]))
+    return text, place, out, np.diff(first)
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key = np.sort(key)
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    return key[cut], np.diff(np.append(cut, len(key)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, text): a row is known by doc_id and digest; rows with both equal have equal scores."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
+
+
+_COUNT = pa.schema([("n", pa.int32()), ("key", pa.int64()), ("c", pa.int64())])
+
+
+def _count_batch(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    n = np.concatenate([np.full(len(k), m, np.int32) for m, k, _ in rows]) if rows else np.zeros(0, np.int32)
+    key = np.concatenate([k for _, k, _ in rows]) if rows else np.zeros(0, np.uint64)
+    c = np.concatenate([c for _, _, c in rows]) if rows else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(n), pa.array(key.view(np.int64)), pa.array(c.astype(np.int64))], schema=_COUNT)
 
-ALPHA, CUTOFF = 0.4, 2
+
+def counts(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(n, key, c): how often each n-gram of ``lengths`` occurs; counted by run of texts before the shuffle."""
+
+    def emit(batches):
+        for batch in batches:
+            for _, data, offsets in kernels.chunks(batch.column("text"), RUN):
+                _, place, keys, _ = keys_of(data, offsets, max(lengths))
+                yield _count_batch([(n, *_counted(keys[n - 1][place >= n - 1])) for n in lengths])
+
+    return texts.select("text").mapInArrow(emit, "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
+
+
+class Hot:
+    """Exact counts of frequent n-grams: sorted keys and their counts, by length."""
+
+    def __init__(self, rows):
+        by: dict[int, dict[int, int]] = {}
+        for r in rows:
+            by.setdefault(r["n"], {})[r["key"]] = r["c"]
+        self.keys = {n: np.array(sorted(d), np.int64).view(np.uint64) for n, d in by.items()}
+        self.logs = {}
+        for n, d in by.items():
+            self.keys[n] = np.sort(np.array(list(d), np.int64).view(np.uint64))
+            self.logs[n] = np.log(np.array([d[int(k)] for k in self.keys[n].view(np.int64)], float))
+
+    def find(self, n: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether hot, log count where it is)."""
+        if n not in self.keys or not len(key):
+            return np.zeros(len(key), bool), np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.keys[n], key), len(self.keys[n]) - 1)
+        return self.keys[n][at] == key, self.logs[n][at]
 
 
 class Model:
-    def __init__(self, docs: DataFrame, order: int = 3, slices: int = 8, cutoff: int = CUTOFF):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.order, self.slices, self.cutoff = order, slices, cutoff
-        self.size = 1 << max(20, min(26, (plan_bytes(self.docs) // 8).bit_length()))
-
-    def __getstate__(self):
-        return {"order": self.order, "slices": self.slices, "cutoff": self.cutoff, "size": self.size}
-
-    def keys(self, data: np.ndarray, offsets: np.ndarray):
-        """(text, place in it, keys by n) of each word; the key of n words that would reach over the text's start is not to be used."""
-        lower = kernels.LOWER[data]
-        starts, _, first = kernels.words(lower, offsets)
-        words = kernels.word_hashes(lower, starts)
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        place = np.arange(len(words)) - first[text]
-        out = [words]
-        for n in range(2, self.order + 1):
-            grams = kernels.window_hashes(words, n)
-            out.append(np.concatenate([np.zeros(min(n - 1, len(words)), np.uint64), grams]))
-        return text, place, out
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(9)).astype(np.int64) & (self.size - 1)
-
-    def sketches(self) -> list[np.ndarray]:
-        """For n = 2 and up: the slots in which ``cutoff`` or more n-grams fall; none are needed where all count."""
-        if self.cutoff == 1:
-            return []
-
-        def counter(n):
-            def part(batches) -> np.ndarray:
-                counts = np.zeros(self.size, np.uint8)
-                for batch in batches:
-                    for _, data, offsets in kernels.chunks(batch.column("text")):
-                        _, place, keys = self.keys(data, offsets)
-                        at, times = np.unique(self.slot(keys[n - 1][place >= n - 1]), return_counts=True)
-                        counts[at] = np.minimum(counts[at] + np.minimum(times, self.cutoff), self.cutoff)
-                return counts
-
-            return part
-
-        return [np.packbits(merged(self.docs.select("text"), counter(n), self.size, 1 << 18, np.uint8) >= self.cutoff) for n in range(2, self.order + 1)]
-
-    def repeated(self, bits: list[np.ndarray], n: int, keys: np.ndarray, place: np.ndarray) -> np.ndarray:
-        if self.cutoff == 1:
-            return place >= n - 1
-        slot = self.slot(keys)
-        return (place >= n - 1) & ((bits[n - 2][slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 != 0)
-
-    def tables(self, bits) -> list[DataFrame]:
-        """By n: (key, c) of words, and (key, lp) of longer n-grams, lp the log of their share of the shorter one's count."""
-        schema = pa.schema([("n", pa.int32()), ("key", pa.int64()), ("context", pa.int64()), ("c", pa.int64())])
-
-        def counted(part, parts):
-            return lambda batches: emit(batches, part, parts)
-
-        def emit(batches, part, parts):
-            for batch in batches:
-                for _, data, offsets in kernels.chunks(batch.column("text"), 3 << 20):
-                    _, place, keys = self.keys(data, offsets)
-                    for n in range(1, self.order + 1):
-                        keep = (keys[n - 1] >> np.uint64(3)) % np.uint64(parts) == part
-                        if n > 1:
-                            keep &= self.repeated(bits.value, n, keys[n - 1], place)
-                        key, at, c = np.unique(keys[n - 1][keep], return_index=True, return_counts=True)
-                        before = keys[n - 2][np.flatnonzero(keep)[at] - 1] if n > 1 else np.zeros(len(key), np.uint64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), n, np.int32)), pa.array(key.view(np.int64)), pa.array(before.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
-
-        every, parts = [], max(1, self.slices // 2)
-        for part in range(parts):
-            rows = self.docs.select("text").mapInArrow(counted(part, parts), "n int, key long, context long, c long")
-            counts = rows.groupBy("n", "key", "context").agg(F.sum("c").alias("c"))
-            every.append(store(counts.filter((F.col("n") == 1) | (F.col("c") >= self.cutoff)), "counts"))
-        counts = every[0]
-        for more in every[1:]:
-            counts = counts.unionByName(more)
-        by_n = [counts.filter(F.col("n") == n).drop("n") for n in range(1, self.order + 1)]
-        words = by_n[0].agg(F.sum("c").alias("n")).first()["n"] or 1
-        out = [store(by_n[0].select("key", F.log(F.col("c") / words).alias("lp")), "lp")]
-        for shorter, longer in zip(by_n, by_n[1:], strict=False):
-            shares = longer.join(shorter.select(F.col("key").alias("context"), F.col("c").alias("of")), "context")
-            out.append(store(shares.select("key", F.log(F.col("c") / F.col("of")).alias("lp")), "lp"))
-        for done in every:
-            forget(done)
-        return out
-
-    def lookups(self, bits, part: int) -> DataFrame:
-        """(doc_id, n, k1.., times): words of one slice, with the longest n-gram that may be in the tables."""
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("lost", pa.int32()), *[(f"k{n}", pa.int64()) for n in range(1, self.order + 1)], ("times", pa.int32())])
+    """A corpus that scores itself."""
+
+    def __init__(self, docs: DataFrame, order: int = 3, slices: int = 3, hot: float = HOT, rows: int = ROWS):
+        if order < 2:
+            raise ValueError("an order of 2 or more is needed")
+        self.texts, self.order, self.slices, self.hot_share, self.rows = _texts(docs), order, slices, hot, rows
+        self.spark = docs.sparkSession
+
+    def frequent(self) -> tuple[int, Hot]:
+        """The number of words, and the exact counts of contexts and full n-grams that are frequent."""
+        order, share = self.order, self.hot_share
 
         def emit(batches):
+            words = 0
+            for batch in batches:
+                for _, data, offsets in kernels.chunks(batch.column("text"), RUN):
+                    _, place, keys, _ = keys_of(data, offsets, order)
+                    words += len(place)
+                    rows = []
+                    for n in (order - 1, order):
+                        key, c = _counted(keys[n - 1][place >= n - 1])
+                        often = c >= max(2, share / 2 * len(place))
+                        rows.append((n, key[often], c[often]))
+                    yield _count_batch(rows)
+            yield _count_batch([(0, np.zeros(1, np.uint64), np.array([words]))])
+
+        seen = self.texts.select("text").mapInArrow(emit, "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
+        seen = store(seen, "frequent")
+        total = seen.filter("n = 0").agg(F.sum("c").alias("c")).first()["c"] or 0
+        # what a frequent n-gram has in runs where it isn't frequent is less than half of its share
+        rows = seen.filter((F.col("n") > 0) & (F.col("c") >= max(2, share / 2 * total))).select("n", "key").collect()  # at most 2 / share keys a length
+        forget(seen)
+        if not rows:
+            return total, Hot([])
+        wanted = {n: np.sort(np.array([r["key"] for r in rows if r["n"] == n], np.int64).view(np.uint64)) for n in (order - 1, order)}
+
+        def exact(batches):
             for batch in batches:
-                ids = batch.column("doc_id")
-                for row, data, offsets in kernels.chunks(batch.column("text")):
-                    text, place, keys = self.keys(data, offsets)
-                    keep = np.flatnonzero((keys[0] >> np.uint64(3)) % np.uint64(self.slices) == part)
-                    best = np.ones(len(keep), np.int32)
-                    for n in range(2, self.order + 1):
-                        best[self.repeated(bits.value, n, keys[n - 1][keep], place[keep])] = n
-                    lost = np.minimum(place[keep] + 1, self.order).astype(np.int32) - best
-                    top = np.stack(keys)[best - 1, keep]
-                    # equal (text, n-gram, level) rows are one, counted
-                    order = np.lexsort((lost, top, text[keep]))
-                    t, k, lo = text[keep][order], top[order], lost[order]
-                    new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (lo[1:] != lo[:-1])])[: len(t)])
-                    times = np.diff(np.append(new, len(t)))
-                    pick, lead = keep[order][new], best[order][new]
-                    cols = [pa.array(keys[n - 1][pick].view(np.int64), mask=lead < n) for n in range(1, self.order + 1)]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + t[new])), pa.array(lead), pa.array(lo[new]), *cols, pa.array(times.astype(np.int32))], schema=schema)
-
-        ddl = ", ".join(["doc_id long, n int, lost int", *[f"k{n} long" for n in range(1, self.order + 1)], "times int"])
-        return self.docs.mapInArrow(emit, ddl)
+                for _, data, offsets in kernels.chunks(batch.column("text"), RUN):
+                    _, place, keys, _ = keys_of(data, offsets, order)
+                    out = []
+                    for n, want in wanted.items():
+                        if len(want):
+                            key = keys[n - 1][place >= n - 1]
+                            at = np.minimum(np.searchsorted(want, key), len(want) - 1)
+                            out.append((n, *_counted(key[want[at] == key])))
+                    yield _count_batch(out)
+
+        found = self.texts.select("text").mapInArrow(exact, "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
+        return total, Hot(found.collect())  # the same keys
 
     def scores(self) -> DataFrame:
-        """(doc_id, n_words, log_score, mean_log_score) of every document."""
-        bits = self.docs.sparkSession.sparkContext.broadcast(self.sketches())
-        tables = self.tables(bits)
-        parts = []
-        share = (F.col("lp") + F.col("lost") * math.log(ALPHA)) * F.col("times")
-        for part in range(self.slices):
-            rows = store(self.lookups(bits, part), "lookups")
-            looked, waiting = [], None
-            for n in range(self.order, 0, -1):
-                lower = [f"k{i}" for i in range(1, n)]
-                here = rows.filter(F.col("n") == n).select("doc_id", "lost", *lower, f"k{n}", "times")
-                if waiting is not None:
-                    here = here.unionByName(waiting)
-                joined = here.join(tables[n - 1].withColumnRenamed("key", f"k{n}"), f"k{n}", "left").drop(f"k{n}")
-                looked.append(store(joined, "looked") if n > 1 else joined)
-                if n > 1:
-                    waiting = looked[-1].filter("lp is null").drop("lp").withColumn("lost", F.col("lost") + 1)
-            found = [x.filter("lp is not null").select("doc_id", "times", share.alias("s")) for x in looked]
-            total = found[0]
-            for more in found[1:]:
-                total = total.unionByName(more)
-            parts.append(store(total.groupBy("doc_id").agg(F.sum("times").alias("n_words"), F.sum("s").alias("s")), "scores"))
-            for done in [rows, *looked[:-1]]:
-                forget(done)
-        total = parts[0]
-        for more in parts[1:]:
-            total = total.unionByName(more)
-        total = total.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("s"))
-        # rows of one doc_id were summed together: each has an equal part where they are repeats
-        out = self.docs.groupBy("doc_id").agg(F.count("*").alias("rows")).join(total, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-        n, s = F.coalesce("n_words", F.lit(0)) / F.col("rows"), F.coalesce("s", F.lit(0.0)) / F.col("rows")
-        out = out.select("doc_id", n.cast("long").alias("n_words"), F.round(s, 4).alias("log_score"), F.round(s / F.when(n > 0, n), 6).alias("mean_log_score"), F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_row"))
-        return out.drop("_row")
-
-
-def scored(docs: DataFrame, order: int = 3, slices: int = 8, cutoff: int = CUTOFF) -> DataFrame:
-    return Model(docs, order, slices, cutoff).scores()
+        """(doc_id, n_words, log_score, mean_log_score) of every row."""
+        total, hot_ = self.frequent()
+        order, hot = self.order, self.spark.sparkContext.broadcast(hot_)
+        slices = self.slices if total > MANY else 1
+        parts = max(1, math.ceil(total / slices / self.rows))
+        out = None
+        for number in range(slices):
+            packed = self.texts.mapInArrow(_packer(order, hot, number, slices, parts), "part int, run long, data binary")
+            scored_ = packed.groupBy("part").applyInArrow(_part_scores, "run long, data binary")
+            rows = scored_.groupBy("run").applyInArrow(_by_text, "doc_id long, digest long, words long, head long, s double, copies long")
+            rows = store(rows, "scores")
+            out = rows if out is None else out.unionByName(rows)
+        short = self.short(out, total)
+        if short is not None:
+            out = out.unionByName(short)
+        out = out.groupBy("doc_id", "digest").agg(F.sum("words").alias("words"), F.sum("s").alias("s"), F.sum("copies").alias("copies"))
+        n, s = F.expr("words div copies"), F.col("s") / F.col("copies") - F.when(F.col("words") > 0, F.lit(math.log(max(total, 1)))).otherwise(F.lit(0.0))
+        return _result(out.withColumns({"n": n, "t": s}), "copies")
+
+    def short(self, rows: DataFrame, total: int) -> DataFrame | None:
+        """Scores of texts with fewer words than a context has: their words together, in the table of that length."""
+        few = rows.filter(F.col("head").isNotNull())
+        lengths = [r["n"] for r in few.select(F.expr("words div copies").alias("n")).distinct().collect()]  # below the order
+        if not lengths:
+            return None
+        tables = counts(self.texts, sorted(lengths)).select(F.col("n").alias("_n"), F.col("key").alias("head"), "c")
+        few = few.withColumn("_n", F.expr("words div copies").cast("int")).join(tables, ["_n", "head"])
+        zero = F.lit(0).cast("long")
+        return few.select("doc_id", "digest", zero.alias("words"), F.lit(None).cast("long").alias("head"), (F.log("c") * F.col("copies")).alias("s"), zero.alias("copies"))
+
+
+def _result(rows: DataFrame, copies: str) -> DataFrame:
+    out = rows.select("doc_id", F.col("n").cast("long").alias("n_words"), F.round("t", 4).alias("log_score"), F.round(F.col("t") / F.when(F.col("n") > 0, F.col("n")), 6).alias("mean_log_score"), F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("_row"))
+    return out.drop("_row")
+
+
+_PACKED = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("data", pa.binary())])
+_SCORED = pa.schema([("run", pa.int64()), ("data", pa.binary())])
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, np.int64, len(kinds))
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
+def _packer(order: int, hot_, number: int, slices: int, parts: int):
+    """Rows (part, run, data): a run's n-grams for one part; or, with part -1 - p, a run's texts and what is known of their scores."""
+
+    def emit(batches) -> Iterator[pa.RecordBatch]:
+        hot, run = hot_.value, 0
+        base = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for row, data, offsets in kernels.chunks(batch.column("text"), RUN):
+                text, place, keys, sizes = keys_of(data, offsets, order)
+                n_texts = len(offsets) - 1
+                context, full = keys[order - 2], np.maximum(keys[order - 1], np.uint64(3))
+                known = np.zeros(n_texts)
+                # a context ends at word j; the full n-gram that starts with it ends at j + 1
+                at = np.flatnonzero(place >= order - 2)
+                more = place[at] < sizes[text[at]] - 1
+                is_hot, log_c = hot.find(order - 1, context[at])
+                entries = []
+                after = at[more] + 1
+                full_hot, log_f = hot.find(order, keys[order - 1][after])
+                np.add.at(known, text[after[full_hot]], log_f[full_hot] - log_c[more][full_hot])
+                lone = is_hot[more] & ~full_hot  # the context's count is known
+                np.add.at(known, text[after[lone]], -log_c[more][lone])
+                entries.append((kernels.mix(full[after[lone]]), np.full(int(lone.sum()), FULL, np.uint64), text[after[lone]]))
+                whole = ~is_hot[more]
+                entries.append((context[at[more]][whole], full[after[whole]], text[after[whole]]))
+                ends = at[~more & ~is_hot]
+                entries.append((context[ends], np.full(len(ends), END, np.uint64), text[ends]))
+                first = place[at] == order - 2  # the words up to here, from the text's start
+                asks, asks_hot = at[first & ~is_hot], at[first & is_hot]
+                np.add.at(known, text[asks_hot], log_c[first & is_hot])
+                entries.append((context[asks], np.full(len(asks), ASK, np.uint64), text[asks]))
+                one, two, who = (np.concatenate(x) for x in zip(*entries, strict=True))
+                part = ((one >> np.uint64(7)) % np.uint64(parts * slices)).astype(np.int64)
+                here = np.flatnonzero(part % slices == number)
+                one, two, who, part = one[here], two[here], who[here].astype(np.uint32), part[here] // slices
+                order_ = np.argsort(part, kind="stable")
+                one, two, who, part = one[order_], two[order_], who[order_], part[order_]
+                bounds = np.searchsorted(part, np.arange(parts + 1))
+                filled = np.flatnonzero(np.diff(bounds))
+                narrow = np.uint16 if n_texts <= 1 << 16 else np.uint32
+                blocks = [_pack(one[bounds[p] : bounds[p + 1]], two[bounds[p] : bounds[p + 1]], who[bounds[p] : bounds[p + 1]].astype(narrow)) for p in filled]
+                me = base + run
+                run += 1
+                head = np.zeros(n_texts, np.int64)
+                few = np.flatnonzero((sizes > 0) & (sizes < order - 1))
+                for n in np.unique(sizes[few]):
+                    those = few[sizes[few] == n]
+                    last = np.searchsorted(text, those, "right") - 1
+                    head[those] = keys[n - 1][last].view(np.int64)
+                if number:  # the first slice says what is known
+                    known, heads, count = np.zeros(n_texts), np.zeros(0, np.int64), np.zeros(n_texts, np.int64)
+                else:
+                    heads, count = few.astype(np.int64), sizes.astype(np.int64)
+                rows = slice(row, row + n_texts)
+                ids = batch.column("doc_id")[rows]
+                null = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).astype(np.int64)
+                blocks.append(_pack(ids.fill_null(0).to_numpy(), null, batch.column("digest")[rows].to_numpy(), count, known, heads, head[heads], np.array([number])))
+                where = [*filled.tolist(), -1 - int(me % parts)]
+                for lo in range(0, len(blocks), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(where[lo : lo + 64], pa.int32()), pa.array([me] * len(blocks[lo : lo + 64]), pa.int64()), pa.array(blocks[lo : lo + 64], pa.binary())], schema=_PACKED)
+
+    return emit
+
+
+def _part_scores(group: pa.Table) -> pa.Table:
+    """Counts a part, joins its rows with the counts, and sums by run and text."""
+    runs, blocks = group.column("run").to_pylist(), group.column("data").to_pylist()
+    if group.column("part")[0].as_py() < 0:  # texts: on to their run
+        return pa.table({"run": pa.array(runs, pa.int64()), "data": pa.array([b"T" + b for b in blocks], pa.binary())}, schema=_SCORED)
+    cols = []
+    for data in blocks:
+        sizes = np.frombuffer(data, np.int64, 3)
+        narrow = np.uint16 if len(data) == 24 + 18 * int(sizes[0]) else np.uint32
+        cols.append(_unpack(data, np.uint64, np.uint64, narrow))
+    counts_ = [len(c[0]) for c in cols]
+    one, two = np.concatenate([c[0] for c in cols]), np.concatenate([c[1] for c in cols])
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    del one, two
+    new_a = np.concatenate([[True], a[1:] != a[:-1]])
+    new = new_a | np.concatenate([[True], b[1:] != b[:-1]])
+    of_a, of = np.cumsum(new_a) - 1, np.cumsum(new) - 1
+    full = np.log(np.bincount(of))[of]
+    context = np.bincount(of_a, weights=b != ASK)
+    context = np.log(np.maximum(context, 1))[of_a]
+    value = np.where(b == END, 0.0, np.where(b == ASK, context, np.where(b == FULL, full, full - context)))
+    score = np.empty(len(value))
+    score[order] = value
+    out, at = [], 0
+    for (_, _, who), n in zip(cols, counts_, strict=True):
+        s = np.bincount(who, weights=score[at : at + n])
+        who_ = np.flatnonzero(np.bincount(who))
+        out.append(b"S" + _pack(who_.astype(np.uint32), s[who_]))
+        at += n
+    return pa.table({"run": pa.array(runs, pa.int64()), "data": pa.array(out, pa.binary())}, schema=_SCORED)
+
+
+_TEXTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("words", pa.int64()), ("head", pa.int64()), ("s", pa.float64()), ("copies", pa.int64())])
+
+
+def _by_text(group: pa.Table) -> pa.Table:
+    """The sums of a run's texts, equal rows together."""
+    blocks = group.column("data").to_pylist()
+    ids, null, digest, words, known, few, heads, number = _unpack(next(b for b in blocks if b[:1] == b"T")[1:], np.int64, np.int64, np.int64, np.int64, float, np.int64, np.int64, np.int64)
+    total = known.copy()
+    for data in sorted(b for b in blocks if b[:1] == b"S"):  # one order of adding
+        who, s = _unpack(data[1:], np.uint32, float)
+        total[who] += s
+    head, has = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    head[few], has[few] = heads, True
+    absent = np.zeros(len(ids), bool)
+    absent[null] = True
+    first = np.full(len(ids), int(number[0] == 0), np.int64)
+    return pa.table([pa.array(ids, mask=absent), pa.array(digest), pa.array(words), pa.array(head, mask=~has), pa.array(total), pa.array(first)], schema=_TEXTS)
+
+
+def held_out_scores(docs: DataFrame, corpus: DataFrame, order: int = 3) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) of ``docs`` by the counts of ``corpus``, with backoff, level by level."""
+    table = store(counts(_texts(corpus), list(range(1, order + 1))), "tables")
+    words = table.filter("n = 1").agg(F.sum("c").alias("c")).first()["c"] or 0
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int32()), *[(f"k{n}", pa.int64()) for n in range(1, order + 1)], *[(f"h{n}", pa.int64()) for n in range(1, order)], ("times", pa.int64())])
+
+    def emit(batches):
+        for batch in batches:
+            for row, data, offsets in kernels.chunks(batch.column("text"), RUN):
+                text, place, keys, _ = keys_of(data, offsets, order)
+                level = np.minimum(place + 1, order).astype(np.int32)
+                before = [np.concatenate([np.zeros(min(1, len(k)), np.uint64), k[:-1]]) for k in keys[: order - 1]]
+                top = np.stack([keys[n - 1] for n in range(1, order + 1)])[level - 1, np.arange(len(level))] if len(level) else np.zeros(0, np.uint64)
+                by = np.lexsort((top, level, text))
+                t, lv, k = text[by], level[by], top[by]
+                new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (lv[1:] != lv[:-1]) | (k[1:] != k[:-1])])[: len(t)])
+                times, pick = np.diff(np.append(new, len(t))), by[new]
+                some = lambda a, n: pa.array(a[pick].view(np.int64), mask=level[pick] < n)
+                where = pa.array(row + text[pick])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("digest").take(where), pa.array(level[pick]), *[some(keys[n - 1], n) for n in range(1, order + 1)], *[some(before[n - 1], n + 1) for n in range(1, order)], pa.array(times.astype(np.int64))], schema=schema)
+
+    ddl = ", ".join(["doc_id long, digest long, n int", *[f"k{n} long" for n in range(1, order + 1)], *[f"h{n} long" for n in range(1, order)], "times long"])
+    texts = _texts(docs)
+    rows = store(texts.mapInArrow(emit, ddl), "words").withColumn("lost", F.lit(0))
+    found, waiting = None, None
+    for n in range(order, 0, -1):
+        here = rows.filter(F.col("n") == n)
+        if waiting is not None:
+            here = here.unionByName(waiting)
+        here = here.join(table.filter(F.col("n") == n).select(F.col("key").alias(f"k{n}"), "c"), f"k{n}", "left")
+        if n > 1:
+            here = here.join(table.filter(F.col("n") == n - 1).select(F.col("key").alias(f"h{n - 1}"), F.col("c").alias("of")), f"h{n - 1}", "left")
+            here = store(here, "looked")
+            waiting = here.filter("c is null").drop("c", "of").withColumn("lost", F.col("lost") + 1)
+            here = here.filter("c is not null")
+            share = F.log(F.col("c") / F.col("of"))
+        else:
+            share = F.log(F.coalesce("c", F.lit(1)) / F.lit(max(words, 1)))
+        here = here.select("doc_id", "digest", "times", ((share + F.col("lost") * math.log(ALPHA)) * F.col("times")).alias("s"))
+        found = here if found is None else found.unionByName(here)
+    sums = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.sum("times").alias("words"), F.sum("s").alias("s"))
+    each = texts.groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
+    out = each.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    return _result(out.withColumns({"n": F.expr("coalesce(words, 0L) div copies"), "t": F.coalesce(F.col("s") / F.col("copies"), F.lit(0.0))}), "copies")
+
+
+def scored(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3) -> DataFrame:
+    """Scores of ``docs`` by the counts of ``corpus``, or by their own."""
+    return Model(docs, order).scores() if corpus is None else held_out_scores(docs, corpus, order)

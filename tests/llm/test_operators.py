@@ -294,45 +294,67 @@ def test_kernels_against_plain_python():
 # 7 language-model scores
 
 
-def test_scores(spark, odd, odd_rows, none):
-    order = 3
-    tokens = [words(ascii_lower(r[1] or "")) for r in odd_rows]
+def plain_scores(texts, corpus, order):
+    """(words, score) of each text: stupid backoff, counted and looked up in plain Python."""
+    tokens = [words(ascii_lower(t or "")) for t in corpus]
     counts = [Counter(tuple(t[i : i + n]) for t in tokens for i in range(len(t) - n + 1)) for n in range(1, order + 1)]
-    total = sum(map(len, tokens))
-
-    def score(t):
-        s = 0.0
+    total, out = max(1, sum(map(len, tokens))), []
+    for text in texts:
+        t, s = words(ascii_lower(text or "")), 0.0
         for j in range(len(t)):
             top = min(order, j + 1)
             for n in range(top, 0, -1):
                 gram = tuple(t[j - n + 1 : j + 1])
-                c = counts[n - 1][gram]
-                if n == 1 or c >= 2:
+                c = counts[n - 1][gram] or (n == 1)
+                if c:
                     s += math.log(c / (counts[n - 2][gram[:-1]] if n > 1 else total)) + (top - n) * math.log(lm_scoring.ALPHA)
                     break
-        return s
-
-    got = {r["doc_id"]: r for r in lm_scoring.scored(odd, order, 2).collect()}
-    for r, t in zip(odd_rows, tokens, strict=True):
-        assert got[r[0]]["n_words"] == len(t) and got[r[0]]["log_score"] == pytest.approx(score(t), abs=1e-3)
-    assert lm_scoring.scored(odd, order, 2).count() == len(odd_rows)
-    assert lm_scoring.scored(none, order, 2).count() == 0
-
-
-def test_whole_scores_count_single_ngrams(spark, odd, odd_rows, none):
-    tokens = [words(ascii_lower(r[1] or "")) for r in odd_rows]
-    counts = [Counter(tuple(t[i : i + n]) for t in tokens for i in range(len(t) - n + 1)) for n in range(1, 4)]
-    total = sum(map(len, tokens))
-
-    def score(t):
-        grams = [tuple(t[max(0, j - 2) : j + 1]) for j in range(len(t))]
-        return sum(math.log(counts[len(g) - 1][g] / (counts[len(g) - 2][g[:-1]] if len(g) > 1 else total)) for g in grams)
-
-    got = {r["doc_id"]: r for r in lm_scoring.scored(odd, 3, 2, cutoff=1).collect()}
-    assert any(c == 1 for c in counts[2].values())
-    for r, t in zip(odd_rows, tokens, strict=True):
-        assert got[r[0]]["n_words"] == len(t) and got[r[0]]["log_score"] == pytest.approx(score(t), abs=1e-3)
-    assert lm_scoring.scored(none, 3, 2, cutoff=1).count() == 0
+        out.append((len(t), s))
+    return out
+
+
+def same_scores(got, texts, want):
+    left = sorted((r["n_words"], r["log_score"]) for r in got)
+    assert len(left) == len(want)
+    for a, b in zip(left, sorted((n, round(s, 4)) for n, s in want), strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=2e-4, rel=1e-9)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_count_every_ngram(spark, odd, odd_rows, none, order):
+    texts = [r[1] for r in odd_rows]
+    want = plain_scores(texts, texts, order)
+    same_scores(lm_scoring.scored(odd, order=order).collect(), texts, want)
+    for kinds in (dict(slices=1, rows=7), dict(hot=0.01, rows=100), dict(hot=1.0)):  # parts, slices and frequent n-grams change nothing
+        same_scores(lm_scoring.Model(odd, order, **kinds).scores().collect(), texts, want)
+    assert lm_scoring.scored(none, order=order).count() == 0
+    by_id = {r["doc_id"]: r for r in lm_scoring.scored(odd, order=order).collect()}
+    assert by_id[0]["n_words"] == 0 and by_id[0]["log_score"] == 0 and by_id[0]["mean_log_score"] is None
+
+
+def test_scores_of_rows_that_share_a_doc_id(spark):
+    texts = ["a b c", "a b c d e f g h", None, "a b c"]
+    docs = spark.createDataFrame([(1, t) for t in texts[:3]] + [(None, texts[3])], "doc_id long, text string")
+    same_scores(lm_scoring.scored(docs).collect(), texts, plain_scores(texts, texts, 3))
+
+
+def test_scores_by_slices(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lm_scoring, "MANY", 10)
+    same_scores(lm_scoring.Model(docs, 3, slices=4, rows=50).scores().collect(), texts, plain_scores(texts, texts, 3))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_by_another_corpus_back_off(spark, odd, odd_rows, none, order):
+    texts = [r[1] for r in odd_rows]
+    corpus = [t[: len(t) // 2] for t in texts if t] + ["one two words and", None]
+    other = spark.createDataFrame([(i, t) for i, t in enumerate(corpus)], "doc_id long, text string")
+    same_scores(lm_scoring.scored(odd, other, order=order).collect(), texts, plain_scores(texts, corpus, order))
+    assert lm_scoring.scored(none, other, order=order).count() == 0
+    same_scores(lm_scoring.scored(other, none, order=order).collect(), corpus, plain_scores(corpus, [], order))
+    same_scores(lm_scoring.scored(odd, odd, order=order).collect(), texts, plain_scores(texts, texts, order))
 
 
 # 9 mixing
