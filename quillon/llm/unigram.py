@@ -15,7 +15,8 @@ turns rank r into ``-ln(r + 2)``, as frequencies that fall with the rank do.
 
 Defined cases: null encodes to null and decodes from null; the empty text has no pieces; ids outside the vocabulary,
 control pieces and null ids decode to nothing; bytes that aren't UTF-8 decode to U+FFFD; very long parts are solved with a
-bounded window; repeated rows are encoded alike; other columns stay as they are.
+bounded window; repeated rows are encoded alike; an empty table gives an empty result; other columns stay as they are, but
+``ids``, ``n_tokens``, ``n_byte_tokens`` and ``decoded`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -386,14 +387,24 @@ def coder(spark: SparkSession, path: str, log_ranks: bool = True):
     return encode, decode
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, ``n_tokens``, ``n_byte_tokens`` and ``decoded``."""
-    encode, decode = coder(docs.sparkSession, path)
-    byte_ids = [int(i) for i in load(path).byte_id]
-    out = docs.withColumn("ids", encode(F.col(text)))
+def encoded(docs: DataFrame, path: str, text: str = "text", log_ranks: bool = True) -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens``, ``n_byte_tokens`` and ``decoded``, in place of columns of these names.
+
+    One function makes ids and decoded text together: two that hang together would each encode.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(load(path, log_ranks))
+    byte_ids = [int(i) for i in load(path, log_ranks).byte_id]
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both_ways(texts: pa.Array) -> pa.Array:
+        ids = shared.value.encode(texts)
+        return pa.StructArray.from_arrays([ids, shared.value.decode(ids)], ["ids", "decoded"])
+
     lo, hi = min(byte_ids), max(byte_ids)
+    out = docs.withColumn("_quillon_pieces", both_ways(F.col(text)))
     return out.withColumns({
-        "n_tokens": F.coalesce(F.size("ids"), F.lit(0)).cast("long"),
-        "n_byte_tokens": F.coalesce(F.size(F.filter("ids", lambda i: i.between(lo, hi))), F.lit(0)).cast("long"),
-        "decoded": decode(F.col("ids")),
-    })
+        "ids": F.col("_quillon_pieces.ids"),
+        "n_tokens": F.coalesce(F.size("_quillon_pieces.ids"), F.lit(0)).cast("long"),
+        "n_byte_tokens": F.coalesce(F.size(F.filter("_quillon_pieces.ids", lambda i: i.between(lo, hi))), F.lit(0)).cast("long"),
+        "decoded": F.col("_quillon_pieces.decoded"),
+    }).drop("_quillon_pieces")
