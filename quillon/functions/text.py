@@ -90,9 +90,14 @@ def comma_list(text: Column) -> Column:
 
 
 def clean_name(name: Column) -> Column:
-    """Line ends become a space, at most 1024 characters; a null name is an error."""
+    """Line ends become a space, at most 1024 UTF-16 units (a pair that this cuts becomes U+FFFD); a null name is an error."""
     checked = F.when(name.isNull(), F.raise_error(F.lit("symbol name is null")).cast("string")).otherwise(name)
-    return F.substring(F.regexp_replace(checked, "\r\n|\r|\n", " "), 1, 1024)
+    flat = F.regexp_replace(checked, "\r\n|\r|\n", " ")
+    # where there are pairs, a second unit stands after each for the cut, as a character that isn't one
+    wide, filler = r"([\x{10000}-\x{10FFFF}])", "\uffff"
+    cut = F.substring(F.regexp_replace(flat, wide, f"$1{filler}"), 1, 1024)
+    cut = F.replace(F.regexp_replace(cut, wide + "$", "\ufffd"), F.lit(filler), F.lit(""))
+    return F.when(flat.rlike(wide) & (F.char_length(flat) > 512), cut).otherwise(F.substring(flat, 1, 1024))
 
 
 def max_file_bytes(raw) -> int:
@@ -102,8 +107,54 @@ def max_file_bytes(raw) -> int:
     return int(math.floor(raw)) if math.isfinite(raw) else DEFAULT_MAX_BYTES
 
 
+def page_size(raw) -> int:
+    """A page-size setting, kept between 50 and 10,000; 200 where it is no number."""
+    if isinstance(raw, bool) or not isinstance(raw, (int, float)) or not math.isfinite(raw):
+        return 200
+    return int(min(10_000, max(50, raw)))
+
+
+def merged_filters(setting_includes, setting_excludes, includes=(), excludes=()) -> tuple[list[str], list[str]]:
+    """Filters of a search: a user's includes take the place of the settings', excludes add to them."""
+    return list(includes or setting_includes), [*setting_excludes, *(excludes or ())]
+
+
+def ignore_rules(text: str) -> list[tuple[str, bool]]:
+    """(regular expression on paths, whether it ignores) of an ignore file's lines, in order; the last that fits a path counts."""
+    out = []
+    for line in text.splitlines():
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        ignores = not rule.startswith("!")
+        rule = rule.removeprefix("!").removeprefix("\\")
+        body = rule.strip("/")
+        anchored = "/" in rule.rstrip("/")
+        inner = glob_regex(body)[1:-1]  # a name without folders fits in any of them
+        inner = inner.removeprefix("(?:.*/)?") if anchored and "/" not in body else inner
+        out.append(("^" + inner + ("/.*$" if rule.endswith("/") else "(?:/.*)?$"), ignores))
+    return out
+
+
+def diagnostic_line(event: Column, pid: Column, t: Column, **payload: Column) -> Column:
+    """An event as a line of JSON: time in ms, event, process, and what else is given."""
+    return F.to_json(F.struct(t.alias("t"), event.alias("event"), pid.alias("pid"), *[v.alias(k) for k, v in payload.items()]))
+
+
+def highlighted(text: Column, marks: list[tuple[str, str]], box: bool = False) -> Column:
+    """HTML of ``text`` in which each mark (text, color) is put in a span, the last first, without regard to case; what is
+    found takes the mark's own letters."""
+    out = escape_html(text)
+    for mark, color in reversed(marks):
+        plain = mark.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        style = f"border-color:{color};background:inherit;color:inherit" if box else f"background:{color};color:#1e1e1e;border-color:transparent"
+        span = f'<span class="manual-highlight" style="{style}">{plain}</span>'
+        out = F.regexp_replace(out, "(?iu)" + re.escape(plain), span.replace("\\", "\\\\").replace("$", "\\$"))
+    return out
+
+
 def max_file_bytes_column(raw: Column) -> Column:
-    return F.when(raw.isNull() | F.isnan(raw) | (raw < 0), F.lit(DEFAULT_MAX_BYTES)).otherwise(F.floor(raw)).cast("bigint")
+    return F.when(raw.isNull() | F.isnan(raw) | (raw < 0) | (raw == float("inf")), F.lit(DEFAULT_MAX_BYTES)).otherwise(F.floor(raw)).cast("bigint")
 
 
 def glob_regex(pattern: str) -> str:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions import text as T
@@ -24,9 +24,10 @@ SHAPES = (
 )
 DECLARATION = rf"^[ \t]*(?:(?:static|inline|extern|const|virtual|explicit|constexpr|[A-Z_]+)[ \t]+)*[A-Za-z_][A-Za-z0-9_:<>, \t\*&]*?[ \t\*&]+{NAME}[ \t]*\([^;{{}}]*\)"
 KEYWORDS = (
-    "if for while switch return sizeof typeof do else case break continue goto default typedef struct union enum class namespace "
-    "template static inline extern const volatile register auto signed unsigned void int char short long float double bool"
-).split()
+    "if", "for", "while", "switch", "return", "sizeof", "typeof", "do", "else", "case", "break", "continue", "goto", "default",
+    "typedef", "struct", "union", "enum", "class", "namespace", "template", "static", "inline", "extern", "const", "volatile",
+    "register", "auto", "signed", "unsigned", "void", "int", "char", "short", "long", "float", "double", "bool",
+)
 
 ON_LINE = [(kind, shape.replace("<gap>", r"[ \t]*")) for kind, shape in SHAPES]
 FUNCTION_ON_LINE = DECLARATION + r"[ \t]*\{"
@@ -39,7 +40,7 @@ def _hits(text: Column, kind: str, pattern: str, order: int, line_number: Column
     """A struct of what ``pattern`` finds in a line, null where it finds nothing or a keyword."""
     name = F.regexp_extract(text, pattern, 1)
     col = F.position(name, F.regexp_extract(text, pattern, 0)) - 1  # the first place of the name's letters in the match
-    return F.when((name != "") & ~name.isin(KEYWORDS), F.struct(name.alias("name"), F.lit(kind).alias("kind"), line_number.alias("line_number"), col.alias("col"), text.alias("line"), F.lit(order).alias("rule")))
+    return F.when((name != "") & ~name.isin(*KEYWORDS), F.struct(name.alias("name"), F.lit(kind).alias("kind"), line_number.alias("line_number"), col.alias("col"), text.alias("line"), F.lit(order).alias("rule")))
 
 
 def by_line(lines: DataFrame, macros_only: bool = False) -> DataFrame:
@@ -64,16 +65,22 @@ def by_line(lines: DataFrame, macros_only: bool = False) -> DataFrame:
 
 def by_text(files: DataFrame) -> DataFrame:
     """(relative_path, line_number, col, name, kind) of the definitions in whole texts (relative_path, content); a brace may
-    stand some lines below. The column is that of the match, 0."""
+    stand some lines below. The column is that of the match, 0.
+
+    A text is cut at the matches of a rule; what goes on is the line ends in each piece and match, and a running sum of them by file
+    numbers the lines, so the work grows with the text. One file is one task's.
+    """
+    breaks = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit("\n"), F.lit("")))
     out = []
     for rule, (kind, pattern) in enumerate(IN_TEXT):
         whole = "(?md)" + pattern
-        at = F.transform(F.regexp_extract_all("content", F.lit(whole), F.lit(0)), lambda m: m)
-        found = files.select("relative_path", "content", F.posexplode(F.arrays_zip(F.regexp_extract_all("content", F.lit(whole), F.lit(1)).alias("name"), at.alias("match"))).alias("i", "x"), F.split("content", whole).alias("parts"))
-        # the text before the match: what stands between matches, and the earlier matches
-        before = F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("i") + 1), ""), F.array_join(F.slice(F.regexp_extract_all("content", F.lit(whole), F.lit(0)), F.lit(1), F.col("i")), ""))
-        out.append(found.select("relative_path", (F.size(F.split(before, "\n"))).alias("line_number"), F.lit(0).alias("col"), F.col("x.name").alias("name"), F.lit(kind).alias("kind"), F.lit(rule).alias("rule")))
-    every = reduce(DataFrame.unionByName, out).filter(~F.col("name").isin(KEYWORDS))
+        cut = files.select("relative_path", F.regexp_extract_all("content", F.lit(whole), F.lit(0)).alias("matches"), F.split("content", whole).alias("pieces")).filter(F.size("matches") > 0)
+        rows = cut.select("relative_path", F.posexplode(F.arrays_zip("matches", F.slice("pieces", F.lit(1), F.size("matches")).alias("piece"))).alias("i", "x"))
+        found = rows.select("relative_path", "i", F.regexp_extract("x.matches", whole, 1).alias("name"), breaks(F.col("x.matches")).alias("inside"), breaks(F.col("x.piece")).alias("before"))
+        so_far = Window.partitionBy("relative_path").orderBy("i")
+        line = F.sum(F.col("before") + F.col("inside")).over(so_far) - F.col("inside") + 1
+        out.append(found.select("relative_path", line.cast("int").alias("line_number"), F.lit(0).alias("col"), "name", F.lit(kind).alias("kind"), F.lit(rule).alias("rule")))
+    every = reduce(DataFrame.unionByName, out).filter(~F.col("name").isin(*KEYWORDS))
     return every.groupBy("relative_path", "line_number", "name", "kind").agg(F.min("col").alias("col"), F.min("rule").alias("rule")).drop("rule")
 
 
@@ -198,16 +205,19 @@ def _function_name(tokens: list, brace: int):
 def by_lexer(files: DataFrame) -> DataFrame:
     """(relative_path, line_number, col, name, kind, error) of files (relative_path, content); a file that fails gives one row with
     its error. Files of other languages give nothing."""
+    schema = pa.schema([("relative_path", pa.string()), ("line_number", pa.int32()), ("col", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("error", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content, lang in zip(batch["relative_path"], batch["content"], batch["lang"], strict=True):
+            for path, content, lang in zip(*(batch.column(i) for i in range(3)), strict=True):
+                path = path.as_py()
                 try:
-                    rows += [(path, line, col, name, kind, None) for name, kind, line, col in lexed(content or "", lang == "cpp")]
+                    rows += [(path, line, col, name, kind, None) for name, kind, line, col in lexed(content.as_py() or "", lang.as_py() == "cpp")]
                 except Exception as e:  # noqa: BLE001 - one bad file must not stop the others
                     rows.append((path, 0, 0, "", "", f"{path}: {e}"))
-            yield pd.DataFrame(rows, columns=["relative_path", "line_number", "col", "name", "kind", "error"])
+            columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     known = files.withColumn("lang", language(F.col("relative_path"))).filter("lang is not null").select("relative_path", "content", "lang")
-    return known.mapInPandas(run, "relative_path string, line_number int, col int, name string, kind string, error string")
+    return known.mapInArrow(run, "relative_path string, line_number int, col int, name string, kind string, error string")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillon import schema
 from quillon.functions import text as T
-from quillon.operators import extract
+from quillon.operators import extract, search as find
 from quillon.sources import corpus
 
 BATCH = 128
@@ -32,10 +32,35 @@ def deleted(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def batches(files: DataFrame, size: int = BATCH, groups: int = 64) -> DataFrame:
-    """``files`` with ``batch``: runs of ``size`` files in path order, numbered from 0, ranked in two levels."""
-    keyed = files.withColumn("_g", F.pmod(F.xxhash64("relative_path"), F.lit(groups)))
-    local = F.row_number().over(Window.partitionBy("_g").orderBy("relative_path")) - 1
-    return keyed.withColumn("batch", F.concat_ws("-", F.col("_g"), F.floor(local / size))).drop("_g")
+    """``files`` with ``batch``: runs of ``size`` files in path order, numbered from 0.
+
+    Paths are ranked in two levels: ranges, cut at paths that a hash picks, whose counts (one row a range) are added up, and places in
+    a range.
+    """
+    paths = files.select("relative_path")
+    every = max(1, paths.count() // (4 * groups))
+    cuts = [r[0] for r in paths.filter(F.pmod(F.xxhash64("relative_path"), F.lit(every)) == 0).orderBy("relative_path").limit(16 * groups).collect()]
+    cuts = sorted(set(cuts))[:: max(1, len(cuts) // groups)]
+    group = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("relative_path"))) if cuts else F.lit(0)
+    keyed = files.withColumn("_g", group)
+    before, at = [0] * (len(cuts) + 2), 0
+    counts = dict(keyed.groupBy("_g").count().collect())  # one row a range
+    for g in range(len(cuts) + 1):
+        before[g], at = at, at + counts.get(g, 0)
+    place = F.row_number().over(Window.partitionBy("_g").orderBy("relative_path")) - 1 + F.element_at(F.array(*map(F.lit, before)), F.col("_g") + 1)
+    return keyed.withColumn("batch", F.floor(place / size)).drop("_g")
+
+
+def progress(files: DataFrame, batch: str = "batch", size: str = "size_bytes") -> DataFrame:
+    """For each batch, how many files and bytes are done with it and all before it: (batch, files_done, bytes_done)."""
+    per = files.groupBy(batch).agg(F.count("*").alias("_n"), F.sum(size).alias("_s"))
+    so_far = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)  # a row a batch
+    return per.select(batch, F.sum("_n").over(so_far).alias("files_done"), F.sum("_s").over(so_far).alias("bytes_done"))
+
+
+def file_metadata(files: DataFrame, path: str) -> DataFrame:
+    """The row of one file."""
+    return files.filter(F.col("relative_path") == path)
 
 
 def group_symbols(metadata: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -70,12 +95,15 @@ def stats(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Snapshots of the index: ``<root>/<id>/{files,symbols}`` as Parquet and ``<root>/CURRENT`` with the live one's id.
+    """Snapshots of the index: ``<root>/<id>/{files,symbols}`` as Parquet, and numbered pointers ``<root>/live-<number>`` that name one.
 
-    A snapshot is written whole and becomes live by one rename, so a reader or a lost job never sees half of a change. All file
-    work goes through Hadoop's file systems. Symbols are sorted by folded name within files, for row-group skipping.
+    A snapshot is written whole; then its pointer is written beside and renamed to the next number, which no file has, so a reader or
+    a lost job sees the old snapshot or the new one at any time. The pointer with the highest number counts. All file work
+    goes through Hadoop's file systems. Symbols are sorted by folded name within files, for row-group skipping.
     """
 
+    POINTER = "live-"
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
@@ -85,35 +113,90 @@ class Store:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _names(self) -> list[tuple[str, bool]]:
+        """(name, whether a folder) of what the store holds."""
+        fs = self._fs()
+        if not fs.exists(self._path("")):
+            return []
+        return [(s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(self._path(""))]
+
+    def _pointers(self) -> list[str]:
+        return sorted(n for n, folder in self._names() if not folder and n.startswith(self.POINTER) and n.removeprefix(self.POINTER).isdigit())
+
     def _meta(self) -> dict | None:
-        fs, at = self._fs(), self._path("CURRENT")
-        if not fs.exists(at):
+        """What the live pointer says; ``Unreadable`` where it says nothing."""
+        pointers = self._pointers()
+        if not pointers:
             return None
-        return json.loads(self.spark.read.text(at.toString(), wholetext=True).first()["value"])
+        text = self._read(pointers[-1])
+        try:
+            meta = json.loads(text)
+            return {"snapshot": str(meta["snapshot"]), "schema_version": int(meta["schema_version"])}
+        except (ValueError, KeyError, TypeError) as e:
+            raise Unreadable(f"pointer {pointers[-1]}") from e
+
+    def _read(self, name: str) -> str:
+        file = self._fs().open(self._path(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+        finally:
+            file.close()
 
     def version(self) -> int | None:
         meta = self._meta()
-        return meta and int(meta["schema_version"])
+        return meta and meta["schema_version"]
+
+    def _tables(self, name: str) -> tuple[DataFrame, DataFrame]:
+        return self.spark.read.schema(schema.FILES).parquet(f"{self.root}/{name}/files"), self.spark.read.schema(schema.SYMBOLS).parquet(f"{self.root}/{name}/symbols")
 
     def load(self) -> tuple[DataFrame, DataFrame] | None:
         """(files, symbols) of the live snapshot; None where there is none or it has no file. A newer schema is an error, an
-        older one starts anew, an unreadable snapshot is set aside."""
+        older one starts anew, a store whose pointer or file footers can't be read is set aside; other errors rise."""
         try:
             meta = self._meta()
             if meta is None:
                 return None
-            version = int(meta["schema_version"])
-            if version < schema.SCHEMA_VERSION:
+            if meta["schema_version"] > schema.SCHEMA_VERSION:
+                raise ValueError(f"the index has schema {meta['schema_version']}, this engine knows {schema.SCHEMA_VERSION}")
+            if meta["schema_version"] < schema.SCHEMA_VERSION:
                 self.clear()
                 return None
-            if version == schema.SCHEMA_VERSION:
-                files = self.spark.read.schema(schema.FILES).parquet(f"{self.root}/{meta['snapshot']}/files")
-                symbols = self.spark.read.schema(schema.SYMBOLS).parquet(f"{self.root}/{meta['snapshot']}/symbols")
-                return (files, symbols) if files.limit(1).count() else None
-        except Exception:  # noqa: BLE001 - whatever can't be read is set aside
+            if (problem := self._problem(meta["snapshot"])) is not None:
+                raise Unreadable(problem)
+            files, symbols = self._tables(meta["snapshot"])
+            return (files, symbols) if files.limit(1).count() else None
+        except Unreadable:
             self.quarantine()
             return None
-        raise ValueError(f"the index has schema {version}, this engine knows {schema.SCHEMA_VERSION}")
+
+    def _problem(self, name: str) -> str | None:
+        """What keeps a snapshot's files from being read, by their footers alone; a job that fails otherwise raises."""
+        for table in ("files", "symbols"):
+            if not self._fs().exists(self._path(f"{name}/{table}/_SUCCESS")):
+                return f"{table} isn't whole"
+            try:
+                self.spark.read.parquet(f"{self.root}/{name}/{table}")  # reads a footer
+            except Exception as e:  # noqa: BLE001 - py4j and Spark wrap the cause
+                if any(x in str(e) for x in ("not a Parquet file", "read footer", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER")):
+                    return f"{table}: {str(e)[:200]}"
+                raise
+        return None
+
+    def integrity(self) -> str:
+        """``ok``, ``not opened`` where there is no index, or what is wrong: every row is read, and each symbol must be of a known file."""
+        try:
+            meta = self._meta()
+            if meta is None:
+                return "not opened"
+            if (problem := self._problem(meta["snapshot"])) is not None:
+                return problem
+            files, symbols = self._tables(meta["snapshot"])
+            twice = files.groupBy("relative_path").count().filter("count > 1").limit(1).count()
+            lost = symbols.select("relative_path").distinct().join(files, "relative_path", "left_anti").limit(1).count()
+            counted = symbol_counts(files, symbols).join(files.select("relative_path", F.col("symbol_count").alias("_said")), "relative_path").filter("symbol_count <> _said").limit(1).count()
+            return "a file has two rows" if twice else "symbols of no file" if lost else "symbol counts differ" if counted else "ok"
+        except Unreadable as e:
+            return str(e)
 
     def publish(self, files: DataFrame, symbols: DataFrame) -> str:
         name = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
@@ -123,14 +206,21 @@ class Store:
         return name
 
     def _point(self, name: str, version: int = schema.SCHEMA_VERSION) -> None:
-        fs, new, live = self._fs(), self._path(f"CURRENT.{uuid.uuid4().hex[:8]}"), self._path("CURRENT")
+        fs, new = self._fs(), self._path(f"pointer.{uuid.uuid4().hex[:8]}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps({"snapshot": name, "schema_version": version}).encode()))
         out.close()
-        if fs.exists(live):
-            fs.delete(live, False)
-        if not fs.rename(new, live):
-            raise OSError("could not move the snapshot pointer")
+        number = max([int(p.removeprefix(self.POINTER)) for p in self._pointers()], default=0) + 1
+        while not fs.rename(new, self._path(f"{self.POINTER}{number:012d}")):  # another writer took the number
+            if not fs.exists(new):
+                raise OSError("could not move the snapshot pointer")
+            number += 1
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        """``df``, written once to the store's staging folder; ``compact`` removes it."""
+        path = f"{self.root}/staging-{label}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def apply(self, metadata: DataFrame, added: DataFrame, removed: DataFrame) -> str | None:
         """Publish the live snapshot changed by a changeset; nothing is written for an empty one."""
@@ -140,11 +230,12 @@ class Store:
         return self.publish(apply_files(files, metadata, removed), apply_symbols(symbols, added, metadata, removed))
 
     def compact(self, keep: int = 1) -> list[str]:
-        """Remove all snapshots but the newest ``keep`` and the live one."""
-        meta, fs = self._meta(), self._fs()
-        names = sorted(s.getPath().getName() for s in fs.listStatus(self._path("")) if s.isDirectory() and ".corrupt-" not in s.getPath().getName())
-        old = [n for n in names[: len(names) - keep] if meta is None or n != meta["snapshot"]]
-        for n in old:
+        """Remove all snapshots but the newest ``keep`` and the live one, old pointers, and what was staged."""
+        meta, fs, names = self._meta(), self._fs(), self._names()
+        snapshots = sorted(n for n, folder in names if folder and n[:13].isdigit())
+        old = [n for n in snapshots[: max(0, len(snapshots) - keep)] if meta is None or n != meta["snapshot"]]
+        rest = [n for n, folder in names if folder and n.startswith("staging-") or not folder and n.startswith("pointer.")]
+        for n in [*old, *rest, *self._pointers()[:-1]]:
             fs.delete(self._path(n), True)
         return old
 
@@ -161,19 +252,34 @@ class Store:
         return to
 
 
+class Unreadable(Exception):
+    """A pointer or a footer that can't be read."""
+
+
+class Cancelled(Exception):
+    """A sync or a search that its caller stopped."""
+
+
 class Status(Enum):
     NONE, BUILDING, READY, STALE = "none", "building", "ready", "stale"
 
 
 class Index:
-    """The engine's face: synchronise a tree, follow changes, search, count."""
+    """The engine's face: synchronise a tree, follow changes, search, count.
+
+    One sync runs at a time. Callers of ``synchronize`` that come while one runs share its result; ``sync_dirty`` waits for its turn.
+    """
+
+    KEEP = 2  # snapshots that stay after a sync, so that readers of the one before aren't cut off
 
-    def __init__(self, spark: SparkSession, root: str, store: str, extensions=corpus.EXTENSIONS, excludes=corpus.EXCLUDES, include_paths=()):
-        self.spark, self.root, self.store = spark, root, Store(spark, store)
+    def __init__(self, spark: SparkSession, root: str, store: str, extensions=corpus.EXTENSIONS, excludes=corpus.EXCLUDES, include_paths=(), enabled: bool = True):
+        self.spark, self.root, self.store, self.enabled = spark, corpus.canonical_root(root), Store(spark, store), enabled
         self.scan = dict(extensions=extensions, excludes=excludes, include_paths=include_paths)
         self.status, self.errors, self._dirty, self._gone = Status.NONE, None, set(), set()
-        self._lock, self._running = threading.Lock(), None
+        self._lock, self._turn, self._running, self._cancel = threading.Lock(), threading.Lock(), None, None
         self.on_status: list[Callable[[Status], None]] = []
+        self.on_stats: list[Callable[[dict], None]] = []
+        self.warnings: list[str] = []
 
     def _set(self, status: Status) -> None:
         if status is not self.status:
@@ -181,26 +287,71 @@ class Index:
             for f in self.on_status:
                 f(status)
 
+    def _emit_stats(self) -> None:
+        if self.on_stats:
+            now = self.stats()
+            for f in self.on_stats:
+                f(now)
+
     def load(self) -> bool:
         found = self.store.load() is not None
         self._set(Status.READY if found else Status.NONE)
+        self._emit_stats()
         return found
 
     def mark(self, path: str, removed: bool = False) -> None:
         """Note a change or removal; the last of a path counts."""
-        (self._dirty.discard if removed else self._gone.discard)(path)
-        (self._gone if removed else self._dirty).add(path)
+        with self._lock:
+            (self._dirty.discard if removed else self._gone.discard)(path)
+            (self._gone if removed else self._dirty).add(path)
         if self.status is Status.READY:
             self._set(Status.STALE)
 
+    @property
+    def sync_in_progress(self) -> bool:
+        return self._turn.locked()
+
+    def cancel(self) -> None:
+        """Stop the sync that runs: its Spark jobs are cancelled, nothing of it is published."""
+        tag = self._cancel
+        if tag is not None:
+            tag["stop"] = True
+            self.spark.sparkContext.cancelJobsWithTag(tag["name"])
+
+    def drain(self, timeout: float = 60.0) -> bool:
+        """Wait until no sync runs; after ``timeout`` seconds give up, with a warning."""
+        if not self._turn.acquire(timeout=timeout):
+            self.warnings.append(f"a sync still ran after {timeout:g} s")
+            return False
+        self._turn.release()
+        return True
+
+    def _in_turn(self, work: Callable[[], str | None]) -> str | None:
+        """``work`` alone, under a tag by which it can be cancelled."""
+        with self._turn:
+            context, tag = self.spark.sparkContext, {"name": f"sync-{uuid.uuid4().hex[:12]}", "stop": False}
+            self._cancel = tag
+            context.addJobTag(tag["name"])
+            try:
+                return work()
+            except Exception as e:
+                if tag["stop"]:
+                    raise Cancelled from e
+                raise
+            finally:
+                context.removeJobTag(tag["name"])
+                self._cancel = None
+
+    def _check(self) -> None:
+        if self._cancel and self._cancel["stop"]:
+            raise Cancelled
+
     def synchronize(self, progress: Callable[[str], None] = lambda phase: None) -> str | None:
         """Scan, classify, extract and publish; callers that come while one runs wait for it and share its result."""
         with self._lock:
-            if self._running is None:
+            mine = self._running is None
+            if mine:
                 self._running = {"done": threading.Event()}
-                mine = True
-            else:
-                mine = False
             run = self._running
         if not mine:
             run["done"].wait()
@@ -209,18 +360,14 @@ class Index:
             return run["result"]
         before = self.status
         try:
-            self._set(Status.BUILDING)
-            progress("scanning")
-            current = corpus.scan_tree(self.spark, self.root, **self.scan)
-            progress("classifying")
-            old = self.store.load()
-            previous = old[0] if old else self.spark.createDataFrame([], schema.FILES)
-            todo, removed = changed(current, previous).select("relative_path"), deleted(current, previous)
-            run["result"] = self._read_and_publish(todo, removed, progress)
+            run["result"] = self._in_turn(lambda: self._full(progress))
+            return run["result"]
+        except Cancelled as e:
+            run["error"] = e
             self._dirty.clear()
             self._gone.clear()
-            self._set(Status.READY if self.store.load() else Status.NONE)
-            return run["result"]
+            self._set(Status.STALE if self.store.load() else Status.NONE)
+            raise
         except Exception as e:
             run["error"] = e
             self._set(Status.STALE if before is not Status.NONE else Status.NONE)  # marks are kept
@@ -230,29 +377,140 @@ class Index:
                 self._running = None
             run["done"].set()
 
+    def _full(self, progress) -> str | None:
+        self._set(Status.BUILDING)
+        dirty, gone = set(self._dirty), set(self._gone)
+        progress("scanning")
+        current = corpus.scan_tree(self.spark, self.root, **self.scan)
+        progress("classifying")
+        old = self.store.load()
+        previous = old[0] if old else self.spark.createDataFrame([], schema.FILES)
+        out = self._read_and_publish(changed(current, previous).select("relative_path"), deleted(current, previous), progress)
+        self._settle(dirty, gone)
+        return out
+
+    def _settle(self, dirty: set, gone: set) -> None:
+        """After a sync: marks that it took up go; those that came meanwhile stay, and the index is stale by them."""
+        with self._lock:
+            self._dirty -= dirty
+            self._gone -= gone
+            left = self._dirty or self._gone
+        if self.store.load() is None:
+            self._set(Status.NONE)
+        else:
+            self.store.compact(self.KEEP)
+            self._set(Status.STALE if left else Status.READY)
+        self._emit_stats()
+
     def sync_dirty(self) -> str | None:
         """Read only the marked files."""
         rows = lambda paths: self.spark.createDataFrame([(p,) for p in sorted(paths)], "relative_path string")
-        dirty, gone = set(self._dirty), set(self._gone)
-        out = self._read_and_publish(rows(dirty), rows(gone), lambda phase: None)
-        self._dirty -= dirty
-        self._gone -= gone
-        self._set(Status.READY if self.store.load() else Status.NONE)
-        return out
+
+        def work() -> str | None:
+            with self._lock:
+                dirty, gone = set(self._dirty), set(self._gone)
+            out = self._read_and_publish(rows(dirty), rows(gone), lambda phase: None) if dirty or gone else None
+            self._settle(dirty, gone)
+            return out
+
+        return self._in_turn(work)
 
     def _read_and_publish(self, todo: DataFrame, removed: DataFrame, progress) -> str | None:
         progress("parsing")
-        files = corpus.scan_tree(self.spark, self.root, with_content=True, **self.scan).join(F.broadcast(todo) if todo.limit(10_001).count() <= 10_000 else todo, "relative_path", "left_semi")
-        found, errors = extract_files(files)
-        bad = errors.select("relative_path").distinct()
-        fresh = extract.symbols(found)
-        metadata = symbol_counts(files.select("relative_path", "mtime_ms", "size_bytes").join(bad, "relative_path", "left_anti"), fresh)
-        self.errors = errors
+        self._check()
+        todo, removed = self.store.stage(todo, "todo"), self.store.stage(removed, "removed")
+        n = todo.count()
+        if not n and removed.isEmpty():
+            return None
+        files = corpus.scan_tree(self.spark, self.root, with_content=True, **self.scan).join(F.broadcast(todo) if n <= 10_000 else todo, "relative_path", "left_semi")
+        read = self.store.stage(extract_rows(files), "read")  # files are read and lexed once
+        self._check()
+        bad = read.filter("error is not null").select("relative_path", "error")
+        fresh = self.store.stage(extract.symbols(read.filter("name is not null")), "symbols")
+        good = read.filter("name is null and error is null").select("relative_path", "mtime_ms", "size_bytes").join(bad.select("relative_path").distinct(), "relative_path", "left_anti")
+        self.errors = self.spark.createDataFrame(bad.limit(1_000).collect(), bad.schema)  # a report: staged files go
+        self.error_count = bad.count()
         progress("saving")
-        return self.store.apply(metadata, fresh, removed)
+        self._check()
+        return self.store.apply(symbol_counts(good, fresh), fresh, removed)
+
+    # reading
 
     def tables(self) -> tuple[DataFrame, DataFrame] | None:
-        return self.store.load() if self.status in (Status.READY, Status.STALE) else None
+        """(files, symbols) where the index is usable: enabled, and ready or stale."""
+        return self.store.load() if self.enabled and self.status in (Status.READY, Status.STALE) else None
+
+    def lines(self) -> DataFrame:
+        return corpus.split_lines(corpus.scan_tree(self.spark, self.root, with_content=True, **self.scan))
+
+    def search(self, query: str, options: schema.SearchOptions = schema.SearchOptions(), limit: int = find.PAGE, offset: int = 0, mode: str = "compat") -> DataFrame:
+        """A page of symbols with their lines; nothing where the index isn't usable. Only the page's files are read."""
+        tables = self.tables()
+        found = tables[1] if tables else self.spark.createDataFrame([], schema.SYMBOLS)
+        page = find.search(found, query, options, T.page_size(limit), offset, mode)
+        if not tables:
+            return find.result_lines(page, self.spark.createDataFrame([], schema.LINES), self.root)
+        paths = [r[0] for r in page.select("relative_path").distinct().collect()]  # at most a page
+        files = corpus.scan_tree(self.spark, self.root, with_content=True, **self.scan).filter(F.col("relative_path").isin(*paths))
+        return find.result_lines(page, corpus.split_lines(files, binary=True), self.root)
+
+    def count(self, query: str, options: schema.SearchOptions = schema.SearchOptions(), mode: str = "compat") -> int:
+        tables = self.tables()
+        return find.count_matches(tables[1], query, options, mode).first()["n"] if tables else 0
+
+    def hybrid(self, query: str, options: schema.SearchOptions = schema.SearchOptions(), limit: int = find.PAGE, offset: int = 0, include=(), exclude=(), during_sync: str = "grep") -> tuple[DataFrame, int]:
+        """(page, total): symbols; where the first page is empty or the index unusable, the full-text search; while a sync runs,
+        what ``during_sync`` (``grep`` or ``cancel``, see ``search.sync_decision``) chooses."""
+        if self.sync_in_progress:
+            page = find.during_sync(self.lines(), query, during_sync, options, include, exclude)
+            return page, page.count()
+        if self.tables():
+            page = self.search(query, options, limit, offset)
+            if offset or not page.isEmpty():
+                return page, self.count(query, options)
+        page = find.text_search(self.lines(), query, options, include, exclude, ignore=corpus.ignore_rules(self.root))
+        return page, page.count()
+
+    def stats(self) -> dict:
+        tables = self.tables()
+        return stats(*tables).first().asDict() if tables else {"files": 0, "symbols": 0}
+
+    def integrity(self) -> str:
+        return self.store.integrity()
+
+    def schema_version(self) -> int | None:
+        return self.store.version()
+
+    def clear(self) -> None:
+        with self._turn:
+            self.store.clear()
+            self._dirty.clear()
+            self._gone.clear()
+            self._set(Status.NONE)
+        self._emit_stats()
+
+
+def stoppable(spark: SparkSession, tag: str, work: Callable[[], object]):
+    """``work`` under a job tag; ``spark.sparkContext.cancelJobsWithTag(tag)`` stops it, and ``Cancelled`` rises."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        return work()
+    except Exception as e:
+        if "cancel" in str(e).lower():
+            raise Cancelled from e
+        raise
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def extract_rows(files: DataFrame, limit: int = T.DEFAULT_MAX_BYTES) -> DataFrame:
+    """One row for each file (relative_path, mtime_ms, size_bytes, content), with null name and error, and one for each symbol or error."""
+    found, errors = extract_files(files, limit)
+    none = lambda kind: F.lit(None).cast(kind)
+    empty = {"mtime_ms": "bigint", "size_bytes": "bigint", "line_number": "int", "col": "int", "name": "string", "kind": "string", "error": "string"}
+    shape = lambda df, have: df.select("relative_path", *[(F.col(c).cast(t) if c in have else none(t)).alias(c) for c, t in empty.items()])
+    out = shape(files, ("mtime_ms", "size_bytes"))
+    return out.unionByName(shape(found, ("line_number", "col", "name", "kind"))).unionByName(shape(errors, ("error",)))
 
 
 def extract_files(files: DataFrame, limit: int = T.DEFAULT_MAX_BYTES) -> tuple[DataFrame, DataFrame]:

@@ -38,7 +38,7 @@ def predicate(query: str, options: SearchOptions = SearchOptions(), mode: str =
     """The condition on (name, name_fold, tokens) that a non-empty query sets."""
     compat = mode == "compat" and bool(T.literal_tokens_of(query))
     if options.regex:
-        hit = F.col("name").rlike(query if options.case_sensitive else f"(?i){query}")
+        hit = F.col("name").rlike(query if options.case_sensitive else f"(?iu){query}")
         return phrase_match(F.col("tokens"), query) & hit if compat else hit
     if options.whole_word:
         return F.col("name") == query if options.case_sensitive else F.col("name_fold") == T.fold(query)
@@ -79,19 +79,28 @@ def path_filter(df: DataFrame, include=(), exclude=(), path: str = "relative_pat
     return df
 
 
-def text_search(lines: DataFrame, query: str, options: SearchOptions = SearchOptions(), include=(), exclude=(), skip_hidden: bool = True) -> DataFrame:
+def not_ignored(df: DataFrame, rules: list[tuple[str, bool]], path: str = "relative_path") -> DataFrame:
+    """Rows whose path no ignore rule takes out: the last rule that fits counts."""
+    ignored = F.lit(False)
+    for pattern, ignores in rules:
+        ignored = F.when(F.col(path).rlike(pattern), F.lit(ignores)).otherwise(ignored)
+    return df.filter(~ignored) if rules else df
+
+
+def text_search(lines: DataFrame, query: str, options: SearchOptions = SearchOptions(), include=(), exclude=(), skip_hidden: bool = True, ignore=()) -> DataFrame:
     """Full-text search: a row for each matching line, with the 0-based byte of its first match.
 
-    Case folds are Unicode's; lines over 4096 bytes keep their row, with a placeholder for the text.
+    Case folds are Unicode's; lines over 4096 bytes keep their row, with a placeholder for the text. ``ignore`` has the rules of ignore
+    files. Files with a NUL are binary; ``split_lines`` leaves them out.
     """
     pattern = query if options.regex else re.escape(query)
     if not query or not valid_regex(lines.sparkSession, pattern):
         return lines.select("relative_path", "line_number", F.col("line").alias("line_content"), F.lit(0).alias("match_start"), F.lit(0).alias("match_length")).limit(0)
     if options.whole_word:
         pattern = rf"(?<!\w)(?:{pattern})(?!\w)"
-    if not options.case_sensitive:
-        pattern = f"(?iu){pattern}"
-    found = path_filter(lines, include, exclude)
+    # word classes are Unicode's, as are case folds
+    pattern = ("(?U)" if options.case_sensitive else "(?iuU)") + pattern
+    found = not_ignored(path_filter(lines, include, exclude), list(ignore))
     if skip_hidden:
         found = found.filter(~F.col("relative_path").rlike(r"(^|/)\."))
     plain = not options.regex and not options.whole_word and options.case_sensitive
@@ -120,6 +129,12 @@ def either(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(rest)
 
 
+def during_sync(lines: DataFrame, query: str, action: str, options: SearchOptions = SearchOptions(), include=(), exclude=()) -> DataFrame:
+    """What a search returns while a sync runs: the full-text search where that is the choice, else nothing."""
+    found = text_search(lines, query, options, include, exclude)
+    return found if action == "grep" else found.limit(0)
+
+
 def hybrid_search(symbols: DataFrame, lines: DataFrame, query: str, options: SearchOptions = SearchOptions(), limit: int = PAGE, offset: int = 0, include=(), exclude=(), mode: str = "compat") -> DataFrame:
     """A page of symbols with their lines; where the first page is empty, the full-text search, unpaged."""
     page = result_lines(search(symbols, query, options, limit, offset, mode), lines)

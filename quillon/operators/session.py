@@ -37,7 +37,39 @@ def find_in_results(results: DataFrame, query: str, options: SearchOptions = Sea
     if options.whole_word and not options.regex:
         pattern = rf"\b{pattern}\b"
     text = F.concat_ws("\n", "line_content", "relative_path")
-    return results.filter(text.rlike(pattern if options.case_sensitive else f"(?i){pattern}"))
+    return results.filter(text.rlike(pattern if options.case_sensitive else f"(?iu){pattern}"))
+
+
+def hit_label(hits: int, active: int, query: str, valid: bool = True) -> str:
+    """The label of a find in results: which of how many."""
+    if not valid:
+        return "Invalid regex"
+    return f"{active + 1} of {hits}" if query and hits else "No results"
+
+
+def numbered_hits(results: DataFrame, query: str, options: SearchOptions = SearchOptions(), index: str = "global_index") -> DataFrame:
+    """Hits of a find in results with ``k`` (from 1) and ``n``; results are a loaded page."""
+    hits = find_in_results(results, query, options)
+    return hits.withColumns({"k": F.row_number().over(Window.orderBy(index)), "n": F.count("*").over(Window.partitionBy())})
+
+
+def first_in_file(results: DataFrame, path: str, line_number: int | None = None, index: str = "global_index") -> DataFrame:
+    """The first result of a file, or of a line in it."""
+    here = results.filter(F.col("relative_path") == path)
+    here = here if line_number is None else here.filter(F.col("line_number") == line_number)
+    return here.orderBy(index).limit(1)
+
+
+def in_open_file(results: DataFrame, file_path: str, line_count: int) -> DataFrame:
+    """Results that an open file shows: of its path, on lines that it has, with the end of the match cut at the line's end."""
+    here = results.filter((F.col("file_path") == file_path) & F.col("line_number").between(1, line_count))
+    return here.withColumn("match_end", F.least(F.col("match_start") + F.col("match_length"), F.char_length("line_content")))
+
+
+def toggled(marks: list[dict], text: str) -> list[dict]:
+    """Highlights with that of ``text`` taken out, or put at the end with the next color."""
+    rest = [m for m in marks if m["text"] != text]
+    return rest if len(rest) < len(marks) else [*marks, {"text": text, "color_index": len(marks)}]
 
 
 def occurrences(lines: DataFrame, texts: DataFrame) -> DataFrame:
@@ -84,7 +116,7 @@ class Session:
     def __init__(self, wrap: bool = True):
         self.entries: dict[str, Entry] = {}
         self.active: str | None = None
-        self.cursor, self.wrap = -1, wrap
+        self.cursor, self.wrap, self.error = -1, wrap, None
         self.listeners: list[Callable[[], None]] = []
 
     def _changed(self) -> None:
@@ -101,6 +133,18 @@ class Session:
         self._changed()
         return name
 
+    def run(self, query: str, options: SearchOptions, fetch: Callable[[], tuple[list, int]], append: bool = False) -> int:
+        """Search and add what ``fetch`` finds, (results, total); where it fails, entries stay as they are and the count is 0."""
+        try:
+            results, total = fetch()
+        except Exception as e:  # noqa: BLE001 - a failed search shows as one without results
+            self.error = e
+            self._changed()
+            return 0
+        self.error = None
+        self.add(query, options, results, append, total)
+        return total
+
     def results(self) -> list:
         return list(enumerate(self.entries[self.active].results)) if self.active else []
 

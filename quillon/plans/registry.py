@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,6 +11,7 @@ from quillon import schema
 from quillon.functions import text as T
 from quillon.operators import extract, index, search, session
 from quillon.schema import SearchOptions
+from quillon.session import scratch_dir
 from quillon.sources import corpus
 from quillon.streaming import changes
 
@@ -17,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-# SQL of the synthetic corpus and what is extracted from it
+# SQL of the synthetic corpus and what is extracted from it. The definition patterns, as in `extract`.
 
 CORPUS = """
 corpus as (select path as relative_path, row_number() over (partition by path order by tag, k)::int as line_number, line from (
@@ -61,17 +63,33 @@ for _kind in ("macro", "struct", "function"):
 
 
 def brace_next_line(spark: SparkSession, sf: str) -> DataFrame:
-    """Function heads whose brace is put on a line of its own."""
-    lines = corpus.synthetic_lines(spark, sf).filter("line like 'static%'")
-    two = lines.select("relative_path", F.posexplode(F.array(F.regexp_replace("line", r" \{$", ""), F.lit("{"))).alias("p", "line"), (F.col("line_number") * 2).alias("n"))
+    """All lines, with each brace at a line's end put on a line of its own: functions are found, types aren't."""
+    lines = corpus.synthetic_lines(spark, sf)
+    parts = F.array(F.regexp_replace("line", r" \{$", ""), F.when(F.col("line").endswith(" {"), "{").otherwise(""))
+    two = lines.select("relative_path", F.posexplode(parts).alias("p", "line"), (F.col("line_number") * 2).alias("n"))
     return extract.by_line(two.select("relative_path", (F.col("n") + F.col("p")).alias("line_number"), "line")).drop("line")
 
 
-register("extract_brace_next_line", brace_next_line, f"with {SYMBOLS} select relative_path, line_number * 2 as line_number, col, name, kind from symbols where kind = 'function'")
+register("extract_brace_next_line", brace_next_line, f"with {SYMBOLS} select relative_path, line_number * 2 as line_number, col, name, kind from symbols where kind <> 'struct'")
+
+
+def _contents(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus as whole files."""
+    return corpus.synthetic_lines(spark, sf).groupBy("relative_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]), "\n").alias("content"))
+
+
+register("extract_whole_text", lambda s, d: extract.by_text(_contents(s, d)), f"with {SYMBOLS} select relative_path, line_number, 0 as col, name, kind from symbols")
 register(
-    "extract_whole_text",
-    lambda s, d: extract.by_text(corpus.synthetic_lines(s, d).groupBy("relative_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]), "\n").alias("content"))),
-    f"with {SYMBOLS} select relative_path, line_number, 0 as col, name, kind from symbols",
+    "extract_syntax_tree",
+    lambda s, d: extract.by_lexer(_contents(s, d)).select("relative_path", "line_number", "col", "name", "kind"),
+    f"""with {SYMBOLS}, lines as (select relative_path, line_number, name, kind, line from symbols)
+select relative_path, line_number, (strpos(line, name) - 1)::int as col, name, kind from lines where kind in ('macro', 'struct')
+union all select relative_path, line_number, (strpos(line, 'struct t') + 6)::int, 't', 'struct' from lines where kind = 'function'""",
+)
+register(  # one file of five megabytes
+    "extract_large_file",
+    lambda s, d: extract.by_text(s.range(140_000).select(F.concat(F.lit("#define REG_FIELD_"), F.col("id").cast("string"), F.lit("_MASK 0x0000ff")).alias("line"), "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("content")).select(F.lit("big.h").alias("relative_path"), "content")),
+    "select 'big.h' as relative_path, (i + 1)::int as line_number, 0 as col, 'REG_FIELD_' || i::varchar || '_MASK' as name, 'macro' as kind from range(140000) r(i)",
 )
 register(
     "extract_macros_only",
@@ -97,8 +115,8 @@ register(
 # search
 
 FIND = {
-    "find_exact_cs": ("customer_7_building", SearchOptions(True, True), "name = '{q}'"),
-    "find_exact_ci": ("CUSTOMER_7_Building", SearchOptions(False, True), "name_fold = lower('{q}')"),
+    "find_exact_cs": (lambda s, d: _seventh(s, d), SearchOptions(True, True), "name = (select 'customer_7_' || lower(c_mktsegment) from customer where c_custkey = 7)"),
+    "find_exact_ci": (lambda s, d: _seventh(s, d).upper(), SearchOptions(False, True), "name_fold = (select 'customer_7_' || lower(c_mktsegment) from customer where c_custkey = 7)"),
     "find_substring_ci": ("Ring", SearchOptions(), "contains(name_fold, lower('{q}')) and contains(toks, ' ring ')"),
     "find_substring_cs": ("RING", SearchOptions(True), "contains(name, '{q}') and contains(toks, ' ring ')"),
     "find_substring_no_token": ("_", SearchOptions(), "contains(name_fold, '_')"),
@@ -112,10 +130,35 @@ FIND = {
     "find_two_words": ("small ring", SearchOptions(), "contains(name_fold, 'small ring') and (contains(toks, ' small ') or contains(toks, ' ring '))"),
 }
 _ROW = "name, relative_path, line_number, col"
+
+
+def _seventh(spark: SparkSession, sf: str) -> str:
+    """A name that the corpus has at any size."""
+    segment = spark.read.parquet(f"{sf}/customer.parquet").filter("c_custkey = 7").first()["c_mktsegment"]
+    return f"customer_7_{segment.lower()}"
+
+
+_published: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The symbols of a published index, written once an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _published:
+        root = f"{scratch_dir(spark)}/quillon-index-{uuid.uuid4().hex[:12]}"
+        lines = corpus.synthetic_lines(spark, sf)
+        files = lines.groupBy("relative_path").agg(F.lit(1).alias("mtime_ms"), F.sum(F.length("line")).alias("size_bytes"), F.count("*").alias("symbol_count"))
+        index.Store(spark, root).publish(files, _symbols(spark, sf))
+        _published[key] = root
+    return index.Store(spark, _published[key]).load()[1]
+
+
 for _name, (_q, _options, _where) in FIND.items():
     _cond = _where.format(q=_q)
-    register(_name, lambda s, d, q=_q, o=_options: search.matching(_symbols(s, d), q, o).select("name", "relative_path", "line_number", "col"), f"with {SYMBOLS} select {_ROW} from symbols where {_cond}")
-    register(_name.replace("find_", "count_"), lambda s, d, q=_q, o=_options: search.count_matches(_symbols(s, d), q, o), f"with {SYMBOLS} select count(*)::bigint as n from symbols where {_cond}")
+    for _from, _source in (("", _symbols), ("stored_", _stored)):  # extracted on the way, and from an index
+        _ask = lambda s, d, q=_q: q(s, d) if callable(q) else q
+        register(_from + _name, lambda s, d, q=_ask, o=_options, f=_source: search.matching(f(s, d), q(s, d), o).select("name", "relative_path", "line_number", "col"), f"with {SYMBOLS} select {_ROW} from symbols where {_cond}")
+        register(_from + _name.replace("find_", "count_"), lambda s, d, q=_ask, o=_options, f=_source: search.count_matches(f(s, d), q(s, d), o), f"with {SYMBOLS} select count(*)::bigint as n from symbols where {_cond}")
 for _name, _q, _options, _where in (
     ("exact_mode_substring", "rin", SearchOptions(), "contains(name_fold, 'rin')"),
     ("exact_mode_regex", "dev.*|.*ring", SearchOptions(regex=True), "regexp_matches(name, '(?i)dev.*|.*ring')"),
@@ -124,16 +167,18 @@ for _name, _q, _options, _where in (
 
 _PAGE_SQL = "select name, relative_path, line_number, col, 0 as match_start, len(name)::int as match_length from symbols where contains(name_fold, 'ring') and contains(toks, ' ring ') order by relative_path, line_number, col, name"
 register("page_first", lambda s, d: search.search(_symbols(s, d), "ring"), f"with {SYMBOLS} {_PAGE_SQL} limit 200")
+register("stored_page_first", lambda s, d: search.search(_stored(s, d), "ring"), f"with {SYMBOLS} {_PAGE_SQL} limit 200")
+register("stored_page_second", lambda s, d: search.search(_stored(s, d), "ring", offset=200), f"with {SYMBOLS} {_PAGE_SQL} limit 200 offset 200")
 register("page_second", lambda s, d: search.search(_symbols(s, d), "ring", offset=200), f"with {SYMBOLS} {_PAGE_SQL} limit 200 offset 200")
 register(
     "result_lines",
-    lambda s, d: search.result_lines(search.search(_symbols(s, d), "ring", limit=50), corpus.synthetic_lines(s, d), "/work").select("file_path", "relative_path", "line_number", "line_content", "match_start", "match_length"),
-    f"with {SYMBOLS}, page as ({_PAGE_SQL} limit 50) select '/work/' || relative_path as file_path, relative_path, line_number, coalesce(c.line, '') as line_content, match_start, match_length from page left join corpus c using (relative_path, line_number)",
+    lambda s, d: search.result_lines(search.search(_symbols(s, d), "ring"), corpus.synthetic_lines(s, d), "/work").select("file_path", "relative_path", "line_number", "line_content", "match_start", "match_length"),
+    f"with {SYMBOLS}, page as ({_PAGE_SQL} limit {search.PAGE}) select '/work/' || relative_path as file_path, relative_path, line_number, coalesce(c.line, '') as line_content, match_start, match_length from page left join corpus c using (relative_path, line_number)",
 )
-register(
+register(  # every symbol's line, and a line after each file's end
     "line_lookup",
-    lambda s, d: corpus.line_at(corpus.synthetic_lines(s, d), s.range(0, 60, 1).select(F.lit("src/nation_3.cpp").alias("relative_path"), F.col("id").cast("int").alias("line_number"))),
-    f"with {CORPUS} select 'src/nation_3.cpp' as relative_path, i::int as line_number, coalesce(line, '') as line from range(0, 60) r(i) left join corpus on relative_path = 'src/nation_3.cpp' and line_number = i",
+    lambda s, d: corpus.line_at(corpus.synthetic_lines(s, d), _symbols(s, d).select("relative_path", "line_number").unionByName(_symbols(s, d).groupBy("relative_path").agg((F.max("line_number") + 1).alias("line_number"))).distinct()),
+    f"with {SYMBOLS}, wanted as (select relative_path, line_number from symbols union select relative_path, max(line_number) + 1 from symbols group by 1) select relative_path, line_number, coalesce(line, '') as line from wanted left join corpus using (relative_path, line_number)",
 )
 register(
     "preview_window",
@@ -142,8 +187,8 @@ register(
 )
 register(
     "global_index",
-    lambda s, d: session.numbered(search.search(_symbols(s, d), "ring", limit=50), ["relative_path", "line_number", "col", "name"]).select("name", F.col("global_index").cast("int").alias("global_index")),
-    f"with {SYMBOLS}, page as ({_PAGE_SQL} limit 50) select name, (row_number() over (order by relative_path, line_number, col, name) - 1)::int as global_index from page",
+    lambda s, d: session.numbered(search.search(_symbols(s, d), "ring"), ["relative_path", "line_number", "col", "name"]).select("name", F.col("global_index").cast("int").alias("global_index")),
+    f"with {SYMBOLS}, page as ({_PAGE_SQL} limit {search.PAGE}) select name, (row_number() over (order by relative_path, line_number, col, name) - 1)::int as global_index from page",
 )
 register(
     "search_filtered",
@@ -169,7 +214,7 @@ register(
 register(
     "grep_word",
     lambda s, d: search.text_search(corpus.document_lines(s, d), "the", SearchOptions(whole_word=True)).select("relative_path", "line_number"),
-    f"with {DOC_LINES} select relative_path, line_number from doc_lines where regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)')",
+    f"with {DOC_LINES} select relative_path, line_number from doc_lines where regexp_matches(line, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}])the([^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]|$)')",
 )
 register(
     "grep_regex",
@@ -290,8 +335,8 @@ register(
 )
 register(
     "parse_batches",
-    lambda s, d: index.batches(_files(s, d, False).select("relative_path")).groupBy("batch").agg(F.count("*").alias("n")).agg(F.max(F.col("n") <= index.BATCH).alias("fits"), F.sum("n").alias("files")),
-    "select true as fits, count(*)::bigint as files from orders where o_orderkey % 13 <> 0",
+    lambda s, d: index.batches(_files(s, d, False).select("relative_path")).select("relative_path", F.col("batch").cast("bigint").alias("batch")),
+    f"with {_ORDERS} select relative_path, ((row_number() over (order by relative_path) - 1) // 128)::bigint as batch from orders_ where k % 13 <> 0",
 )
 
 # change streams (batch form; tests run them as streams)
@@ -304,7 +349,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 register(
     "last_event_wins",
-    lambda s, d: _events(s, d).groupBy("relative_path").agg(F.max_by("op", F.struct("ts", "event_id")).alias("op")),
+    lambda s, d: changes.last_event(_events(s, d), tie="event_id").select("relative_path", "op"),
     "select user_id::varchar as relative_path, arg_max(case event_type when 'error' then 'delete' when 'signup' then 'create' else 'change' end, row(ts, event_id)) as op from events group by 1",
 )
 register(
@@ -318,12 +363,12 @@ select epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us, count(*)::bi
 # session
 
 
-def _loaded(spark: SparkSession, sf: str, limit: int = 50) -> DataFrame:
-    page = search.result_lines(search.search(_symbols(spark, sf), "ring", limit=limit), corpus.synthetic_lines(spark, sf))
+def _loaded(spark: SparkSession, sf: str) -> DataFrame:
+    page = search.result_lines(search.search(_symbols(spark, sf), "ring"), corpus.synthetic_lines(spark, sf))
     return session.numbered(page, ["relative_path", "line_number", "col", "name"])
 
 
-_LOADED = f"{SYMBOLS}, page as ({_PAGE_SQL} limit 50), loaded as (select page.*, c.line as line_content, (row_number() over (order by relative_path, line_number, col, name) - 1)::int as global_index from page join corpus c using (relative_path, line_number))"
+_LOADED = f"{SYMBOLS}, page as ({_PAGE_SQL} limit {search.PAGE}), loaded as (select page.*, c.line as line_content, (row_number() over (order by relative_path, line_number, col, name) - 1)::int as global_index from page join corpus c using (relative_path, line_number))"
 register(
     "navigate_wrap",
     lambda s, d: session.neighbours(_loaded(s, d)).select("name", F.col("next_index").cast("int").alias("next_index"), F.col("previous_index").cast("int").alias("previous_index")),
@@ -336,53 +381,15 @@ register(
 )
 register(
     "find_in_results",
-    lambda s, d: session.find_in_results(_loaded(s, d), "big").select("name", "line_content"),
-    f"with {_LOADED} select name, line_content from loaded where regexp_matches(line_content || chr(10) || relative_path, '(?i)big')",
+    lambda s, d: session.numbered_hits(_loaded(s, d), "brand_1").select("name", "line_content", F.col("k").cast("int").alias("k"), F.col("n").cast("int").alias("n")),
+    f"with {_LOADED} select name, line_content, (row_number() over (order by global_index))::int as k, (count(*) over ())::int as n from loaded where regexp_matches(line_content || chr(10) || relative_path, '(?i)brand_1')",
 )
 register(
     "jump_to_result",
-    lambda s, d: _loaded(s, d).filter("relative_path = 'include/brand_11.h'").orderBy("global_index").limit(1).select("name"),
+    lambda s, d: session.first_in_file(_loaded(s, d), "include/brand_11.h").select("name"),
     f"with {_LOADED} select name from loaded where relative_path = 'include/brand_11.h' order by global_index limit 1",
 )
 
-# the queries above that run on 50 rows, on the default page
-_WHOLE = _LOADED.replace("limit 50", f"limit {search.PAGE}")
-register(
-    "result_lines_whole_page",
-    lambda s, d: search.result_lines(search.search(_symbols(s, d), "ring"), corpus.synthetic_lines(s, d), "/work").select("file_path", "relative_path", "line_number", "line_content", "match_start", "match_length"),
-    f"with {SYMBOLS}, page as ({_PAGE_SQL} limit {search.PAGE}) select '/work/' || relative_path as file_path, relative_path, line_number, coalesce(c.line, '') as line_content, match_start, match_length from page left join corpus c using (relative_path, line_number)",
-)
-register(
-    "line_lookup_all_symbols",
-    lambda s, d: corpus.line_at(corpus.synthetic_lines(s, d), _symbols(s, d).select("relative_path", "line_number").distinct()),
-    f"with {SYMBOLS}, wanted as (select distinct relative_path, line_number from symbols) select relative_path, line_number, coalesce(line, '') as line from wanted left join corpus using (relative_path, line_number)",
-)
-register(
-    "global_index_whole_page",
-    lambda s, d: session.numbered(search.search(_symbols(s, d), "ring"), ["relative_path", "line_number", "col", "name"]).select("name", F.col("global_index").cast("int").alias("global_index")),
-    f"with {SYMBOLS}, page as ({_PAGE_SQL} limit {search.PAGE}) select name, (row_number() over (order by relative_path, line_number, col, name) - 1)::int as global_index from page",
-)
-register(
-    "navigate_wrap_whole_page",
-    lambda s, d: session.neighbours(_loaded(s, d, search.PAGE)).select("name", F.col("next_index").cast("int").alias("next_index"), F.col("previous_index").cast("int").alias("previous_index")),
-    f"with {_WHOLE} select name, ((global_index + 1) % count(*) over ())::int as next_index, ((global_index - 1 + count(*) over ()) % count(*) over ())::int as previous_index from loaded",
-)
-register(
-    "navigate_ends_whole_page",
-    lambda s, d: session.neighbours(_loaded(s, d, search.PAGE), wrap=False).select("name", *[F.coalesce(F.col(c), F.lit(-1)).cast("int").alias(c) for c in ("next_index", "previous_index")]),
-    f"with {_WHOLE} select name, coalesce(lead(global_index) over (order by global_index), -1)::int as next_index, coalesce(lag(global_index) over (order by global_index), -1)::int as previous_index from loaded",
-)
-register(
-    "find_in_results_whole_page",
-    lambda s, d: session.find_in_results(_loaded(s, d, search.PAGE), "big").select("name", "line_content"),
-    f"with {_WHOLE} select name, line_content from loaded where regexp_matches(line_content || chr(10) || relative_path, '(?i)big')",
-)
-register(
-    "jump_to_result_whole_page",
-    lambda s, d: _loaded(s, d, search.PAGE).filter("relative_path = 'include/brand_11.h'").orderBy("global_index").limit(1).select("name"),
-    f"with {_WHOLE} select name from loaded where relative_path = 'include/brand_11.h' order by global_index limit 1",
-)
-
 register(
     "highlight_positions",
     lambda s, d: session.occurrences(corpus.synthetic_lines(s, d), s.createDataFrame([("ring", "red"), ("11", "blue")], "text string, color string")).select("relative_path", "line_number", F.col("at").cast("int").alias("at"), "text", "color"),
@@ -416,11 +423,6 @@ register(
 )
 register(
     "extract_tokens",
-    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(T.literal_tokens(F.col("text"))).alias("n"), F.array_join(F.slice(T.literal_tokens(F.col("text")), 1, 20), "|").alias("first")),
-    "select doc_id, len(t)::int as n, array_to_string(t[1:20], '|') as first from (select doc_id, regexp_extract_all(text, '[A-Za-z0-9_一-鿿]{2,}') as t from documents)",
-)
-register(  # extract_tokens shows the first 20 alone
-    "extract_tokens_whole",
     lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(T.literal_tokens(F.col("text"))).alias("n"), F.md5(F.array_join(T.literal_tokens(F.col("text")), "|").cast("binary")).alias("digest")),
     "select doc_id, len(t)::int as n, md5(array_to_string(t, '|')) as digest from (select doc_id, regexp_extract_all(text, '[A-Za-z0-9_一-鿿]{2,}') as t from documents)",
 )
@@ -451,13 +453,31 @@ register(
 )
 register(
     "progress_running",
-    lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.sum("n_nationkey").over(session.Window.orderBy("n_nationkey").rowsBetween(session.Window.unboundedPreceding, 0)).cast("bigint").alias("done")),
-    "select n_nationkey, sum(n_nationkey) over (order by n_nationkey)::bigint as done from nation",
+    lambda s, d: index.progress(index.batches(_files(s, d, False))).select(F.col("batch").cast("bigint").alias("batch"), "files_done", "bytes_done"),
+    f"with {_ORDERS}, cut as (select (row_number() over (order by relative_path) - 1) // 128 as batch, k % 100 + case when k % 17 = 0 then 1 else 0 end as size from orders_ where k % 13 <> 0) select batch::bigint as batch, sum(count(*)) over (order by batch)::bigint as files_done, sum(sum(size)) over (order by batch)::bigint as bytes_done from cut group by batch",
 )
 register(
     "diagnostics_json",
-    lambda s, d: s.read.parquet(f"{d}/nation.parquet").select(F.to_json(F.struct(F.lit("parse").alias("event"), F.col("n_name").alias("file"), F.lit(1).alias("pid"))).alias("line")),
-    """select '{"event":"parse","file":"' || n_name || '","pid":1}' as line from nation""",
+    lambda s, d: s.read.parquet(f"{d}/nation.parquet").select(T.diagnostic_line(F.lit("file:parseDone"), F.lit(1), F.col("n_nationkey"), file=F.col("n_name")).alias("line")),
+    """select '{"t":' || n_nationkey::varchar || ',"event":"file:parseDone","pid":1,"file":"' || n_name || '"}' as line from nation""",
+)
+register(
+    "highlight_html",
+    lambda s, d: corpus.synthetic_lines(s, d).select("relative_path", "line_number", T.highlighted(F.col("line"), [("CUSTOMER", "red"), ("&", "blue")]).alias("html")),
+    f"""with {CORPUS} select relative_path, line_number, regexp_replace(regexp_replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+  '&amp;', '<span class="manual-highlight" style="background:blue;color:#1e1e1e;border-color:transparent">&amp;</span>', 'g'),
+  'customer', '<span class="manual-highlight" style="background:red;color:#1e1e1e;border-color:transparent">CUSTOMER</span>', 'gi') as html from corpus""",
+)
+register(
+    "ignore_files",
+    lambda s, d: search.not_ignored(corpus.synthetic_lines(s, d).select("relative_path").distinct(), T.ignore_rules("include/\n*_1.cpp\n!include/brand_11.h\n/src/nation_2*\n")),
+    f"with {CORPUS} select distinct relative_path from corpus where not ((relative_path like 'include/%' and relative_path <> 'include/brand_11.h') or relative_path like '%\\_1.cpp' escape '\\' or relative_path like 'src/nation\\_2%' escape '\\')",
+)
+register("file_metadata", lambda s, d: index.file_metadata(_files(s, d, True), "f/1.c"), f"with {_ORDERS} select relative_path, k * 10 as mtime_ms, k % 100 as size_bytes, (k % 3)::int as symbol_count from orders_ where k = 1")
+register(
+    "open_file_results",
+    lambda s, d: session.in_open_file(_loaded(s, d), "/include/brand_11.h", 30).select("name", "line_number", "match_end"),
+    f"with {_LOADED} select name, line_number, least(match_start + match_length, len(line_content))::int as match_end from loaded where relative_path = 'include/brand_11.h' and line_number between 1 and 30",
 )
 register(
     "counts_by_kind",

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from quillon.functions import text as T
 from quillon.operators.search import path_filter
 
+# The settings' defaults.
 EXTENSIONS = (".c", ".h", ".cpp", ".hpp", ".cc", ".cxx", ".hxx", ".inl")
 EXCLUDES = ("**/build/**", "**/.git/**", "**/node_modules/**")
 
@@ -33,10 +36,11 @@ def scan_tree(spark: SparkSession, root: str, extensions=EXTENSIONS, excludes=EX
     return out.dropDuplicates(["relative_path"]) if len(tops) > 1 else out
 
 
-def split_lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """(relative_path, line_number, line): lines from 1, cut at line feeds, a trailing carriage return stripped."""
+def split_lines(files: DataFrame, content: str = "content", binary: bool = False) -> DataFrame:
+    """(relative_path, line_number, line): lines from 1, cut at line feeds alone; files with a NUL only where ``binary``."""
+    files = files if binary else files.filter(~F.coalesce(F.col(content).contains("\0"), F.lit(False)))
     rows = files.select("relative_path", F.posexplode(F.split(F.col(content), "\n")).alias("i", "line"))
-    return rows.select("relative_path", (F.col("i") + 1).alias("line_number"), F.regexp_replace("line", "\r$", "").alias("line"))
+    return rows.select("relative_path", (F.col("i") + 1).alias("line_number"), "line")
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +50,19 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_lines(docs.filter("text is not null").select(path.alias("relative_path"), "text"), "text")
 
 
+def canonical_root(root: str) -> str:
+    """A local root without links and relative parts; other file systems' roots, and what can't be resolved, as they are."""
+    if "://" in root and not root.startswith("file://"):
+        return root.rstrip("/")
+    return os.path.realpath(os.path.abspath(root.removeprefix("file://")))
+
+
+def ignore_rules(root: str, names: tuple[str, ...] = (".gitignore", ".ignore")) -> list[tuple[str, bool]]:
+    """The rules of a local root's own ignore files."""
+    files = [os.path.join(canonical_root(root), n) for n in names]
+    return [rule for f in files if os.path.isfile(f) for rule in T.ignore_rules(open(f, encoding="utf-8", errors="replace").read())]
+
+
 def synthetic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A code corpus from parts (macros), suppliers (structs) and customers (functions): (relative_path, line_number, line)."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")

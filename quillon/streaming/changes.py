@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon.operators.search import path_filter
 from quillon.schema import CHANGES
@@ -27,12 +28,56 @@ def debounce(events: DataFrame, gap: str = "5 seconds", keys: tuple[str, ...] =
 
     On a stream, give ``events`` a watermark first: a run is put out once the watermark passes its end.
     """
+    if not keys and not events.isStreaming:
+        return _debounced(events, gap)
     window = F.session_window("ts", gap)
-    whole = [F.pmod(F.hash("ts"), F.lit(1)).alias("_whole")] if events.isStreaming and not keys else []  # streams need a key
+    whole = [F.pmod(F.hash("ts"), F.lit(1)).alias("_whole")] if not keys else []  # streams need a key
     out = events.groupBy(window, *keys, *whole).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
     return out.select(*keys, "first_ts", "last_ts", "n", F.col("session_window.end").alias("fires_at"))
 
 
+def _debounced(events: DataFrame, gap: str) -> DataFrame:
+    """Runs over all events of a table: events within one ``gap`` of the clock are one row before rows are put in order."""
+    step = F.expr(f"interval {gap}")
+    buckets = events.filter("ts is not null").groupBy(F.window("ts", gap).getField("start").alias("_at")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+    order = Window.orderBy("_at")
+    runs = buckets.withColumn("_new", F.when(F.col("first_ts") <= F.lag("last_ts").over(order) + step, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    out = runs.groupBy("_run").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n").alias("n"))
+    return out.select("first_ts", "last_ts", "n", (F.col("last_ts") + step).alias("fires_at"))
+
+
+class AutoSync:
+    """Runs ``flush`` once no mark has come for ``delay`` seconds; off where not enabled or disposed of."""
+
+    def __init__(self, flush: Callable[[], object], delay: float = 5.0, enabled: bool = True):
+        self.flush_, self.delay, self.enabled = flush, delay, enabled
+        self.marked, self.timer, self.disposed, self.lock = set(), None, False, threading.Lock()
+
+    def mark(self, path: str) -> None:
+        with self.lock:
+            self.marked.add(path)
+            if not self.enabled or self.disposed:
+                return
+            if self.timer is not None:
+                self.timer.cancel()
+            self.timer = threading.Timer(self.delay, self.flush)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def flush(self) -> None:
+        with self.lock:
+            if not self.marked or self.disposed:
+                return
+            self.marked.clear()
+        self.flush_()
+
+    def dispose(self) -> None:
+        with self.lock:
+            self.disposed = True
+            if self.timer is not None:
+                self.timer.cancel()
+
+
 def follow(changes: DataFrame, flush: Callable[[DataFrame, DataFrame], None], checkpoint: str, once: bool = True):
     """Run ``flush(dirty, removed)`` (paths) for each micro-batch of a change stream; returns the query."""
 

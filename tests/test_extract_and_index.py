@@ -1,11 +1,14 @@
 """Extractors, the index store, synchronisation, sessions and change streams."""
 
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import extract, index, session
+from quillon.functions import text as T
+from quillon.operators import extract, index, search, session
 from quillon.operators.index import Index, Status, Store
 from quillon.schema import SearchOptions
 from quillon.sources import corpus
@@ -119,12 +122,147 @@ def test_store_versions_and_quarantine(spark, tmp_path):
     store._point(name, 0)
     assert store.load() is None and not os.path.exists(tmp_path / "s")
     store.publish(files, symbols)
-    (tmp_path / "s" / "CURRENT").write_text("{broken")
-    for crc in (tmp_path / "s").glob(".CURRENT*"):
-        crc.unlink()
+    (tmp_path / "s" / "live-000000000009").write_text("{broken")
     assert store.load() is None and any(".corrupt-" in p for p in os.listdir(tmp_path))
 
 
+def test_a_crash_at_any_step_leaves_a_whole_index(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    files = lambda n: spark.createDataFrame([(f"{i}.c", 1, 2, 0) for i in range(n)], "relative_path string, mtime_ms long, size_bytes long, symbol_count int")
+    symbols = extract.symbols(spark.createDataFrame([], "name string, kind string, relative_path string, line_number int, col int"))
+    store.publish(files(1), symbols)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))  # after the tables, before the pointer
+        with pytest.raises(RuntimeError):
+            store.publish(files(2), symbols)
+    assert store.load()[0].count() == 1
+    (tmp_path / "s" / "pointer.abc").write_text('{"snap')  # a pointer that was being written
+    assert store.load()[0].count() == 1
+    store.publish(files(3), symbols)
+    assert store.load()[0].count() == 3 and len(store._pointers()) == 2
+    store.compact()
+    assert store.load()[0].count() == 3 and len(store._pointers()) == 1 and not (tmp_path / "s" / "pointer.abc").exists()
+    # errors that aren't the store's don't set it aside
+    with monkeypatch.context() as m:
+        m.setattr(store, "_meta", lambda: (_ for _ in ()).throw(RuntimeError("executor lost")))
+        with pytest.raises(RuntimeError, match="executor lost"):
+            store.load()
+    assert store.load()[0].count() == 3 and not any(".corrupt-" in p for p in os.listdir(tmp_path))
+    # a snapshot with a broken table is set aside
+    live = store._meta()["snapshot"]
+    for f in (tmp_path / "s" / live / "symbols").glob("*.parquet"):
+        f.write_bytes(b"junk")
+    for f in (tmp_path / "s" / live / "symbols").glob(".*.crc"):
+        f.unlink()
+    assert store.integrity() != "ok"
+    assert store.load() is None and any(".corrupt-" in p for p in os.listdir(tmp_path))
+
+
+def test_a_file_that_fails_keeps_its_old_rows(spark, tree, tmp_path, monkeypatch):
+    idx = Index(spark, str(tree), str(tmp_path / "index"))
+    idx.synchronize()
+    (tree / "src/util.c").write_text("int changed(void) { return 1; }\n")
+    plain = index.extract_rows
+
+    def failing(files, *a):
+        rows = plain(files, *a)
+        bad = F.col("relative_path") == "src/util.c"
+        return rows.withColumns({"error": F.when(bad & F.col("name").isNotNull(), F.lit("src/util.c: broken")).otherwise(F.col("error")), "name": F.when(~bad, F.col("name"))})
+
+    monkeypatch.setattr(index, "extract_rows", failing)
+    idx.mark("src/util.c")
+    idx.sync_dirty()
+    assert {r["name"] for r in idx.tables()[1].collect()} == {"add", "subtract", "UTIL_MAX"}
+    assert [r["error"] for r in idx.errors.collect()] == ["src/util.c: broken"]
+
+
+def test_syncs_take_turns(spark, tree, tmp_path):
+    idx = Index(spark, str(tree), str(tmp_path / "index"))
+    idx.synchronize()
+    (tree / "src/util.c").write_text("int one(void) { return 1; }\n")
+    (tree / "include/util.h").write_text("#define TWO 22\n")
+    idx.mark("src/util.c")
+    running, most, plain = [0], [0], idx._read_and_publish
+
+    def watched(*a):
+        running[0] += 1
+        most[0] = max(most[0], running[0])
+        try:
+            return plain(*a)
+        finally:
+            running[0] -= 1
+
+    idx._read_and_publish = watched
+    threads = [threading.Thread(target=f) for f in (idx.synchronize, idx.sync_dirty, idx.synchronize)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert most[0] == 1 and {r["name"] for r in idx.tables()[1].collect()} == {"one", "TWO"} and idx.integrity() == "ok"
+    assert idx.drain(1.0) and not idx.sync_in_progress
+
+
+def test_a_cancelled_sync_publishes_nothing(spark, tree, tmp_path):
+    idx = Index(spark, str(tree), str(tmp_path / "index"))
+    idx.synchronize()
+    before = idx.store._meta()["snapshot"]
+    (tree / "src/util.c").write_text("int other(void) { return 1; }\n")
+    idx.mark("src/util.c")
+    with pytest.raises(index.Cancelled):
+        idx.synchronize(lambda phase: idx.cancel() if phase == "parsing" else None)
+    assert idx.store._meta()["snapshot"] == before and idx.status is Status.STALE and not idx._dirty
+    idx._turn.acquire()
+    assert idx.sync_in_progress and not idx.drain(0.05) and idx.warnings
+    idx._turn.release()
+
+
+def test_search_and_count_of_the_index(spark, tree, tmp_path):
+    idx = Index(spark, str(tree), str(tmp_path / "index"))
+    assert idx.search("add").count() == 0 and idx.count("add") == 0 and idx.integrity() == "not opened"
+    seen = []
+    idx.on_stats.append(seen.append)
+    idx.synchronize()
+    assert seen[-1] == {"files": 2, "symbols": 3} and idx.schema_version() == 1 and idx.integrity() == "ok"
+    row = idx.search("ADD", SearchOptions(whole_word=True)).first()
+    assert row["name"] == "add" and row["file_path"] == f"{idx.root}/src/util.c" and row["line_content"].startswith("int add(")
+    assert idx.count("util") == 1 and idx.count("(", SearchOptions(regex=True)) == 0
+    page, total = idx.hybrid("subtract")
+    assert total == 1 and page.count() == 1
+    (tree / ".gitignore").write_text("include/\n# note\n*.tmp\n")
+    page, total = idx.hybrid("return a")  # no symbol: the full text
+    assert total == 2 and {r["relative_path"] for r in page.collect()} == {"src/util.c"}
+    assert idx.hybrid("3;")[1] == 0
+    idx._turn.acquire()
+    assert idx.hybrid("return a", during_sync="cancel")[1] == 0 and idx.hybrid("return a", during_sync="grep")[1] == 2
+    idx._turn.release()
+    assert index.file_metadata(idx.tables()[0], "src/util.c").first()["symbol_count"] == 2
+    off = Index(spark, str(tree), str(tmp_path / "index"), enabled=False)
+    off.load()
+    assert off.count("add") == 0
+    idx.clear()
+    assert idx.status is Status.NONE and idx.count("add") == 0
+
+
+def test_stored_search_pushes_filters(spark, tree, tmp_path):
+    idx = Index(spark, str(tree), str(tmp_path / "index"))
+    idx.synchronize()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    exact = plan(search.matching(idx.tables()[1], "ADD", SearchOptions(whole_word=True)))
+    assert "EqualTo(name_fold,add)" in exact
+    part = plan(search.matching(idx.tables()[1], "_", SearchOptions()))
+    assert "StringContains(name_fold,_)" in part
+    counted = plan(search.count_matches(idx.tables()[1], "add", SearchOptions(True, True)))
+    assert "EqualTo(name,add)" in counted and "ReadSchema: struct<name:string>" in counted
+
+
+def test_whole_text_extraction_is_linear(spark):
+    """Five MB of macros, twice as many rows in about twice the time."""
+    text = lambda n: spark.createDataFrame([("big.h", "".join(f"#define REG_FIELD_{i}_MASK 0x{i:08x}\n" for i in range(n)))], "relative_path string, content string")
+    files = text(140_000)
+    got = extract.by_text(files).agg(F.count("*").alias("n"), F.max("line_number").alias("m"), F.sum("line_number").alias("s")).first()
+    assert tuple(got) == (140_000, 140_000, 140_000 * 140_001 // 2)
+
+
 def test_upsert_clears_files_without_symbols(spark):
     have = extract.symbols(spark.createDataFrame([("old_sym", "macro", "a.c", 1, 0), ("keep", "macro", "b.c", 1, 0)], "name string, kind string, relative_path string, line_number int, col int"))
     meta = spark.createDataFrame([("a.c",)], "relative_path string")
@@ -154,6 +292,80 @@ def test_session():
     assert flat.step(1) == "a" and flat.step(1) is None
 
 
+def test_a_failed_search_keeps_entries():
+    s = session.Session()
+    s.add("q", SearchOptions(), ["a"])
+    assert s.run("bad", SearchOptions(), lambda: 1 / 0) == 0 and isinstance(s.error, ZeroDivisionError) and [r for _, r in s.results()] == ["a"]
+    assert s.run("r", SearchOptions(), lambda: (["b"], 7)) == 7 and s.error is None and [r for _, r in s.results()] == ["b"]
+
+
+def test_highlights_and_hits(spark):
+    marks = session.toggled(session.toggled([], "a"), "b")
+    assert marks == [{"text": "a", "color_index": 0}, {"text": "b", "color_index": 1}] and session.toggled(marks, "a") == [marks[1]]
+    assert session.hit_label(3, 1, "x") == "2 of 3" and session.hit_label(0, -1, "x") == "No results" == session.hit_label(3, 0, "") and session.hit_label(0, -1, "(", False) == "Invalid regex"
+    rows = spark.createDataFrame([("/w/a.c", "a.c", i, "Foo bar", i, 4, i) for i in range(4)], "file_path string, relative_path string, line_number int, line_content string, match_start int, match_length int, global_index int")
+    hits = session.numbered_hits(rows.filter("global_index <> 1"), "foo").orderBy("k").collect()
+    assert [(r["global_index"], r["k"], r["n"]) for r in hits] == [(0, 1, 3), (2, 2, 3), (3, 3, 3)]
+    assert [(r["line_number"], r["match_end"]) for r in session.in_open_file(rows, "/w/a.c", 2).orderBy("line_number").collect()] == [(1, 5), (2, 6)]
+    assert session.first_in_file(rows, "a.c").first()["global_index"] == 0 and session.first_in_file(rows, "a.c", 3).first()["global_index"] == 3 and session.first_in_file(rows, "b.c").count() == 0
+    shown = spark.range(1).select(T.highlighted(F.lit("a<B aB"), [("ab", "red"), ("<b", "blue")]).alias("h")).first()["h"]
+    assert shown.count("<span") == 2 and "&lt;b</span>" in shown and ">ab</span>" in shown
+
+
+def test_settings_and_ignore_rules(spark):
+    assert [T.page_size(x) for x in (None, 1, 200, 99_999, float("nan"), True, 60.5)] == [200, 50, 200, 10_000, 200, 200, 60]
+    assert T.merged_filters([".c"], ["x"], [], ["y"]) == ([".c"], ["x", "y"]) and T.merged_filters([".c"], ["x"], ["*.h"]) == (["*.h"], ["x"])
+    paths = ["a.tmp", "src/a.tmp", "build/x.c", "src/build/x.c", "keep.tmp", "docs/a/b.md", "docs/b.md", "x.c"]
+    rules = T.ignore_rules("# c\n*.tmp\n!keep.tmp\n/build/\ndocs/*.md\n")
+    left = search.not_ignored(spark.createDataFrame([(p,) for p in paths], "relative_path string"), rules)
+    assert {r[0] for r in left.collect()} == {"src/build/x.c", "keep.tmp", "docs/a/b.md", "x.c"}
+    got = spark.range(1).select(T.max_file_bytes_column(F.lit(float("inf"))).alias("a"), T.clean_name(F.lit("🎉" * 600)).alias("b"), T.clean_name(F.lit("a" + "🎉" * 600)).alias("c"), T.clean_name(F.lit("🎉\r\nb")).alias("d")).first()
+    assert got["a"] == T.max_file_bytes(float("inf")) == 1 << 20
+    assert got["b"] == "🎉" * 512 and got["c"] == "a" + "🎉" * 511 + "\ufffd" and got["d"] == "🎉 b"
+
+
+def test_unicode_words_and_folds(spark):
+    lines = spark.createDataFrame([("a.c", 1, "un café"), ("a.c", 2, "caf x"), ("b.c", 1, "État final"), ("b.c", 2, "a\0caf")], "relative_path string, line_number int, line string")
+    found = lambda q, **o: {(r["relative_path"], r["line_number"]) for r in search.text_search(lines, q, SearchOptions(**o)).collect()}
+    assert found("caf", whole_word=True) == {("a.c", 2), ("b.c", 2)} and found("état", whole_word=True) == {("b.c", 1)}
+    names = extract.symbols(spark.createDataFrame([("État_1", "macro", "x.c", 1, 0)], "name string, kind string, relative_path string, line_number int, col int"))
+    assert search.matching(names, "^éta.", SearchOptions(regex=True), "exact").count() == 1
+    files = spark.createDataFrame([("a.c", "x\r\ny"), ("bin.c", "a\0b\nc")], "relative_path string, content string")
+    assert [(r["line_number"], r["line"]) for r in corpus.split_lines(files).orderBy("line_number").collect()] == [(1, "x\r"), (2, "y")]
+    assert corpus.split_lines(files, binary=True).count() == 4
+
+
+def test_canonical_root(tmp_path):
+    (tmp_path / "real").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "real")
+    assert corpus.canonical_root(f"{tmp_path}/link/../link/") == os.path.realpath(tmp_path / "real")
+    assert corpus.canonical_root(f"{tmp_path}/none/") == os.path.realpath(tmp_path) + "/none" and corpus.canonical_root("s3://b/x/") == "s3://b/x"
+
+
+def test_auto_sync_waits_for_quiet():
+    calls = []
+    auto = changes.AutoSync(lambda: calls.append(1), 0.15)
+    for _ in range(3):
+        auto.mark("a.c")
+        time.sleep(0.03)
+    time.sleep(0.4)
+    assert calls == [1]
+    auto.mark("b.c")
+    auto.dispose()
+    time.sleep(0.3)
+    off = changes.AutoSync(lambda: calls.append(2), 0.01, enabled=False)
+    off.mark("a.c")
+    time.sleep(0.1)
+    assert calls == [1]
+
+
+def test_batches_are_runs_in_path_order(spark):
+    paths = [f"d{i % 7}/f{i}.c" for i in range(1_000)]
+    got = index.batches(spark.createDataFrame([(p, 1) for p in paths], "relative_path string, size_bytes long").repartition(5), 128, groups=4)
+    assert {r["relative_path"]: r["batch"] for r in got.collect()} == {p: i // 128 for i, p in enumerate(sorted(paths))}
+    assert [r["files_done"] for r in index.progress(got).orderBy("batch").collect()] == [min(1_000, 128 * (i + 1)) for i in range(8)]
+
+
 def test_find_in_results_and_overlapping_highlights(spark):
     rows = spark.createDataFrame([("a.c", 1, "Foo bar"), ("foo.c", 2, "x")], "relative_path string, line_number int, line_content string")
     assert session.find_in_results(rows, "foo").count() == 2 and session.find_in_results(rows, "foo", SearchOptions(True)).count() == 1

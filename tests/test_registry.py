@@ -43,10 +43,15 @@ def test_a_query_returns_tokens_beyond_the_first_20(spark, tmp_path):
     got = []
     for last in ("one", "two"):
         spark.createDataFrame([tail(last)], "doc_id long, text string").write.parquet(f"{tmp_path}/{last}/documents.parquet")
-        got.append(registry.queries()["extract_tokens_whole"](spark, f"{tmp_path}/{last}").first())
+        got.append(registry.queries()["extract_tokens"](spark, f"{tmp_path}/{last}").first())
     assert got[0]["n"] == got[1]["n"] == 31 and got[0]["digest"] != got[1]["digest"]
 
 
 def test_page_queries_run_on_a_whole_page(spark, sf):
-    assert registry.queries()["result_lines_whole_page"](spark, sf).count() == 200
-    assert registry.queries()["line_lookup_all_symbols"](spark, sf).select("relative_path").distinct().count() > 1
+    assert registry.queries()["result_lines"](spark, sf).count() == 200
+    assert registry.queries()["line_lookup"](spark, sf).select("relative_path").distinct().count() > 1
+
+
+def test_searches_find_something(spark, sf):
+    for name in ("find_exact_cs", "find_exact_ci", "stored_find_exact_cs", "stored_find_exact_ci", "stored_find_token_phrase", "find_in_results", "open_file_results"):
+        assert registry.queries()[name](spark, sf).count() > 0, name
