@@ -69,13 +69,13 @@ def merged(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]
 
 
 def id_filter(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
-    """A bitmap of ``bits`` with the hashed ids of ``ids`` (one bigint column): no id is missed, some others pass."""
+    """A bitmap of ``bits`` with two places for each of ``ids`` (one bigint column): no id is missed, some others pass."""
 
     def part(batches) -> np.ndarray:
         flags = np.zeros(bits // 32, np.uint32)
         for batch in batches:
-            at = id_bits(batch.column(0).to_numpy(zero_copy_only=False), bits)
-            np.bitwise_or.at(flags, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+            for at in id_bits(batch.column(0).to_numpy(zero_copy_only=False), bits):
+                np.bitwise_or.at(flags, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
         return flags
 
     def emit(batches):
@@ -87,10 +87,13 @@ def id_filter(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
     return flags
 
 
-def id_bits(ids: np.ndarray, bits: int) -> np.ndarray:
-    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % bits
+def id_bits(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mixed = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(20)).astype(np.int64) % bits, ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)).astype(np.int64) % bits
 
 
 def passes(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = id_bits(ids, len(flags) * 32)
-    return (flags[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) != 0
+    out = np.ones(len(ids), bool)
+    for at in id_bits(ids, len(flags) * 32):
+        out &= (flags[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) != 0
+    return out

@@ -2,18 +2,23 @@
 
 A document's set is its distinct ``n``-word shingles, in one global order: by how frequent a merged sketch of all documents
 says they are (rarest first, in steps of two), then by hash. Sets as alike as asked share a shingle among their first
-few in this order, so documents meet by those prefixes. Where they meet, the candidates' sets go into a prefix tree, which the
-probe's set walks: a node's overlap is found once for all sets below it, and a subtree is left when the overlap so far and
-the shortest remainder can't reach what its sets need. What is linked is decided on whole sets, in integers.
-
-Documents with equal sets are one class and meet others once. Rounds find the components: in the first ones the
-documents that share one of their first few shingles are held against one centre of them each, which ties most near copies; the last
-meets all prefix shingles, but for documents already in one component. No pair is left out but those that are tied already
-or too unlike by length or by what their prefixes share.
-
-Defined cases: null doc_ids are dropped; a null text or one without words has an empty set and links with nothing (its
-component is its own); with fewer than ``n`` words the whole sequence is the one shingle; very long texts are taken whole; equal rows
-are equal sets; rows with one doc_id are one node of the links and keep a row each; an empty table gives an empty result; other columns are ignored.
+few in this order, so documents meet by those prefixes, as runs of one key. Documents with equal sets are one class and meet
+others once; what moves are classes.
+
+Where documents meet, their sets are stored in one trie by the global order, and all of them walk it together: at a node the
+overlap of its shingles with each probe still alive is found once for all sets below, and a probe leaves a subtree when its overlap so far
+and the shortest remainder can't reach what the sets there need. What is linked is decided on whole sets, in integers.
+
+Two rounds find the components. In the first a run is held against one centre, the document with the key earliest in its order (the
+one with the fewest rare shingles, so the least edited of near copies). In the second, documents with one centre, which are all that
+met, are met in full where they are of several components, but for pairs that are refuted: a parity bitmap of a set has some bits for
+each shingle, and the bits in which two differ are never more than the shingles in which the sets do. Only memberships of runs and
+blocks are rows, no pairs; large blocks are split.
+
+Defined cases: null doc_ids are compared like others, but are never a component's id (which is null where no row of it has one); a
+null text or one without words has an empty set and links with nothing (its component is its own); with fewer than ``n`` words the whole
+sequence is the one shingle; very long texts are taken whole; equal rows are equal sets; rows that share a doc_id are nodes of their own;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +31,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import kernels
 from quillon.llm.components import components, id_filter, merged, passes
-from quillon.llm.shared import store
+from quillon.llm.repeats import row_key
+from quillon.llm.shared import forget, store
 
 COUNTERS = 1 << 22
-STARS = ((3, 0), (8, 1), (8, 2))  # shingles of each prefix and seed of the centres, by round
-BLOCK = 512  # partners of a probe that go into one tree
+BLOCK = 1 << 21  # shingles of the sets that go into one trie
+MEMBERS = 1 << 12  # bitmaps that are held against each other at once
+STEP = 32  # shingles of a node that are overlapped between looks at the bounds
+FLAGS = 1 << 29  # bits of the bitmap of wanted rows at most; a fuller one lets more through
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,19 +88,12 @@ def frequency_levels(docs: DataFrame, n: int) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(above)) + 1).astype(np.uint8)
 
 
-def ordered_sets(batches: Iterator[pa.RecordBatch], levels: np.ndarray, n: int, wanted=None):
-    """(doc_id, ordered set) of each row; ``wanted`` picks doc_ids."""
-    for batch in batches:
-        if wanted is not None:
-            batch = batch.filter(pa.array(wanted(batch.column("doc_id").to_numpy(zero_copy_only=False))))
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for at, data, offsets in kernels.chunks(batch.column("text")):
-            grams, owner = shingle_sets(data, offsets, n)
-            keys = grams | (levels[_counter(grams)].astype(np.uint64) << np.uint64(58))
-            keys = keys[np.lexsort((keys, owner))]
-            cuts = np.searchsorted(owner, np.arange(len(offsets)))
-            for i in range(len(offsets) - 1):
-                yield int(ids[at + i]), keys[cuts[i] : cuts[i + 1]]
+def ordered_sets(texts: pa.Array, levels: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, keys end to end, bounds) of runs of rows: the ordered set of each row."""
+    for at, data, offsets in kernels.chunks(texts):
+        grams, owner = shingle_sets(data, offsets, n)
+        keys = grams | (levels[_counter(grams)].astype(np.uint64) << np.uint64(58))
+        yield at, keys[np.lexsort((keys, owner))], np.searchsorted(owner, np.arange(len(offsets)))
 
 
 def needed(a, b, percent: int):
@@ -151,7 +152,7 @@ def tree(sets: list[tuple[int, np.ndarray]]) -> Node:
 
 
 def matches(root: Node, probe: np.ndarray, percent: int) -> Iterator[int]:
-    """Names of the sets in the tree that are linked with ``probe``."""
+    """Names of the sets in the trie that are linked with ``probe``."""
     stack = [(root, 0, 0, 0)]  # node, overlap so far, shingles so far, place in the probe
     size = len(probe)
     while stack:
@@ -169,176 +170,342 @@ def matches(root: Node, probe: np.ndarray, percent: int) -> Iterator[int]:
                 stack.append((kid, overlap, depth, place))
 
 
+def self_join(sets: list[np.ndarray], ties: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Linked pairs of places in ``sets`` with different ties, by one walk of all sets over one trie of them."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = np.concatenate(sets)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    by = np.argsort(flat, kind="stable")
+    tokens, first = np.unique(flat[by], return_index=True)
+    first = np.append(first, len(flat))
+    owner, place = owner[by], place[by]
+    # node, probes alive, their overlap so far and place in themselves, shingles so far
+    stack = [(tree(list(enumerate(sets))), np.arange(len(sets)), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64), 0)]
+    at_place = np.zeros(len(sets), np.int64)
+    while stack:
+        node, alive, overlap, at, depth = stack.pop()
+        for lo in range(0, len(node.run), STEP):
+            run = node.run[lo : lo + STEP]
+            where = np.searchsorted(tokens, run)
+            spots = np.concatenate([np.arange(first[w], first[w + 1]) for w in where])
+            overlap = overlap + np.bincount(owner[spots], minlength=len(sets))[alive]
+            at_place[alive] = at
+            np.maximum.at(at_place, owner[spots], place[spots] + 1)
+            at = at_place[alive]
+            depth += len(run)
+            live = overlap + np.minimum(sizes[alive] - at, node.most - depth) >= needed(sizes[alive], node.least, percent)
+            if not live.all():
+                alive, overlap, at = alive[live], overlap[live], at[live]
+                if not len(alive):
+                    break
+        if not len(alive):
+            continue
+        for name, n in node.ends:
+            for other in alive[(overlap >= needed(sizes[alive], n, percent)) & (alive < name) & (ties[alive] != ties[name])]:
+                yield int(other), name
+        for kid in node.kids.values():
+            live = overlap + np.minimum(sizes[alive] - at, kid.most - depth) >= needed(sizes[alive], kid.least, percent)
+            if live.any():
+                stack.append((kid, alive[live], overlap[live], at[live], depth))
+
+
+def parity(keys: np.ndarray) -> bytes:
+    """A bit for each of 64 or more buckets, four to eight for each key: whether an odd number of keys falls into it."""
+    bits = 1 << min(max(6, (4 * len(keys) - 1).bit_length()), 17)
+    odd = np.bincount((kernels.mix(keys) >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A parity bitmap of fewer buckets (a power of two)."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def partners(size: np.ndarray, tie: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which sets may be linked with one of another tie, as far as sizes and bitmaps tell."""
+    out = np.zeros(len(size), bool)
+    order = np.argsort(size, kind="stable")
+    size, tie = size[order], tie[order]
+    words = np.array([len(bits[k]) // 8 for k in order])
+    # by number of words: the bitmaps that have it, and those of twice as many, folded; sets that can be linked differ by no more
+    tables = {}
+    for w in np.unique(words).tolist():
+        mine, more = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+        of = lambda which: np.stack([np.frombuffer(bits[order[k]], np.uint64) for k in which]) if len(which) else np.zeros((0, w), np.uint64)  # noqa: B023, E731
+        double = of(more)
+        tables[w] = (mine, of(mine), more, double[:, :w] ^ double[:, w:] if len(more) else double)
+    for i in range(len(size) - 1):
+        mine, table, more, folded = tables[int(words[i])]
+        own = int(np.searchsorted(mine, i))
+        for which, rows in ((mine[own + 1 :], table[own + 1 :]), (more, folded)):
+            last = int(np.searchsorted(size[which], size[i] * 100 // percent, "right")) if len(which) else 0
+            here = np.flatnonzero(tie[which[:last]] != tie[i])
+            if not len(here):
+                continue
+            apart = size[i] + size[which[here]] - 2 * needed(size[i], size[which[here]], percent)
+            close = here[np.bitwise_count(rows[here] ^ table[own]).sum(1, dtype=np.int64) <= apart]
+            if len(close):
+                out[order[i]] = True
+                out[order[which[close]]] = True
+    return out
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of equal keys."""
+    differ = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        differ |= k[1:] != k[:-1]
+    return np.concatenate([[0], np.flatnonzero(differ) + 1, [len(keys[0])]])
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], columns: list[str], most: int = 1 << 40) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal ``columns``, which are in order; a run beyond ``most`` rows comes in pieces."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if not len(held):
+            continue
+        cut = int(_runs(*(held.column(c).to_numpy() for c in columns))[-2])
+        if not cut and len(held) >= most:
+            cut = len(held)
+        if cut:
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None and len(held):
+        yield held.combine_chunks()
+
+
 class Join:
     def __init__(self, docs: DataFrame, n: int = 5, percent: int = 80):
-        self.docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        row, digest = row_key()
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), digest.alias("digest"), "text")
         self.n, self.percent, self.spark = n, percent, docs.sparkSession
         self.levels = self.spark.sparkContext.broadcast(frequency_levels(self.docs, n))
 
     def prefixes(self) -> DataFrame:
-        """(doc_id, size, d1, d2, prefix): the digest of each set and its first shingles, packed."""
+        """(doc_id, row, digest, size, d1, d2, prefix): the digest of each row's set and its first shingles, packed."""
         n, percent, levels = self.n, self.percent, self.levels
-        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.binary())])
-
-        def rows(batches):
-            for doc, keys in ordered_sets(batches, levels.value, n):
-                d1, d2 = (int(kernels.mix(keys ^ np.uint64(c)).sum().astype(np.int64)) for c in (0x1234567, 0x89ABCDEF01234567))
-                # equal sizes need the most, so a set half as long again needs no more of its prefix
-                size = len(keys)
-                yield doc, size, d1, d2, keys[: size - -(-percent * size // 100) + 1].tobytes() if size else b""
-
-        return self.docs.mapInArrow(lambda b: _batches(rows(b), schema), "doc_id long, size long, d1 long, d2 long, prefix binary")
-
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """(doc_id, keys) of the documents in ``ids`` and some others."""
-        flags = self.spark.sparkContext.broadcast(id_filter(ids))
-        n, levels = self.n, self.levels
-        schema = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())])
-        rows = lambda batches: ((d, k.tobytes()) for d, k in ordered_sets(batches, levels.value, n, lambda x: passes(flags.value, x)))
-        return self.docs.mapInArrow(lambda b: _batches(rows(b), schema), "doc_id long, keys binary")
-
-    def met(self, entries: DataFrame, seed: int | None) -> DataFrame:
-        """Distinct pairs (a, b), a < b, of rows (key, doc_id, size, pos, tie) that share a key and may be linked.
-
-        Only pairs with different ``tie``. With a ``seed``, only those with one centre among a key's documents, drawn by hash; else
-        all, and then they share ``met`` of their prefixes and at most the longer remainder beyond, which together must reach
-        what a link needs.
-        """
-        percent, stars = self.percent, seed is not None
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("met", pa.int32()), ("least", pa.int32())])
-
-        def pairs_of(doc, size, pos, tie):
-            rank = kernels.mix(doc.view(np.uint64) ^ kernels.mix(np.full(1, seed, np.uint64))) if seed else doc
-            order = np.argsort(rank, kind="stable")
-            doc, size, pos, tie = doc[order], size[order], pos[order], tie[order]
-            for i in range(1 if stars else len(doc) - 1):
-                rest = slice(i + 1, None)
-                need = needed(size[i], size[rest], percent)
-                ok = np.minimum(size[i], size[rest]) >= need
-                ok &= (tie[rest] != tie[i]) & (doc[rest] != doc[i])
-                if stars:
-                    ok &= np.minimum(size[i] - pos[i], size[rest] - pos[rest]) >= need
-                if ok.any():
-                    b = doc[rest][ok]
-                    beyond = -(-percent * np.maximum(size[i], size[rest][ok]) // 100) - 1
-                    yield np.minimum(doc[i], b), np.maximum(doc[i], b), (need[ok] - beyond) if not stars else np.ones(len(b), np.int64)
 
         def emit(batches):
-            held = None
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-            def flush():
-                if out:
-                    a, b, least = (np.concatenate(x) for x in zip(*out, strict=True))
-                    out.clear()
-                    order = np.lexsort((b, a))
-                    a, b, least = a[order], b[order], least[order]
-                    cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                    n = np.diff(np.append(cut, len(a)))
-                    return pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), pa.array(n.astype(np.int32)), pa.array(least[cut].astype(np.int32))], schema=schema)
-                return None
-
-            def runs(cols, last):
-                keys = cols[0]
-                cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-                bounds = np.concatenate([[0], cut, [len(keys)]])
-                long = np.flatnonzero(np.diff(bounds) > 1)
-                for r in long if last else long[long < len(bounds) - 2]:
-                    s = slice(bounds[r], bounds[r + 1])
-                    if (cols[4][s] != cols[4][bounds[r]]).any():
-                        out.extend(pairs_of(*(c[s] for c in cols[1:])))
-                return bounds[-2]
+            for batch in batches:
+                for at, keys, bounds in ordered_sets(batch.column("text"), levels.value, n):
+                    size = np.diff(bounds)
+                    full = np.flatnonzero(size)
+                    digests = []
+                    for c in (0x1234567, 0x89ABCDEF01234567):
+                        d = np.zeros(len(size), np.uint64)
+                        if len(full):
+                            d[full] = np.add.reduceat(kernels.mix(keys ^ np.uint64(c)), bounds[:-1][full])
+                        digests.append(pa.array(d.view(np.int64)))
+                    # equal sizes need the most, so a set half as long again needs no more of its prefix
+                    reach = bounds[:-1] + np.where(size > 0, size - -(-percent * size // 100) + 1, 0)
+                    data = keys.tobytes()
+                    parts = [data[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), reach.tolist(), strict=True)]
+                    for lo in range(0, len(size), 2_000):
+                        s = slice(lo, lo + 2_000)
+                        rows = batch.slice(at + lo, len(size[s]))
+                        yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("doc_id", "row", "digest")], pa.array(size[s]), *[d[s] for d in digests], pa.array(parts[s], pa.binary())], ["doc_id", "row", "digest", "size", "d1", "d2", "prefix"])
+
+        return self.docs.mapInArrow(emit, "doc_id long, row long, digest long, size long, d1 long, d2 long, prefix binary")
+
+    def sets(self, classes: DataFrame, form) -> DataFrame:
+        """(node, keys): ``form`` of the whole sets of ``classes`` (node, row, digest)."""
+        classes = store(classes, "wanted")
+        name = lambda row, digest: kernels.mix(row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ digest.view(np.uint64)).view(np.int64)
+        names = classes.select("row", "digest").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(name(b.column(0).to_numpy(), b.column(1).to_numpy()))], ["id"]) for b in batches), "id long")
+        flags = self.spark.sparkContext.broadcast(id_filter(names, 1 << max(20, min(FLAGS, classes.count() * 16).bit_length())))
+        n, levels = self.n, self.levels
+        schema = pa.schema([("row", pa.int64()), ("digest", pa.int64()), ("keys", pa.binary())])
 
+        def rows(batches):
             for batch in batches:
-                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-                if held is not None:
-                    cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-                if len(cols[0]):
-                    left = runs(cols, False)
-                    held = [c[left:] for c in cols]
-                if sum(len(x[0]) for x in out) > 500_000:
-                    yield flush()
-            if held is not None and len(held[0]):
-                runs(held, True)
-            if (batch := flush()) is not None:
-                yield batch
-
-        dealt = entries.select("key", "doc_id", "size", "pos", "tie").repartition("key").sortWithinPartitions("key")
-        pairs = dealt.mapInArrow(emit, "a long, b long, met int, least int")
-        return pairs.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("least").alias("least")).filter("met >= least").select("a", "b")
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose sets are as alike as asked."""
+                batch = batch.filter(pa.array(passes(flags.value, name(batch.column("row").to_numpy(), batch.column("digest").to_numpy()))))
+                ids, digests = batch.column("row").to_pylist(), batch.column("digest").to_pylist()
+                for at, keys, bounds in ordered_sets(batch.column("text"), levels.value, n):
+                    for i in range(len(bounds) - 1):
+                        yield ids[at + i], digests[at + i], form(keys[bounds[i] : bounds[i + 1]])
+
+        found = self.docs.select("row", "digest", "text").mapInArrow(lambda b: _batches(rows(b), schema), "row long, digest long, keys binary")
+        return found.join(classes, ["row", "digest"]).select("node", "keys").dropDuplicates(["node"])
+
+    def runs(self, heads: DataFrame) -> DataFrame:
+        """(centre, node, near): the classes that have a key in their prefixes, where there are several, with the run's centre (itself
+        included); ``near`` where the two may be linked."""
         percent = self.percent
-        pairs = store(pairs, "pairs")
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        load = store(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "load")
-        probes = load.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"))
-        partners = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
-        wanted = store(probes.unionByName(partners).withColumn("doc_id", F.coalesce("b", "a")), "wanted")
-        both = wanted.join(sets, "doc_id").select("a", "block", "b", "keys").repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        entry = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
+
+        def entries(batches):
+            for batch in batches:
+                sizes, nodes = (batch.column(c).to_numpy() for c in ("size", "node"))
+                for lo in range(0, len(nodes), 500):
+                    prefixes = [np.frombuffer(p.as_py(), np.int64) for p in batch.column("prefix")[lo : lo + 500]]
+                    n = np.array([len(p) for p in prefixes])
+                    s = slice(lo, lo + 500)
+                    pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.concatenate(prefixes), np.repeat(nodes[s], n), np.repeat(sizes[s], n).astype(np.int32), pos.astype(np.int32)), entry, strict=True)], schema=entry)
 
         def emit(batches):
-            def rows():
-                probe, where, block = None, None, []
+            held = None  # key, centre, its size and place of the run that the last piece ended with
+            for table in _whole_runs(batches, ["key"], 1 << 20):
+                key, node, size, pos = (table.column(c).to_numpy() for c in entry.names)
+                order = np.lexsort((kernels.mix(node.view(np.uint64)), pos, key))
+                key, node, size, pos = key[order], node[order], size[order].astype(np.int64), pos[order].astype(np.int64)
+                bounds = _runs(key)
+                n = np.diff(bounds)
+                first = bounds[:-1]
+                lead, most, place = node[first], size[first], pos[first]
+                several = n > 1
+                if held is not None and held[0] == key[0]:
+                    lead[0], most[0], place[0], several[0] = *held[1:], True
+                held = key[-1], lead[-1], most[-1], place[-1]
+                centre, b, q = np.repeat(lead, n), np.repeat(most, n), np.repeat(place, n)
+                near = (1 + np.minimum(pos, q) + np.minimum(size - pos - 1, b - q - 1) >= needed(size, b, percent)) & (node != centre)
+                keep = np.repeat(several, n)
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (centre, node, near)], ["centre", "node", "near"])
+
+        rows = heads.mapInArrow(entries, "key long, node long, size int, pos int").repartition("key").sortWithinPartitions("key")
+        return rows.mapInArrow(emit, "centre long, node long, near boolean").groupBy("centre", "node").agg(F.max("near").alias("near"))
+
+    @staticmethod
+    def dealt(blocks: DataFrame, load: str, most: int, in_full: bool) -> DataFrame:
+        """``blocks`` (block, node, ...) with ``part``: parts of at most about ``most`` of ``load``, in which each two members
+        meet, or each meets the node that the block is named after."""
+        cuts = blocks.groupBy("block").agg(F.ceil(F.sum(F.expr(load)) / most).alias("cuts"))
+        own = F.pmod(F.xxhash64("node"), F.col("cuts"))
+        every = F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)
+        if in_full:  # each two cuts meet
+            parts = F.transform(every, lambda i: F.least(own, i) * F.col("cuts") + F.greatest(own, i))
+        else:
+            parts = F.when(F.col("node") == F.col("block"), every).otherwise(F.array(own))
+        return blocks.join(cuts, "block").withColumn("part", F.explode(parts)).drop("cuts")
+
+    def linked(self, blocks: DataFrame, classes: DataFrame, in_full: bool) -> DataFrame:
+        """(a, b): links within blocks (block, node, tie), of the node that a block is named after or of all with different ties."""
+        percent = self.percent
+        blocks = store(blocks.join(classes.select("node", "size"), "node"), "blocks")
+        nodes = blocks.select("node").distinct().join(classes.select("node", "row", "digest"), "node")
+        sets = self.sets(nodes, lambda keys: keys.tobytes())
+        rows = self.dealt(blocks, "size", BLOCK, in_full).join(sets, "node").select("block", "part", "node", "tie", "keys").repartition("block", "part").sortWithinPartitions("block", "part", "node")
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-                def done():
-                    if probe is not None and block:
-                        root = tree(block)
-                        for name in matches(root, probe, percent):
-                            yield where[0], name
+        def links(block, nodes, ties, sets):
+            ties = np.array(ties)
+            if not in_full:
+                centre = nodes.index(block)
+                yield from ((block, nodes[i]) for i in matches(tree([(i, s) for i, s in enumerate(sets) if i != centre]), sets[centre], percent))
+                return
+            for a, b in self_join(sets, ties, percent):
+                yield nodes[a], nodes[b]
 
+        def emit(batches):
+            def found():
+                where, held = None, ([], [], [])
                 for batch in batches:
-                    for a, blk, b, keys in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                        keys = np.frombuffer(keys, np.uint64)
-                        if where != (a, blk):
-                            yield from done()
-                            probe, where, block = None, (a, blk), []
-                        if b is None:
-                            probe = keys
-                        else:
-                            block.append((b, keys))
-                yield from done()
-
-            yield from _batches(rows(), schema)
+                    for block, part, node, tie, keys in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                        if where != (block, part):
+                            if where is not None:
+                                yield from links(where[0], *held)
+                            where, held = (block, part), ([], [], [])
+                        for column, value in zip(held, (node, tie, np.frombuffer(keys, np.uint64)), strict=True):
+                            column.append(value)
+                if where is not None:
+                    yield from links(where[0], *held)
+
+            yield from _batches(found(), schema)
+
+        out = store(rows.mapInArrow(emit, "a long, b long").distinct(), "links")
+        forget(blocks)
+        return out
+
+    def unrefuted(self, blocks: DataFrame, bitmaps: DataFrame, in_full: bool) -> DataFrame:
+        """(block, node, tie): those of ``blocks`` (block, node, tie, size) that may be linked, as far as sizes and bitmaps tell, with one
+        of another tie, or with the node that the block is named after (which stays)."""
+        percent = self.percent
+        rows = self.dealt(blocks, "1", MEMBERS, in_full).join(bitmaps, "node").select("block", "part", "node", "size", "tie", "bits")
+        rows = rows.repartition("block", "part").sortWithinPartitions("block", "part", "node")
+
+        def kept(block, node, size, tie, bits) -> np.ndarray:
+            if in_full:
+                return partners(size, tie, bits, percent)
+            out = np.zeros(len(node), bool)
+            centre = int(np.flatnonzero(node == block)[0])
+            mine = np.frombuffer(bits[centre], np.uint64)
+            for i in range(len(node)):
+                theirs = np.frombuffer(bits[i], np.uint64)
+                least = min(len(mine), len(theirs))
+                apart = int(np.bitwise_count(_folded(mine, least) ^ _folded(theirs, least)).sum())
+                out[i] = apart <= size[i] + size[centre] - 2 * needed(int(size[i]), int(size[centre]), percent)
+            return out
 
-        return both.mapInArrow(emit, "a long, b long")
+        def emit(batches):
+            for table in _whole_runs(batches, ["block", "part"]):
+                block, node, size, tie = (table.column(c).to_numpy() for c in ("block", "node", "size", "tie"))
+                bounds, bits = _runs(block, table.column("part").to_numpy()), table.column("bits").to_pylist()
+                keep = np.zeros(len(block), bool)
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    keep[a:b] = kept(block[a], node[a:b], size[a:b], tie[a:b], bits[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (block, node, tie)], ["block", "node", "tie"])
+
+        return rows.mapInArrow(emit, "block long, node long, tie long").distinct()
+
+    @staticmethod
+    def several(blocks: DataFrame) -> DataFrame:
+        """``blocks`` in which more than one tie is left."""
+        found = blocks.groupBy("block").agg(F.min("tie").alias("x"), F.max("tie").alias("y")).filter("x < y").select("block")
+        return blocks.join(found, "block", "left_semi")
 
     def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every document."""
+        """(doc_id, row, digest, n_shingles, component, component_id) of every row: ``component`` numbers the components of rows
+        that have a set, and is null for others."""
         every = store(self.prefixes(), "prefixes")
-        classes = every.groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-        members = store(every.select("doc_id", "size", "d1", "d2").join(classes, ["size", "d1", "d2"]).select("doc_id", "size", F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("rep")).alias("rep")), "members")
-        reps = members.filter("doc_id = rep and size > 0").select("doc_id")
-        heads = store(every.filter("size > 0").join(reps, "doc_id", "left_semi").select("doc_id", "size", "prefix"), "heads")
-
-        links, tied = None, heads.withColumn("tie", F.col("doc_id"))
-        for most, seed in [*STARS, (None, None)]:
-            more = store(self.linked(self.met(self.entries(tied, most), seed)), "links")
-            links = more if links is None else links.unionByName(more)
-            found = components(links)
-            tied = heads.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "size", "prefix", F.coalesce("component", "doc_id").alias("tie"))
-        out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-
-    def entries(self, heads: DataFrame, most: int | None) -> DataFrame:
-        """(key, doc_id, size, pos, tie) of the first ``most`` prefix shingles, or all."""
-        schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("tie", pa.int64())])
-
-        def emit(batches):
-            for batch in batches:
-                sizes, ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "doc_id", "tie"))
-                for lo in range(0, len(ids), 500):
-                    heads_ = [np.frombuffer(p.as_py(), np.int64)[:most] for p in batch.column("prefix")[lo : lo + 500]]
-                    n = np.array([len(h) for h in heads_])
-                    s = slice(lo, lo + 500)
-                    pos = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.concatenate(heads_), np.repeat(ids[s], n), np.repeat(sizes[s], n).astype(np.int32), pos, np.repeat(ties[s], n)), schema, strict=True)], schema=schema)
-
-        return heads.mapInArrow(emit, "key long, doc_id long, size int, pos int, tie long")
+        same = ["size", "d1", "d2"]
+        grouped = every.filter("size > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.min(F.struct("row", "digest", "prefix")).alias("rep"))
+        classes = store(grouped.select(*same, "least", "rep.*", F.monotonically_increasing_id().alias("node")), "classes")
+        runs_ = store(self.runs(classes.select("node", "size", "prefix")), "runs")
+        runs = runs_.join(classes.select("node", "size"), "node")
+        nodes = runs.select("node").distinct().join(classes.select("node", "row", "digest"), "node")
+        bitmaps = store(self.sets(nodes, parity).withColumnRenamed("keys", "bits"), "bitmaps")
+        stars = runs.filter("near or node = centre").select(F.col("centre").alias("block"), "node", F.col("node").alias("tie"), "size")
+        stars = self.several(store(self.unrefuted(self.several(stars), bitmaps, False), "stars"))
+        links = self.linked(stars, classes, False)
+        found = store(components(links), "found")
+        tied = runs.join(found.withColumnRenamed("component", "tie"), "node", "left")
+        tied = store(tied.select(F.col("centre").alias("block"), "node", F.coalesce("tie", "node").alias("tie"), "size"), "tied")
+        left = self.several(store(self.unrefuted(self.several(tied), bitmaps, True), "left"))
+        more = self.linked(left, classes, True)
+        for done in (runs_, bitmaps, tied):
+            forget(done)
+        found = components(links.unionByName(more))
+        tied = store(classes.select(*same, "least", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "tied")
+        least = tied.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = tied.join(least, "component").select(*same, "component", "component_id")
+        full = every.filter("size > 0").select("doc_id", "row", "digest", *same).join(named, same)
+        empty = every.filter("size = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
+        columns = ["doc_id", "row", "digest", F.col("size").alias("n_shingles"), "component", "component_id"]
+        return full.select(columns).unionByName(empty.select(columns))
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents tied by Jaccard similarity of ``percent`` hundredths or more."""
-    return Join(docs, n, percent).run()
+    return Join(docs, n, percent).run().select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id, of these the one with the smallest digest of its text,
+    and of equal ones the least by the other columns. Rows without words stay."""
+    found = store(Join(docs, n, percent).run(), "labels")
+    order = F.struct(F.col("doc_id").isNull().alias("_null"), "row", "digest")
+    firsts = found.filter("component is not null").groupBy("component").agg(F.min(order).alias("_first"))
+    keep = firsts.select("_first.row", "_first.digest").unionByName(found.filter("component is null").select("row", "digest").distinct())
+    keep = keep.select(F.col("row").alias("_quillon_row"), F.col("digest").alias("_quillon_digest"))
+    # rows equal in doc_id and text: a short list, by which alone whole rows are grouped
+    twice = store(found.filter("component is not null").groupBy(F.col("row").alias("_quillon_row"), F.col("digest").alias("_quillon_digest")).count().filter("count > 1").drop("count"), "twice")
+    row, digest = row_key()
+    keys = ["_quillon_row", "_quillon_digest"]
+    rows = docs.withColumns({"_quillon_row": row, "_quillon_digest": digest}).join(keep, keys, "left_semi")
+    equal = rows.join(twice, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct(*docs.columns)).alias("_quillon_one")).select("_quillon_one.*")
+    return rows.join(twice, keys, "left_anti").select(docs.columns).unionByName(equal)

@@ -6,6 +6,8 @@ of two running sums times a power of the base's inverse; a last mixing step spre
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,18 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTES[:, SPACE] = 0
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def trim() -> None:
+    """Give memory that this process has freed back to the system; workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -106,16 +120,14 @@ def byte_windows(data: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the smallest value (the leftmost of equals) in each run of ``width`` values."""
+    """Position of the smallest value (by the upper 32 bits; the leftmost of equals) in each run of ``width`` values."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    # minima of runs of doubling length; the top bits compare, the position breaks ties
-    best = np.arange(len(values))
+    # minima of runs of doubling length, the position in the lower bits
+    best = values >> np.uint64(32) << np.uint64(32) | np.arange(len(values), dtype=np.uint64)
     span = 1
     while span * 2 <= width:
-        left, right = best[: len(best) - span], best[span:]
-        best = np.where(values[right] < values[left], right, left)
+        best = np.minimum(best[: len(best) - span], best[span:])
         span *= 2
-    left, right = best[:n], best[width - span : width - span + n]
-    return np.where(values[right] < values[left], right, left)
+    return (np.minimum(best[:n], best[width - span : width - span + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)

@@ -171,6 +171,7 @@ class Model:
         out = None
         for number in range(slices):
             packed = self.texts.mapInArrow(_packer(order, hot, number, slices, parts), "part int, run long, data binary")
+            packed = packed.repartition(max(parts, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "part")
             scored_ = packed.groupBy("part").applyInArrow(_part_scores, "run long, data binary")
             rows = scored_.groupBy("run").applyInArrow(_by_text, "doc_id long, digest long, words long, head long, s double, copies long")
             rows = store(rows, "scores")

@@ -14,14 +14,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.session import scratch_dir
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    return scratch_dir(spark)
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
@@ -58,9 +56,21 @@ def plan_bytes(df: DataFrame) -> int:
 _shipped: set[str] = set()
 
 
+def _bytes(setting: str) -> int:
+    number = setting.strip().lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(number[-1:], 0)
+    return int(number[:-1] if unit else number) << unit
+
+
+BATCH_BYTES = 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once an application; they need not have it installed."""
+    """Send this package to the executors' Python, once an application; they need not have it installed. Batches of texts go to Python
+    in at most ``BATCH_BYTES``, however long the texts are."""
     context = spark.sparkContext
+    if not 0 < _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "0")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]

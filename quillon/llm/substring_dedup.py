@@ -6,8 +6,8 @@ with a smaller doc_id; windows are judged on the input. A merged sketch overesti
 single windows of segments that share an anchor but differ.
 
 Defined cases: a null text has no words; documents of fewer words than a window keep all; very long texts are taken whole; rows of
-the same doc_id don't take from each other; null doc_ids are kept out of the comparison, and their rows keep all words; an
-empty table gives an empty result; other columns are ignored.
+the same doc_id don't take from each other, each is judged by its own text; null doc_ids are smaller than none, so their rows keep all
+words and take none; an empty table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -17,37 +17,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import kernels
-from quillon.llm.repeats import Repeats, covered, spans
+from quillon.llm.repeats import ROW, Repeats, covered, with_spans
 from quillon.llm.shared import store
 
 GRAM = 8
 
 
 def removed_windows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, at, n): runs of windows that also start in a document with a smaller doc_id."""
-    repeats = Repeats(docs, width, min(GRAM, width), True)
+    """(doc_id, digest, at, n): runs of windows that also start in a document with a smaller doc_id."""
+    repeats = Repeats(docs.filter(F.col("doc_id").isNotNull()), width, min(GRAM, width), True)
     segments = repeats.candidates()
-    grouped = repeats.grouped(segments)
+    grouped = repeats.grouped(segments)  # ``last`` and ``lead`` have the largest and the smallest doc_id
     keys = ["anchor", "s1", "s2"]
-    later = segments.join(grouped.filter("last > lead.doc_id").select(*keys, F.col("lead.doc_id").alias("first")), keys).filter("doc_id > first").select("doc_id", "at", "n")
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+    later = segments.join(grouped.filter("last > lead.doc_id").select(*keys, F.col("lead.doc_id").alias("first")), keys).filter("doc_id > first").select(*ROW, "at", "n")
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("at", pa.int32())])
 
-    def windows(ids, local, at, n, anchor, data, offsets, units):
+    def windows(ids, digests, local, at, n, anchor, data, offsets, units):
         lanes = [kernels.window_hashes(kernels.word_hashes(data, units[0], i), width, i).view(np.int64) for i in range(2)]
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         place = np.repeat(at, n) + step
-        yield pa.RecordBatch.from_arrays([pa.array(lanes[0][place]), pa.array(lanes[1][place]), pa.array(np.repeat(ids, n), pa.int64()), pa.array((np.repeat(local, n) + step).astype(np.int32))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(lanes[0][place]), pa.array(lanes[1][place]), pa.array(np.repeat(ids, n)), pa.array(np.repeat(digests, n)), pa.array((np.repeat(local, n) + step).astype(np.int32))], schema=schema)
 
-    single = store(repeats.unsettled(grouped, windows, schema, "h1 long, h2 long, doc_id long, at int"), "windows")
+    single = store(repeats.unsettled(grouped, windows, "h1 long, h2 long, doc_id long, digest long, at int", True), "windows")
     least = store(single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").drop("last"), "least")
-    ones = single.join(least, ["h1", "h2"]).filter("doc_id > first").select("doc_id", "at", F.lit(1).alias("n"))
+    ones = single.join(least, ["h1", "h2"]).filter("doc_id > first").select(*ROW, "at", F.lit(1).alias("n"))
     return later.unionByName(ones)
 
 
 def dedup(docs: DataFrame, width: int = 50) -> DataFrame:
-    """``docs`` with ``kept`` (the kept words, joined by one space), ``n_words`` and ``n_removed``."""
-    gone = spans(removed_windows(docs, width))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_quillon_id").withColumnRenamed("spans", "_quillon_spans"), F.col("doc_id") == F.col("_quillon_id"), "left").drop("_quillon_id")
+    """``docs`` with ``kept`` (the kept words, joined by one space), ``n_words`` and ``n_removed``, in place of columns of these names."""
+    joined = with_spans(docs, removed_windows(docs, width))
 
     @F.arrow_udf("struct<kept:string,n_words:bigint,n_removed:bigint>")
     def keep(texts: pa.Array, spans_: pa.Array) -> pa.Array:

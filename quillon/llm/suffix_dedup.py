@@ -1,19 +1,20 @@
 """Suffix-array deduplication of byte strings.
 
 Every byte covered by a ``width``-byte string that also starts anywhere else, in any document, goes; strings are judged on
-the input, texts as UTF-8. Anchored segments (see ``repeats``) settle what repeats as a whole; what is left, one copy of each
-distinct segment whose anchor has others, is dealt to shards by anchor, so that equal strings meet. Each shard is sorted in memory
-by induced sorting (``induced_sort``), and neighbours in suffix order with a common prefix of ``width`` bytes or more are
-repeats. The common prefix of neighbours is found by comparing their bytes after the sort.
+the input, texts as UTF-8. Anchored segments (see ``repeats``) stand for all windows that the sketch lets through. Copies of one segment are
+one segment that repeats as a whole; of each distinct one whose anchor has others, a copy is dealt to a shard by anchor, so that
+equal strings meet. A shard's segments are written end to end to a file as they come, and sorted by external induced sorting
+(``induced_sort``), whose tuples carry the common prefixes through sweeps and recursion; neighbours in suffix order that have ``width``
+bytes in common are repeats.
 
-A shard has to fit in memory: its rows, text, positions and order are held there, some 70 bytes a byte of the shard (1.2 GB measured
-for 16 MB), and only the sort's queues could go to disk, which shards of ``SHARD`` bytes never fill. Equal segments are one, so a
-passage that a third of all documents share fills no shard with its copies; but shards are cut by average size, and one anchor's
-distinct segments are all in one shard, so they may have some 16 MB together where a task has 1.2 GB.
+No array of the size of a shard is held: text, places, queues, order and marks are files of the task's scratch folder, some 20 bytes a
+byte of the shard, which go with the task. ``SORT_MEMORY`` bounds the blocks and queues, ``IN_MEMORY`` the strings that are sorted without
+recursion. So an anchor with many distinct segments, all in one shard, costs time and disk but no memory.
 
 Defined cases: a null text is empty; texts shorter than ``width`` keep all; very long texts are taken whole; repeated rows
-repeat each other; rows with a null doc_id are kept out of the comparison and keep all; an empty table gives an empty result; other
-columns are ignored. Bytes that are left may no longer be whole characters: ``kept`` is binary.
+repeat each other, as do rows that share a doc_id or have none; an empty table gives an empty result; other columns stay as they are, but
+``kept``, ``n_bytes``, ``n_removed`` and ``n_spans`` of the input are replaced. Bytes that are left may no longer be whole characters: ``kept``
+is binary.
 """
 
 from __future__ import annotations
@@ -24,89 +25,105 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillon.llm import kernels
-from quillon.llm.induced_sort import suffix_order
-from quillon.llm.repeats import Repeats, covered, spans
+from quillon.llm import induced_sort, kernels
+from quillon.llm.repeats import ROW, Repeats, covered, with_spans
 from quillon.llm.shared import store
 
 GRAM = 64  # shorter anchors recur by chance, in segments that then have to be sorted
-SHARD = 2 << 20  # bytes of segments sorted at once
-SORT_MEMORY = 128 << 20
-
-
-def repeated_starts(segments: list[bytes], width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(segment, starts) of the ``width``-byte strings that start more than once in ``segments``."""
-    sizes = np.array([len(s) for s in segments])
-    data = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
-    begins = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    text = data.astype(np.int16) + 2
-    text[begins + sizes] = 1
-    order = suffix_order(np.append(text, np.int16(0)), SORT_MEMORY)
-    owner = np.repeat(np.arange(len(segments), dtype=np.int32), sizes + 1)
-    whole = np.ones(len(data) + 1, bool)  # starts of whole windows: not the last ones of a segment
-    whole[-1] = False
-    for back in range(width):
-        whole[np.maximum(begins + sizes - back, begins)] = False
-    order = order[whole[order]]
-    del whole, text
-    same = np.zeros(len(order), bool)
-    marks = kernels.byte_windows(data, width)
-    close = np.flatnonzero(marks[order[1:]] == marks[order[:-1]])
-    reach = np.arange(width)
-    for lo in range(0, len(close), 20_000):
-        k = close[lo : lo + 20_000]
-        equal = (data[order[k][:, None] + reach] == data[order[k + 1][:, None] + reach]).all(1)  # a common prefix of `width`
-        same[k[equal]] = True
-        same[k[equal] + 1] = True
-    found = np.sort(order[same])
-    cuts = np.flatnonzero(np.diff(owner[found])) + 1
-    for part in np.split(found, cuts):
-        if len(part):
-            yield int(owner[part[0]]), part - begins[owner[part[0]]]
+SHARD = 2 << 20  # bytes of segments sorted at once, on average
+SORT_MEMORY = 16 << 20
+IN_MEMORY = 1 << 20  # symbols
+
+
+class Shard:
+    """Segments end to end in files: their bytes as symbols, a 1 after each and a 0 after all, and where each is from."""
+
+    def __init__(self, scratch: induced_sort.Scratch):
+        self.scratch, self.n, self.segments = scratch, 0, 0
+        self.paths = {c: scratch.path() for c in ("text", "begin", *ROW, "at")}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        data = batch.column("data").cast(pa.large_binary())
+        offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        sizes = np.diff(offsets)
+        begins = np.cumsum(sizes + 1) - (sizes + 1)
+        text = np.ones(int(sizes.sum()) + len(sizes), np.uint16)
+        inside = np.ones(len(text), bool)
+        inside[begins + sizes] = False
+        text[inside] = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint16) + 2
+        columns = {"text": text, "begin": begins + self.n, **{c: batch.column(c).to_numpy().astype(np.int64) for c in (*ROW, "at")}}
+        for c, values in columns.items():
+            with open(self.paths[c], "ab") as file:
+                file.write(values.tobytes())
+        self.n += len(text)
+        self.segments += len(sizes)
+
+    def array(self, c: str) -> np.ndarray:
+        return np.memmap(self.paths[c], np.uint16, "r") if c == "text" else np.memmap(self.paths[c], np.int64, "r", shape=(self.segments,))
+
+    def repeated(self, width: int, memory: int, in_memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, lengths) of runs of starts of ``width``-byte strings that start more than once."""
+        with open(self.paths["text"], "ab") as file:
+            file.write(np.zeros(1, np.uint16).tobytes())
+        order, common = induced_sort.sort_suffixes(self.array("text"), width, memory, self.scratch, in_memory)
+        marks, block, begins = self.scratch.array(self.n + 1, bool), max(64, memory // 16), self.array("begin")
+        for lo in range(0, len(order), block):
+            shared = np.append(common[lo : lo + block + 1], 0)[: block + 1] >= width  # each with the one before, and the one after
+            places = np.asarray(order[lo : lo + block]).astype(np.int64)
+            places = places[shared[: len(places)] | shared[1 : len(places) + 1]]
+            after = np.searchsorted(begins, places, "right")
+            end = np.where(after < self.segments, begins[np.minimum(after, self.segments - 1)], self.n)
+            marks[places[places + width < end]] = True  # not those that reach over a segment's end
+        for lo in range(0, self.n, block):
+            here = np.concatenate([[False], marks[lo : min(lo + block, self.n)], [False]])
+            edge = np.flatnonzero(here[1:] != here[:-1])
+            if len(edge):
+                yield edge[::2] + lo, edge[1::2] - edge[::2]
 
 
 def removed_windows(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, at, n): runs of window starts that repeat anywhere."""
+    """(doc_id, digest, at, n): runs of window starts that repeat anywhere."""
     repeats = Repeats(docs, width, min(GRAM, width // 2), False)
     segments = repeats.candidates()
     grouped = repeats.grouped(segments)
     keys = ["anchor", "s1", "s2"]
-    whole = segments.join(grouped.filter("copies > 1").select(*keys), keys, "left_semi").select("doc_id", "at", "n")
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("data", pa.binary())])
+    whole = segments.join(grouped.filter("copies > 1").select(*keys), keys, "left_semi").select(*ROW, "at", "n")
+    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("at", pa.int32()), ("data", pa.binary())])
 
-    def contents(ids, local, at, n, anchor, data, offsets, units):
+    def contents(ids, digests, local, at, n, anchor, data, offsets, units):
         parts = [data[a : a + k + width - 1].tobytes() for a, k in zip(at.tolist(), n.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(ids, pa.int64()), pa.array(local.astype(np.int32)), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids), pa.array(digests), pa.array(local.astype(np.int32)), pa.array(parts, pa.binary())], schema=schema)
 
-    mixed = store(repeats.unsettled(grouped, contents, schema, "anchor long, doc_id long, at int, data binary"), "mixed")
+    mixed = store(repeats.unsettled(grouped, contents, "anchor long, doc_id long, digest long, at int, data binary", False), "mixed")
     # segments that are settled already stand for their content with one copy
     size = mixed.agg(F.sum(F.length("data")).alias("n")).first()["n"] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // SHARD) + 1)
-    out = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+    out = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 
-    def sort_shard(batches):
-        ids, at, data = [], [], []
-        for batch in batches:
-            ids += batch.column("doc_id").to_pylist()
-            at += batch.column("at").to_pylist()
-            data += batch.column("data").to_pylist()
-        if not data:
-            return
-        rows = []
-        for segment, starts in repeated_starts(data, width):
-            cuts = np.flatnonzero(np.diff(starts) > 1) + 1
-            rows += [(ids[segment], at[segment] + int(run[0]), len(run)) for run in np.split(starts, cuts)]
-        for lo in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 50_000], strict=True), out, strict=True)], schema=out)
+    memory, in_memory = SORT_MEMORY, IN_MEMORY
 
-    single = mixed.repartition(shards, "anchor").mapInArrow(sort_shard, "doc_id long, at int, n int")
+    def sort_shard(batches):
+        kernels.trim()
+        with induced_sort.Scratch() as scratch:
+            shard = Shard(scratch)
+            for batch in batches:
+                if len(batch):
+                    shard.add(batch)
+            if not shard.n:
+                return
+            begins, (doc, digest, at) = shard.array("begin"), (shard.array(c) for c in (*ROW, "at"))
+            for places, lengths in shard.repeated(width, memory, in_memory):
+                of = np.searchsorted(begins, places, "right") - 1
+                columns = (doc[of], digest[of], at[of] + places - begins[of], lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(columns, out, strict=True)], schema=out)
+
+    single = mixed.repartition(shards, "anchor").mapInArrow(sort_shard, "doc_id long, digest long, at int, n int")
     return whole.unionByName(store(single, "single"))
 
 
 def dedup(docs: DataFrame, width: int = 200) -> DataFrame:
-    """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs)."""
-    gone = spans(removed_windows(docs, width))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id").withColumnRenamed("spans", "_spans"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs), in place of columns of these names."""
+    joined = with_spans(docs, removed_windows(docs, width))
 
     @F.arrow_udf("struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>")
     def keep(texts: pa.Array, spans_: pa.Array) -> pa.Array:
@@ -122,8 +139,8 @@ def dedup(docs: DataFrame, width: int = 200) -> DataFrame:
         kept, *counts = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), *[pa.array(c, pa.int64()) for c in counts]], ["kept", "n_bytes", "n_removed", "n_spans"])
 
-    out = joined.withColumn("_kept", keep(F.col("text"), F.col("_spans")))
-    return out.withColumns({c: F.col(f"_kept.{c}") for c in ("kept", "n_bytes", "n_removed", "n_spans")}).drop("_kept", "_spans")
+    out = joined.withColumn("_quillon_kept", keep(F.col("text"), F.col("_quillon_spans")))
+    return out.withColumns({c: F.col(f"_quillon_kept.{c}") for c in ("kept", "n_bytes", "n_removed", "n_spans")}).drop("_quillon_kept", "_quillon_spans")
 
 
 def whole_characters(data: Column) -> Column:

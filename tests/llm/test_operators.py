@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import components, embedding_dedup, fingerprints, induced_sort, jaccard_join, kernels, langid, lm_scoring, mixing, substring_dedup, suffix_dedup, unigram, url_filter
+from quillon.llm import components, embedding_dedup, fingerprints, induced_sort, jaccard_join, kernels, langid, lm_scoring, mixing, repeats, substring_dedup, suffix_dedup, unigram, url_filter
 from quillon.llm.queries import vocabulary
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,6 +188,16 @@ def test_lattice_points_are_nearest():
     assert ((p * 2 % 1 == 0).all(1) & (p.sum(1) % 2 == 0)).all()
 
 
+@pytest.fixture(scope="module")
+def shared_ids(spark, odd_rows):
+    """Rows with equal and null doc_ids and texts of other lengths, that repeat each other and themselves."""
+    base = next(r[1] for r in odd_rows if r[0] == 15)
+    cut = base.split()
+    texts = [base, " ".join(cut[:90]), " ".join(cut[40:200]) + " x " + " ".join(cut[60:180]), None, base + " tail", " ".join(cut[::-1]), " ".join(cut[:150] * 2), " ".join([*cut[:30], "y", *cut[31:200]])]
+    rows = [(i, t) for i, t in zip([7, 7, 7, 7, 2, 2, None, 9], texts, strict=True)] + [(None, base), (7, base), (9, texts[7]), (None, None), (11, " ".join(cut[10:120]))]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+
+
 # 5 Jaccard join
 
 
@@ -195,18 +206,65 @@ def shingles(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("n,percent", [(4, 85), (1, 50)])
-def test_jaccard_join(spark, odd, odd_rows, none, n, percent):
-    sets = {i: shingles(t, n) for i, t in distinct_ids(odd_rows).items()}
-    root = {i: i for i in sets}
-    for _ in sets:
-        for i, a in sets.items():
-            for j, b in sets.items():
+def classes_of(rows, n, percent):
+    """(doc_id, size, component) of each row, by comparing all pairs."""
+    sets = [shingles(t, n) for _, t in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
                 if a and b and 100 * len(a & b) >= percent * len(a | b):
                     root[i] = root[j] = min(root[i], root[j])
-    got = jaccard_join.join(odd, n, percent).collect()
-    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, len(s), root[i]) for i, s in sets.items()}
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        if d is not None:
+            least[r] = min(d, least.get(r, d))
+    return sorted(((d, len(s), least.get(r)) for (d, _), s, r in zip(rows, sets, root, strict=True)), key=str)
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (1, 50)])
+def test_jaccard_join(spark, odd, odd_rows, none, shared_ids, n, percent):
+    for rows, docs in (([r[:2] for r in odd_rows], odd), shared_ids):
+        got = jaccard_join.join(docs, n, percent).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == classes_of(rows, n, percent)
     assert jaccard_join.join(none, n, percent).count() == 0
+    blank = spark.createDataFrame([(None, None), (1, None), (2, " ")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.join(blank).collect()), key=str) == [(1, 0, 1), (2, 0, 2), (None, 0, None)]
+
+
+@pytest.mark.parametrize("block,members", [(1 << 21, 1 << 12), (300, 7)])
+def test_jaccard_join_of_near_copies_that_do_not_all_link(spark, block, members, monkeypatch):
+    """Copies with several edits each, of which few pairs are alike enough; small blocks change nothing."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", members)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(60)] = f"e{rng.randrange(8)}"
+        rows.append((1000 - i, " ".join(t[rng.randint(0, 3) :])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.join(docs, 4, 85).collect()
+    want = classes_of(rows, 4, 85)
+    assert 5 < len({c for _, _, c in want}) < 115
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
+def test_self_join_and_parity():
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.choice(70, rng.integers(1, 50), replace=False)).astype(np.uint64) for _ in range(120)]
+    sets += [np.sort(np.append(sets[i][1:], np.uint64(200 + i))) for i in range(40)]
+    ties = rng.integers(0, 30, len(sets))
+    for percent in (30, 60, 85):
+        want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and ties[i] != ties[j] and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))}
+        assert set(jaccard_join.self_join(sets, ties, percent)) == want
+    sizes, bits = np.array([len(x) for x in sets]), [jaccard_join.parity(x) for x in sets]
+    for percent in (50, 85):
+        linked = {k for i, j in jaccard_join.self_join(sets, ties, percent) for k in (i, j)}
+        may = set(np.flatnonzero(jaccard_join.partners(sizes, ties, bits, percent)).tolist())
+        assert linked <= may and len(may) < len(sets)
 
 
 def test_tree_finds_all_links():
@@ -222,57 +280,95 @@ def test_tree_finds_all_links():
 # 6 and 8, repeats
 
 
-def test_substring_dedup(spark, odd, odd_rows, none):
-    width = 20
-    texts = distinct_ids(odd_rows)
+def removed_words(rows, width):
     first = {}
-    for i in sorted(texts):
-        w = words(texts[i])
+    for i, t in rows:
+        w = words(t or "")
         for k in range(len(w) - width + 1):
-            first.setdefault(tuple(w[k : k + width]), i)
-    want = {}
-    for i, t in texts.items():
-        w, gone = words(t), set()
+            if i is not None:
+                first[tuple(w[k : k + width])] = min(i, first.get(tuple(w[k : k + width]), i))
+    out = []
+    for i, t in rows:
+        w, gone = words(t or ""), set()
         for k in range(len(w) - width + 1):
-            if first[tuple(w[k : k + width])] < i:
+            if i is not None and first[tuple(w[k : k + width])] < i:
                 gone |= set(range(k, k + width))
-        want[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
-    got = substring_dedup.dedup(odd, width).collect()
-    assert len(got) == len(odd_rows) and any(v[1] for v in want.values())
-    assert all((r["n_words"], r["n_removed"], r["kept"]) == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
-    assert all(r["n_removed"] == 0 for r in got if r["doc_id"] is None)
-    assert substring_dedup.dedup(none, width).count() == 0
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
 
 
-def test_suffix_array_dedup(spark, odd, odd_rows, none):
-    width = 60
-    raws = [(r[0], (r[1] or "").encode()) for r in odd_rows if r[0] is not None]
+def removed_bytes(rows, width):
+    raws = [(i, (t or "").encode()) for i, t in rows]
     counts = Counter(b[k : k + width] for _, b in raws for k in range(len(b) - width + 1))
-    want = {}
+    out = []
     for i, b in raws:
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - width + 1):
             if counts[b[k : k + width]] > 1:
                 gone[k : k + width] = True
         spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-        want[i] = (len(b), int(gone.sum()), spans, np.frombuffer(b, np.uint8)[~gone].tobytes())
-    got = suffix_dedup.dedup(odd, width).collect()
-    assert len(got) == len(odd_rows) and any(v[1] for v in want.values())
-    assert all((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
-    assert suffix_dedup.dedup(none, width).count() == 0
+        out.append((i, len(b), int(gone.sum()), spans, np.frombuffer(b, np.uint8)[~gone].tobytes()))
+    return out
 
 
-def test_induced_order_and_disk_queue():
-    rng = np.random.default_rng(1)
-    for _ in range(150):
-        text = np.append(rng.integers(1, rng.integers(2, 6), rng.integers(1, 80)), 0)
-        want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
-        assert induced_sort.suffix_order(text, memory=64, in_memory=int(rng.choice([2, 1000]))).tolist() == want
-    queue = induced_sort.DiskQueue(100)
-    for lo in range(0, 300, 30):
-        queue.push(np.arange(30) % 3, np.arange(lo, lo + 30))
-    assert queue.folder and queue.pop(1).tolist() == [i for i in range(300) if i % 30 % 3 == 1] and queue.pop(7) is None
-    queue.close()
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, *(x or 0 if k == 0 else x for k, x in enumerate(r))))
+
+
+@pytest.mark.parametrize("flags", [1 << 29, 0])
+def test_substring_dedup(spark, odd, odd_rows, none, shared_ids, flags, monkeypatch):
+    monkeypatch.setattr(repeats, "FLAGS", flags)  # above it, texts are joined with what is wanted of them
+    for rows, docs, width in (([r[:2] for r in odd_rows], odd, 20), (*shared_ids, 20)):
+        want = removed_words(rows, width)
+        assert any(r[2] for r in want)
+        assert by_id((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup(docs, width).collect()) == by_id(want)
+    assert substring_dedup.dedup(none, width).count() == 0
+    blank = spark.createDataFrame([(None, None), (1, None)], "doc_id long, text string")
+    assert [tuple(r) for r in substring_dedup.dedup(blank).select("n_words", "n_removed", "kept").collect()] == [(0, 0, "")] * 2
+
+
+@pytest.mark.parametrize("flags", [1 << 29, 0])
+def test_suffix_array_dedup(spark, odd, odd_rows, none, shared_ids, flags, monkeypatch):
+    monkeypatch.setattr(repeats, "FLAGS", flags)
+    for rows, docs, width in (([r[:2] for r in odd_rows], odd, 60), (*shared_ids, 60)):
+        want = removed_bytes(rows, width)
+        assert any(r[2] for r in want)
+        # input columns with the operator's inner names stay
+        docs = docs.withColumns({c: F.lit(c) for c in ("_id", "_spans", "_kept")})
+        got = suffix_dedup.dedup(docs, width).collect()
+        assert by_id((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == by_id(want)
+        assert all(r["_id"] == "_id" and r["_kept"] == "_kept" for r in got)
+    assert suffix_dedup.dedup(none, width).count() == 0
+    blank = spark.createDataFrame([(None, None), (1, None)], "doc_id long, text string")
+    assert [tuple(r) for r in suffix_dedup.dedup(blank).select("n_bytes", "n_removed", "n_spans").collect()] == [(0, 0, 0)] * 2
+
+
+def test_induced_order_with_common_prefixes():
+    """Against plain sorting, with blocks, queues and base cases so small that everything spills and recurses."""
+    rng, spilled = np.random.default_rng(1), 0
+    for k in range(120):
+        n, cap = int(rng.integers(1, 300)), int(rng.choice([3, 7, 50, 1000]))
+        text = rng.integers(1, int(rng.choice([2, 3, 4, 20, 2000])), n)
+        if k % 3 == 0 and n > 20:
+            text = np.tile(text[: int(rng.integers(2, 20))], n)[:n]
+        text = np.append(text, 0).astype(np.uint16)
+        with induced_sort.Scratch() as scratch:
+            order, common = induced_sort.sort_suffixes(text, cap, int(rng.choice([0, 100, 10_000])), scratch, int(rng.choice([1, 5, 50])))
+            order, common, spilled = order.tolist(), common.tolist(), spilled + scratch.spilled
+        assert not os.path.exists(scratch.folder) and sorted(order) == list(range(n + 1))
+        heads = [text[i : i + cap].tolist() for i in order]
+        assert heads == sorted(heads)
+        assert common == [0] + [next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(heads, heads[1:], strict=False)]
+    assert spilled > 1000
+
+
+def test_suffix_array_dedup_spills_and_recurses(spark, shared_ids, monkeypatch):
+    """The query's own shards with 64 bytes of memory: the same rows."""
+    monkeypatch.setattr(suffix_dedup, "SORT_MEMORY", 64)
+    monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 40)
+    rows, docs = shared_ids
+    got = suffix_dedup.dedup(docs, 60).collect()
+    assert by_id((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == by_id(removed_bytes(rows, 60))
 
 
 def test_kernels_against_plain_python():
@@ -286,7 +382,7 @@ def test_kernels_against_plain_python():
             assert [raw[a:b] for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]], strict=True)] == raw[offsets[i] : offsets[i + 1]].split()
     values = np.random.default_rng(0).integers(0, 5, 200).astype(np.uint64)
     for width in (1, 2, 3, 7, 64, 200):
-        assert kernels.sliding_argmin(values, width).tolist() == [i + int(values[i : i + width].argmin()) for i in range(200 - width + 1)]
+        assert kernels.sliding_argmin(values << np.uint64(32) | values[::-1], width).tolist() == [i + int(values[i : i + width].argmin()) for i in range(200 - width + 1)]
     h = kernels.window_hashes(values, 3)
     assert len(set(h.tolist())) == len({tuple(values[i : i + 3]) for i in range(198)})
 
