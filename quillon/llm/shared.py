@@ -69,7 +69,7 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once an application; they need not have it installed. Batches of texts go to Python
     in at most ``BATCH_BYTES``, however long the texts are."""
     context = spark.sparkContext
-    if not 0 < _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "0")) <= BATCH_BYTES:
+    if not 0 < _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")) <= BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
