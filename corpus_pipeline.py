@@ -4,13 +4,13 @@ Columns doc_id, text, lang, source, n_chars pass through all stages but the last
 gets (spark, docs, sf_dir) and works on all that the one before kept:
 
 * language identification drops the documents it rejects (no letters, or languages that it can't tell apart);
-* the n-gram Jaccard join (five words, 0.8) keeps of each component the document with the smallest doc_id. Rows with one doc_id
-  and one text are one document, of which a row stays; rows with one doc_id and other texts are documents of their own;
+* the n-gram Jaccard join (five words, 0.8) keeps of each component the row with the smallest doc_id (null last), of these the one
+  with the smallest digest of its text; rows with one doc_id and other texts are documents of their own;
 * suffix-array deduplication takes out every 200-byte string that occurs twice, and then documents with nothing left;
 * mixing repeats and cuts documents to the words that the schedule takes of them, a row for each time;
 * SentencePiece encoding adds the ids.
 
-Null texts go at the first stage; rows with a null doc_id are compared with nothing and stay; repeated rows are dropped by the
+Null texts go at the first stage; rows with a null doc_id are compared like others; repeated rows are dropped by the
 second stage, whether their doc_id differs or not; an empty table stays empty.
 """
 
@@ -33,21 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    rows = docs.select(COLUMNS).withColumn("doc_id", F.col("doc_id").cast("long"))
-    shared = store(rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "shared-ids")
-    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    several = rows.join(shared, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(rest)).alias("_rest"))
-    top = rows.agg(F.max("doc_id").alias("m")).first()["m"] or 0
-    several = store(several.select("doc_id", "text", "_rest.*", (F.lit(top + 1) + F.monotonically_increasing_id()).alias("_id")), "several")
-    rows = rows.join(shared, "doc_id", "left_anti").withColumn("_id", F.col("doc_id")).unionByName(several)
-    found = jaccard_join.join(rows.filter("_id is not null").select(F.col("_id").alias("doc_id"), "text"), n=5, percent=80)
-    if not several.isEmpty():  # their own ids say nothing about which document is first
-        found = store(found, "components")
-        real = found.join(several.select(F.col("_id").alias("doc_id"), F.col("doc_id").alias("_real"), "text"), "doc_id", "left")
-        first = F.min_by("doc_id", F.struct(F.coalesce("_real", "doc_id"), "text"))
-        found = found.join(real.groupBy("component_id").agg(first.alias("_first")), "component_id").select("doc_id", F.col("_first").alias("component_id"))
-    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return rows.join(others, "_id", "left_anti").select(COLUMNS)
+    return jaccard_join.one_of_each(docs.select(COLUMNS), n=5, percent=80)
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
