@@ -96,6 +96,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def single_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the words with one space after each, how far each word has moved to the front)."""
+    keep = ~SPACE[data]
+    after = ends[(ends < len(data))]
+    keep[after] = True  # the first byte after a word: a space, or where texts meet the next word's first
+    out = np.where(SPACE[data], np.uint8(0x20), data)[keep]
+    return out, starts - (np.cumsum(keep)[starts] - 1 if len(starts) else starts)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, lane: int = 0) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)

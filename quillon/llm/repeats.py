@@ -9,7 +9,7 @@ one anchor make a segment; every window is in exactly one, and equal windows hav
 * only anchors that are met in different segments (edits, and where a shared passage begins and ends) leave windows to
   compare, one copy of each distinct segment.
 
-Content hashes have 128 bits; the sketch and the bitmap of segments only ever let too much through.
+Contents are hashed whole, to 128 bits (XXH3); the sketch and the bitmap of segments only ever let too much through.
 
 A row is known by doc_id (0 for null) and a digest of doc_id and text, so rows that share a doc_id stay apart; rows equal in both
 have the same windows.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.llm import kernels
@@ -49,22 +50,22 @@ class Repeats:
         return {"width": self.width, "gram": self.gram, "words": self.words}
 
     def segments(self, data: np.ndarray, offsets: np.ndarray):
-        """(text, at, n, anchor, s1, s2, units, first): segments of each text, ``at`` the first window's place in the
+        """(text, at, n, anchor, units, first): segments of each text, ``at`` the first window's place in the
         chunk's units and ``n`` the number of windows; ``first`` where each text's units begin."""
         if self.words:
             starts, ends, first = kernels.words(data, offsets)
-            lanes = [kernels.word_hashes(data, starts, i) for i in range(2)]
+            lane = kernels.word_hashes(data, starts)
             units = (starts, ends)
         else:
             first = offsets
-            lanes = [kernels._BYTES[i][data] + np.uint64(0x9E3779B97F4A7C15) * data for i in range(2)]
+            lane = kernels._BYTES[0][data] + np.uint64(0x9E3779B97F4A7C15) * data
             units = None
-        n = len(lanes[0]) - self.width + 1
+        n = len(lane) - self.width + 1
         none = np.zeros(0, np.int64)
         if n <= 0:
-            return none, none, none, none, none, none, units, first
+            return none, none, none, none, units, first
         text = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
-        grams = kernels.window_hashes(lanes[0], self.gram)
+        grams = kernels.window_hashes(lane, self.gram)
         anchor = kernels.sliding_argmin(grams, self.width - self.gram + 1)
         valid = text[:n] == text[self.width - 1 :]
         edge = np.ones(n, bool)
@@ -73,14 +74,17 @@ class Repeats:
         sizes = np.diff(np.append(begins, n))
         keep = valid[begins]
         begins, sizes = begins[keep], sizes[keep]
-        contents = []
-        for i, lane in enumerate(lanes):
-            up, down = kernels.powers(kernels._BASES[2 + i], len(lane) + 1)
-            total = np.zeros(len(lane) + 1, np.uint64)
-            np.cumsum(lane * up[: len(lane)], out=total[1:])
-            ends_ = begins + sizes + self.width - 1
-            contents.append(kernels.mix(kernels.mix((total[ends_] - total[begins]) * down[begins]) ^ sizes.astype(np.uint64)).view(np.int64))
-        return text[begins].astype(np.int64), begins, sizes, grams[anchor[begins]].view(np.int64), *contents, units, first
+        return text[begins].astype(np.int64), begins, sizes, grams[anchor[begins]].view(np.int64), units, first
+
+    def contents(self, data: np.ndarray, units, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit hashes, in two halves, of what runs of units (bytes, or words with one space between) hold."""
+        if self.words:
+            starts, stops = units
+            data, shift = kernels.single_spaced(data, starts, stops)
+            begins, ends = starts[begins] - shift[begins], stops[ends - 1] - shift[ends - 1]
+        view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
 
     def _counters(self, size: int):
         def part(batches) -> np.ndarray:
@@ -111,12 +115,13 @@ class Repeats:
             for batch in batches:
                 ids, digests = (batch.column(c).to_numpy(zero_copy_only=False) for c in ROW)
                 for row, data, offsets in kernels.chunks(batch.column("text")):
-                    text, at, n, anchor, s1, s2, _, first = self.segments(data, offsets)
+                    text, at, n, anchor, units, first = self.segments(data, offsets)
                     keep = np.ones(len(anchor), bool)
                     for slot in self.slots(anchor, size):
                         keep &= (bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 != 0
                     text, at, n = text[keep], at[keep], n[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids[row + text], digests[row + text], (at - first[text]).astype(np.int32), n.astype(np.int32), anchor[keep], s1[keep], s2[keep]), _SCHEMA, strict=True)], schema=_SCHEMA)
+                    s1, s2 = self.contents(data, units, at, at + n + self.width - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids[row + text], digests[row + text], (at - first[text]).astype(np.int32), n.astype(np.int32), anchor[keep], s1, s2), _SCHEMA, strict=True)], schema=_SCHEMA)
 
         return store(self.docs.mapInArrow(emit, SEGMENT), "segments")
 
@@ -130,32 +135,32 @@ class Repeats:
         return out
 
     def unsettled(self, grouped: DataFrame, emit_rows, ddl: str, whole_document: bool) -> DataFrame:
-        """``emit_rows`` of one copy (and seldom some others) of each segment whose anchor has others, or of all its copies in the
-        document where it is first.
+        """``emit_rows`` of one copy (and seldom some others) of each segment whose anchor has others, or of all segments with its
+        anchor in the document where it is first.
 
         What is wanted is a bitmap of 16 bits a segment, as far as ``FLAGS`` bits go; beyond, texts are joined with what is wanted of them.
         """
         key = ["doc_id"] if whole_document else ROW
 
-        def name(doc, digest, local, s1):
-            what = s1 if whole_document else kernels.mix(digest.view(np.uint64) + local.astype(np.uint64)).view(np.int64)
+        def name(doc, digest, local, anchor):
+            what = anchor if whole_document else kernels.mix(digest.view(np.uint64) + local.astype(np.uint64)).view(np.int64)
             return kernels.mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ what.view(np.uint64)).view(np.int64)
 
         def names(batches):
             for batch in batches:
-                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*ROW, "at", "s1")]
+                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*ROW, "at", "anchor")]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in key], pa.array(name(*cols))], [*key, "id"])
 
-        wanted = store(grouped.filter("mixed").select("lead.*", "s1").mapInArrow(names, ", ".join(f"{c} long" for c in [*key, "id"])), "wanted")
+        wanted = store(grouped.filter("mixed").select("lead.*", "anchor").mapInArrow(names, ", ".join(f"{c} long" for c in [*key, "id"])), "wanted")
         bits = wanted.count() * 16
 
         def emit(batches, known):
             for batch in batches:
                 ids, digests = (batch.column(c).to_numpy(zero_copy_only=False) for c in ROW)
                 for row, data, offsets in kernels.chunks(batch.column("text")):
-                    text, at, n, anchor, s1, s2, units, first = self.segments(data, offsets)
+                    text, at, n, anchor, units, first = self.segments(data, offsets)
                     local = at - first[text]
-                    keep = known(batch, row, len(offsets) - 1, name(ids[row + text], digests[row + text], local, s1))
+                    keep = known(batch, row, len(offsets) - 1, name(ids[row + text], digests[row + text], local, anchor))
                     if keep.any():
                         yield from emit_rows(ids[row + text[keep]], digests[row + text[keep]], local[keep], at[keep], n[keep], anchor[keep], data, offsets, units)
 

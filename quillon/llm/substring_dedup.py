@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.llm import kernels
 from quillon.llm.repeats import ROW, Repeats, covered, with_spans
 from quillon.llm.shared import store
 
@@ -33,10 +32,10 @@ def removed_windows(docs: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("at", pa.int32())])
 
     def windows(ids, digests, local, at, n, anchor, data, offsets, units):
-        lanes = [kernels.window_hashes(kernels.word_hashes(data, units[0], i), width, i).view(np.int64) for i in range(2)]
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         place = np.repeat(at, n) + step
-        yield pa.RecordBatch.from_arrays([pa.array(lanes[0][place]), pa.array(lanes[1][place]), pa.array(np.repeat(ids, n)), pa.array(np.repeat(digests, n)), pa.array((np.repeat(local, n) + step).astype(np.int32))], schema=schema)
+        h1, h2 = repeats.contents(data, units, place, place + width)
+        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.repeat(ids, n)), pa.array(np.repeat(digests, n)), pa.array((np.repeat(local, n) + step).astype(np.int32))], schema=schema)
 
     single = store(repeats.unsettled(grouped, windows, "h1 long, h2 long, doc_id long, digest long, at int", True), "windows")
     least = store(single.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").drop("last"), "least")
