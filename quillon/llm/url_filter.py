@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quillon.llm.shared import store
 
 DIM = 1024
+SIZES = (3, 4)  # characters of an n-gram
 STEPS, RATE, DECAY = 200, 0.5, 0.01
 
 RULES = (
@@ -79,11 +80,11 @@ def grams(host: Column, path: Column, dim: int = DIM) -> Column:
     """Slots of a URL's distinct n-grams: host below ``dim``, path from ``dim`` on, the bias at ``2 * dim``."""
 
     def slots(text: Column, first: int) -> Column:
-        every = []
-        for n in (3, 4):
+        def of(n: int) -> Column:  # a lambda of two parameters would get the index as its second
             at = F.when(F.char_length(text) >= n, F.sequence(F.lit(1), F.char_length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            every.append(F.transform(at, lambda i, n=n: (F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(dim)) + first).cast("int")))
-        return F.concat(*every)
+            return F.transform(at, lambda i: (F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(dim)) + first).cast("int"))
+
+        return F.concat(*map(of, SIZES))
 
     host_text = F.when(host == "", F.lit("")).otherwise(F.concat(F.lit("^"), host, F.lit("$")))
     return F.array_distinct(F.concat(slots(host_text, 0), slots(path, dim), F.array(F.lit(2 * dim))))
@@ -123,10 +124,10 @@ def judge(pages: DataFrame, rules=RULES, labelled=LABELLED, threshold: float = 0
     """``pages`` with host, path, rule, verdict and p_block (the model's probability, given for each URL)."""
     weights = fit(pages.sparkSession, labelled)
     out = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    out = out.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("p_block", probability(F.col("host"), F.col("path"), weights))
+    out = out.withColumn("_quillon_rule", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("p_block", probability(F.col("host"), F.col("path"), weights))
     names, verdicts = F.array(*[F.lit(rule_name(h, p)) for h, p, _ in rules]), F.array(*[F.lit(v) for *_, v in rules])
     model = F.when(F.col("p_block") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumns({
-        "rule": F.when(F.col("_rule").isNotNull(), F.element_at(names, F.col("_rule") + 1)),
-        "verdict": F.when(F.col("_rule").isNotNull(), F.element_at(verdicts, F.col("_rule") + 1)).otherwise(model),
-    }).drop("_rule")
+        "rule": F.when(F.col("_quillon_rule").isNotNull(), F.element_at(names, F.col("_quillon_rule") + 1)),
+        "verdict": F.when(F.col("_quillon_rule").isNotNull(), F.element_at(verdicts, F.col("_quillon_rule") + 1)).otherwise(model),
+    }).drop("_quillon_rule")

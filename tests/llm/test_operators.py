@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -67,6 +68,25 @@ def test_url_model_is_the_primal_descent(spark):
     assert np.mean((x @ got > 0) == (y == 1)) > 0.9
 
 
+def test_url_scores_are_the_model_by_hand(spark):
+    """p_block from weights and hashed character n-grams, counted in plain Python."""
+    import xxhash
+
+    urls = [r[0] for r in url_filter.LABELLED[:12]] + ["x://new.example.org/some/long/path", "x://a/", None, "x://h"]
+    pages = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(urls)], "page_id long, url string, _rule string")
+    weights = url_filter.fit(spark)
+    slot = lambda text, n, i: xxhash.xxh64(text[i : i + n].encode(), seed=42).intdigest()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def grams(text, first):
+        return {signed(slot(text, n, i)) % url_filter.DIM + first for n in url_filter.SIZES for i in range(len(text) - n + 1)}
+
+    for r in url_filter.judge(pages).collect():
+        slots = (grams(f"^{r['host']}$", 0) if r["host"] else set()) | grams(r["path"], url_filter.DIM) | {2 * url_filter.DIM}
+        z = sum(weights[i] for i in slots) / math.sqrt(len(slots))
+        assert r["p_block"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and r["_rule"] == "kept"
+
+
 # 2 SentencePiece
 
 
@@ -105,6 +125,15 @@ def test_pieces_come_back_and_score_best(spark, odd, none):
     assert out == ["�", None, ""]
 
 
+def test_columns_with_the_operators_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "the cat", "old", 5.0, "x")], "doc_id long, text string, ids string, n_tokens double, keep string")
+    row = unigram.encoded(docs, vocabulary()).first()
+    assert row["decoded"] == "the cat" and row["n_tokens"] == len(row["ids"]) and row["keep"] == "x"
+    docs = spark.createDataFrame([(1, "the cat", "old", "y", "x")], "doc_id long, text string, lang_pred string, _judged string, keep string")
+    row = langid.classified(docs, {"en": b"the cat sat", "de": b"die katze"}).first()
+    assert row["lang_pred"] in ("en", "de") and row["_judged"] == "y" and row["keep"] == "x"
+
+
 def test_literal_marker_comes_back():
     import pyarrow as pa
 
@@ -510,6 +539,29 @@ def test_language_id(spark, sf, odd, none):
     assert langid.learn(none) == {} and {r["lang_pred"] for r in langid.classified(odd, {}).collect()} == {"und"} and langid.classified(none, model).count() == 0
 
 
+def test_language_id_against_plain_compression(spark, odd, odd_rows):
+    import zstandard
+
+    model = langid.learn(odd)
+    packers = {}
+    for lang, data in model.items():
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=langid.LEVEL)
+        packers[lang] = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+    want = Counter()
+    for r in odd_rows:
+        if r[1] is None or not any(c.isalpha() for c in r[1]):
+            want[(r[0], "und", 0.0, True)] += 1
+            continue
+        size = {lang: len(p.compress(r[1].lower().encode())) for lang, p in packers.items()}
+        best = min(sorted(size), key=size.get)
+        score = 1 / sum(2.0 ** (size[best] - x) for x in size.values())
+        want[(r[0], best, round(score, 9), score < langid.NARROW)] += 1
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9), r["rejected"]) for r in langid.classified(odd, model).collect()) == want
+    held = {r["doc_id"]: r["h"] for r in odd.select("doc_id", langid.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) for i, h in held.items())
+
+
 # shared
 
 
