@@ -6,12 +6,14 @@ lower-cased and compressed with each dictionary, whole, and gets the language of
 rejected (``rejected``): its margin doesn't tell the languages apart.
 
 The sample: of each language the ``docs`` labelled texts (at most) with the smallest md5 of their doc_id among those picked by a
-hash at a rate set by the language's count; of each text ``DICT_BYTES / docs`` bytes at most go into the dictionary. So the
-driver holds ``DICT_BYTES`` a language, whatever the input.
+hash at a rate set by the language's count (``SAMPLE_DOCS``); of each text the first ``DICT_BYTES / docs`` bytes (1,000) at most go into the
+dictionary. Both are bounds on what is learned from alone: every text is judged whole. So the driver holds ``DICT_BYTES`` a language,
+whatever the input.
 
 Defined cases: null texts and texts without a letter get ``und`` with score 0 and are rejected, as is every text when
 nothing was learned; ties go to the first language in order; very long texts are compressed whole; a null doc_id is
-neither held out nor learned from; repeated rows are judged alike; other columns stay as they are.
+neither held out nor learned from; repeated rows are judged alike; an empty table gives an empty result; other columns stay as they
+are, but ``lang_pred``, ``score`` and ``rejected`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -93,6 +95,6 @@ def classified(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float =
         found = [model.value.judge(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
 
-    out = docs.withColumn("_judged", judge(F.col(text)))
-    out = out.withColumns({"lang_pred": F.col("_judged.lang_pred"), "score": F.col("_judged.score")}).drop("_judged")
+    out = docs.withColumn("_quillon_judged", judge(F.col(text)))
+    out = out.withColumns({"lang_pred": F.col("_quillon_judged.lang_pred"), "score": F.col("_quillon_judged.score")}).drop("_quillon_judged")
     return out.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < narrow))
