@@ -101,6 +101,16 @@ def language(path: Column) -> Column:
     return F.when(ext.isin(".c", ".h"), "c").when(ext.isin(".cpp", ".hpp", ".cc", ".cxx", ".hxx", ".inl"), "cpp")
 
 
+# editors' names of languages that have another name here.
+ALIASES = {"typescriptreact": "tsx", "javascriptreact": "jsx", "shellscript": "bash", "plaintext": "text"}
+
+
+def canonical_language(name: Column, supported: tuple[str, ...]) -> Column:
+    """A language by its own name or an alias, if it is supported; else null."""
+    other = F.coalesce(*[F.when(name == a, F.lit(b)) for a, b in ALIASES.items()])
+    return F.when(name.isin(*supported), name).when(other.isin(*supported), other)
+
+
 # The lexer
 
 LEX = re.compile(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon import schema
 from quillon.functions import text as T
-from quillon.operators import extract, index, search, session
+from quillon.operators import extract, index, search, session, telemetry
 from quillon.schema import SearchOptions
 from quillon.session import scratch_dir
 from quillon.sources import corpus
@@ -91,6 +91,11 @@ register(  # one file of five megabytes
     lambda s, d: extract.by_text(s.range(140_000).select(F.concat(F.lit("#define REG_FIELD_"), F.col("id").cast("string"), F.lit("_MASK 0x0000ff")).alias("line"), "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("content")).select(F.lit("big.h").alias("relative_path"), "content")),
     "select 'big.h' as relative_path, (i + 1)::int as line_number, 0 as col, 'REG_FIELD_' || i::varchar || '_MASK' as name, 'macro' as kind from range(140000) r(i)",
 )
+register(  # words that are no names, as names of functions and types
+    "extract_keyword_names",
+    lambda s, d: extract.by_line(s.read.parquet(f"{d}/nation.parquet").crossJoin(F.broadcast(s.createDataFrame([(k,) for k in (*extract.KEYWORDS, "good")], "w string"))).select(F.concat(F.lit("src/"), F.col("n_nationkey").cast("string"), F.lit(".c")).alias("relative_path"), F.explode(F.array(F.concat(F.lit("static int "), "w", F.lit("(int a) {")), F.concat(F.lit("struct "), "w", F.lit(" {")))).alias("line")).withColumn("line_number", F.row_number().over(session.Window.partitionBy("relative_path").orderBy("line")))).select("relative_path", "name", "kind"),
+    "select 'src/' || n_nationkey::varchar || '.c' as relative_path, 'good' as name, unnest(['function', 'struct']) as kind from nation",
+)
 register(
     "extract_macros_only",
     lambda s, d: extract.by_line(corpus.synthetic_lines(s, d), macros_only=True).drop("line"),
@@ -120,6 +125,7 @@ FIND = {
     "find_substring_ci": ("Ring", SearchOptions(), "contains(name_fold, lower('{q}')) and contains(toks, ' ring ')"),
     "find_substring_cs": ("RING", SearchOptions(True), "contains(name, '{q}') and contains(toks, ' ring ')"),
     "find_substring_no_token": ("_", SearchOptions(), "contains(name_fold, '_')"),
+    "find_substring_cs_no_token": ("R", SearchOptions(True), "contains(name, 'R')"),
     "find_token_phrase": ("small_ring", SearchOptions(), "contains(name_fold, 'small_ring') and contains(toks, ' small ring ')"),
     "find_partial_token": ("rin", SearchOptions(), "contains(name_fold, 'rin') and contains(toks, ' rin ')"),
     "find_number_token": ("PART_1", SearchOptions(), "contains(name_fold, 'part_1') and contains(toks, ' part 1 ')"),
@@ -169,6 +175,11 @@ _PAGE_SQL = "select name, relative_path, line_number, col, 0 as match_start, len
 register("page_first", lambda s, d: search.search(_symbols(s, d), "ring"), f"with {SYMBOLS} {_PAGE_SQL} limit 200")
 register("stored_page_first", lambda s, d: search.search(_stored(s, d), "ring"), f"with {SYMBOLS} {_PAGE_SQL} limit 200")
 register("stored_page_second", lambda s, d: search.search(_stored(s, d), "ring", offset=200), f"with {SYMBOLS} {_PAGE_SQL} limit 200 offset 200")
+register(
+    "page_renumbered",
+    lambda s, d: session.numbered(search.search(_symbols(s, d), "part", offset=200), ["relative_path", "line_number", "col", "name"], 200).select("name", F.col("global_index").cast("int").alias("global_index")),
+    f"with {SYMBOLS}, page as (select * from symbols where contains(name_fold, 'part') and contains(toks, ' part ') order by relative_path, line_number, col, name limit 200 offset 200) select name, (row_number() over (order by relative_path, line_number, col, name) + 199)::int as global_index from page",
+)
 register("page_second", lambda s, d: search.search(_symbols(s, d), "ring", offset=200), f"with {SYMBOLS} {_PAGE_SQL} limit 200 offset 200")
 register(
     "result_lines",
@@ -461,6 +472,16 @@ register(
     lambda s, d: s.read.parquet(f"{d}/nation.parquet").select(T.diagnostic_line(F.lit("file:parseDone"), F.lit(1), F.col("n_nationkey"), file=F.col("n_name")).alias("line")),
     """select '{"t":' || n_nationkey::varchar || ',"event":"file:parseDone","pid":1,"file":"' || n_name || '"}' as line from nation""",
 )
+register(
+    "sample_summary",
+    lambda s, d: telemetry.sample_summary(s.read.parquet(f"{d}/events.parquet").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.round("value").cast("bigint").alias("used")), by=("event_type",)),
+    "select event_type, coalesce(max(round(value)::bigint), 0) as peak, count(*)::bigint as samples, epoch_us(max(ts)) - epoch_us(min(ts)) as duration from events group by 1",
+)
+register(
+    "language_alias",
+    lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", extract.canonical_language(F.element_at(F.array(*map(F.lit, ["c", "shellscript", "plaintext", "typescriptreact", "cobol"])), (F.col("p_partkey") % 5 + 1).cast("int")), ("c", "bash", "tsx")).alias("lang")),
+    "select p_partkey, ['c', 'bash', null, 'tsx', null][p_partkey % 5 + 1] as lang from part",
+)
 register(
     "highlight_html",
     lambda s, d: corpus.synthetic_lines(s, d).select("relative_path", "line_number", T.highlighted(F.col("line"), [("CUSTOMER", "red"), ("&", "blue")]).alias("html")),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import extract, index, search, session
+from quillon.operators import extract, index, search, session, telemetry
 from quillon.operators.index import Index, Status, Store
 from quillon.schema import SearchOptions
 from quillon.sources import corpus
@@ -342,6 +342,51 @@ def test_canonical_root(tmp_path):
     assert corpus.canonical_root(f"{tmp_path}/none/") == os.path.realpath(tmp_path) + "/none" and corpus.canonical_root("s3://b/x/") == "s3://b/x"
 
 
+def test_diagnostics_and_samples(spark, tmp_path, monkeypatch):
+    events = spark.createDataFrame([(5, "file:error", 7, "a.c"), (6, "file:entered", 7, None)], "t long, event string, pid int, file string")
+    assert not telemetry.write_diagnostics(events, str(tmp_path / "log")) and not (tmp_path / "log").exists()
+    monkeypatch.setenv(telemetry.SWITCH, "1")
+    assert telemetry.write_diagnostics(events, str(tmp_path / "log")) and telemetry.write_diagnostics(events, str(tmp_path / "log"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "log")).collect()]
+    assert sorted(lines) == sorted(['{"t":5,"event":"file:error","pid":7,"file":"a.c"}', '{"t":6,"event":"file:entered","pid":7}'] * 2)
+    (tmp_path / "file").write_text("x")
+    assert not telemetry.write_diagnostics(events, str(tmp_path / "file" / "below"))  # can't be written, doesn't raise
+    samples = spark.createDataFrame([(1, 10, 20, 30), (4, 50, 60, 70)], "timestamp long, rss_kb long, heap_kb long, db_size_bytes long")
+    telemetry.write_samples(samples, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == telemetry.SAMPLES
+    assert tuple(telemetry.sample_summary(samples, "timestamp", "rss_kb").first()) == (50, 2, 3)
+    assert tuple(telemetry.sample_summary(samples.limit(0), "timestamp", "rss_kb").first()) == (0, 0, 0)
+
+
+def test_session_ids_clear_and_progress(spark, tree, tmp_path):
+    s = session.Session()
+    ids = [s.add("q", SearchOptions(), ["a"]) for _ in range(3)]
+    assert len(set(ids)) == 3 and all(i.startswith("search-") for i in ids)
+    s.clear()
+    assert not s.entries and s.active is None and s.results() == []
+    phases = []
+    Index(spark, str(tree), str(tmp_path / "index")).synchronize(phases.append)
+    assert phases == ["scanning", "classifying", "parsing", "saving"]
+
+
+def test_change_stream_takes_few_files_at_a_time(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for i in range(5):
+        spark.createDataFrame([(f"{i}.c", "change", i)], "relative_path string, op string, t long").select("relative_path", "op", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(log)
+    seen = []
+    changes.follow(changes.change_stream(spark, log, files_per_trigger=2), lambda dirty, gone: seen.append(dirty.count()), str(tmp_path / "cp")).awaitTermination(60)
+    assert sum(seen) == 5 and max(seen) <= 2
+
+
+def test_a_stopped_search_raises(spark):
+    def work():
+        threading.Timer(0.5, lambda: spark.sparkContext.cancelJobsWithTag("find-1")).start()
+        return spark.range(8).mapInArrow(lambda batches: (time.sleep(3) or b for b in batches), "id long").count()
+
+    with pytest.raises(index.Cancelled):
+        index.stoppable(spark, "find-1", work)
+
+
 def test_auto_sync_waits_for_quiet():
     calls = []
     auto = changes.AutoSync(lambda: calls.append(1), 0.15)
