@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillon.llm import kernels
 from quillon.llm.shared import store
 
 
@@ -62,7 +63,7 @@ def merged(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]
 
     schema = "chunk int, data binary"
     out = np.zeros(size, kind)
-    for row in df.mapInArrow(emit, schema).groupBy("chunk").applyInArrow(add, schema).collect():  # `size` counters in all
+    for row in df.mapInArrow(kernels.tidy(emit), schema).groupBy("chunk").applyInArrow(add, schema).collect():  # `size` counters in all
         counts = np.frombuffer(zlib.decompress(row["data"]), kind)
         out[row["chunk"] * chunk : row["chunk"] * chunk + len(counts)] = counts
     return out
@@ -82,7 +83,7 @@ def id_filter(ids: DataFrame, bits: int = 1 << 26) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(part(batches).tobytes(), 1)], pa.binary())], ["data"])
 
     flags = np.zeros(bits // 32, np.uint32)
-    for row in ids.coalesce(16).mapInArrow(emit, "data binary").toLocalIterator():  # 16 bitmaps at most, one at a time
+    for row in ids.coalesce(16).mapInArrow(kernels.tidy(emit), "data binary").toLocalIterator():  # 16 bitmaps at most, one at a time
         flags |= np.frombuffer(zlib.decompress(row["data"]), np.uint32)
     return flags
 

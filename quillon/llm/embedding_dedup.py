@@ -142,8 +142,8 @@ def candidates(classes: DataFrame, tables: int, probes: int, cell: float) -> Dat
         if out:
             yield flush()
 
-    entries = classes.select("vec_id", "label", "v").mapInArrow(place, "cell long, vec_id long, looks boolean")
-    return entries.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a long, b long").distinct()
+    entries = classes.select("vec_id", "label", "v").mapInArrow(kernels.tidy(place), "cell long, vec_id long, looks boolean")
+    return entries.repartition("cell").sortWithinPartitions("cell").mapInArrow(kernels.tidy(meet), "a long, b long").distinct()
 
 
 def cosine(a: pa.Array, b: pa.Array) -> pa.Array:

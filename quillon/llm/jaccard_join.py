@@ -310,13 +310,13 @@ class Join:
                         rows = batch.slice(at + lo, len(size[s]))
                         yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("doc_id", "row", "digest")], pa.array(size[s]), *[d[s] for d in digests], pa.array(parts[s], pa.binary())], ["doc_id", "row", "digest", "size", "d1", "d2", "prefix"])
 
-        return self.docs.mapInArrow(emit, "doc_id long, row long, digest long, size long, d1 long, d2 long, prefix binary")
+        return self.docs.mapInArrow(kernels.tidy(emit), "doc_id long, row long, digest long, size long, d1 long, d2 long, prefix binary")
 
     def sets(self, classes: DataFrame, form) -> DataFrame:
         """(node, keys): ``form`` of the whole sets of ``classes`` (node, row, digest)."""
         classes = store(classes, "wanted")
         name = lambda row, digest: kernels.mix(row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ digest.view(np.uint64)).view(np.int64)
-        names = classes.select("row", "digest").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(name(b.column(0).to_numpy(), b.column(1).to_numpy()))], ["id"]) for b in batches), "id long")
+        names = classes.select("row", "digest").mapInArrow(kernels.tidy(lambda batches: (pa.RecordBatch.from_arrays([pa.array(name(b.column(0).to_numpy(), b.column(1).to_numpy()))], ["id"]) for b in batches)), "id long")
         flags = self.spark.sparkContext.broadcast(id_filter(names, 1 << max(20, min(FLAGS, classes.count() * 16).bit_length())))
         n, levels = self.n, self.levels
         schema = pa.schema([("row", pa.int64()), ("digest", pa.int64()), ("keys", pa.binary())])
@@ -329,7 +329,7 @@ class Join:
                     for i in range(len(bounds) - 1):
                         yield ids[at + i], digests[at + i], form(keys[bounds[i] : bounds[i + 1]])
 
-        found = self.docs.select("row", "digest", "text").mapInArrow(lambda b: _batches(rows(b), schema), "row long, digest long, keys binary")
+        found = self.docs.select("row", "digest", "text").mapInArrow(kernels.tidy(lambda b: _batches(rows(b), schema)), "row long, digest long, keys binary")
         return found.join(classes, ["row", "digest"]).select("node", "keys").dropDuplicates(["node"])
 
     def runs(self, heads: DataFrame) -> DataFrame:
@@ -367,8 +367,8 @@ class Join:
                 keep = np.repeat(several, n)
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (centre, node, near)], ["centre", "node", "near"])
 
-        rows = heads.mapInArrow(entries, "key long, node long, size int, pos int").repartition("key").sortWithinPartitions("key")
-        return rows.mapInArrow(emit, "centre long, node long, near boolean").groupBy("centre", "node").agg(F.max("near").alias("near"))
+        rows = heads.mapInArrow(kernels.tidy(entries), "key long, node long, size int, pos int").repartition("key").sortWithinPartitions("key")
+        return rows.mapInArrow(kernels.tidy(emit), "centre long, node long, near boolean").groupBy("centre", "node").agg(F.max("near").alias("near"))
 
     @staticmethod
     def dealt(blocks: DataFrame, load: str, most: int, in_full: bool) -> DataFrame:
@@ -417,7 +417,7 @@ class Join:
 
             yield from _batches(found(), schema)
 
-        out = store(rows.mapInArrow(emit, "a long, b long").distinct(), "links")
+        out = store(rows.mapInArrow(kernels.tidy(emit), "a long, b long").distinct(), "links")
         forget(blocks)
         return out
 
@@ -450,7 +450,7 @@ class Join:
                     keep[a:b] = kept(block[a], node[a:b], size[a:b], tie[a:b], bits[a:b])
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (block, node, tie)], ["block", "node", "tie"])
 
-        return rows.mapInArrow(emit, "block long, node long, tie long").distinct()
+        return rows.mapInArrow(kernels.tidy(emit), "block long, node long, tie long").distinct()
 
     @staticmethod
     def several(blocks: DataFrame) -> DataFrame:

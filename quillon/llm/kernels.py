@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ LOWER[65:91] += 32
 
 def trim() -> None:
     """Give memory that this process has freed back to the system; workers live on from stage to stage."""
+    _powers.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -34,6 +35,18 @@ def trim() -> None:
         pass
 
 
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows``, a function of a partition's batches, and ``trim`` at its end."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            trim()
+
+    return run
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -86,7 +86,7 @@ def counts(texts: DataFrame, lengths: list[int]) -> DataFrame:
                 _, place, keys, _ = keys_of(data, offsets, max(lengths))
                 yield _count_batch([(n, *_counted(keys[n - 1][place >= n - 1])) for n in lengths])
 
-    return texts.select("text").mapInArrow(emit, "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(kernels.tidy(emit), "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
 
 
 class Hot:
@@ -137,7 +137,7 @@ class Model:
                     yield _count_batch(rows)
             yield _count_batch([(0, np.zeros(1, np.uint64), np.array([words]))])
 
-        seen = self.texts.select("text").mapInArrow(emit, "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
+        seen = self.texts.select("text").mapInArrow(kernels.tidy(emit), "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
         seen = store(seen, "frequent")
         total = seen.filter("n = 0").agg(F.sum("c").alias("c")).first()["c"] or 0
         # what a frequent n-gram has in runs where it isn't frequent is less than half of its share
@@ -159,7 +159,7 @@ class Model:
                             out.append((n, *_counted(key[want[at] == key])))
                     yield _count_batch(out)
 
-        found = self.texts.select("text").mapInArrow(exact, "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
+        found = self.texts.select("text").mapInArrow(kernels.tidy(exact), "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
         return total, Hot(found.collect())  # the same keys
 
     def scores(self) -> DataFrame:
@@ -170,7 +170,7 @@ class Model:
         parts = max(1, math.ceil(total / slices / self.rows))
         out = None
         for number in range(slices):
-            packed = self.texts.mapInArrow(_packer(order, hot, number, slices, parts), "part int, run long, data binary")
+            packed = self.texts.mapInArrow(kernels.tidy(_packer(order, hot, number, slices, parts)), "part int, run long, data binary")
             packed = packed.repartition(max(parts, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "part")
             scored_ = packed.groupBy("part").applyInArrow(_part_scores, "run long, data binary")
             rows = scored_.groupBy("run").applyInArrow(_by_text, "doc_id long, digest long, words long, head long, s double, copies long")
@@ -356,7 +356,7 @@ def held_out_scores(docs: DataFrame, corpus: DataFrame, order: int = 3) -> DataF
 
     ddl = ", ".join(["doc_id long, digest long, n int", *[f"k{n} long" for n in range(1, order + 1)], *[f"h{n} long" for n in range(1, order)], "times long"])
     texts = _texts(docs)
-    rows = store(texts.mapInArrow(emit, ddl), "words").withColumn("lost", F.lit(0))
+    rows = store(texts.mapInArrow(kernels.tidy(emit), ddl), "words").withColumn("lost", F.lit(0))
     found, waiting = None, None
     for n in range(order, 0, -1):
         here = rows.filter(F.col("n") == n)

@@ -123,7 +123,7 @@ class Repeats:
                     s1, s2 = self.contents(data, units, at, at + n + self.width - 1)
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids[row + text], digests[row + text], (at - first[text]).astype(np.int32), n.astype(np.int32), anchor[keep], s1, s2), _SCHEMA, strict=True)], schema=_SCHEMA)
 
-        return store(self.docs.mapInArrow(emit, SEGMENT), "segments")
+        return store(self.docs.mapInArrow(kernels.tidy(emit), SEGMENT), "segments")
 
     @staticmethod
     def grouped(segments: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ class Repeats:
                 cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*ROW, "at", "anchor")]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in key], pa.array(name(*cols))], [*key, "id"])
 
-        wanted = store(grouped.filter("mixed").select("lead.*", "anchor").mapInArrow(names, ", ".join(f"{c} long" for c in [*key, "id"])), "wanted")
+        wanted = store(grouped.filter("mixed").select("lead.*", "anchor").mapInArrow(kernels.tidy(names), ", ".join(f"{c} long" for c in [*key, "id"])), "wanted")
         bits = wanted.count() * 16
 
         def emit(batches, known):
@@ -166,10 +166,10 @@ class Repeats:
 
         if bits <= FLAGS:
             flags = self.docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("id"), 1 << max(20, bits.bit_length())))
-            return self.docs.mapInArrow(lambda batches: emit(batches, lambda batch, row, n, ids: passes(flags.value, ids)), ddl)
+            return self.docs.mapInArrow(kernels.tidy(lambda batches: emit(batches, lambda batch, row, n, ids: passes(flags.value, ids))), ddl)
         of_row = wanted.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.collect_set("id").alias("wanted"))
         joined = self.docs.join(of_row, [F.col(c) == F.col(f"_{c}") for c in key]).select(*ROW, "text", "wanted")
-        return joined.mapInArrow(lambda batches: emit(batches, lambda batch, row, n, ids: np.isin(ids, batch.column("wanted")[row : row + n].flatten().to_numpy())), ddl)
+        return joined.mapInArrow(kernels.tidy(lambda batches: emit(batches, lambda batch, row, n, ids: np.isin(ids, batch.column("wanted")[row : row + n].flatten().to_numpy()))), ddl)
 
 
 def spans(rows: DataFrame) -> DataFrame:

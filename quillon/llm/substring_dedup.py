@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quillon.llm import kernels
 from quillon.llm.repeats import ROW, Repeats, covered, with_spans
 from quillon.llm.shared import store
 
@@ -60,6 +61,7 @@ def dedup(docs: DataFrame, width: int = 50) -> DataFrame:
             else:
                 removed.append(0)
             kept.append(b" ".join(words).decode())
+        kernels.trim()
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["kept", "n_words", "n_removed"])
 
     out = joined.withColumn("_quillon_kept", keep(F.col("text"), F.col("_quillon_spans")))

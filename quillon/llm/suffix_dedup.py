@@ -13,7 +13,7 @@ recursion. So an anchor with many distinct segments, all in one shard, costs tim
 
 Defined cases: a null text is empty; texts shorter than ``width`` keep all; very long texts are taken whole; repeated rows
 repeat each other, as do rows that share a doc_id or have none; an empty table gives an empty result; other columns stay as they are, but
-``kept``, ``n_bytes``, ``n_removed`` and ``n_spans`` of the input are replaced. Bytes that are left may no longer be whole characters: ``kept``
+``kept``, ``kept_text``, ``n_bytes``, ``n_removed`` and ``n_spans`` of the input are replaced. Bytes that are left may no longer be whole characters: ``kept``
 is binary.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import induced_sort, kernels
 from quillon.llm.repeats import ROW, Repeats, covered, with_spans
@@ -117,37 +117,32 @@ def removed_windows(docs: DataFrame, width: int) -> DataFrame:
                 columns = (doc[of], digest[of], at[of] + places - begins[of], lengths)
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(columns, out, strict=True)], schema=out)
 
-    single = mixed.repartition(shards, "anchor").mapInArrow(sort_shard, "doc_id long, digest long, at int, n int")
+    single = mixed.repartition(shards, "anchor").mapInArrow(kernels.tidy(sort_shard), "doc_id long, digest long, at int, n int")
     return whole.unionByName(store(single, "single"))
 
 
 def dedup(docs: DataFrame, width: int = 200) -> DataFrame:
-    """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed runs), in place of columns of these names."""
+    """``docs`` with ``kept`` (binary), ``kept_text`` (its whole characters), ``n_bytes``, ``n_removed`` and ``n_spans`` (maximal removed
+    runs), in place of columns of these names."""
     joined = with_spans(docs, removed_windows(docs, width))
+    schema = {"kept": "binary", "kept_text": "string", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint"}
 
-    @F.arrow_udf("struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>")
+    @F.arrow_udf(f"struct<{','.join(f'{c}:{t}' for c, t in schema.items())}>")
     def keep(texts: pa.Array, spans_: pa.Array) -> pa.Array:
         rows = []
         for text, runs in zip(texts.cast(pa.binary()), spans_, strict=True):
             raw = text.as_py() or b""
             if not runs.is_valid:
-                rows.append((raw, len(raw), 0, 0))
+                rows.append((raw, raw, len(raw), 0, 0))
                 continue
             mask = covered(runs.as_py(), width, len(raw))
             begins = int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1]))
-            rows.append((np.frombuffer(raw, np.uint8)[~mask].tobytes(), len(raw), int(mask.sum()), begins))
-        kept, *counts = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), *[pa.array(c, pa.int64()) for c in counts]], ["kept", "n_bytes", "n_removed", "n_spans"])
-
-    out = joined.withColumn("_quillon_kept", keep(F.col("text"), F.col("_quillon_spans")))
-    return out.withColumns({c: F.col(f"_quillon_kept.{c}") for c in ("kept", "n_bytes", "n_removed", "n_spans")}).drop("_quillon_kept", "_quillon_spans")
-
-
-def whole_characters(data: Column) -> Column:
-    """The UTF-8 text of bytes, without characters that a cut has split."""
-
-    @F.arrow_udf("string")
-    def text(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in column.to_pylist()], pa.string())
+            left = np.frombuffer(raw, np.uint8)[~mask].tobytes()
+            rows.append((left, left.decode("utf-8", "ignore").encode(), len(raw), int(mask.sum()), begins))  # part of a character goes
+        kept, whole, *counts = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+        kernels.trim()
+        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(whole, pa.binary()).cast(pa.string()), *[pa.array(c, pa.int64()) for c in counts]], list(schema))
 
-    return text(data)
+    # said not to be deterministic, so that no filter on its columns is put before it and makes them twice
+    out = joined.withColumn("_quillon_kept", keep.asNondeterministic()(F.col("text"), F.col("_quillon_spans")))
+    return out.withColumns({c: F.col(f"_quillon_kept.{c}") for c in schema}).drop("_quillon_kept", "_quillon_spans")

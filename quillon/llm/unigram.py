@@ -31,10 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quillon.llm import kernels
+
 MARK = "▁"
 NORMAL, CONTROL, USER, UNUSED, BYTE = 1, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-CACHE_PARTS = 400_000
+CACHE_PARTS = 200_000
+PARTS_AT_ONCE = 200_000
 LONG_PART = 64  # bytes; longer parts are solved one at a time
 
 
@@ -316,7 +319,7 @@ class Unigram:
             if text is None:
                 held[-1] = None
             n += len(held[-1] or ())
-            if n > 500_000:
+            if n > PARTS_AT_ONCE:
                 done.append(self._lists_of(held))
                 held, n = [], 0
         done.append(self._lists_of(held))
@@ -398,7 +401,9 @@ def encoded(docs: DataFrame, path: str, text: str = "text", log_ranks: bool = Tr
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def both_ways(texts: pa.Array) -> pa.Array:
         ids = shared.value.encode(texts)
-        return pa.StructArray.from_arrays([ids, shared.value.decode(ids)], ["ids", "decoded"])
+        out = pa.StructArray.from_arrays([ids, shared.value.decode(ids)], ["ids", "decoded"])
+        kernels.trim()
+        return out
 
     lo, hi = min(byte_ids), max(byte_ids)
     out = docs.withColumn("_quillon_pieces", both_ways(F.col(text)))
