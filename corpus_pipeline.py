@@ -38,10 +38,8 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    out = suffix_dedup.dedup(docs.select(COLUMNS))
-    # a cut may leave part of a character, which goes with it
-    out = out.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(suffix_dedup.whole_characters(F.col("kept"))))
-    out = out.filter((F.col("n_removed") == 0) | (F.col("text") != ""))
+    out = suffix_dedup.dedup(docs.select(COLUMNS))  # a cut may leave part of a character, which goes with it
+    out = out.filter((F.col("n_removed") == 0) | (F.col("kept_text") != "")).withColumn("text", F.col("kept_text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
 
 
