@@ -97,12 +97,15 @@ def stats(files: DataFrame, symbols: DataFrame) -> DataFrame:
 class Store:
     """Snapshots of the index: ``<root>/<id>/{files,symbols}`` as Parquet, and numbered pointers ``<root>/live-<number>`` that name one.
 
+    Symbols are dealt to ``BUCKETS`` folders by a hash of their path, and the pointer says in which snapshot each bucket is. So a
+    change writes the files' table and the buckets of its paths; the others stay where they are.
+
     A snapshot is written whole; then its pointer is written beside and renamed to the next number, which no file has, so a reader or
     a lost job sees the old snapshot or the new one at any time. The pointer with the highest number counts. All file work
     goes through Hadoop's file systems. Symbols are sorted by folded name within files, for row-group skipping.
     """
 
-    POINTER = "live-"
+    POINTER, BUCKETS = "live-", 64
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -131,8 +134,8 @@ class Store:
         text = self._read(pointers[-1])
         try:
             meta = json.loads(text)
-            return {"snapshot": str(meta["snapshot"]), "schema_version": int(meta["schema_version"])}
-        except (ValueError, KeyError, TypeError) as e:
+            return {"snapshot": str(meta["snapshot"]), "schema_version": int(meta["schema_version"]), "buckets": {int(b): str(n) for b, n in meta["buckets"].items()}}
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
             raise Unreadable(f"pointer {pointers[-1]}") from e
 
     def _read(self, name: str) -> str:
@@ -146,8 +149,17 @@ class Store:
         meta = self._meta()
         return meta and meta["schema_version"]
 
-    def _tables(self, name: str) -> tuple[DataFrame, DataFrame]:
-        return self.spark.read.schema(schema.FILES).parquet(f"{self.root}/{name}/files"), self.spark.read.schema(schema.SYMBOLS).parquet(f"{self.root}/{name}/symbols")
+    def _symbols(self, buckets: dict[int, str]) -> DataFrame:
+        """The symbols of buckets, given with their snapshots."""
+        folders = [f"{self.root}/{name}/symbols/bucket={b}" for b, name in sorted(buckets.items())]
+        return self.spark.read.schema(schema.SYMBOLS).parquet(*folders) if folders else self.spark.createDataFrame([], schema.SYMBOLS)
+
+    def _tables(self, meta: dict) -> tuple[DataFrame, DataFrame]:
+        return self.spark.read.schema(schema.FILES).parquet(f"{self.root}/{meta['snapshot']}/files"), self._symbols(meta["buckets"])
+
+    @classmethod
+    def bucket(cls) -> Column:
+        return F.pmod(F.xxhash64("relative_path"), F.lit(cls.BUCKETS)).cast("int")
 
     def load(self) -> tuple[DataFrame, DataFrame] | None:
         """(files, symbols) of the live snapshot; None where there is none or it has no file. A newer schema is an error, an
@@ -161,24 +173,27 @@ class Store:
             if meta["schema_version"] < schema.SCHEMA_VERSION:
                 self.clear()
                 return None
-            if (problem := self._problem(meta["snapshot"])) is not None:
+            if (problem := self._problem(meta)) is not None:
                 raise Unreadable(problem)
-            files, symbols = self._tables(meta["snapshot"])
+            files, symbols = self._tables(meta)
             return (files, symbols) if files.limit(1).count() else None
         except Unreadable:
             self.quarantine()
             return None
 
-    def _problem(self, name: str) -> str | None:
+    def _problem(self, meta: dict) -> str | None:
         """What keeps a snapshot's files from being read, by their footers alone; a job that fails otherwise raises."""
-        for table in ("files", "symbols"):
-            if not self._fs().exists(self._path(f"{name}/{table}/_SUCCESS")):
-                return f"{table} isn't whole"
+        folders = {f"{meta['snapshot']}/files": [f"{meta['snapshot']}/files"]}
+        for b, name in sorted(meta["buckets"].items()):
+            folders.setdefault(f"{name}/symbols", []).append(f"{name}/symbols/bucket={b}")
+        for whole, parts in folders.items():
+            if not self._fs().exists(self._path(f"{whole}/_SUCCESS")) or not all(self._fs().exists(self._path(p)) for p in parts):
+                return f"{whole} isn't whole"
             try:
-                self.spark.read.parquet(f"{self.root}/{name}/{table}")  # reads a footer
+                self.spark.read.parquet(*[f"{self.root}/{p}" for p in parts])  # reads a footer
             except Exception as e:  # noqa: BLE001 - py4j and Spark wrap the cause
                 if any(x in str(e) for x in ("not a Parquet file", "read footer", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER")):
-                    return f"{table}: {str(e)[:200]}"
+                    return f"{whole}: {str(e)[:200]}"
                 raise
         return None
 
@@ -188,9 +203,9 @@ class Store:
             meta = self._meta()
             if meta is None:
                 return "not opened"
-            if (problem := self._problem(meta["snapshot"])) is not None:
+            if (problem := self._problem(meta)) is not None:
                 return problem
-            files, symbols = self._tables(meta["snapshot"])
+            files, symbols = self._tables(meta)
             twice = files.groupBy("relative_path").count().filter("count > 1").limit(1).count()
             lost = symbols.select("relative_path").distinct().join(files, "relative_path", "left_anti").limit(1).count()
             counted = symbol_counts(files, symbols).join(files.select("relative_path", F.col("symbol_count").alias("_said")), "relative_path").filter("symbol_count <> _said").limit(1).count()
@@ -198,17 +213,20 @@ class Store:
         except Unreadable as e:
             return str(e)
 
-    def publish(self, files: DataFrame, symbols: DataFrame) -> str:
+    def publish(self, files: DataFrame, symbols: DataFrame, kept: dict[int, str] | None = None) -> str:
+        """A new snapshot; ``symbols`` lacks the buckets ``kept``, which stay in their snapshots."""
         name = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
         files.select("relative_path", F.col("mtime_ms").cast("bigint").alias("mtime_ms"), F.col("size_bytes").cast("bigint").alias("size_bytes"), F.col("symbol_count").cast("int").alias("symbol_count")).write.parquet(f"{self.root}/{name}/files")
-        symbols.select("name", "name_fold", "kind", "relative_path", "line_number", "col", "tokens").sortWithinPartitions("name_fold").write.parquet(f"{self.root}/{name}/symbols")
-        self._point(name)
+        rows = symbols.select("name", "name_fold", "kind", "relative_path", "line_number", "col", "tokens", self.bucket().alias("bucket"))
+        rows.repartition("bucket").sortWithinPartitions("bucket", "name_fold").write.partitionBy("bucket").parquet(f"{self.root}/{name}/symbols")
+        found = [s.getPath().getName() for s in self._fs().listStatus(self._path(f"{name}/symbols")) if s.isDirectory()]
+        self._point(name, buckets={**(kept or {}), **{int(f.removeprefix("bucket=")): name for f in found if f.startswith("bucket=")}})
         return name
 
-    def _point(self, name: str, version: int = schema.SCHEMA_VERSION) -> None:
+    def _point(self, name: str, version: int = schema.SCHEMA_VERSION, buckets: dict[int, str] | None = None) -> None:
         fs, new = self._fs(), self._path(f"pointer.{uuid.uuid4().hex[:8]}")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"snapshot": name, "schema_version": version}).encode()))
+        out.write(bytearray(json.dumps({"snapshot": name, "schema_version": version, "buckets": buckets or {}}).encode()))
         out.close()
         number = max([int(p.removeprefix(self.POINTER)) for p in self._pointers()], default=0) + 1
         while not fs.rename(new, self._path(f"{self.POINTER}{number:012d}")):  # another writer took the number
@@ -226,14 +244,22 @@ class Store:
         """Publish the live snapshot changed by a changeset; nothing is written for an empty one."""
         if metadata.isEmpty() and removed.isEmpty():
             return None
-        files, symbols = self.load() or (self.spark.createDataFrame([], schema.FILES), self.spark.createDataFrame([], schema.SYMBOLS))
-        return self.publish(apply_files(files, metadata, removed), apply_symbols(symbols, added, metadata, removed))
+        live = self.load()
+        if live is None:
+            none = self.spark.createDataFrame([], schema.FILES), self.spark.createDataFrame([], schema.SYMBOLS)
+            return self.publish(apply_files(none[0], metadata, removed), apply_symbols(none[1], added, metadata, removed))
+        paths = metadata.select("relative_path").unionByName(removed.select("relative_path"))
+        touched = {r[0] for r in paths.select(self.bucket()).distinct().collect()}  # at most BUCKETS
+        buckets = self._meta()["buckets"]
+        have = self._symbols({b: n for b, n in buckets.items() if b in touched})
+        return self.publish(apply_files(live[0], metadata, removed), apply_symbols(have, added, metadata, removed), {b: n for b, n in buckets.items() if b not in touched})
 
     def compact(self, keep: int = 1) -> list[str]:
-        """Remove all snapshots but the newest ``keep`` and the live one, old pointers, and what was staged."""
+        """Remove all snapshots but the newest ``keep`` and those that the live pointer names, old pointers, and what was staged."""
         meta, fs, names = self._meta(), self._fs(), self._names()
         snapshots = sorted(n for n, folder in names if folder and n[:13].isdigit())
-        old = [n for n in snapshots[: max(0, len(snapshots) - keep)] if meta is None or n != meta["snapshot"]]
+        named = {meta["snapshot"], *meta["buckets"].values()} if meta else set()
+        old = [n for n in snapshots[: max(0, len(snapshots) - keep)] if n not in named]
         rest = [n for n, folder in names if folder and n.startswith("staging-") or not folder and n.startswith("pointer.")]
         for n in [*old, *rest, *self._pointers()[:-1]]:
             fs.delete(self._path(n), True)

@@ -107,7 +107,28 @@ def test_synchronise_then_follow_changes(spark, tree, tmp_path):
     assert idx.status is Status.STALE
     idx.sync_dirty()
     assert {r["name"] for r in idx.tables()[1].collect()} == {"multiply"} and idx.status is Status.READY
-    assert len(idx.store.compact()) >= 1 and idx.load()
+    assert idx.load() and idx.integrity() == "ok"
+
+
+def test_a_change_writes_its_own_buckets(spark, tmp_path):
+    root = tmp_path / "ws"
+    root.mkdir()
+    for i in range(40):
+        (root / f"f{i}.c").write_text(f"int fn_{i}(int a) {{ return a; }}\n")
+    idx = Index(spark, str(root), str(tmp_path / "index"))
+    first = idx.synchronize()
+    before = idx.store._meta()["buckets"]
+    (root / "f7.c").write_text("int seven(int a) { return a; }\nint more(int a) { return a; }\n")
+    idx.mark("f7.c")
+    second = idx.sync_dirty()
+    after = idx.store._meta()["buckets"]
+    moved = {b for b, n in after.items() if n == second}
+    assert len(moved) == 1 and all(after[b] == first for b in before if b not in moved)
+    assert {r["name"] for r in idx.tables()[1].collect()} == {f"fn_{i}" for i in range(40) if i != 7} | {"seven", "more"} and idx.integrity() == "ok"
+    os.remove(root / "f8.c")
+    idx.synchronize()
+    idx.store.compact()
+    assert idx.count("seven") == 1 and idx.count("fn_8") == 0 and idx.count("fn") == 38 and idx.integrity() == "ok"
 
 
 def test_store_versions_and_quarantine(spark, tmp_path):
@@ -129,10 +150,10 @@ def test_store_versions_and_quarantine(spark, tmp_path):
 def test_a_crash_at_any_step_leaves_a_whole_index(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path / "s"))
     files = lambda n: spark.createDataFrame([(f"{i}.c", 1, 2, 0) for i in range(n)], "relative_path string, mtime_ms long, size_bytes long, symbol_count int")
-    symbols = extract.symbols(spark.createDataFrame([], "name string, kind string, relative_path string, line_number int, col int"))
+    symbols = extract.symbols(spark.createDataFrame([("x", "macro", "0.c", 1, 0)], "name string, kind string, relative_path string, line_number int, col int"))
     store.publish(files(1), symbols)
     with monkeypatch.context() as m:
-        m.setattr(store, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))  # after the tables, before the pointer
+        m.setattr(store, "_point", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))  # after the tables, before the pointer
         with pytest.raises(RuntimeError):
             store.publish(files(2), symbols)
     assert store.load()[0].count() == 1
@@ -150,9 +171,9 @@ def test_a_crash_at_any_step_leaves_a_whole_index(spark, tmp_path, monkeypatch):
     assert store.load()[0].count() == 3 and not any(".corrupt-" in p for p in os.listdir(tmp_path))
     # a snapshot with a broken table is set aside
     live = store._meta()["snapshot"]
-    for f in (tmp_path / "s" / live / "symbols").glob("*.parquet"):
+    for f in (tmp_path / "s" / live / "symbols").rglob("*.parquet"):
         f.write_bytes(b"junk")
-    for f in (tmp_path / "s" / live / "symbols").glob(".*.crc"):
+    for f in (tmp_path / "s" / live / "symbols").rglob(".*.crc"):
         f.unlink()
     assert store.integrity() != "ok"
     assert store.load() is None and any(".corrupt-" in p for p in os.listdir(tmp_path))
