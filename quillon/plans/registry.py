@@ -93,7 +93,7 @@ register(  # one file of five megabytes
 )
 register(  # words that are no names, as names of functions and types
     "extract_keyword_names",
-    lambda s, d: extract.by_line(s.read.parquet(f"{d}/nation.parquet").crossJoin(F.broadcast(s.createDataFrame([(k,) for k in (*extract.KEYWORDS, "good")], "w string"))).select(F.concat(F.lit("src/"), F.col("n_nationkey").cast("string"), F.lit(".c")).alias("relative_path"), F.explode(F.array(F.concat(F.lit("static int "), "w", F.lit("(int a) {")), F.concat(F.lit("struct "), "w", F.lit(" {")))).alias("line")).withColumn("line_number", F.row_number().over(session.Window.partitionBy("relative_path").orderBy("line")))).select("relative_path", "name", "kind"),
+    lambda s, d: extract.by_line(s.read.parquet(f"{d}/nation.parquet").withColumn("w", F.explode(F.array(*map(F.lit, (*extract.KEYWORDS, "good"))))).select(F.concat(F.lit("src/"), F.col("n_nationkey").cast("string"), F.lit(".c")).alias("relative_path"), F.explode(F.array(F.concat(F.lit("static int "), "w", F.lit("(int a) {")), F.concat(F.lit("struct "), "w", F.lit(" {")))).alias("line")).withColumn("line_number", F.row_number().over(session.Window.partitionBy("relative_path").orderBy("line")))).select("relative_path", "name", "kind"),
     "select 'src/' || n_nationkey::varchar || '.c' as relative_path, 'good' as name, unnest(['function', 'struct']) as kind from nation",
 )
 register(
