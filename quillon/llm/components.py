@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.llm import kernels
-from quillon.llm.shared import store
+from quillon.llm.shared import forget, store
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -30,7 +30,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = store(small.filter("u <> v").distinct(), "edges")
+        done, now = now, store(small.filter("u <> v").distinct(), "edges")
+        forget(done)
+        forget(large)
         before, total = total, _state(now)
         if total == before:
             break

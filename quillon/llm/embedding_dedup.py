@@ -16,6 +16,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,19 @@ def cells(units: np.ndarray, tables: int = TABLES, probes: int = PROBES, cell: f
     return np.stack(own, 1), np.concatenate(probed, 1)
 
 
+def signs(units: np.ndarray) -> np.ndarray:
+    """64 bits of each row: on which side of as many random planes it is."""
+    planes = np.random.default_rng((units.shape[1], 64)).standard_normal((units.shape[1], 64))
+    return np.packbits(units @ planes > 0, axis=1).view(np.uint64)[:, 0]
+
+
+def most_apart(threshold: float) -> int:
+    """In how many of 64 signs vectors with that cosine may differ: 6.5 standard deviations above the mean, which one pair in a
+    thousand million exceeds."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return math.ceil(64 * p + 6.5 * math.sqrt(64 * p * (1 - p)))
+
+
 def usable(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     """(vec_id, label, v: array<double>) of the vectors that can link."""
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col(vec).isNotNull())
@@ -80,9 +94,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def candidates(classes: DataFrame, tables: int, probes: int, cell: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of classes (vec_id, label, v) that meet in a cell of a table."""
-    entry = pa.schema([("cell", pa.int64()), ("vec_id", pa.int64()), ("looks", pa.bool_())])
+def candidates(classes: DataFrame, tables: int, probes: int, cell: float, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of classes (vec_id, label, v) that meet in a cell of a table and whose signs don't speak against
+    a cosine of ``threshold``."""
+    entry, apart = pa.schema([("cell", pa.int64()), ("vec_id", pa.int64()), ("sign", pa.int64()), ("looks", pa.bool_())]), most_apart(threshold)
 
     def place(batches):
         for batch in batches:
@@ -92,13 +107,15 @@ def candidates(classes: DataFrame, tables: int, probes: int, cell: float) -> Dat
                 rows = np.flatnonzero(size == d)
                 v = _matrix(batch.column("v").take(pa.array(rows)))
                 v = v / np.abs(v).max(1, keepdims=True)
-                own, probed = cells(v / np.linalg.norm(v, axis=1, keepdims=True), tables, probes, cell)
+                v = v / np.linalg.norm(v, axis=1, keepdims=True)
+                own, probed = cells(v, tables, probes, cell)
+                sign = signs(v).view(np.int64)
                 mark = kernels.mix(labels[rows] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))[:, None]
                 ids = batch.column("vec_id").to_numpy()[rows]
                 for keys, looks in ((own, False), (probed, True)):
                     keys = kernels.mix(keys ^ mark)
                     n = keys.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.full(keys.size, looks))], schema=entry)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(sign, n)), pa.array(np.full(keys.size, looks))], schema=entry)
 
     pair = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -112,14 +129,17 @@ def candidates(classes: DataFrame, tables: int, probes: int, cell: float) -> Dat
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=pair)
 
         def runs(cols, last):
-            cell_, ids, looks = cols
+            cell_, ids, sign, looks = cols
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(cell_)) + 1, [len(cell_)]])
             long = np.flatnonzero(np.diff(bounds) > 1)
             for r in long if last else long[long < len(bounds) - 2]:
                 s = slice(bounds[r], bounds[r + 1])
-                here, there = ids[s][~looks[s]], np.unique(ids[s][looks[s]])
+                here, its = ids[s][~looks[s]], sign[s][~looks[s]]
+                there, first = np.unique(ids[s][looks[s]], return_index=True)
+                theirs = sign[s][looks[s]][first]
                 for lo in range(0, len(here), 256):
-                    x, y = (m.ravel() for m in np.meshgrid(here[lo : lo + 256], there, indexing="ij"))
+                    x, y = np.nonzero(np.bitwise_count((its[lo : lo + 256, None] ^ theirs).view(np.uint64)) <= apart)
+                    x, y = here[lo + x], there[y]
                     keep = x != y
                     if keep.any():
                         out.append(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]], 1))
@@ -129,7 +149,7 @@ def candidates(classes: DataFrame, tables: int, probes: int, cell: float) -> Dat
 
         carry = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if carry is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(carry, cols, strict=True)]
             if len(cols[0]):
@@ -142,7 +162,7 @@ def candidates(classes: DataFrame, tables: int, probes: int, cell: float) -> Dat
         if out:
             yield flush()
 
-    entries = classes.select("vec_id", "label", "v").mapInArrow(kernels.tidy(place), "cell long, vec_id long, looks boolean")
+    entries = classes.select("vec_id", "label", "v").mapInArrow(kernels.tidy(place), "cell long, vec_id long, sign long, looks boolean")
     return entries.repartition("cell").sortWithinPartitions("cell").mapInArrow(kernels.tidy(meet), "a long, b long").distinct()
 
 
@@ -161,7 +181,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
     rows = usable(vectors, vec)
     members = store(rows.select("vec_id", "label", F.sha2(F.to_json(F.struct("label", "v")), 256).alias("key"), "v"), "vectors")
     classes = store(members.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
-    pairs = store(candidates(classes, tables, probes, cell), "met")
+    pairs = store(candidates(classes, tables, probes, cell, threshold), "met")
     score = F.arrow_udf(cosine, "double")
     one, two = (classes.select(F.col("vec_id").alias(x), F.col("label").alias(f"label_{x}"), F.col("v").alias(f"v_{x}")) for x in "ab")
     links = pairs.join(one, "a").join(two, "b").filter("label_a = label_b").withColumn("cosine", score(F.col("v_a"), F.col("v_b")))

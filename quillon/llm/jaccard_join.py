@@ -180,11 +180,10 @@ def self_join(sets: list[np.ndarray], ties: np.ndarray, percent: int) -> Iterato
     tokens, first = np.unique(flat[by], return_index=True)
     first = np.append(first, len(flat))
     owner, place = owner[by], place[by]
-    # node, probes alive, their overlap so far and place in themselves, shingles so far
-    stack = [(tree(list(enumerate(sets))), np.arange(len(sets)), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64), 0)]
     at_place = np.zeros(len(sets), np.int64)
-    while stack:
-        node, alive, overlap, at, depth = stack.pop()
+
+    def walked(node, alive, overlap, at, depth):
+        """(probes alive, their overlap so far and place in themselves, shingles so far) behind the node's own shingles."""
         for lo in range(0, len(node.run), STEP):
             run = node.run[lo : lo + STEP]
             where = np.searchsorted(tokens, run)
@@ -199,15 +198,30 @@ def self_join(sets: list[np.ndarray], ties: np.ndarray, percent: int) -> Iterato
                 alive, overlap, at = alive[live], overlap[live], at[live]
                 if not len(alive):
                     break
+        return alive, overlap, at, depth
+
+    root = tree(list(enumerate(sets)))
+    none = np.zeros(len(sets), np.int64)
+    path = [(iter(root.kids.values()), np.arange(len(sets)), none, none, 0)]  # one branch at a time, so the arrays are a path's
+    while path:
+        kids, alive, overlap, at, depth = path[-1]
+        node = next(kids, None)
+        if node is None:
+            path.pop()
+            continue
+        live = overlap + np.minimum(sizes[alive] - at, node.most - depth) >= needed(sizes[alive], node.least, percent)
+        if not node.kids:  # a leaf: those of its own tie need not go on
+            live &= np.isin(ties[alive], ties[[name for name, _ in node.ends]], invert=True) if len(node.ends) == 1 else True
+        if not live.any():
+            continue
+        alive, overlap, at, depth = walked(node, alive[live], overlap[live], at[live], depth)
         if not len(alive):
             continue
         for name, n in node.ends:
             for other in alive[(overlap >= needed(sizes[alive], n, percent)) & (alive < name) & (ties[alive] != ties[name])]:
                 yield int(other), name
-        for kid in node.kids.values():
-            live = overlap + np.minimum(sizes[alive] - at, kid.most - depth) >= needed(sizes[alive], kid.least, percent)
-            if live.any():
-                stack.append((kid, alive[live], overlap[live], at[live], depth))
+        if node.kids:
+            path.append((iter(node.kids.values()), alive, overlap, at, depth))
 
 
 def parity(keys: np.ndarray) -> bytes:
