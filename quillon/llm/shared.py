@@ -62,7 +62,7 @@ def _bytes(setting: str) -> int:
     return int(number[:-1] if unit else number) << unit
 
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 
 
 def ship(spark: SparkSession) -> None:
