@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillon.llm import embedding_dedup, fingerprints, jaccard_join, langid, lm_scoring, mixing, substring_dedup, suffix_dedup, unigram, url_filter
+from quillon.llm import embedding_dedup, exact_dedup, fill_in_middle, fingerprints, jaccard_join, langid, lm_scoring, mixing, substring_dedup, suffix_dedup, unigram, url_filter, vector_codes
 from quillon.llm.shared import ship, table
 
 
@@ -75,6 +75,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = fill_in_middle.arranged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return exact_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP4_SQL = """
 with recursive fine as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and embedding is not null
   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -144,10 +161,50 @@ select l.doc_id, l.size, l.source_size, l.target,
 from laid l left join owned o on l.pos = o.pos
 """
 
+OP11_SQL = r"""
+with h as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as x from documents),
+cut as (select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as u, [('0x' || x[1:8])::bigint, ('0x' || x[9:16])::bigint, ('0x' || x[17:24])::bigint, ('0x' || x[25:32])::bigint] as r from h),
+placed as (select *, len(u) as n, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) as a, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 100 then 'plain' when r[4] % 100 < 50 then 'spm' else 'psm' end as form from cut),
+part as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:n], '') as s from placed)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars, case when form <> 'plain' then length(m) end::bigint as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(case form when 'plain' then t else p || m || s end) as restored_sha256 from part
+"""
+
+
+def op12_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """Every distance to every entry, the rounds written out."""
+    out = f"""
+with fine as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (select vec_id, p, q[p * (len(q) // {parts}) + 1:(p + 1) * (len(q) // {parts})] as q from fine cross join range({parts}) r(p)),
+book0 as (select p, row_number() over (partition by p order by vec_id) - 1 as e, q as c from parts qualify row_number() over (partition by p order by vec_id) <= {entries})"""
+    near = "select p.vec_id, p.p, any_value(p.q) as q, min(list_sum(list_transform(range(1, len(p.q) + 1), lambda i: (p.q[i] - b.c[i]) * (p.q[i] - b.c[i])))::bigint * 256 + b.e) as best from parts p join book{k} b on p.p = b.p group by p.vec_id, p.p"
+    for k in range(rounds):
+        out += f""",
+near{k} as ({near.format(k=k)}),
+cells{k} as (select p, best % 256 as e, generate_subscripts(q, 1) as i, unnest(q) as x from near{k}),
+means{k} as (select p, e, list(x order by i) as c from (select p, e, i, floor(sum(x) / count(*))::bigint as x from cells{k} group by p, e, i) group by p, e),
+book{k + 1} as (select b.p, b.e, coalesce(m.c, b.c) as c from book{k} b left join means{k} m on b.p = m.p and b.e = m.e)"""
+    return out + f""",
+final as ({near.format(k=rounds)}),
+coded as (select vec_id, string_agg(lpad(lower(to_hex(best % 256)), 2, '0'), '' order by p) as code, sum(best // 256)::bigint as error from final group by vec_id),
+flat as (select p, e, generate_subscripts(c, 1) as i, unnest(c) as x from book{rounds}),
+books as (select sha256(string_agg(x::varchar, ',' order by p, e, i)) as codebooks_sha256 from flat)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from fine join coded using (vec_id) cross join books
+"""
+
+
+OP13_SQL = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window same as (partition by coalesce(text, ''))
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_document_fingerprints, op4_embedding_dedup, op5_ngram_jaccard_join, op6_substring_dedup, op7_lm_scoring, op8_suffix_array_dedup, op9_source_mix, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_document_fingerprints, op4_embedding_dedup, op5_ngram_jaccard_join, op6_substring_dedup, op7_lm_scoring, op8_suffix_array_dedup, op9_source_mix, op10_language_id, op11_fill_in_middle, op12_vector_codes, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_lm_scoring": OP7_SQL, "op9_source_mix": OP9_SQL}
+    return {"op4_embedding_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_lm_scoring": OP7_SQL, "op9_source_mix": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_vector_codes": op12_sql(), "op13_exact_dedup": OP13_SQL}
