@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions import text as T
 from quillon.schema import encode_kind
+from quillon.session import ship
 
 # The definition patterns and the words that are no names.
 NAME = "([A-Za-z_][A-Za-z0-9_]*)"
@@ -45,17 +46,19 @@ def _hits(text: Column, kind: str, pattern: str, order: int, line_number: Column
 
 def by_line(lines: DataFrame, macros_only: bool = False) -> DataFrame:
     """(relative_path, line_number, col, name, kind, line) of the definitions that one line shows, or a declaration
-    line with a lone brace on the next. The first rule to give a name and kind on a line counts, but for macros only."""
-    last = lambda c: F.lag(c).over(Window.partitionBy("relative_path").orderBy("line_number"))
-    line = F.regexp_replace("line", "\r$", "")
-    rows = lines.select("relative_path", "line_number", line.alias("line"))
+    line with a lone brace on the next. The first rule to give a name and kind on a line counts, but for macros only.
+
+    Where ``lines`` has ``after``, the next line, as ranges of large files do, no window looks for it."""
+    clean = lambda c: F.regexp_replace(c, "\r$", "")
     if macros_only:
+        rows = lines.select("relative_path", "line_number", clean("line").alias("line"))
         found = [_hits(F.col("line"), *ON_LINE[0], 0, F.col("line_number"))]
     else:
-        rows = rows.withColumns({"before": last("line"), "before_number": last("line_number")})
+        after = F.col("after") if "after" in lines.columns else F.lead("line").over(Window.partitionBy("relative_path").orderBy("line_number"))
+        rows = lines.select("relative_path", "line_number", clean("line").alias("line"), clean(after).alias("after"))
         found = [_hits(F.col("line"), kind, pattern, i, F.col("line_number")) for i, (kind, pattern) in enumerate(ON_LINE)]
         found.append(_hits(F.col("line"), "function", FUNCTION_ON_LINE, len(ON_LINE), F.col("line_number")))
-        found.append(F.when(F.col("line").rlike(LONE_BRACE), _hits(F.col("before"), "function", FUNCTION_HEAD, len(ON_LINE) + 1, F.col("before_number"))))
+        found.append(F.when(F.col("after").rlike(LONE_BRACE), _hits(F.col("line"), "function", FUNCTION_HEAD, len(ON_LINE) + 1, F.col("line_number"))))
     hits = rows.select("relative_path", F.explode(F.filter(F.array(*found), lambda h: h.isNotNull())).alias("h")).select("relative_path", "h.*")
     if macros_only:
         return hits.drop("rule")
@@ -212,22 +215,37 @@ def _function_name(tokens: list, brace: int):
     return name if before[0] == "word" and before[1] not in ("return", "else", "new", "goto", "case") or before[1] == ">" else None
 
 
+def _lexed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches (relative_path, mtime_ms, size_bytes, content, error, lang): a row for each file that could be read, symbol and error."""
+    shape = pa.schema([("relative_path", pa.string()), ("mtime_ms", pa.int64()), ("size_bytes", pa.int64()), ("line_number", pa.int32()), ("col", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("error", pa.string())])
+    for batch in batches:
+        rows = []
+        for path, mtime, size, content, error, lang in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            found = []
+            try:
+                if error is None and lang is not None:
+                    found = [(path, None, None, line, col, name, kind, None) for name, kind, line, col in lexed(content or "", lang == "cpp")]
+            except Exception as e:  # noqa: BLE001 - one bad file must not stop the others
+                error = f"{path}: {e}"
+            if error is None:
+                rows += [(path, mtime, size, None, None, None, None, None), *found]
+            else:
+                rows.append((path, None, None, None, None, None, None, error))
+        columns = zip(*rows, strict=True) if rows else [()] * len(shape)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+
+def lexed_rows(files: DataFrame) -> DataFrame:
+    """What the lexer finds in files (relative_path, mtime_ms, size_bytes, content, error), in one pass over them: a row for each file, with
+    null name and error, one for each symbol, and one for each file that fails, with its error."""
+    ship(files.sparkSession)
+    known = files.select("relative_path", "mtime_ms", "size_bytes", "content", "error", language(F.col("relative_path")).alias("lang"))
+    return known.mapInArrow(_lexed_batches, "relative_path string, mtime_ms bigint, size_bytes bigint, line_number int, col int, name string, kind string, error string")
+
+
 def by_lexer(files: DataFrame) -> DataFrame:
     """(relative_path, line_number, col, name, kind, error) of files (relative_path, content); a file that fails gives one row with
     its error. Files of other languages give nothing."""
-    schema = pa.schema([("relative_path", pa.string()), ("line_number", pa.int32()), ("col", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("error", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, content, lang in zip(*(batch.column(i) for i in range(3)), strict=True):
-                path = path.as_py()
-                try:
-                    rows += [(path, line, col, name, kind, None) for name, kind, line, col in lexed(content.as_py() or "", lang.as_py() == "cpp")]
-                except Exception as e:  # noqa: BLE001 - one bad file must not stop the others
-                    rows.append((path, 0, 0, "", "", f"{path}: {e}"))
-            columns = zip(*rows, strict=True) if rows else [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    known = files.withColumn("lang", language(F.col("relative_path"))).filter("lang is not null").select("relative_path", "content", "lang")
-    return known.mapInArrow(run, "relative_path string, line_number int, col int, name string, kind string, error string")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = lexed_rows(files.select("relative_path", none("bigint", "mtime_ms"), none("bigint", "size_bytes"), "content", none("string", "error")))
+    return rows.filter("name is not null or error is not null").select("relative_path", "line_number", "col", "name", "kind", "error")

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import json
 import threading
 import time
 import uuid
 from collections.abc import Callable
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon import schema
 from quillon.functions import text as T
 from quillon.operators import extract, search as find
-from quillon.sources import corpus
+from quillon.operators.store import Conflict, Snapshot, Store, Unreadable, apply_files, apply_symbols  # noqa: F401 - the maintenance operators
+from quillon.sources import corpus, tree
 
 BATCH = 128
 
@@ -75,213 +75,11 @@ def symbol_counts(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return files.drop("symbol_count").join(counts, "relative_path", "left").withColumn("symbol_count", F.coalesce("symbol_count", F.lit(0)))
 
 
-def apply_files(files: DataFrame, metadata: DataFrame, removed: DataFrame) -> DataFrame:
-    """The file table after a changeset: deletes, then upserts by path."""
-    gone = removed.select("relative_path").unionByName(metadata.select("relative_path")).distinct()
-    return files.join(gone, "relative_path", "left_anti").unionByName(metadata.select(files.columns))
-
-
-def apply_symbols(symbols: DataFrame, added: DataFrame, metadata: DataFrame, removed: DataFrame) -> DataFrame:
-    """The symbol table after a changeset: rows of removed and of re-read files go (also where a file has no symbols any
-    more), and new rows come in for files that the batch holds."""
-    gone = removed.select("relative_path").unionByName(metadata.select("relative_path")).distinct()
-    fresh = added.join(metadata.select("relative_path"), "relative_path", "left_semi")
-    return symbols.join(gone, "relative_path", "left_anti").unionByName(fresh.select(symbols.columns))
-
-
 def stats(files: DataFrame, symbols: DataFrame) -> DataFrame:
     n = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("_one", F.lit(1))
     return n(files, "files").join(n(symbols, "symbols"), "_one").drop("_one")
 
 
-class Store:
-    """Snapshots of the index: ``<root>/<id>/{files,symbols}`` as Parquet, and numbered pointers ``<root>/live-<number>`` that name one.
-
-    Symbols are dealt to ``BUCKETS`` folders by a hash of their path, and the pointer says in which snapshot each bucket is. So a
-    change writes the files' table and the buckets of its paths; the others stay where they are.
-
-    A snapshot is written whole; then its pointer is written beside and renamed to the next number, which no file has, so a reader or
-    a lost job sees the old snapshot or the new one at any time. The pointer with the highest number counts. All file work
-    goes through Hadoop's file systems. Symbols are sorted by folded name within files, for row-group skipping.
-    """
-
-    POINTER, BUCKETS = "live-", 64
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _names(self) -> list[tuple[str, bool]]:
-        """(name, whether a folder) of what the store holds."""
-        fs = self._fs()
-        if not fs.exists(self._path("")):
-            return []
-        return [(s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(self._path(""))]
-
-    def _pointers(self) -> list[str]:
-        return sorted(n for n, folder in self._names() if not folder and n.startswith(self.POINTER) and n.removeprefix(self.POINTER).isdigit())
-
-    def _meta(self) -> dict | None:
-        """What the live pointer says; ``Unreadable`` where it says nothing."""
-        pointers = self._pointers()
-        if not pointers:
-            return None
-        text = self._read(pointers[-1])
-        try:
-            meta = json.loads(text)
-            return {"snapshot": str(meta["snapshot"]), "schema_version": int(meta["schema_version"]), "buckets": {int(b): str(n) for b, n in meta["buckets"].items()}}
-        except (ValueError, KeyError, TypeError, AttributeError) as e:
-            raise Unreadable(f"pointer {pointers[-1]}") from e
-
-    def _read(self, name: str) -> str:
-        file = self._fs().open(self._path(name))
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
-        finally:
-            file.close()
-
-    def version(self) -> int | None:
-        meta = self._meta()
-        return meta and meta["schema_version"]
-
-    def _symbols(self, buckets: dict[int, str]) -> DataFrame:
-        """The symbols of buckets, given with their snapshots."""
-        folders = [f"{self.root}/{name}/symbols/bucket={b}" for b, name in sorted(buckets.items())]
-        return self.spark.read.schema(schema.SYMBOLS).parquet(*folders) if folders else self.spark.createDataFrame([], schema.SYMBOLS)
-
-    def _tables(self, meta: dict) -> tuple[DataFrame, DataFrame]:
-        return self.spark.read.schema(schema.FILES).parquet(f"{self.root}/{meta['snapshot']}/files"), self._symbols(meta["buckets"])
-
-    @classmethod
-    def bucket(cls) -> Column:
-        return F.pmod(F.xxhash64("relative_path"), F.lit(cls.BUCKETS)).cast("int")
-
-    def load(self) -> tuple[DataFrame, DataFrame] | None:
-        """(files, symbols) of the live snapshot; None where there is none or it has no file. A newer schema is an error, an
-        older one starts anew, a store whose pointer or file footers can't be read is set aside; other errors rise."""
-        try:
-            meta = self._meta()
-            if meta is None:
-                return None
-            if meta["schema_version"] > schema.SCHEMA_VERSION:
-                raise ValueError(f"the index has schema {meta['schema_version']}, this engine knows {schema.SCHEMA_VERSION}")
-            if meta["schema_version"] < schema.SCHEMA_VERSION:
-                self.clear()
-                return None
-            if (problem := self._problem(meta)) is not None:
-                raise Unreadable(problem)
-            files, symbols = self._tables(meta)
-            return (files, symbols) if files.limit(1).count() else None
-        except Unreadable:
-            self.quarantine()
-            return None
-
-    def _problem(self, meta: dict) -> str | None:
-        """What keeps a snapshot's files from being read, by their footers alone; a job that fails otherwise raises."""
-        folders = {f"{meta['snapshot']}/files": [f"{meta['snapshot']}/files"]}
-        for b, name in sorted(meta["buckets"].items()):
-            folders.setdefault(f"{name}/symbols", []).append(f"{name}/symbols/bucket={b}")
-        for whole, parts in folders.items():
-            if not self._fs().exists(self._path(f"{whole}/_SUCCESS")) or not all(self._fs().exists(self._path(p)) for p in parts):
-                return f"{whole} isn't whole"
-            try:
-                self.spark.read.parquet(*[f"{self.root}/{p}" for p in parts])  # reads a footer
-            except Exception as e:  # noqa: BLE001 - py4j and Spark wrap the cause
-                if any(x in str(e) for x in ("not a Parquet file", "read footer", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER")):
-                    return f"{whole}: {str(e)[:200]}"
-                raise
-        return None
-
-    def integrity(self) -> str:
-        """``ok``, ``not opened`` where there is no index, or what is wrong: every row is read, and each symbol must be of a known file."""
-        try:
-            meta = self._meta()
-            if meta is None:
-                return "not opened"
-            if (problem := self._problem(meta)) is not None:
-                return problem
-            files, symbols = self._tables(meta)
-            twice = files.groupBy("relative_path").count().filter("count > 1").limit(1).count()
-            lost = symbols.select("relative_path").distinct().join(files, "relative_path", "left_anti").limit(1).count()
-            counted = symbol_counts(files, symbols).join(files.select("relative_path", F.col("symbol_count").alias("_said")), "relative_path").filter("symbol_count <> _said").limit(1).count()
-            return "a file has two rows" if twice else "symbols of no file" if lost else "symbol counts differ" if counted else "ok"
-        except Unreadable as e:
-            return str(e)
-
-    def publish(self, files: DataFrame, symbols: DataFrame, kept: dict[int, str] | None = None) -> str:
-        """A new snapshot; ``symbols`` lacks the buckets ``kept``, which stay in their snapshots."""
-        name = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
-        files.select("relative_path", F.col("mtime_ms").cast("bigint").alias("mtime_ms"), F.col("size_bytes").cast("bigint").alias("size_bytes"), F.col("symbol_count").cast("int").alias("symbol_count")).write.parquet(f"{self.root}/{name}/files")
-        rows = symbols.select("name", "name_fold", "kind", "relative_path", "line_number", "col", "tokens", self.bucket().alias("bucket"))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "name_fold").write.partitionBy("bucket").parquet(f"{self.root}/{name}/symbols")
-        found = [s.getPath().getName() for s in self._fs().listStatus(self._path(f"{name}/symbols")) if s.isDirectory()]
-        self._point(name, buckets={**(kept or {}), **{int(f.removeprefix("bucket=")): name for f in found if f.startswith("bucket=")}})
-        return name
-
-    def _point(self, name: str, version: int = schema.SCHEMA_VERSION, buckets: dict[int, str] | None = None) -> None:
-        fs, new = self._fs(), self._path(f"pointer.{uuid.uuid4().hex[:8]}")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"snapshot": name, "schema_version": version, "buckets": buckets or {}}).encode()))
-        out.close()
-        number = max([int(p.removeprefix(self.POINTER)) for p in self._pointers()], default=0) + 1
-        while not fs.rename(new, self._path(f"{self.POINTER}{number:012d}")):  # another writer took the number
-            if not fs.exists(new):
-                raise OSError("could not move the snapshot pointer")
-            number += 1
-
-    def stage(self, df: DataFrame, label: str) -> DataFrame:
-        """``df``, written once to the store's staging folder; ``compact`` removes it."""
-        path = f"{self.root}/staging-{label}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def apply(self, metadata: DataFrame, added: DataFrame, removed: DataFrame) -> str | None:
-        """Publish the live snapshot changed by a changeset; nothing is written for an empty one."""
-        if metadata.isEmpty() and removed.isEmpty():
-            return None
-        live = self.load()
-        if live is None:
-            none = self.spark.createDataFrame([], schema.FILES), self.spark.createDataFrame([], schema.SYMBOLS)
-            return self.publish(apply_files(none[0], metadata, removed), apply_symbols(none[1], added, metadata, removed))
-        paths = metadata.select("relative_path").unionByName(removed.select("relative_path"))
-        touched = {r[0] for r in paths.select(self.bucket()).distinct().collect()}  # at most BUCKETS
-        buckets = self._meta()["buckets"]
-        have = self._symbols({b: n for b, n in buckets.items() if b in touched})
-        return self.publish(apply_files(live[0], metadata, removed), apply_symbols(have, added, metadata, removed), {b: n for b, n in buckets.items() if b not in touched})
-
-    def compact(self, keep: int = 1) -> list[str]:
-        """Remove all snapshots but the newest ``keep`` and those that the live pointer names, old pointers, and what was staged."""
-        meta, fs, names = self._meta(), self._fs(), self._names()
-        snapshots = sorted(n for n, folder in names if folder and n[:13].isdigit())
-        named = {meta["snapshot"], *meta["buckets"].values()} if meta else set()
-        old = [n for n in snapshots[: max(0, len(snapshots) - keep)] if n not in named]
-        rest = [n for n, folder in names if folder and n.startswith("staging-") or not folder and n.startswith("pointer.")]
-        for n in [*old, *rest, *self._pointers()[:-1]]:
-            fs.delete(self._path(n), True)
-        return old
-
-    def clear(self) -> None:
-        self._fs().delete(self._path(""), True)
-
-    def quarantine(self) -> str | None:
-        """Rename the store to ``<root>.corrupt-<time>`` and start empty."""
-        fs = self._fs()
-        if not fs.exists(self._path("")):
-            return None
-        to = self.root + ".corrupt-" + time.strftime("%Y-%m-%dT%H-%M-%S", time.gmtime()) + f"-{time.time_ns() % 10**9:09d}Z"
-        fs.rename(self._path(""), self.spark._jvm.org.apache.hadoop.fs.Path(to))
-        return to
-
-
-class Unreadable(Exception):
-    """A pointer or a footer that can't be read."""
-
-
 class Cancelled(Exception):
     """A sync or a search that its caller stopped."""
 
@@ -293,19 +91,23 @@ class Status(Enum):
 class Index:
     """The engine's face: synchronise a tree, follow changes, search, count.
 
-    One sync runs at a time. Callers of ``synchronize`` that come while one runs share its result; ``sync_dirty`` waits for its turn.
+    One sync runs at a time. Callers of ``synchronize`` that come while one runs share its result; ``sync_dirty`` waits for its turn. A disabled
+    index does nothing, and drops its marks.
     """
 
-    KEEP = 2  # snapshots that stay after a sync, so that readers of the one before aren't cut off
+    KEEP = 2  # states that stay after a sync, so that readers of the one before aren't cut off
 
-    def __init__(self, spark: SparkSession, root: str, store: str, extensions=corpus.EXTENSIONS, excludes=corpus.EXCLUDES, include_paths=(), enabled: bool = True):
+    def __init__(self, spark: SparkSession, root: str, store: str, extensions=corpus.EXTENSIONS, excludes=corpus.EXCLUDES, include_paths=(), enabled: bool = True, during_sync: str = "prompt-grep-fallback", max_file_bytes=T.DEFAULT_MAX_BYTES):
         self.spark, self.root, self.store, self.enabled = spark, corpus.canonical_root(root), Store(spark, store), enabled
         self.scan = dict(extensions=extensions, excludes=excludes, include_paths=include_paths)
+        self.max_file_bytes = T.max_file_bytes(max_file_bytes)
         self.status, self.errors, self._dirty, self._gone = Status.NONE, None, set(), set()
         self._lock, self._turn, self._running, self._cancel = threading.Lock(), threading.Lock(), None, None
         self.on_status: list[Callable[[Status], None]] = []
         self.on_stats: list[Callable[[dict], None]] = []
         self.warnings: list[str] = []
+        #: What a search does while a sync runs; ``ask`` is called with what a prompt expects, and answers ``grep`` or ``cancel``.
+        self.during_sync, self.ask, self._choice = during_sync, lambda expect: "grep" if expect == "grep-fallback" else "cancel", (0.0, None)
 
     def _set(self, status: Status) -> None:
         if status is not self.status:
@@ -327,6 +129,8 @@ class Index:
 
     def mark(self, path: str, removed: bool = False) -> None:
         """Note a change or removal; the last of a path counts."""
+        if not self.enabled:
+            return
         with self._lock:
             (self._dirty.discard if removed else self._gone.discard)(path)
             (self._gone if removed else self._dirty).add(path)
@@ -374,6 +178,9 @@ class Index:
 
     def synchronize(self, progress: Callable[[str], None] = lambda phase: None) -> str | None:
         """Scan, classify, extract and publish; callers that come while one runs wait for it and share its result."""
+        if not self.enabled:
+            return self._disabled()
+        self._choice = (0.0, None)
         with self._lock:
             mine = self._running is None
             if mine:
@@ -407,11 +214,11 @@ class Index:
         self._set(Status.BUILDING)
         dirty, gone = set(self._dirty), set(self._gone)
         progress("scanning")
-        current = corpus.scan_tree(self.spark, self.root, **self.scan)
+        current = self.store.stage(corpus.scan_tree(self.spark, self.root, **self.scan), "listing")  # listed once
         progress("classifying")
         old = self.store.load()
-        previous = old[0] if old else self.spark.createDataFrame([], schema.FILES)
-        out = self._read_and_publish(changed(current, previous).select("relative_path"), deleted(current, previous), progress)
+        previous = old.files if old else self.spark.createDataFrame([], schema.FILES)
+        out = self._read_and_publish(changed(current, previous), self.store.stage(deleted(current, previous), "removed"), progress)
         self._settle(dirty, gone)
         return out
 
@@ -428,74 +235,121 @@ class Index:
             self._set(Status.STALE if left else Status.READY)
         self._emit_stats()
 
+    def _disabled(self) -> None:
+        with self._lock:
+            self._dirty.clear()
+            self._gone.clear()
+
     def sync_dirty(self) -> str | None:
-        """Read only the marked files."""
-        rows = lambda paths: self.spark.createDataFrame([(p,) for p in sorted(paths)], "relative_path string")
+        """Take up the marks: only the marked files are looked at and read."""
+        if not self.enabled:
+            return self._disabled()
 
         def work() -> str | None:
             with self._lock:
                 dirty, gone = set(self._dirty), set(self._gone)
-            out = self._read_and_publish(rows(dirty), rows(gone), lambda phase: None) if dirty or gone else None
+            out = None
+            if dirty or gone:
+                todo = corpus.scan_tree(self.spark, self.root, **self.scan, paths=sorted(dirty))
+                removed = self.spark.createDataFrame([(p,) for p in sorted(gone)], "relative_path string")
+                out = self._read_and_publish(todo, removed, lambda phase: None)
             self._settle(dirty, gone)
             return out
 
         return self._in_turn(work)
 
+    def take_up(self, dirty: DataFrame, removed: DataFrame) -> str | None:
+        """Mark the files (relative_path) of a change stream's batch and take the marks up; for ``changes.follow``."""
+        for path in [r[0] for r in dirty.select("relative_path").toLocalIterator()]:
+            self.mark(path)
+        for path in [r[0] for r in removed.select("relative_path").toLocalIterator()]:
+            self.mark(path, removed=True)
+        return self.sync_dirty()
+
     def _read_and_publish(self, todo: DataFrame, removed: DataFrame, progress) -> str | None:
+        """``todo`` (relative_path, mtime_ms, size_bytes) has the files to read, and no other is opened."""
         progress("parsing")
         self._check()
-        todo, removed = self.store.stage(todo, "todo"), self.store.stage(removed, "removed")
-        n = todo.count()
-        if not n and removed.isEmpty():
+        todo = self.store.stage(todo.select("relative_path", "mtime_ms", "size_bytes"), "todo")
+        if todo.isEmpty() and removed.isEmpty():
             return None
-        files = corpus.scan_tree(self.spark, self.root, with_content=True, **self.scan).join(F.broadcast(todo) if n <= 10_000 else todo, "relative_path", "left_semi")
-        read = self.store.stage(extract_rows(files), "read")  # files are read and lexed once
+        read = self.store.stage(extract_rows(todo, self.root, self.max_file_bytes), "read")  # small files are read and lexed once
         self._check()
         bad = read.filter("error is not null").select("relative_path", "error")
         fresh = self.store.stage(extract.symbols(read.filter("name is not null")), "symbols")
         good = read.filter("name is null and error is null").select("relative_path", "mtime_ms", "size_bytes").join(bad.select("relative_path").distinct(), "relative_path", "left_anti")
         self.errors = self.spark.createDataFrame(bad.limit(1_000).collect(), bad.schema)  # a report: staged files go
-        self.error_count = bad.count()
+        self.error_count = self.errors.count() if self.errors.isEmpty() else bad.count()
         progress("saving")
         self._check()
         return self.store.apply(symbol_counts(good, fresh), fresh, removed)
 
     # reading
 
-    def tables(self) -> tuple[DataFrame, DataFrame] | None:
-        """(files, symbols) where the index is usable: enabled, and ready or stale."""
+    def tables(self) -> Snapshot | None:
+        """The state, (files, symbols), where the index is usable: enabled, and ready or stale."""
         return self.store.load() if self.enabled and self.status in (Status.READY, Status.STALE) else None
 
-    def lines(self) -> DataFrame:
-        return corpus.split_lines(corpus.scan_tree(self.spark, self.root, with_content=True, **self.scan))
-
-    def search(self, query: str, options: schema.SearchOptions = schema.SearchOptions(), limit: int = find.PAGE, offset: int = 0, mode: str = "compat") -> DataFrame:
-        """A page of symbols with their lines; nothing where the index isn't usable. Only the page's files are read."""
-        tables = self.tables()
-        found = tables[1] if tables else self.spark.createDataFrame([], schema.SYMBOLS)
-        page = find.search(found, query, options, T.page_size(limit), offset, mode)
-        if not tables:
-            return find.result_lines(page, self.spark.createDataFrame([], schema.LINES), self.root)
-        paths = [r[0] for r in page.select("relative_path").distinct().collect()]  # at most a page
-        files = corpus.scan_tree(self.spark, self.root, with_content=True, **self.scan).filter(F.col("relative_path").isin(*paths))
-        return find.result_lines(page, corpus.split_lines(files, binary=True), self.root)
+    def lines(self, include=(), exclude=(), ignore=()) -> DataFrame:
+        """The lines of the tree's text files. A search's own ``include`` takes the place of the settings' extensions, ``exclude`` adds to
+        the settings'. Files that the filters take out aren't read."""
+        includes, excludes = T.merged_filters([e for e in self.scan["extensions"]], self.scan["excludes"], include, exclude)
+        files = corpus.scan_tree(self.spark, self.root, (), excludes, self.scan["include_paths"])
+        files = find.not_ignored(find.path_filter(files, includes), list(ignore)).filter(~F.col("relative_path").rlike(r"(^|/)\."))
+        return corpus.split_lines(corpus.contents(files, self.root).filter("error is null"))
+
+    def search(self, query: str, options: schema.SearchOptions = schema.SearchOptions(), limit: int = find.PAGE, offset: int = 0, mode: str = "compat", seek: tuple | None = None) -> DataFrame:
+        """A page of symbols with their lines; nothing where the index isn't usable. Only the page's files are opened."""
+        now = self.tables()
+        if now is None:
+            none = find.search(self.spark.createDataFrame([], schema.SYMBOLS), query, options)
+            return find.result_lines(none, self.spark.createDataFrame([], schema.LINES), self.root)
+        page = find.search(now, query, options, T.page_size(limit), offset, mode, seek=seek)
+        page = self.spark.createDataFrame(page.collect(), page.schema)  # at most 10,000 rows
+        places = page.select("relative_path", "line_number").distinct()
+        if corpus.is_local(self.root):
+            lines = tree.read_places(places, self.root)
+        else:
+            lines = corpus.split_lines(corpus.contents(places.select("relative_path").distinct(), self.root), binary=True)
+        return find.result_lines(page, lines, self.root)
 
     def count(self, query: str, options: schema.SearchOptions = schema.SearchOptions(), mode: str = "compat") -> int:
-        tables = self.tables()
-        return find.count_matches(tables[1], query, options, mode).first()["n"] if tables else 0
+        now = self.tables()
+        return find.count_matches(now, query, options, mode).first()["n"] if now else 0
 
-    def hybrid(self, query: str, options: schema.SearchOptions = schema.SearchOptions(), limit: int = find.PAGE, offset: int = 0, include=(), exclude=(), during_sync: str = "grep") -> tuple[DataFrame, int]:
+    def grep(self, query: str, options: schema.SearchOptions = schema.SearchOptions(), include=(), exclude=()) -> DataFrame:
+        """The full-text search of the tree's files that ignore files leave in."""
+        return find.text_search(self.lines(include, exclude, corpus.ignore_rules(self.root)), query, options)
+
+    def _choose(self) -> str:
+        """``grep`` or ``cancel`` for a search while a sync runs: a choice of less than a second ago, the setting, or an answer."""
+        action, expect = find.sync_choice(self.during_sync, time.time(), *self._choice)
+        if action == "prompt":
+            try:
+                action = "grep" if self.ask(expect) == "grep" else "cancel"
+            except Exception:  # noqa: BLE001 - a prompt that fails is a prompt that nobody answered
+                action = "cancel"
+        self._choice = (time.time(), action)
+        return action
+
+    def hybrid(self, query: str, options: schema.SearchOptions = schema.SearchOptions(), limit: int = find.PAGE, offset: int = 0, include=(), exclude=(), tag: str | None = None) -> tuple[DataFrame, int]:
         """(page, total): symbols; where the first page is empty or the index unusable, the full-text search; while a sync runs,
-        what ``during_sync`` (``grep`` or ``cancel``, see ``search.sync_decision``) chooses."""
+        the full-text search or nothing (see ``during_sync``). With a ``tag``, ``abort`` stops it, and ``Cancelled`` rises."""
+        return stoppable(self.spark, tag, lambda: self._hybrid(query, options, limit, offset, include, exclude))
+
+    def abort(self, tag: str) -> None:
+        self.spark.sparkContext.cancelJobsWithTag(tag)
+
+    def _hybrid(self, query, options, limit, offset, include, exclude) -> tuple[DataFrame, int]:
         if self.sync_in_progress:
-            page = find.during_sync(self.lines(), query, during_sync, options, include, exclude)
-            return page, page.count()
+            found = self.grep(query if self._choose() == "grep" else "", options, include, exclude)  # an empty query finds nothing
+            return found, found.count()
         if self.tables():
             page = self.search(query, options, limit, offset)
             if offset or not page.isEmpty():
                 return page, self.count(query, options)
-        page = find.text_search(self.lines(), query, options, include, exclude, ignore=corpus.ignore_rules(self.root))
-        return page, page.count()
+        found = self.grep(query, options, include, exclude)
+        return found, found.count()
 
     def stats(self) -> dict:
         tables = self.tables()
@@ -516,8 +370,10 @@ class Index:
         self._emit_stats()
 
 
-def stoppable(spark: SparkSession, tag: str, work: Callable[[], object]):
+def stoppable(spark: SparkSession, tag: str | None, work: Callable[[], object]):
     """``work`` under a job tag; ``spark.sparkContext.cancelJobsWithTag(tag)`` stops it, and ``Cancelled`` rises."""
+    if tag is None:
+        return work()
     spark.sparkContext.addJobTag(tag)
     try:
         return work()
@@ -529,23 +385,20 @@ def stoppable(spark: SparkSession, tag: str, work: Callable[[], object]):
         spark.sparkContext.removeJobTag(tag)
 
 
-def extract_rows(files: DataFrame, limit: int = T.DEFAULT_MAX_BYTES) -> DataFrame:
-    """One row for each file (relative_path, mtime_ms, size_bytes, content), with null name and error, and one for each symbol or error."""
-    found, errors = extract_files(files, limit)
-    none = lambda kind: F.lit(None).cast(kind)
-    empty = {"mtime_ms": "bigint", "size_bytes": "bigint", "line_number": "int", "col": "int", "name": "string", "kind": "string", "error": "string"}
-    shape = lambda df, have: df.select("relative_path", *[(F.col(c).cast(t) if c in have else none(t)).alias(c) for c, t in empty.items()])
-    out = shape(files, ("mtime_ms", "size_bytes"))
-    return out.unionByName(shape(found, ("line_number", "col", "name", "kind"))).unionByName(shape(errors, ("error",)))
-
-
-def extract_files(files: DataFrame, limit: int = T.DEFAULT_MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(symbols, errors) of files (relative_path, size_bytes, content), each read in the way its size asks for."""
+def extract_rows(files: DataFrame, root: str, limit: int = T.DEFAULT_MAX_BYTES, range_bytes: int = tree.RANGE_BYTES) -> DataFrame:
+    """One row for each file of ``files`` (relative_path, mtime_ms, size_bytes) that could be read, with null name and error, and one for each
+    symbol or error. Files are read in the way their size asks for: small ones whole, by the lexer; large ones in ranges, by lines."""
     how = files.withColumn("how", extract.route(F.col("size_bytes"), limit))
-    small = extract.by_lexer(how.filter("how = 'ast'"))
-    errors = small.filter("error is not null").select("relative_path", "error")
-    columns = ["relative_path", "line_number", "col", "name", "kind"]
-    lines = lambda x: corpus.split_lines(how.filter(F.col("how") == x))
-    found = small.filter("error is null").select(columns)
-    found = found.unionByName(extract.by_line(lines("stream")).select(columns)).unionByName(extract.by_line(lines("macros"), True).select(columns))
-    return found, errors
+    out = extract.lexed_rows(corpus.contents(how.filter("how = 'ast'"), root))
+    large = how.filter("how <> 'ast'")
+    if large.isEmpty():
+        return out
+    none = lambda kind: F.lit(None).cast(kind)
+    shape = {"mtime_ms": "bigint", "size_bytes": "bigint", "line_number": "int", "col": "int", "name": "string", "kind": "string", "error": "string"}
+    row = lambda df, have: df.select("relative_path", *[(F.col(c).cast(t) if c in have else none(t)).alias(c) for c, t in shape.items()])
+    checked = large.join(tree.readable(large, root), "relative_path")
+    out = out.unionByName(row(checked.filter("error is null"), ("mtime_ms", "size_bytes"))).unionByName(row(checked.filter("error is not null"), ("error",)))
+    for name, macros_only in (("stream", False), ("macros", True)):
+        lines = tree.read_lines(checked.filter((F.col("how") == name) & F.col("error").isNull()), root, range_bytes)
+        out = out.unionByName(row(extract.by_line(lines, macros_only), ("line_number", "col", "name", "kind")))
+    return out

@@ -18,11 +18,15 @@ PAGE = 200
 LONG_LINE = 4096
 
 
+def phrases(query: str) -> list[list[str]]:
+    """The tokens of each of a query's runs of word characters; a run without tokens is empty and matches nothing."""
+    return [T.tokens_of(run) for run in T.literal_tokens_of(query)]
+
+
 def phrase_match(tokens: Column, query: str) -> Column:
-    """Whether one of the query's runs is a phrase of adjacent tokens; a run without tokens matches nothing."""
+    """Whether one of the query's runs is a phrase of adjacent tokens."""
     joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-    phrases = [" ".join(T.tokens_of(run)) for run in T.literal_tokens_of(query)]
-    return reduce(lambda a, b: a | b, [joined.contains(f" {p} ") for p in phrases if p], F.lit(False))
+    return reduce(lambda a, b: a | b, [joined.contains(f" {' '.join(p)} ") for p in phrases(query) if p], F.lit(False))
 
 
 def valid_regex(spark, pattern: str) -> bool:
@@ -34,39 +38,66 @@ def valid_regex(spark, pattern: str) -> bool:
         return False
 
 
-def predicate(query: str, options: SearchOptions = SearchOptions(), mode: str = "compat") -> Column:
-    """The condition on (name, name_fold, tokens) that a non-empty query sets."""
-    compat = mode == "compat" and bool(T.literal_tokens_of(query))
+def residual(query: str, options: SearchOptions = SearchOptions(), fold: Column | None = None) -> Column:
+    """The condition on a symbol's name without that on its tokens; ``fold`` is the folded name."""
+    fold = F.col("name_fold") if fold is None else fold
     if options.regex:
-        hit = F.col("name").rlike(query if options.case_sensitive else f"(?iu){query}")
-        return phrase_match(F.col("tokens"), query) & hit if compat else hit
+        return F.col("name").rlike(query if options.case_sensitive else f"(?iu){query}")
     if options.whole_word:
-        return F.col("name") == query if options.case_sensitive else F.col("name_fold") == T.fold(query)
-    hit = F.col("name").contains(query) if options.case_sensitive else F.col("name_fold").contains(T.fold(query))
+        return F.col("name") == query if options.case_sensitive else fold == T.fold(query)
+    return F.col("name").contains(query) if options.case_sensitive else fold.contains(T.fold(query))
+
+
+def predicate(query: str, options: SearchOptions = SearchOptions(), mode: str = "compat") -> Column:
+    """The condition on (name, name_fold, tokens) that a non-empty query sets."""
+    hit = residual(query, options)
+    compat = mode == "compat" and (options.regex or not options.whole_word) and bool(T.literal_tokens_of(query))
     return phrase_match(F.col("tokens"), query) & hit if compat else hit
 
 
-def matching(symbols: DataFrame, query: str, options: SearchOptions = SearchOptions(), mode: str = "compat") -> DataFrame:
-    if not query or (options.regex and not valid_regex(symbols.sparkSession, query)):
-        return symbols.limit(0)
-    return symbols.filter(predicate(query, options, mode))
+def matching(symbols, query: str, options: SearchOptions = SearchOptions(), mode: str = "compat") -> DataFrame:
+    """The symbols that a query finds. ``symbols`` is a table of them, or a stored snapshot, whose look-ups then tell which to read."""
+    stored = None if isinstance(symbols, DataFrame) else symbols
+    table = symbols if stored is None else stored.symbols
+    if not query or (options.regex and not valid_regex(table.sparkSession, query)):
+        return table.limit(0)
+    if stored is not None and (some := stored.candidates(query, options, mode)) is not None:
+        return some.withColumn("name_fold", T.ascii_fold(F.col("name"))).filter(residual(query, options))
+    return table.filter(predicate(query, options, mode))
 
 
-def search(symbols: DataFrame, query: str, options: SearchOptions = SearchOptions(), limit: int = PAGE, offset: int = 0, mode: str = "compat", include=(), exclude=()) -> DataFrame:
-    """One page of matches (name, relative_path, line_number, col, match_start, match_length), by path, line, column and name."""
-    found = matching(symbols, query, options, mode)
-    found = path_filter(found, include, exclude)
+def after(page: DataFrame, token: tuple) -> DataFrame:
+    """The rows behind a place (path, line, column, name) in the order of pages, for seeking instead of counting off."""
+    order = ("relative_path", "line_number", "col", "name")
+    behind = F.lit(False)
+    for c, v in reversed(list(zip(order, token, strict=True))):
+        behind = (F.col(c) > v) | ((F.col(c) == v) & behind)
+    return page.filter((F.col("relative_path") >= token[0]) & behind)
+
+
+def search(symbols, query: str, options: SearchOptions = SearchOptions(), limit: int = PAGE, offset: int = 0, mode: str = "compat", include=(), exclude=(), seek: tuple | None = None) -> DataFrame:
+    """One page of matches (name, relative_path, line_number, col, match_start, match_length), by path, line, column and name.
+
+    ``seek`` is the last row of the page before, as (path, line, column, name): a page then costs what the first does, wherever it is.
+    """
+    found = path_filter(matching(symbols, query, options, mode), include, exclude)
+    found = found if seek is None else after(found, seek)
     page = found.orderBy("relative_path", "line_number", "col", "name").offset(offset).limit(limit)
     return page.select("name", "relative_path", "line_number", "col", F.lit(0).alias("match_start"), F.char_length("name").alias("match_length"))
 
 
-def count_matches(symbols: DataFrame, query: str, options: SearchOptions = SearchOptions(), mode: str = "compat") -> DataFrame:
+def count_matches(symbols, query: str, options: SearchOptions = SearchOptions(), mode: str = "compat") -> DataFrame:
     return matching(symbols, query, options, mode).agg(F.count("*").alias("n"))
 
 
 def result_lines(page: DataFrame, lines: DataFrame, root: str = "") -> DataFrame:
-    """A page's rows with absolute path and line text, empty where the line is missing. The page is cut before the join."""
-    joined = page.join(lines.select("relative_path", "line_number", "line"), ["relative_path", "line_number"], "left")
+    """A page's rows with absolute path and line text, empty where the line is missing.
+
+    The page is cut before, and its places, at most a page of them, are sent to where the lines are; so the lines aren't shuffled.
+    """
+    places = page.select("relative_path", "line_number").distinct()
+    these = lines.select("relative_path", "line_number", "line").join(F.broadcast(places), ["relative_path", "line_number"], "left_semi")
+    joined = page.join(these, ["relative_path", "line_number"], "left")
     return joined.withColumns({"file_path": F.concat_ws("/", F.lit(root), "relative_path"), "line_content": F.coalesce("line", F.lit(""))}).drop("line")
 
 
@@ -123,23 +154,28 @@ def parse_grep_line(raw: Column) -> Column:
 
 
 def either(first: DataFrame, second: DataFrame) -> DataFrame:
-    """The first's rows, or the second's if it has none, in one plan."""
-    some = first.limit(1).select(F.lit(1).alias("_some"))
-    rest = second.withColumn("_one", F.lit(1)).join(F.broadcast(some), F.col("_one") == F.col("_some"), "left_anti").drop("_one")
-    return first.unionByName(rest)
+    """The first's rows, or the second's if it has none.
 
-
-def during_sync(lines: DataFrame, query: str, action: str, options: SearchOptions = SearchOptions(), include=(), exclude=()) -> DataFrame:
-    """What a search returns while a sync runs: the full-text search where that is the choice, else nothing."""
-    found = text_search(lines, query, options, include, exclude)
-    return found if action == "grep" else found.limit(0)
+    One row of the first is asked for when this is called, so the second isn't run beside a first that has rows.
+    """
+    return second if first.isEmpty() else first
 
 
-def hybrid_search(symbols: DataFrame, lines: DataFrame, query: str, options: SearchOptions = SearchOptions(), limit: int = PAGE, offset: int = 0, include=(), exclude=(), mode: str = "compat") -> DataFrame:
+def hybrid_search(symbols, lines: DataFrame, query: str, options: SearchOptions = SearchOptions(), limit: int = PAGE, offset: int = 0, include=(), exclude=(), mode: str = "compat") -> DataFrame:
     """A page of symbols with their lines; where the first page is empty, the full-text search, unpaged."""
-    page = result_lines(search(symbols, query, options, limit, offset, mode), lines)
-    page = page.select("relative_path", "line_number", "line_content", "match_start", "match_length")
-    return either(page, text_search(lines, query, options, include, exclude)) if offset == 0 else page
+    page = search(symbols, query, options, limit, offset, mode)
+    if offset == 0 and matching(symbols, query, options, mode).isEmpty():
+        return text_search(lines, query, options, include, exclude)
+    return result_lines(page, lines).select("relative_path", "line_number", "line_content", "match_start", "match_length")
+
+
+def sync_choice(behavior: str, now: float, last: float, cached: str | None) -> tuple[str, str | None]:
+    """The driver's twin of ``sync_decision``, in seconds: (action, what a prompt expects)."""
+    if cached and now - last < 1:
+        return ("grep" if cached == "grep" else "cancel"), None
+    if behavior in ("cancel", "grep-fallback"):
+        return ("cancel" if behavior == "cancel" else "grep"), None
+    return "prompt", "cancel" if behavior == "prompt-cancel" else "grep-fallback"
 
 
 def sync_decision(behavior: Column, now: Column, last: Column, cached: Column) -> Column:

@@ -134,6 +134,8 @@ FIND = {
     "find_nothing": ("", SearchOptions(), "false"),
     "find_bad_regex": ("foo(", SearchOptions(regex=True), "false"),
     "find_two_words": ("small ring", SearchOptions(), "contains(name_fold, 'small ring') and (contains(toks, ' small ') or contains(toks, ' ring '))"),
+    "find_two_runs": ("small.*_ring|part_1.*", SearchOptions(regex=True), "regexp_matches(name, '(?i)small.*_ring|part_1.*') and (contains(toks, ' small ') or contains(toks, ' ring ') or contains(toks, ' part 1 '))"),
+    "find_long_phrase": ("_small_ring_", SearchOptions(), "contains(name_fold, '_small_ring_') and contains(toks, ' small ring ')"),
 }
 _ROW = "name, relative_path, line_number, col"
 
@@ -147,8 +149,8 @@ def _seventh(spark: SparkSession, sf: str) -> str:
 _published: dict[tuple[str, str], str] = {}
 
 
-def _stored(spark: SparkSession, sf: str) -> DataFrame:
-    """The symbols of a published index, written once an application."""
+def _stored(spark: SparkSession, sf: str) -> index.Snapshot:
+    """A published index, written once an application."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _published:
         root = f"{scratch_dir(spark)}/quillon-index-{uuid.uuid4().hex[:12]}"
@@ -156,7 +158,7 @@ def _stored(spark: SparkSession, sf: str) -> DataFrame:
         files = lines.groupBy("relative_path").agg(F.lit(1).alias("mtime_ms"), F.sum(F.length("line")).alias("size_bytes"), F.count("*").alias("symbol_count"))
         index.Store(spark, root).publish(files, _symbols(spark, sf))
         _published[key] = root
-    return index.Store(spark, _published[key]).load()[1]
+    return index.Store(spark, _published[key]).load()
 
 
 for _name, (_q, _options, _where) in FIND.items():
@@ -168,8 +170,10 @@ for _name, (_q, _options, _where) in FIND.items():
 for _name, _q, _options, _where in (
     ("exact_mode_substring", "rin", SearchOptions(), "contains(name_fold, 'rin')"),
     ("exact_mode_regex", "dev.*|.*ring", SearchOptions(regex=True), "regexp_matches(name, '(?i)dev.*|.*ring')"),
+    ("exact_mode_literals", "customer_[0-9]*7_(auto|mach)", SearchOptions(True, regex=True), "regexp_matches(name, 'customer_[0-9]*7_(auto|mach)')"),
 ):
-    register(_name, lambda s, d, q=_q, o=_options: search.matching(_symbols(s, d), q, o, "exact").select("name", "relative_path", "line_number", "col"), f"with {SYMBOLS} select {_ROW} from symbols where {_where}")
+    for _from, _source in (("", _symbols), ("stored_", _stored)):
+        register(_from + _name, lambda s, d, q=_q, o=_options, f=_source: search.matching(f(s, d), q, o, "exact").select("name", "relative_path", "line_number", "col"), f"with {SYMBOLS} select {_ROW} from symbols where {_where}")
 
 _PAGE_SQL = "select name, relative_path, line_number, col, 0 as match_start, len(name)::int as match_length from symbols where contains(name_fold, 'ring') and contains(toks, ' ring ') order by relative_path, line_number, col, name"
 register("page_first", lambda s, d: search.search(_symbols(s, d), "ring"), f"with {SYMBOLS} {_PAGE_SQL} limit 200")

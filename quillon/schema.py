@@ -11,7 +11,7 @@ SYMBOLS = "name string, name_fold string, kind tinyint, relative_path string, li
 LINES = "relative_path string, line_number int, line string"
 RESULTS = "file_path string, relative_path string, line_number int, line_content string, match_start int, match_length int"
 CHANGES = "relative_path string, op string, ts timestamp"
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 # Codes of the symbol kinds, by position.
 KINDS = ("function", "class", "struct", "enum", "typedef", "namespace", "macro", "variable", "union")

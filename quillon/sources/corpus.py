@@ -9,31 +9,69 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillon.functions import text as T
 from quillon.operators.search import path_filter
+from quillon.sources import tree
 
 # The settings' defaults.
 EXTENSIONS = (".c", ".h", ".cpp", ".hpp", ".cc", ".cxx", ".hxx", ".inl")
 EXCLUDES = ("**/build/**", "**/.git/**", "**/node_modules/**")
 
 
-def scan_tree(spark: SparkSession, root: str, extensions=EXTENSIONS, excludes=EXCLUDES, include_paths=(), with_content: bool = False) -> DataFrame:
-    """Files below ``root``: relative_path, abs_path, mtime_ms, size_bytes and, if asked, content.
+def wanted(files: DataFrame, extensions=EXTENSIONS, excludes=EXCLUDES) -> DataFrame:
+    """The rows of ``files`` whose path a scan takes in."""
+    if extensions:
+        files = files.filter(F.lower(F.regexp_extract("relative_path", r"(\.[^./]+)$", 1)).isin(*extensions))
+    return path_filter(files, (), excludes)
 
-    Listing and statistics come from Spark's file source, which reads no content unless it is selected. Overlapping
-    ``include_paths`` give each file once.
+
+def is_local(root: str) -> bool:
+    return "://" not in root or root.startswith("file:")
+
+
+def scan_tree(spark: SparkSession, root: str, extensions=EXTENSIONS, excludes=EXCLUDES, include_paths=(), with_content: bool = False, paths=None) -> DataFrame:
+    """Files below ``root``: relative_path, abs_path, mtime_ms, size_bytes and, if asked, content. ``paths``, a small set, are looked up by name.
+
+    A local tree is listed in tasks (see ``tree``); others are listed by Spark's file source. No content is read but of the files that
+    are asked for. Overlapping ``include_paths`` give each file once.
     """
     root = root.rstrip("/")
-    tops = [f"{root}/{p.strip('/')}" for p in include_paths] or [root]
+    tops = [p.strip("/") for p in include_paths if p.strip("/")]
+    if is_local(root):
+        files = tree.list_tree(spark, root, tops) if paths is None else tree.named_files(spark, root, paths)
+    else:
+        files = _listed_by_spark(spark, root, [f"{root}/{p}" for p in tops] or [root])
+        files = files if paths is None else files.filter(F.col("relative_path").isin(*paths))
+    if paths is not None and tops:
+        files = files.filter(reduce(lambda a, b: a | b, [F.startswith("relative_path", F.lit(f"{t}/")) for t in tops]))
+    files = wanted(files, extensions, excludes)
+    if with_content:
+        files = contents(files, root).filter("error is null").drop("error")
+    at = F.concat(F.lit(root.removeprefix("file://") + "/"), "relative_path")
+    return files.select("relative_path", at.alias("abs_path"), "mtime_ms", "size_bytes", *(["content"] if with_content else []))
+
+
+def _listed_by_spark(spark: SparkSession, root: str, tops: list[str]) -> DataFrame:
     read = lambda top: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(top)
     files = reduce(DataFrame.unionByName, map(read, tops))
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    files = files.withColumn("relative_path", F.substring(plain, len(root.removeprefix("file://")) + 2, 1 << 20))
-    files = files.filter(F.lower(F.regexp_extract("relative_path", r"(\.[^./]+)$", 1)).isin(*extensions))
-    files = path_filter(files, (), excludes)
-    columns = ["relative_path", plain.alias("abs_path"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size_bytes")]
-    if with_content:
-        columns.append(F.decode("content", "UTF-8").alias("content"))
-    out = files.select(*columns)
-    return out.dropDuplicates(["relative_path"]) if len(tops) > 1 else out
+    files = files.select(_below("path", root).alias("relative_path"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size_bytes"))
+    return files.dropDuplicates(["relative_path"]) if len(tops) > 1 else files
+
+
+def _below(path: str, root: str) -> Column:
+    return F.substring(F.col(path), len(root) + 2, 1 << 20)
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """(relative_path, mtime_ms, size_bytes, content, error) of ``files`` (relative_path), of which alone contents are read. On other than
+    local roots, Spark loads the files by name, in groups, so their names pass through the driver."""
+    if is_local(root):
+        n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return tree.read_files(files.select("relative_path").repartition(n, "relative_path"), root)
+    spark, out = files.sparkSession, []
+    names = [r[0] for r in files.select("relative_path").toLocalIterator()]
+    for i in range(0, len(names), 5_000):
+        loaded = spark.read.format("binaryFile").load([f"{root}/{n}" for n in names[i : i + 5_000]])
+        out.append(loaded.select(_below("path", root).alias("relative_path"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size_bytes"), F.decode("content", "UTF-8").alias("content"), F.lit(None).cast("string").alias("error")))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], tree.READ)
 
 
 def split_lines(files: DataFrame, content: str = "content", binary: bool = False) -> DataFrame:

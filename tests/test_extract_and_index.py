@@ -122,8 +122,8 @@ def test_a_change_writes_its_own_buckets(spark, tmp_path):
     idx.mark("f7.c")
     second = idx.sync_dirty()
     after = idx.store._meta()["buckets"]
-    moved = {b for b, n in after.items() if n == second}
-    assert len(moved) == 1 and all(after[b] == first for b in before if b not in moved)
+    moved = {b for b, n in after.items() if n[0] == second}
+    assert len(moved) == 1 and all(after[b][0] == first for b in before if b not in moved)
     assert {r["name"] for r in idx.tables()[1].collect()} == {f"fn_{i}" for i in range(40) if i != 7} | {"seven", "more"} and idx.integrity() == "ok"
     os.remove(root / "f8.c")
     idx.synchronize()
@@ -135,12 +135,12 @@ def test_store_versions_and_quarantine(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     files = spark.createDataFrame([("a.c", 1, 2, 0)], "relative_path string, mtime_ms long, size_bytes long, symbol_count int")
     symbols = extract.symbols(spark.createDataFrame([], "name string, kind string, relative_path string, line_number int, col int"))
-    name = store.publish(files, symbols)
-    assert store.load()[0].count() == 1 and store.version() == 1
-    store._point(name, 99)
+    store.publish(files, symbols)
+    assert store.load()[0].count() == 1 and store.version() == 2
+    assert store._point(store._meta() | {"schema_version": 99}, 1)
     with pytest.raises(ValueError, match="schema 99"):
         store.load()
-    store._point(name, 0)
+    assert store._point(store._meta() | {"schema_version": 0}, 2)
     assert store.load() is None and not os.path.exists(tmp_path / "s")
     store.publish(files, symbols)
     (tmp_path / "s" / "live-000000000009").write_text("{broken")
@@ -162,7 +162,10 @@ def test_a_crash_at_any_step_leaves_a_whole_index(spark, tmp_path, monkeypatch):
     store.publish(files(3), symbols)
     assert store.load()[0].count() == 3 and len(store._pointers()) == 2
     store.compact()
-    assert store.load()[0].count() == 3 and len(store._pointers()) == 1 and not (tmp_path / "s" / "pointer.abc").exists()
+    assert store.load()[0].count() == 3 and len(store._pointers()) == 1 and (tmp_path / "s" / "pointer.abc").exists()  # another writer's, for what we know
+    os.utime(tmp_path / "s" / "pointer.abc", (1, 1))
+    store.compact()
+    assert store.load()[0].count() == 3 and not (tmp_path / "s" / "pointer.abc").exists()
     # errors that aren't the store's don't set it aside
     with monkeypatch.context() as m:
         m.setattr(store, "_meta", lambda: (_ for _ in ()).throw(RuntimeError("executor lost")))
@@ -171,6 +174,7 @@ def test_a_crash_at_any_step_leaves_a_whole_index(spark, tmp_path, monkeypatch):
     assert store.load()[0].count() == 3 and not any(".corrupt-" in p for p in os.listdir(tmp_path))
     # a snapshot with a broken table is set aside
     live = store._meta()["snapshot"]
+    store = Store(spark, str(tmp_path / "s"))
     for f in (tmp_path / "s" / live / "symbols").rglob("*.parquet"):
         f.write_bytes(b"junk")
     for f in (tmp_path / "s" / live / "symbols").rglob(".*.crc"):
@@ -185,8 +189,8 @@ def test_a_file_that_fails_keeps_its_old_rows(spark, tree, tmp_path, monkeypatch
     (tree / "src/util.c").write_text("int changed(void) { return 1; }\n")
     plain = index.extract_rows
 
-    def failing(files, *a):
-        rows = plain(files, *a)
+    def failing(*a):
+        rows = plain(*a)
         bad = F.col("relative_path") == "src/util.c"
         return rows.withColumns({"error": F.when(bad & F.col("name").isNotNull(), F.lit("src/util.c: broken")).otherwise(F.col("error")), "name": F.when(~bad, F.col("name"))})
 
@@ -243,7 +247,7 @@ def test_search_and_count_of_the_index(spark, tree, tmp_path):
     seen = []
     idx.on_stats.append(seen.append)
     idx.synchronize()
-    assert seen[-1] == {"files": 2, "symbols": 3} and idx.schema_version() == 1 and idx.integrity() == "ok"
+    assert seen[-1] == {"files": 2, "symbols": 3} and idx.schema_version() == 2 and idx.integrity() == "ok"
     row = idx.search("ADD", SearchOptions(whole_word=True)).first()
     assert row["name"] == "add" and row["file_path"] == f"{idx.root}/src/util.c" and row["line_content"].startswith("int add(")
     assert idx.count("util") == 1 and idx.count("(", SearchOptions(regex=True)) == 0
@@ -254,7 +258,13 @@ def test_search_and_count_of_the_index(spark, tree, tmp_path):
     assert total == 2 and {r["relative_path"] for r in page.collect()} == {"src/util.c"}
     assert idx.hybrid("3;")[1] == 0
     idx._turn.acquire()
-    assert idx.hybrid("return a", during_sync="cancel")[1] == 0 and idx.hybrid("return a", during_sync="grep")[1] == 2
+    for setting, answer, n in (("cancel", None, 0), ("grep-fallback", None, 2), ("prompt-cancel", None, 0), ("prompt-grep-fallback", None, 2), ("prompt-cancel", "grep", 2)):
+        idx.during_sync, idx._choice, asked = setting, (0.0, None), []
+        idx.ask = lambda expect, a=answer, s=asked: s.append(expect) or a or ("grep" if expect == "grep-fallback" else "cancel")
+        assert idx.hybrid("return a")[1] == n and len(asked) == setting.startswith("prompt")
+    idx.during_sync = "cancel"
+    idx._choice = (time.time() + 60, "grep")  # a choice just made holds
+    assert idx.hybrid("return a")[1] == 2
     idx._turn.release()
     assert index.file_metadata(idx.tables()[0], "src/util.c").first()["symbol_count"] == 2
     off = Index(spark, str(tree), str(tmp_path / "index"), enabled=False)
@@ -274,6 +284,7 @@ def test_stored_search_pushes_filters(spark, tree, tmp_path):
     assert "StringContains(name_fold,_)" in part
     counted = plan(search.count_matches(idx.tables()[1], "add", SearchOptions(True, True)))
     assert "EqualTo(name,add)" in counted and "ReadSchema: struct<name:string>" in counted
+    assert search.matching(idx.tables(), "_", SearchOptions()).inputFiles()  # no look-up for it: all symbols
 
 
 def test_whole_text_extraction_is_linear(spark):
