@@ -9,8 +9,8 @@ Vectors are compared only within a label and a number of components. Equal vecto
 counted with their number. Components are found over links between classes.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label, link with nothing;
-a null vec_id likewise; repeated vec_ids count as copies of one another where their vectors are equal; an empty table gives an
-empty result; other columns are ignored.
+a null vec_id likewise; rows that share a vec_id are rows of their own, each with its links, copies of one another where their labels and vectors
+are equal; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.llm import kernels
 from quillon.llm.components import components
-from quillon.llm.shared import store
+from quillon.llm.shared import forget, store
 
 TABLES, PROBES, CELL = 8, 8, 1.2
 
@@ -81,12 +81,10 @@ def most_apart(threshold: float) -> int:
     return math.ceil(64 * p + 6.5 * math.sqrt(64 * p * (1 - p)))
 
 
-def usable(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
-    """(vec_id, label, v: array<double>) of the vectors that can link."""
-    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col(vec).isNotNull())
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col(vec).cast("array<double>").alias("v"))
+def usable() -> Column:
+    """Whether a row (vec_id, label, v: array<double>) can link."""
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.filter(fine)
+    return F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -178,21 +176,26 @@ def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, probes: int = PROBES, cell: float = CELL, vec: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, label, ``vec``)."""
-    rows = usable(vectors, vec)
-    members = store(rows.select("vec_id", "label", F.sha2(F.to_json(F.struct("label", "v")), 256).alias("key"), "v"), "vectors")
-    classes = store(members.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")), "classes")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col(vec).cast("array<double>").alias("v"))
+    key = F.when(usable(), F.sha2(F.to_json(F.struct("label", "v")), 256))
+    members = store(rows.withColumn("key", key), "vectors")
+    classes = members.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = store(classes.withColumn("vec_id", F.monotonically_increasing_id()), "classes")  # a class's own number: ids may repeat
     pairs = store(candidates(classes, tables, probes, cell, threshold), "met")
     score = F.arrow_udf(cosine, "double")
     one, two = (classes.select(F.col("vec_id").alias(x), F.col("label").alias(f"label_{x}"), F.col("v").alias(f"v_{x}")) for x in "ab")
     links = pairs.join(one, "a").join(two, "b").filter("label_a = label_b").withColumn("cosine", score(F.col("v_a"), F.col("v_b")))
     links = store(links.filter(F.col("cosine") >= threshold).select("a", "b"), "links")
+    forget(pairs)
     copies = classes.select(F.col("vec_id").alias("b"), "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    found = components(links)
-    of_class = classes.select("key", F.col("vec_id").alias("lead"), "copies").join(degree, F.col("lead") == F.col("a"), "left").join(found, F.col("lead") == F.col("node"), "left")
-    of_class = store(of_class.select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "lead").alias("component_id")), "classes")
-    linked = members.select(F.col("vec_id").alias("_id"), "key").join(of_class, "key").drop("key").distinct()
-    out = vectors.select("vec_id").join(linked, F.col("vec_id") == F.col("_id"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("vec_id")).cast("long").alias("component_id"))
+    of_class = classes.select("key", "least", F.col("vec_id").alias("lead"), "copies").join(degree, F.col("lead") == F.col("a"), "left").join(components(links), F.col("lead") == F.col("node"), "left")
+    of_class = store(of_class.select("key", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "lead").alias("component")), "linked")
+    forget(links)
+    forget(classes)
+    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = of_class.join(least, "component").select("key", "n_links", "component_id")
+    out = members.select("vec_id", "key").join(found, "key", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
