@@ -10,7 +10,8 @@ counted in names, become characters by the names' places, and the last few chara
 
 Text, names, queues, seeds and results are files in a scratch folder, read in blocks (or, by position, through mapped files);
 ``memory`` bounds the arrays that are held. Names are sorted by distribution to parts that fit. Names of a large alphabet go down
-as digits of ``DIGITS`` symbols, so that a sweep has few characters at any level; a string of at most ``in_memory`` symbols is sorted by doubling.
+as digits of ``DIGITS`` symbols, so that a sweep has few characters at any level; a string of at most ``in_memory`` names, which is where
+recursion ends, and a text of at most ``DIRECT`` symbols are sorted by doubling.
 
 Common prefixes count up to ``cap``; suffixes with that much in common are neighbours in any order.
 """
@@ -26,6 +27,7 @@ from pathlib import Path
 import numpy as np
 
 IN_MEMORY = 1 << 19
+DIRECT = 1 << 10
 DIGITS = 1 << 10
 SHIFT = np.uint64(24)
 LOW = np.uint64((1 << 24) - 1)
@@ -177,7 +179,7 @@ def sort_suffixes(text: np.ndarray, cap: int, memory: int, scratch: Scratch, in_
     n, block = len(text), max(64, memory // 64)
     if cap >= MOST:
         raise ValueError("cap is too large")
-    if n <= min(in_memory, 1 << 30):
+    if n <= min(in_memory, DIRECT):
         order, prefix = doubling(np.asarray(text), cap)
         out, common = scratch.array(n, place_kind(n)), scratch.array(n, np.int32)
         out[:], common[:] = order, prefix

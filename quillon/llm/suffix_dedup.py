@@ -8,8 +8,8 @@ equal strings meet. A shard's segments are written end to end to a file as they
 bytes in common are repeats.
 
 No array of the size of a shard is held: text, places, queues, order and marks are files of the task's scratch folder, some 20 bytes a
-byte of the shard, which go with the task. ``SORT_MEMORY`` bounds the blocks and queues, ``IN_MEMORY`` the strings that are sorted without
-recursion. So an anchor with many distinct segments, all in one shard, costs time and disk but no memory.
+byte of the shard, which go with the task. ``SORT_MEMORY`` bounds the blocks and queues, ``IN_MEMORY`` the strings of names that are sorted without
+further recursion; every text of more than a thousand bytes goes through sweeps and queues. So an anchor with many distinct segments, all in one shard, costs time and disk but no memory.
 
 Defined cases: a null text is empty; texts shorter than ``width`` keep all; very long texts are taken whole; repeated rows
 repeat each other, as do rows that share a doc_id or have none; an empty table gives an empty result; other columns stay as they are, but
@@ -32,7 +32,7 @@ from quillon.llm.shared import store
 GRAM = 64  # shorter anchors recur by chance, in segments that then have to be sorted
 SHARD = 2 << 20  # bytes of segments sorted at once, on average
 SORT_MEMORY = 16 << 20
-IN_MEMORY = 1 << 20  # symbols
+IN_MEMORY = 1 << 19  # names
 
 
 class Shard:
