@@ -56,6 +56,14 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(table(spark, sf_dir, "documents"), order=3)
 
 
+def op7_lm_scoring_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the counts of a training split, two thirds of them: what the others have and these lack is backed off for."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    split = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 3
+    return lm_scoring.scored(docs, docs.filter(split != 1), order=3)
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     out = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -141,6 +149,24 @@ select w.doc_id, len(w.w)::bigint as n_words, round(coalesce(sum(s), 0), 4) as l
 from words w left join scored s on s.doc_id = w.doc_id group by w.doc_id, len(w.w)
 """
 
+OP7_HELD_OUT_SQL = rf"""
+with words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+each as (select doc_id, generate_subscripts(w, 1) as j, unnest(w) as a from words),
+grams as (select doc_id, j, a, lag(a) over d as b, lag(a, 2) over d as c from each window d as (partition by doc_id order by j)),
+seen as (select * from grams where ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 3 <> 1),
+c1 as (select a, count(*) as n from seen group by a),
+c2 as (select b, a, count(*) as n from seen where b is not null group by all),
+c3 as (select c, b, a, count(*) as n from seen where c is not null group by all),
+total as (select count(*) as n from seen),
+scored as (select g.doc_id, case when c3.n is not null then ln(c3.n / x2.n)
+  when c2.n is not null then ln(c2.n / x1.n) + case when g.c is not null then ln({lm_scoring.ALPHA}) else 0 end
+  else ln(coalesce(c1.n, 1) / total.n) + case when g.c is not null then 2 * ln({lm_scoring.ALPHA}) when g.b is not null then ln({lm_scoring.ALPHA}) else 0 end end as s
+  from grams g cross join total left join c1 on c1.a = g.a left join c2 on c2.a = g.a and c2.b = g.b left join c1 x1 on x1.a = g.b
+  left join c3 on c3.a = g.a and c3.b = g.b and c3.c = g.c left join c2 x2 on x2.a = g.b and x2.b = g.c)
+select w.doc_id, len(w.w)::bigint as n_words, round(coalesce(sum(s), 0), 4) as log_score, round(sum(s) / len(w.w), 6) as mean_log_score
+from words w left join scored s on s.doc_id = w.doc_id group by w.doc_id, len(w.w)
+"""
+
 OP9_SQL = r"""
 with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 per as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as pos from sized group by source),
@@ -203,8 +229,8 @@ from documents window same as (partition by coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_document_fingerprints, op4_embedding_dedup, op5_ngram_jaccard_join, op6_substring_dedup, op7_lm_scoring, op8_suffix_array_dedup, op9_source_mix, op10_language_id, op11_fill_in_middle, op12_vector_codes, op13_exact_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_document_fingerprints, op4_embedding_dedup, op5_ngram_jaccard_join, op6_substring_dedup, op7_lm_scoring, op7_lm_scoring_held_out, op8_suffix_array_dedup, op9_source_mix, op10_language_id, op11_fill_in_middle, op12_vector_codes, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embedding_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_lm_scoring": OP7_SQL, "op9_source_mix": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_vector_codes": op12_sql(), "op13_exact_dedup": OP13_SQL}
+    return {"op4_embedding_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_lm_scoring": OP7_SQL, "op7_lm_scoring_held_out": OP7_HELD_OUT_SQL, "op9_source_mix": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_vector_codes": op12_sql(), "op13_exact_dedup": OP13_SQL}
