@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
@@ -119,40 +120,110 @@ def merged_filters(setting_includes, setting_excludes, includes=(), excludes=())
     return list(includes or setting_includes), [*setting_excludes, *(excludes or ())]
 
 
-def ignore_rules(text: str) -> list[tuple[str, bool]]:
-    """(regular expression on paths, whether it ignores) of an ignore file's lines, in order; the last that fits a path counts."""
+@dataclass(frozen=True)
+class IgnoreRule:
+    """A line of an ignore file: what paths it fits (a file's or folder's own path), whether it ignores, and whether it fits folders alone."""
+
+    pattern: str
+    ignores: bool
+    folders: bool
+
+
+def ignore_rules(text: str, folder: str = "") -> list[IgnoreRule]:
+    """The rules of an ignore file in ``folder``, in order. Of all that fit a path the last counts, and files of deeper folders come later; what
+    is below an ignored folder is ignored, whatever a rule says of it."""
     out = []
     for line in text.splitlines():
-        rule = line.rstrip()
+        rule = re.sub(r"(?<!\\) +$", "", line)
         if not rule or rule.startswith("#"):
             continue
         ignores = not rule.startswith("!")
-        rule = rule.removeprefix("!").removeprefix("\\")
-        body = rule.strip("/")
-        anchored = "/" in rule.rstrip("/")
-        inner = glob_regex(body)[1:-1]  # a name without folders fits in any of them
-        inner = inner.removeprefix("(?:.*/)?") if anchored and "/" not in body else inner
-        out.append(("^" + inner + ("/.*$" if rule.endswith("/") else "(?:/.*)?$"), ignores))
+        rule = rule if ignores else rule[1:]
+        folders, body = rule.endswith("/"), rule.rstrip("/")
+        anchored = "/" in body
+        body = body.lstrip("/") if body.startswith("/") else body
+        if not body:
+            continue
+        base = re.escape(folder) + "/" if folder else ""
+        out.append(IgnoreRule("^" + base + ("" if anchored else "(?:.*/)?") + _ignore_regex(body) + "$", ignores, folders))
     return out
 
 
+def _ignore_regex(body: str) -> str:
+    """An ignore pattern as a regular expression: ``*`` and ``?`` stay within a folder, ``**`` between slashes spans folders."""
+    out, i = [], 0
+    while i < len(body):
+        c = body[i]
+        if body.startswith("**/", i) and (i == 0 or body[i - 1] == "/"):
+            out.append("(?:.*/)?")
+            i += 3
+        elif body[i:] == "**" and i and body[i - 1] == "/":
+            out.append(".+")
+            i += 2
+        elif c == "\\" and i + 1 < len(body):
+            out.append(re.escape(body[i + 1]))
+            i += 2
+        elif c == "[" and (end := body.find("]", i + 2 + (body[i + 1 : i + 2] in ("!", "^")))) > 0:
+            inner = body[i + 1 : end]
+            inner = "^/" + inner[1:] if inner[:1] in ("!", "^") else inner
+            out.append("[" + inner.replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&") + "]")
+            i = end + 1
+        else:
+            while c == "*" and body[i + 1 : i + 2] == "*":
+                i += 1
+            out.append("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c))
+            i += 1
+    return "".join(out)
+
+
 def diagnostic_line(event: Column, pid: Column, t: Column, **payload: Column) -> Column:
     """An event as a line of JSON: time in ms, event, process, and what else is given."""
     return F.to_json(F.struct(t.alias("t"), event.alias("event"), pid.alias("pid"), *[v.alias(k) for k, v in payload.items()]))
 
 
+# The markup of a highlight.
+HIGHLIGHT = ('<span class="manual-highlight" style="', '">', "</span>")
+BOX = "border-color:{color};background:inherit;color:inherit"
+FILL = "background:{color};color:#1e1e1e;border-color:transparent"
+
+
+def _span(color: str, box: bool) -> tuple[str, str]:
+    return HIGHLIGHT[0] + (BOX if box else FILL).format(color=color) + HIGHLIGHT[1], HIGHLIGHT[2]
+
+
+def _quoted(replacement: str) -> str:
+    return replacement.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def _plain_html(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
 def highlighted(text: Column, marks: list[tuple[str, str]], box: bool = False) -> Column:
     """HTML of ``text`` in which each mark (text, color) is put in a span, the last first, without regard to case; what is
     found takes the mark's own letters."""
     out = escape_html(text)
-    for mark, color in reversed(marks):
-        plain = mark.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-        style = f"border-color:{color};background:inherit;color:inherit" if box else f"background:{color};color:#1e1e1e;border-color:transparent"
-        span = f'<span class="manual-highlight" style="{style}">{plain}</span>'
-        out = F.regexp_replace(out, "(?iu)" + re.escape(plain), span.replace("\\", "\\\\").replace("$", "\\$"))
+    for mark, color in reversed([m for m in marks if m[0]]):
+        start, end = _span(color, box)
+        out = F.regexp_replace(out, "(?iu)" + re.escape(_plain_html(mark)), _quoted(start + _plain_html(mark) + end))
     return out
 
 
+def highlighted_html(html: Column, marks: list[tuple[str, str]], box: bool = False) -> Column:
+    """``html`` in which each mark is put in a span where it stands outside tags, the last first, without regard to case; what is found
+    keeps its letters."""
+    for mark, color in reversed([m for m in marks if m[0]]):
+        start, end = _span(color, box)
+        pattern, put = "(?iu)" + re.escape(_plain_html(mark)), _quoted(start) + "$0" + _quoted(end)
+        pieces = F.regexp_extract_all(html, F.lit("<[^>]*>|[^<]+|<"), F.lit(0))
+        html = F.array_join(_outside_tags(pieces, pattern, put), "")
+    return html
+
+
+def _outside_tags(pieces: Column, pattern: str, put: str) -> Column:
+    return F.transform(pieces, lambda x: F.when(x.startswith("<"), x).otherwise(F.regexp_replace(x, pattern, put)))
+
+
 def max_file_bytes_column(raw: Column) -> Column:
     return F.when(raw.isNull() | F.isnan(raw) | (raw < 0) | (raw == float("inf")), F.lit(DEFAULT_MAX_BYTES)).otherwise(F.floor(raw)).cast("bigint")
 

@@ -163,7 +163,7 @@ def lexed(content: str, cpp: bool) -> Iterator[tuple[str, str, int, int]]:
 
 def _definitions(tokens: list, cpp: bool) -> Iterator[tuple[str, str, int, int]]:
     n = len(tokens)
-    depth_of_typedef, depth, typedef = None, 0, False
+    depth_of_typedef, depth, typedef, start = None, 0, False, 0
     i = 0
     while i < n:
         kind, word, line, col = tokens[i]
@@ -176,17 +176,22 @@ def _definitions(tokens: list, cpp: bool) -> Iterator[tuple[str, str, int, int]]
                     yield tokens[j][1], SPECS[word], tokens[j][2] + 1, tokens[j][3]
                     i = j + 1
                     continue
-            elif cpp and word == "namespace" and i + 2 < n and tokens[i + 1][0] == "word" and tokens[i + 2][1] in ("{", "::"):
+            elif cpp and word == "namespace" and i + 2 < n and tokens[i + 1][0] == "word" and tokens[i + 2][1] == "{":
                 yield tokens[i + 1][1], "namespace", tokens[i + 1][2] + 1, tokens[i + 1][3]
             elif word == "typedef":
                 typedef, depth_of_typedef = True, depth
         elif word == "{":
-            if (name := _function_name(tokens, i)) is not None:
+            if (end := _inner_brace(tokens, start, i)) is not None:  # braces of a member's first value or an argument
+                i = end + 1
+                continue
+            if (name := Declaration(tokens, start, i).function()) is not None:
                 yield name[1], "function", name[2] + 1, name[3]
-            depth += 1
+            depth, start = depth + 1, i + 1
         elif word == "}":
-            depth -= 1
-        elif word == ";" and typedef and depth == depth_of_typedef:
+            depth, start = depth - 1, i + 1
+        if word == ";":
+            start = i + 1
+        if word == ";" and typedef and depth == depth_of_typedef:
             j = i - 1
             while j > 0 and tokens[j][1] == "]":  # arrays
                 while j > 0 and tokens[j][1] != "[":
@@ -198,21 +203,166 @@ def _definitions(tokens: list, cpp: bool) -> Iterator[tuple[str, str, int, int]]
         i += 1
 
 
-def _function_name(tokens: list, brace: int):
-    """The name of ``type name(...) {`` that ends at ``brace``; none for calls, control words, methods and pointers."""
-    j = brace - 1
-    if j < 2 or tokens[j][1] != ")":
+CLOSES = {"(": ")", "[": "]", "{": "}"}
+# Words that may stand before a name and parentheses without making them a declaration.
+NO_TYPE = ("return", "else", "new", "goto", "case", "throw", "delete", "co_return", "co_yield", "operator")
+# Specifiers that take parentheses.
+PARENTHESISED = ("__attribute__", "__attribute", "__declspec", "alignas", "_Alignas", "decltype", "typeof", "__typeof__", "noexcept", "throw", "explicit", "requires", "__asm__", "asm")
+
+
+def _closing(tokens: list, at: int, end: int) -> int | None:
+    """Where the bracket that opens at ``at`` is closed, before ``end``."""
+    opens, level = tokens[at][1], 0
+    for j in range(at, end):
+        if tokens[j][1] == opens:
+            level += 1
+        elif tokens[j][1] == CLOSES[opens]:
+            level -= 1
+            if level == 0:
+                return j
+    return None
+
+
+def _inner_brace(tokens: list, start: int, brace: int) -> int | None:
+    """Where a brace closes that opens within a constructor's list of members (``: a{1}, b{2} {``), which is no body."""
+    before = tokens[brace - 1] if brace > start else None
+    if before is None or before[0] != "word" and before[1] != ">":
         return None
-    level = 0
-    while j >= 0:
-        level += {")": 1, "(": -1}.get(tokens[j][1], 0)
-        if level == 0:
-            break
-        j -= 1
-    name, before = tokens[j - 1] if j >= 1 else None, tokens[j - 2] if j >= 2 else None
-    if name is None or name[0] != "word" or name[1] in KEYWORDS or before is None:
+    level, colon = 0, False
+    for j in range(start, brace):
+        level += {"(": 1, ")": -1}.get(tokens[j][1], 0)
+        if level == 0 and tokens[j][1] == ":" and j > start and tokens[j - 1][1] in (")", "noexcept"):
+            colon = True
+    if not colon or level:
         return None
-    return name if before[0] == "word" and before[1] not in ("return", "else", "new", "goto", "case") or before[1] == ">" else None
+    end = _closing(tokens, brace, min(len(tokens), brace + 10_000))
+    return end if end is not None and end + 1 < len(tokens) and tokens[end + 1][1] in (",", "{") else None
+
+
+class Declaration:
+    """The tokens from a statement's start to a brace, read as a C or C++ declaration by recursive descent.
+
+    ``declaration: specifier* declarator suffix*``, where a declarator that makes a function of a plain name is ``name ( parameters )``: a
+    name that pointers, references, qualifiers or parentheses hold is none, as only a direct declarator counts.
+    """
+
+    def __init__(self, tokens: list, start: int, end: int):
+        self.tokens, self.at, self.end = tokens, start, end
+
+    def _word(self, ahead: int = 0) -> str:
+        return self.tokens[self.at + ahead][1] if self.at + ahead < self.end else ""
+
+    def _kind(self, ahead: int = 0) -> str:
+        return self.tokens[self.at + ahead][0] if self.at + ahead < self.end else ""
+
+    def _skip(self) -> bool:
+        """Past a bracketed group; false where it isn't closed."""
+        to = _closing(self.tokens, self.at, self.end)
+        self.at = self.end if to is None else to + 1
+        return to is not None
+
+    def _angles(self) -> bool:
+        """Past ``<...>``; false where it isn't closed."""
+        level = 0
+        while self.at < self.end:
+            w = self._word()
+            if w in ("(", "[") and not self._skip():
+                return False
+            if w in ("(", "["):
+                continue
+            level += {"<": 1, ">": -1}.get(w, 0)
+            self.at += 1
+            if level == 0:
+                return True
+            if w in (";", "{", "}"):
+                return False
+        return False
+
+    def _attribute(self) -> bool:
+        if self._word() == "[" and self._word(1) == "[":
+            return self._skip()
+        if self._kind() == "word" and self._word() in PARENTHESISED:
+            self.at += 1
+            return self._word() != "(" or self._skip()
+        return False
+
+    def function(self) -> tuple | None:
+        """The token of the function's name, where the whole is a function's head."""
+        typed = False  # whether something stands before that can be a type
+        while self.at < self.end:
+            kind, word = self._kind(), self._word()
+            if word in ("struct", "union", "class", "enum") and kind == "word" and not typed and self._is_body_of_type():
+                return None
+            if word == "template" and self._word(1) == "<":
+                self.at += 1
+                if not self._angles():
+                    return None
+            elif self._attribute():
+                typed = typed or word in ("decltype", "typeof", "__typeof__")
+            elif kind == "word" and self._word(1) == "(":
+                name, before = self.tokens[self.at], self.tokens[self.at - 1] if typed else None
+                self.at += 1
+                if not self._skip():
+                    return None
+                if not typed and word not in KEYWORDS and self._kind() == "word" and not self._suffixes_only():
+                    typed = False  # a macro with arguments before the declaration
+                    continue
+                direct = before is not None and (before[0] == "word" and before[1] not in NO_TYPE or before[1] in (">", ")", "]"))
+                return name if direct and word not in KEYWORDS and self._suffix() else None
+            elif kind == "word":
+                typed = typed or word not in NO_TYPE
+                if word in NO_TYPE:
+                    return None
+                self.at += 1
+                if self._word() == "<" and not self._angles():
+                    return None
+            elif word == ":" and not typed or word == ":" and self.tokens[self.at - 1][1] in ("public", "private", "protected", "default"):
+                typed = False
+                self.at += 1
+            elif word in ("*", "&", "::", "~"):
+                self.at += 1
+                if self._kind() == "word" and self._word(1) == "(":  # the declarator isn't direct
+                    return None
+            elif kind == "text" and typed:  # extern "C"
+                self.at += 1
+            else:
+                return None
+        return None
+
+    def _is_body_of_type(self) -> bool:
+        """Whether the brace is that of a struct, union, class or enum: no parameters follow its name and bases."""
+        depth = 0
+        for j in range(self.at, self.end):
+            w = self.tokens[j][1]
+            if w == "(" and depth == 0 and self.tokens[j - 1][0] == "word" and self.tokens[j - 1][1] not in PARENTHESISED:
+                return self.tokens[j - 2][1] in ("struct", "union", "class", "enum")
+            if w == ":" and depth == 0 and self.tokens[j - 1][1] != ")":
+                return True
+            depth += {"<": 1, ">": -1}.get(w, 0)
+        return True
+
+    def _suffixes_only(self) -> bool:
+        """Whether what is left can only follow parameters."""
+        here = self.at
+        out = all(self.tokens[j][1] in ("const", "volatile", "noexcept", "override", "final", "try", "mutable") for j in range(here, self.end) if self.tokens[j][0] == "word" and self.tokens[j][1] != "noexcept")
+        return out
+
+    def _suffix(self) -> bool:
+        """What may stand between parameters and body: qualifiers, exceptions, attributes, annotations, ``-> type``, members' values."""
+        while self.at < self.end:
+            word = self._word()
+            if word in ("->", ":") or word == "requires":
+                return True
+            if self._attribute() or word in ("&",):
+                self.at += word == "&"
+                continue
+            if self._kind() == "word":
+                self.at += 1
+                if self._word() == "(" and not self._skip():
+                    return False
+                continue
+            return False
+        return True
 
 
 def _lexed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

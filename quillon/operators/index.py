@@ -319,7 +319,7 @@ class Index:
 
     def grep(self, query: str, options: schema.SearchOptions = schema.SearchOptions(), include=(), exclude=()) -> DataFrame:
         """The full-text search of the tree's files that ignore files leave in."""
-        return find.text_search(self.lines(include, exclude, corpus.ignore_rules(self.root)), query, options)
+        return find.text_search(self.lines(include, exclude, corpus.ignore_rules(self.spark, self.root)), query, options)
 
     def _choose(self) -> str:
         """``grep`` or ``cancel`` for a search while a sync runs: a choice of less than a second ago, the setting, or an answer."""

@@ -110,12 +110,23 @@ def path_filter(df: DataFrame, include=(), exclude=(), path: str = "relative_pat
     return df
 
 
-def not_ignored(df: DataFrame, rules: list[tuple[str, bool]], path: str = "relative_path") -> DataFrame:
-    """Rows whose path no ignore rule takes out: the last rule that fits counts."""
-    ignored = F.lit(False)
-    for pattern, ignores in rules:
-        ignored = F.when(F.col(path).rlike(pattern), F.lit(ignores)).otherwise(ignored)
-    return df.filter(~ignored) if rules else df
+def not_ignored(df: DataFrame, rules: list[T.IgnoreRule], path: str = "relative_path") -> DataFrame:
+    """Rows whose path no ignore rule takes out: for the path and each folder above it, the last rule that fits counts, and what is in an
+    ignored folder is ignored."""
+    if not rules:
+        return df
+
+    def ignored(at: Column, folder: bool) -> Column:
+        out = F.lit(False)
+        for r in rules:
+            if folder or not r.folders:
+                out = F.when(at.rlike(r.pattern), F.lit(r.ignores)).otherwise(out)
+        return out
+
+    parts = F.split(F.col(path), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    in_folder = F.when(F.size(parts) > 1, F.exists(above, lambda x: ignored(x, True))).otherwise(False)
+    return df.filter(~(in_folder | ignored(F.col(path), False)))
 
 
 def text_search(lines: DataFrame, query: str, options: SearchOptions = SearchOptions(), include=(), exclude=(), skip_hidden: bool = True, ignore=()) -> DataFrame:

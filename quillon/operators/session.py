@@ -8,11 +8,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillon.functions import text as T
 from quillon.operators.search import PAGE, valid_regex
 from quillon.schema import SearchOptions
+from quillon.session import ship
 
 
 def numbered(results: DataFrame, order: list[str], offset: int = 0, name: str = "global_index") -> DataFrame:
@@ -72,15 +74,63 @@ def toggled(marks: list[dict], text: str) -> list[dict]:
     return rest if len(rest) < len(marks) else [*marks, {"text": text, "color_index": len(marks)}]
 
 
+MARKS = 50_000  # highlights in one automaton
+
+
+def folded(text: str) -> tuple[str, list[int]]:
+    """(lower case, place in ``text`` of each of its characters): a letter may have several in lower case."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low, []
+    parts = [c.lower() for c in text]
+    return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
+
+
+def automaton(texts: list[str]):
+    """An Aho-Corasick automaton over lower-cased texts; its values are the numbers of the texts with that lower case."""
+    import ahocorasick
+
+    by_text: dict[str, list[int]] = {}
+    for i, text in enumerate(texts):
+        by_text.setdefault(text.lower(), []).append(i)
+    out = ahocorasick.Automaton()
+    for text, numbers in by_text.items():
+        out.add_word(text, (len(text), numbers))
+    out.make_automaton()
+    return out
+
+
 def occurrences(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Every place of every highlight (text, color) in the lines, overlapping ones too, without regard to case.
 
-    The highlights are a user's own short list, sent to every task; none is left out.
+    One automaton over all highlights goes over each line once, so the cost of a line is that of its length and hits, not of the number of
+    highlights. Beyond ``MARKS`` highlights there are several automata, each over the lines.
     """
-    marks = F.broadcast(texts.filter("text <> ''").select(F.struct("text", "color").alias("m")))
-    rows = lines.select("relative_path", "line_number", "line").join(marks, F.lower("line").contains(F.lower("m.text")))
-    at = F.expr("filter(sequence(1, char_length(line)), i -> substring(lower(line), i, char_length(m.text)) = lower(m.text))")
-    return rows.select("relative_path", "line_number", "m", F.explode(at).alias("i")).select("relative_path", "line_number", (F.col("i") - 1).alias("at"), "m.text", "m.color")
+    ship(lines.sparkSession)
+    marks = [(r["text"], r["color"]) for r in texts.filter("text <> ''").select("text", "color").toLocalIterator()]
+    shape = pa.schema([("relative_path", pa.string()), ("line_number", pa.int32()), ("at", pa.int32()), ("text", pa.string()), ("color", pa.string())])
+    out = None
+    for lo in range(0, len(marks), MARKS):
+        part = marks[lo : lo + MARKS]
+
+        def run(batches, part=part):
+            found = automaton([t for t, _ in part])
+            for batch in batches:
+                rows = []
+                for path, number, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    low, places = folded(line or "")
+                    for last, (n, numbers) in found.iter(low):
+                        at = last - n + 1
+                        rows += [(path, number, places[at] if places else at, *part[i]) for i in numbers]
+                    if len(rows) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
+
+        here = lines.select("relative_path", F.col("line_number").cast("int"), "line").mapInArrow(run, "relative_path string, line_number int, at int, text string, color string")
+        out = here if out is None else out.unionByName(here)
+    return lines.sparkSession.createDataFrame([], "relative_path string, line_number int, at int, text string, color string") if out is None else out
 
 
 def cycled(index: Column, colors: list[str]) -> Column:

@@ -95,10 +95,14 @@ def canonical_root(root: str) -> str:
     return os.path.realpath(os.path.abspath(root.removeprefix("file://")))
 
 
-def ignore_rules(root: str, names: tuple[str, ...] = (".gitignore", ".ignore")) -> list[tuple[str, bool]]:
-    """The rules of a local root's own ignore files."""
-    files = [os.path.join(canonical_root(root), n) for n in names]
-    return [rule for f in files if os.path.isfile(f) for rule in T.ignore_rules(open(f, encoding="utf-8", errors="replace").read())]
+def ignore_rules(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore", ".ignore")) -> list[T.IgnoreRule]:
+    """The rules of all ignore files of a tree, those of deeper folders later; of one folder's, in the order of ``names``. The files are
+    listed with the tree and are read alone; their rules are few."""
+    named = "(^|/)(" + "|".join(n.replace(".", "\\.") for n in names) + ")$"
+    found = contents(scan_tree(spark, root, (), ()).filter(F.col("relative_path").rlike(named)), root).filter("error is null").collect()
+    place = lambda path: (path.count("/"), path.rpartition("/")[0], names.index(path.rpartition("/")[2]))
+    files = sorted(((r["relative_path"], r["content"]) for r in found), key=lambda r: place(r[0]))
+    return [rule for path, text in files for rule in T.ignore_rules(text, path.rpartition("/")[0])]
 
 
 def synthetic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

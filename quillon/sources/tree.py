@@ -12,14 +12,18 @@ from __future__ import annotations
 import io
 import json
 import os
+import time
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from quillon.schema import CHANGES
 from quillon.session import ship
 
 LISTED = "relative_path string, mtime_ms bigint, size_bytes bigint"
@@ -125,6 +129,110 @@ class TreeSource(DataSource):
         return TreeReader(self.options["root"], json.loads(self.options.get("tops", "[]")))
 
 
+def _listing(root: str, tops: list[str]) -> dict[str, list[int]]:
+    """Time and size of each file below a root."""
+    fs, base = opened(root)
+    out, todo = {}, list(tops) or [""]
+    while todo:
+        files, folders = children(fs, base, todo.pop())
+        out.update({p: [t, n] for p, t, n in files})
+        todo += folders
+    return out
+
+
+class TreeChanges(DataSourceStreamReader):
+    """What has changed in a tree from one look at it to the next.
+
+    An offset is the number of a listing, which is kept as a file of the ``state`` folder until all before it is committed. So a
+    restart goes on from the listing it had reached, and a batch that is run again gives the same rows.
+    """
+
+    PARTS = 8
+
+    def __init__(self, options: dict):
+        self.root, self.state, self.tops = options["root"], options["state"], json.loads(options.get("tops", "[]"))
+        os.makedirs(self.state, exist_ok=True)
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n.removeprefix("listing-")) for n in os.listdir(self.state) if n.startswith("listing-"))
+
+    def _load(self, number: int) -> dict:
+        with open(f"{self.state}/listing-{number:09d}", encoding="utf-8") as f:
+            return json.load(f)
+
+    def _save(self, number: int, files: dict) -> None:
+        name = f"{self.state}/writing-{os.getpid()}"
+        with open(name, "w", encoding="utf-8") as f:
+            json.dump({"at": time.time_ns() // 1_000_000, "files": files}, f)
+        os.replace(name, f"{self.state}/listing-{number:09d}")
+
+    def initialOffset(self):
+        if not self._numbers():
+            self._save(0, _listing(self.root, self.tops))  # what is there at first is no change
+        return {"listing": self._numbers()[0]}
+
+    def latestOffset(self):
+        if not self._numbers():  # asked for before the first
+            return self.initialOffset()
+        last = self._numbers()[-1]
+        now = _listing(self.root, self.tops)
+        if now != self._load(last)["files"]:
+            last += 1
+            self._save(last, now)
+        return {"listing": last}
+
+    def partitions(self, start, end):
+        return [Span(start["listing"], end["listing"], i) for i in range(self.PARTS)]
+
+    def read(self, partition):
+        old, new = self._load(partition.start), self._load(partition.end)
+        mine = lambda p: zlib.crc32(p.encode()) % self.PARTS == partition.part
+        when = lambda ms: datetime.fromtimestamp(ms / 1000, timezone.utc)
+        for path, (mtime, size) in new["files"].items():
+            before = old["files"].get(path)
+            if mine(path) and before != [mtime, size]:
+                yield path, "create" if before is None else "change", when(new["at"])
+        for path in old["files"]:
+            if mine(path) and path not in new["files"]:
+                yield path, "delete", when(new["at"])
+
+    def commit(self, end):
+        for n in self._numbers():
+            if n < end["listing"]:
+                os.remove(f"{self.state}/listing-{n:09d}")
+
+
+@dataclass
+class Span(InputPartition):
+    """A share of the paths, between two listings."""
+
+    start: int
+    end: int
+    part: int
+
+
+class TreeChangeSource(DataSource):
+    """``spark.readStream.format("quillon_tree_changes")``: (relative_path, op, ts) of changed, created and deleted files."""
+
+    @classmethod
+    def name(cls):
+        return "quillon_tree_changes"
+
+    def schema(self):
+        return CHANGES
+
+    def streamReader(self, schema):
+        return TreeChanges(self.options)
+
+
+def watch_tree(spark: SparkSession, root: str, state: str, tops: Iterable[str] = ()) -> DataFrame:
+    """A stream of (relative_path, op, ts) of what changes below a local root from now on. ``state`` is a folder that the driver and all
+    executors reach, and belongs to one query, as its checkpoint does."""
+    ship(spark)
+    spark.dataSource.register(TreeChangeSource)
+    return spark.readStream.format("quillon_tree_changes").option("root", root).option("state", state).option("tops", json.dumps(list(tops))).load()
+
+
 def list_tree(spark: SparkSession, root: str, tops: Iterable[str] = ()) -> DataFrame:
     """(relative_path, mtime_ms, size_bytes) of all files below ``root``, or its folders ``tops``; tasks list the folders."""
     ship(spark)
