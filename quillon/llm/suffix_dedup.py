@@ -32,7 +32,7 @@ from quillon.llm.shared import store
 GRAM = 64  # shorter anchors recur by chance, in segments that then have to be sorted
 SHARD = 2 << 20  # bytes of segments sorted at once, on average
 SORT_MEMORY = 16 << 20
-IN_MEMORY = 1 << 19  # names
+IN_MEMORY = 1 << 20  # names
 
 
 class Shard:
