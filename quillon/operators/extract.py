@@ -180,6 +180,9 @@ def _definitions(tokens: list, cpp: bool) -> Iterator[tuple[str, str, int, int]]
                 yield tokens[i + 1][1], "namespace", tokens[i + 1][2] + 1, tokens[i + 1][3]
             elif word == "typedef":
                 typedef, depth_of_typedef = True, depth
+            elif cpp and word == "template" and i + 1 < n and tokens[i + 1][1] == "<":  # its parameters are no types of the file
+                i = _angles_end(tokens, i + 1) + 1
+                continue
         elif word == "{":
             if (end := _inner_brace(tokens, start, i)) is not None:  # braces of a member's first value or an argument
                 i = end + 1
@@ -223,6 +226,25 @@ def _closing(tokens: list, at: int, end: int) -> int | None:
     return None
 
 
+def _angles_end(tokens: list, at: int) -> int:
+    """Where ``<...>`` that opens at ``at`` ends; ``at`` where it isn't closed."""
+    level, j = 0, at
+    while j < len(tokens):
+        w = tokens[j][1]
+        if w in ("(", "["):
+            to = _closing(tokens, j, len(tokens))
+            if to is None:
+                return at
+            j = to
+        level += {"<": 1, ">": -1}.get(w, 0)
+        if level == 0:
+            return j
+        if w in (";", "{", "}"):
+            return at
+        j += 1
+    return at
+
+
 def _inner_brace(tokens: list, start: int, brace: int) -> int | None:
     """Where a brace closes that opens within a constructor's list of members (``: a{1}, b{2} {``), which is no body."""
     before = tokens[brace - 1] if brace > start else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillon import schema
 from quillon.functions import text as T
@@ -86,15 +86,61 @@ register(
 select relative_path, line_number, (strpos(line, name) - 1)::int as col, name, kind from lines where kind in ('macro', 'struct')
 union all select relative_path, line_number, (strpos(line, 'struct t') + 6)::int, 't', 'struct' from lines where kind = 'function'""",
 )
-register(  # one file of five megabytes
+
+
+# How a customer's function is declared, and whether that makes a function of its name.
+FORMS = (
+    ("int {n}(int a) noexcept {{", True), ("auto {n}(int a) -> int {{", True), ("int {n}(void) __attribute__((unused)) {{", True), ("char *{n}(int a) {{", False), ("int W::{n}() {{", False), ("template <class T, typename U = less<T>> T {n}(T a) {{", True),
+    ("int (*{n}(int a))(int) {{", False), ("int {n}(void (*cb)(int), int b) const {{", True), ("[[nodiscard]] static std::map<int, pair<a, b>> {n}(int a[3]) {{", True), ("int x = {n}(a) {{", False), ("for_each({n}(a)) {{", False),
+)
+
+
+def declarators(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as functions, declared in many forms, by the lexer."""
+    name = F.concat(F.lit("fn_"), F.col("c_custkey").cast("string"))
+    form = F.element_at(F.array(*[F.lit(f.replace("{{", "{")) for f, _ in FORMS]), (F.col("c_custkey") % len(FORMS) + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("src/"), F.col("c_nationkey").cast("string"), F.lit(".cpp")).alias("relative_path"), "c_custkey", F.concat(F.replace(form, F.lit("{n}"), name), F.lit("\n}")).alias("line"))
+    files = rows.groupBy("relative_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    return extract.by_lexer(files).select("relative_path", "line_number", "col", "name", "kind")
+
+
+register(
+    "extract_declarators",
+    declarators,
+    "with forms as (select unnest([" + ", ".join("'" + f.replace("{{", "{") + "'" for f, _ in FORMS) + "]) as form, unnest([" + ", ".join(str(ok).lower() for _, ok in FORMS) + "]) as ok, unnest(range(" + str(len(FORMS)) + ")) as k), "
+    "heads as (select 'src/' || c_nationkey::varchar || '.cpp' as relative_path, (row_number() over (partition by c_nationkey order by c_custkey) * 2 - 1)::int as line_number, 'fn_' || c_custkey::varchar as name, form, ok from customer join forms on c_custkey % "
+    + str(len(FORMS)) + " = k) select relative_path, line_number, (strpos(form, '{n}') - 1)::int as col, name, 'function' as kind from heads where ok",
+)
+
+
+def large_file(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders as macros of one file (five megabytes at sf0.1)."""
+    line = F.concat(F.lit("#define REG_FIELD_"), F.col("o_orderkey").cast("string"), F.lit("_MASK 0x0000ff"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n")
+    return extract.by_text(spark.read.parquet(f"{sf}/orders.parquet").agg(lines.alias("content")).select(F.lit("big.h").alias("relative_path"), "content"))
+
+
+register(
     "extract_large_file",
-    lambda s, d: extract.by_text(s.range(140_000).select(F.concat(F.lit("#define REG_FIELD_"), F.col("id").cast("string"), F.lit("_MASK 0x0000ff")).alias("line"), "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("content")).select(F.lit("big.h").alias("relative_path"), "content")),
-    "select 'big.h' as relative_path, (i + 1)::int as line_number, 0 as col, 'REG_FIELD_' || i::varchar || '_MASK' as name, 'macro' as kind from range(140000) r(i)",
+    large_file,
+    "select 'big.h' as relative_path, (row_number() over (order by o_orderkey))::int as line_number, 0 as col, 'REG_FIELD_' || o_orderkey::varchar || '_MASK' as name, 'macro' as kind from orders",
 )
-register(  # words that are no names, as names of functions and types
+
+
+def keyword_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as functions and types whose names are words that are none, but for one in so many."""
+    words = F.array(*map(F.lit, (*extract.KEYWORDS, "good")))
+    word = F.element_at(words, (F.col("c_custkey") % (len(extract.KEYWORDS) + 1) + 1).cast("int"))
+    path = F.concat(F.lit("src/"), F.col("c_nationkey").cast("string"), F.lit(".c"))
+    pair = F.array(F.concat(F.lit("void "), word, F.lit("(int a) {")), F.concat(F.lit("struct "), word, F.lit(" {")))
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(path.alias("relative_path"), F.posexplode(pair).alias("p", "line"), "c_custkey")
+    return extract.by_line(rows.select("relative_path", (F.col("c_custkey") * 2 + F.col("p")).cast("int").alias("line_number"), "line")).select("relative_path", "line_number", "name", "kind")
+
+
+register(
     "extract_keyword_names",
-    lambda s, d: extract.by_line(s.read.parquet(f"{d}/nation.parquet").withColumn("w", F.explode(F.array(*map(F.lit, (*extract.KEYWORDS, "good"))))).select(F.concat(F.lit("src/"), F.col("n_nationkey").cast("string"), F.lit(".c")).alias("relative_path"), F.explode(F.array(F.concat(F.lit("static int "), "w", F.lit("(int a) {")), F.concat(F.lit("struct "), "w", F.lit(" {")))).alias("line")).withColumn("line_number", F.row_number().over(session.Window.partitionBy("relative_path").orderBy("line")))).select("relative_path", "name", "kind"),
-    "select 'src/' || n_nationkey::varchar || '.c' as relative_path, 'good' as name, unnest(['function', 'struct']) as kind from nation",
+    keyword_names,
+    f"select 'src/' || c_nationkey::varchar || '.c' as relative_path, (c_custkey * 2 + i)::int as line_number, 'good' as name, ['function', 'struct'][i + 1] as kind from customer, range(2) r(i) where c_custkey % {len(extract.KEYWORDS) + 1} = {len(extract.KEYWORDS)}",
 )
 register(
     "extract_macros_only",
@@ -108,8 +154,8 @@ register(
 )
 register(
     "kind_codec",
-    lambda s, d: s.range(-1, 10).select(F.col("id").alias("code"), schema.decode_kind(F.col("id")).alias("kind"), schema.encode_kind(schema.decode_kind(F.col("id"))).cast("int").alias("back")),
-    "select code, coalesce(k, 'variable') as kind, coalesce(list_position(ks, k), 8) - 1 as back from (select code::bigint as code, ks, case when code between 0 and 8 then ks[code + 1] end as k from range(-1, 10) r(code), (select ['function','class','struct','enum','typedef','namespace','macro','variable','union'] as ks))",
+    lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", (F.col("p_size") % 11 - 1).alias("code")).select("p_partkey", schema.decode_kind(F.col("code")).alias("kind"), schema.encode_kind(schema.decode_kind(F.col("code"))).cast("int").alias("back")),
+    "select p_partkey, coalesce(case when c between 0 and 8 then ks[c + 1] end, 'variable') as kind, case when c between 0 and 8 then c else 7 end::int as back from (select p_partkey, p_size % 11 - 1 as c, ['function','class','struct','enum','typedef','namespace','macro','variable','union'] as ks from part)",
 )
 register(
     "clean_names",
@@ -184,6 +230,13 @@ register(
     lambda s, d: session.numbered(search.search(_symbols(s, d), "part", offset=200), ["relative_path", "line_number", "col", "name"], 200).select("name", F.col("global_index").cast("int").alias("global_index")),
     f"with {SYMBOLS}, page as (select * from symbols where contains(name_fold, 'part') and contains(toks, ' part ') order by relative_path, line_number, col, name limit 200 offset 200) select name, (row_number() over (order by relative_path, line_number, col, name) + 199)::int as global_index from page",
 )
+def seek_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page, sought from the first one's last row."""
+    last = search.search(_stored(spark, sf), "ring").collect()[-1]
+    return search.search(_stored(spark, sf), "ring", seek=(last["relative_path"], last["line_number"], last["col"], last["name"]))
+
+
+register("stored_page_sought", seek_page, f"with {SYMBOLS} {_PAGE_SQL} limit 200 offset 200")
 register("page_second", lambda s, d: search.search(_symbols(s, d), "ring", offset=200), f"with {SYMBOLS} {_PAGE_SQL} limit 200 offset 200")
 register(
     "result_lines",
@@ -412,8 +465,8 @@ register(
 )
 register(
     "color_cycle",
-    lambda s, d: s.range(20).select("id", session.cycled(F.col("id"), ["a", "b", "c"]).alias("color")),
-    "select i::bigint as id, ['a', 'b', 'c'][i % 3 + 1] as color from range(20) r(i)",
+    lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", session.cycled(F.col("s_suppkey"), ["a", "b", "c"]).alias("color")),
+    "select s_suppkey, ['a', 'b', 'c'][s_suppkey % 3 + 1] as color from supplier",
 )
 
 
@@ -493,10 +546,23 @@ register(
   '&amp;', '<span class="manual-highlight" style="background:blue;color:#1e1e1e;border-color:transparent">&amp;</span>', 'g'),
   'customer', '<span class="manual-highlight" style="background:red;color:#1e1e1e;border-color:transparent">CUSTOMER</span>', 'gi') as html from corpus""",
 )
+_MARK = '<span class="manual-highlight" style="background:{};color:#1e1e1e;border-color:transparent">'
+register(  # a mark is put in where it stands outside tags
+    "highlight_html_tags",
+    lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.highlighted_html(F.col("html"), [("div", "red"), ("th", "blue")]).alias("html")),
+    "with first as (select page_id, array_to_string(list_transform(regexp_extract_all(html, '<[^>]*>|[^<]+|<'), lambda x: case when starts_with(x, '<') then x else regexp_replace(x, 'th', '" + _MARK.format("blue") + "\\0</span>', 'gi') end), '') as html from pages) "
+    "select page_id, array_to_string(list_transform(regexp_extract_all(html, '<[^>]*>|[^<]+|<'), lambda x: case when starts_with(x, '<') then x else regexp_replace(x, 'div', '" + _MARK.format("red") + "\\0</span>', 'gi') end), '') as html from first",
+)
 register(
+    "highlight_words",
+    lambda s, d: session.occurrences(corpus.document_lines(s, d), s.read.parquet(f"{d}/nation.parquet").select(F.lower(F.substring("n_name", 1, 3)).alias("text"), F.first("n_name").over(Window.partitionBy(F.substring("n_name", 1, 3)).orderBy("n_nationkey")).alias("color")).distinct()),
+    f"with {DOC_LINES}, marks as (select lower(substr(n_name, 1, 3)) as text, arg_min(n_name, n_nationkey) as color from nation group by 1), parts as (select relative_path, line_number, line, unnest(range(1, len(line) - 1)) as i from doc_lines) "
+    "select relative_path, line_number, (i - 1)::int as at, text, color from parts join marks on lower(substr(line, i, 3)) = text",
+)
+register(  # a file is brought back, but none below a folder that is ignored
     "ignore_files",
-    lambda s, d: search.not_ignored(corpus.synthetic_lines(s, d).select("relative_path").distinct(), T.ignore_rules("include/\n*_1.cpp\n!include/brand_11.h\n/src/nation_2*\n")),
-    f"with {CORPUS} select distinct relative_path from corpus where not ((relative_path like 'include/%' and relative_path <> 'include/brand_11.h') or relative_path like '%\\_1.cpp' escape '\\' or relative_path like 'src/nation\\_2%' escape '\\')",
+    lambda s, d: search.not_ignored(corpus.synthetic_lines(s, d).select("relative_path").distinct(), T.ignore_rules("include/\n*_1.cpp\n!include/brand_11.h\n/src/nation_2*\n!nation_21.cpp\n")),
+    f"with {CORPUS} select distinct relative_path from corpus where relative_path = 'src/nation_21.cpp' or not (relative_path like 'include/%' or relative_path like '%\\_1.cpp' escape '\\' or relative_path like 'src/nation\\_2%' escape '\\')",
 )
 register("file_metadata", lambda s, d: index.file_metadata(_files(s, d, True), "f/1.c"), f"with {_ORDERS} select relative_path, k * 10 as mtime_ms, k % 100 as size_bytes, (k % 3)::int as symbol_count from orders_ where k = 1")
 register(

@@ -37,6 +37,10 @@ def test_declarations_in_their_places():
     assert [(n, line, col) for n, k, line, col in extract.lexed("int a(void) { }\n  long bb(void)\n  { }\n", False)] == [("a", 1, 4), ("bb", 2, 7)]
 
 
+def test_template_parameters_are_no_classes():
+    assert [(n, k) for n, k, *_ in extract.lexed("template <class T, class U = map<int, S>> class Box { };\ntemplate <typename T> struct Pair;\ntemplate < class\n", True)] == [("Box", "class"), ("Pair", "struct")]
+
+
 def test_unclosed_code_ends():
     for code in ("int f(int a {", "template < int f() {", "int f(a) : b{ {{{", "class A < {", "(" * 500 + "{" * 500, "int f() -> {", "[[ int f() {", "struct"):
         list(extract.lexed(code, True))
