@@ -114,14 +114,6 @@ def ranges(docs: DataFrame, payload: list[str], buckets: int | None = None) -> t
     return spread.drop("_at", "_copy"), Window.partitionBy("_range").orderBy("_guest", F.col("doc_id").asc_nulls_first(), *payload)
 
 
-def with_next(docs: DataFrame, payload: list[str], buckets: int | None = None) -> DataFrame:
-    """``docs`` with ``next``: a struct of ``payload`` from the row that follows in ascending doc_id (ties by payload;
-    after the last row: the first)."""
-    spread, order = ranges(docs, payload, buckets)
-    led = spread.withColumn("next", F.lead(F.struct(*payload)).over(order))
-    return led.filter(~F.col("_guest")).drop("_guest", "_range")
-
-
 def with_edits(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_chars, the edited text's sha256, and the vectors of the text, the edited text and the next text.
 

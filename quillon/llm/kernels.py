@@ -136,11 +136,6 @@ def window_hashes(values: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
     return mix((total[width:] - total[:-width]) * down[:n])
 
 
-def byte_windows(data: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
-    """Hash of each run of ``width`` bytes."""
-    return window_hashes(_BYTES[lane][data] + np.uint64(0x9E3779B97F4A7C15) * data, width, lane)
-
-
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """Position of the smallest value (by the upper 32 bits; the leftmost of equals) in each run of ``width`` values."""
     n = len(values) - width + 1

@@ -134,6 +134,12 @@ def test_columns_with_the_operators_names_are_replaced(spark):
     assert row["lang_pred"] in ("en", "de") and row["_judged"] == "y" and row["keep"] == "x"
 
 
+def test_columns_are_encoded_and_decoded(spark, odd, odd_rows):
+    encode, decode = unigram.coder(spark, vocabulary())
+    got = odd.select("text", encode(F.col("text")).alias("ids")).select("text", "ids", decode(F.col("ids")).alias("back")).collect()
+    assert len(got) == len(odd_rows) and all(r["back"] == r["text"] and (r["ids"] is None) == (r["text"] is None) for r in got)
+
+
 def test_literal_marker_comes_back():
     import pyarrow as pa
 
@@ -207,6 +213,13 @@ def test_embedding_links(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_vec_id_keep_their_own_links(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0, 0.0], 0), (2, [1.0, 0.001, 0.0, 0.0], 0), (3, [0.0, 0.0, 1.0, 0.0], 0), (3, [0.0, 0.0, 1.0, 0.0], 0), (1, [1.0, 0.0, 0.0, 0.0], 1), (0, [0.0, 0.999, 0.02, 0.0], 0), (None, [1.0, 0.0, 0.0, 0.0], 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v, label) for i, v, label in rows], "vec_id long, embedding array<double>, label int")).collect()
+    want = [(1, 1, 1), (1, 1, 0), (2, 1, 1), (3, 1, 3), (3, 1, 3), (1, 0, 1), (0, 1, 0), (None, 0, None)]
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(1)
     y = rng.standard_normal((200, 8)) * 2
@@ -392,6 +405,27 @@ def test_induced_order_with_common_prefixes():
     assert spilled > 1000
 
 
+@pytest.mark.parametrize(("n", "levels"), [(78_000, 0), (3_600_000, 1)])
+def test_the_query_s_limits_sweep_and_recurse(n, levels, monkeypatch):
+    """A shard as small as sf0.01's goes through sweeps and queues, one of some millions recurses too, at the operator's own limits."""
+    rng = np.random.default_rng(2)
+    text = rng.integers(2, 28, n).astype(np.uint16)
+    for _ in range(40):  # passages that repeat
+        a, b = rng.integers(0, n - 1000, 2)
+        text[b : b + 700] = text[a : a + 700].copy()
+    text = np.append(text, 0).astype(np.uint16)
+    calls, induced, reduced = Counter(), induced_sort._induced, induced_sort._reduced
+    monkeypatch.setattr(induced_sort, "_induced", lambda *a: calls.update(["sweeps"]) or induced(*a))
+    monkeypatch.setattr(induced_sort, "_reduced", lambda *a: calls.update(["levels"]) or reduced(*a))
+    with induced_sort.Scratch() as scratch:
+        order, common = induced_sort.sort_suffixes(text, 200, suffix_dedup.SORT_MEMORY, scratch, suffix_dedup.IN_MEMORY)
+        order, common = np.array(order), np.array(common)
+    assert calls["sweeps"] == levels + 1 and calls["levels"] == levels
+    assert (np.sort(order) == np.arange(n + 1)).all()
+    again, prefix = induced_sort.doubling(text, 200)
+    assert (np.sort(order[common >= 200]).size == np.sort(again[prefix >= 200]).size) and (common == prefix).all()
+
+
 def test_suffix_array_dedup_spills_and_recurses(spark, shared_ids, monkeypatch):
     """The query's own shards with 64 bytes of memory: the same rows."""
     monkeypatch.setattr(suffix_dedup, "SORT_MEMORY", 64)
