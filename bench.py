@@ -14,7 +14,7 @@ from quillon.session import build_session  # noqa: E402
 
 HEADLINE = [
     "corpus_lines", "extract_macros", "extract_functions", "extract_brace_next_line", "find_exact_ci", "find_substring_ci", "find_token_phrase", "find_regex", "count_substring_ci",
-    "stored_find_exact_ci", "stored_find_substring_ci", "stored_find_token_phrase", "stored_find_regex", "stored_count_substring_ci", "stored_page_first", "extract_whole_text", "extract_large_file",
+    "stored_find_exact_ci", "stored_find_substring_ci", "stored_find_token_phrase", "stored_find_regex", "stored_count_substring_ci", "stored_page_first", "stored_page_sought", "stored_exact_mode_substring", "stored_exact_mode_regex", "exact_mode_regex", "extract_declarators", "highlight_words", "extract_whole_text", "extract_large_file",
     "page_first", "result_lines", "grep_literal_ci", "grep_word", "grep_regex", "hybrid_fallback", "classify_changed", "apply_changes_files", "apply_changes_symbols", "debounce_sessions", "last_event_wins",
 ]
 

@@ -15,6 +15,7 @@ from quillon.functions import text as T
 from quillon.operators import extract, search as find
 from quillon.operators.store import Conflict, Snapshot, Store, Unreadable, apply_files, apply_symbols  # noqa: F401 - the maintenance operators
 from quillon.sources import corpus, tree
+from quillon.streaming import changes
 
 BATCH = 128
 
@@ -97,7 +98,7 @@ class Index:
 
     KEEP = 2  # states that stay after a sync, so that readers of the one before aren't cut off
 
-    def __init__(self, spark: SparkSession, root: str, store: str, extensions=corpus.EXTENSIONS, excludes=corpus.EXCLUDES, include_paths=(), enabled: bool = True, during_sync: str = "prompt-grep-fallback", max_file_bytes=T.DEFAULT_MAX_BYTES):
+    def __init__(self, spark: SparkSession, root: str, store: str, extensions=corpus.EXTENSIONS, excludes=corpus.EXCLUDES, include_paths=(), enabled: bool = True, during_sync: str = "prompt-grep-fallback", max_file_bytes=T.DEFAULT_MAX_BYTES, auto_sync: float | None = None):
         self.spark, self.root, self.store, self.enabled = spark, corpus.canonical_root(root), Store(spark, store), enabled
         self.scan = dict(extensions=extensions, excludes=excludes, include_paths=include_paths)
         self.max_file_bytes = T.max_file_bytes(max_file_bytes)
@@ -106,6 +107,8 @@ class Index:
         self.on_status: list[Callable[[Status], None]] = []
         self.on_stats: list[Callable[[dict], None]] = []
         self.warnings: list[str] = []
+        #: With ``auto_sync``, marks are taken up once none has come for so many seconds.
+        self.auto = None if auto_sync is None else changes.AutoSync(self.sync_dirty, auto_sync, enabled)
         #: What a search does while a sync runs; ``ask`` is called with what a prompt expects, and answers ``grep`` or ``cancel``.
         self.during_sync, self.ask, self._choice = during_sync, lambda expect: "grep" if expect == "grep-fallback" else "cancel", (0.0, None)
 
@@ -136,6 +139,13 @@ class Index:
             (self._gone if removed else self._dirty).add(path)
         if self.status is Status.READY:
             self._set(Status.STALE)
+        if self.auto is not None:
+            self.auto.mark(path)
+
+    def dispose(self) -> None:
+        """No more automatic syncs."""
+        if self.auto is not None:
+            self.auto.dispose()
 
     @property
     def sync_in_progress(self) -> bool:

@@ -55,16 +55,14 @@ def test_from_a_changed_file_to_the_index(spark, tmp_path):
 def test_a_mark_reaches_the_index_after_quiet(spark, tmp_path):
     ws = tmp_path / "ws"
     put(ws / "a.c", "int first(void) { }\n")
-    idx = Index(spark, str(ws), str(tmp_path / "index"))
+    idx = Index(spark, str(ws), str(tmp_path / "index"), auto_sync=0.2)
     idx.synchronize()
-    auto = changes.AutoSync(idx.sync_dirty, 0.2)
     put(ws / "a.c", "int third(void) { return 2; }\n")
     idx.mark("a.c")
-    auto.mark("a.c")
     until = time.time() + 60
     while idx.status is not Status.READY and time.time() < until:
         time.sleep(0.2)
-    auto.dispose()
+    idx.dispose()
     assert idx.count("third") == 1
 
 
