@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import extract, index, search, session, telemetry
 from quillon.operators.index import Index, Status, Store
+from quillon.plans import registry
 from quillon.schema import SearchOptions
 from quillon.sources import corpus
 from quillon.streaming import changes
@@ -55,6 +56,34 @@ def test_by_text_agrees_with_by_line(spark):
     assert found(extract.by_text(files)) == WANT
 
 
+def test_by_text_in_parts(spark):
+    """Cut after any line, a file gives what it gives whole; matches reach over lines, and over many parts."""
+    code = (
+        "struct A\n\n\n{\n int x;\n};\nint f(int a,\n#define IN(x) x\n int b)\n\n{\n}\ntemplate <class T,\n class U { ; }\nclass V {\n> class W : public\n{\n"
+        "int p(int a\nint q(int b)\n{\nint r(int c;\nint s(int d) {\n}\n#define M 1\nenum class E\n\n{\nclass X : Y\n{\ntemplate < class\nint t(\n> class Z\n{ int u()\n{\nclass Q\nclass R\n{\nunion N\n"
+    )
+    lines = code.splitlines()
+    sizes = (1, 2, 3, 5, 100)
+    whole = spark.createDataFrame([(str(n), code) for n in sizes], "relative_path string, content string")
+    want = sorted(map(tuple, extract.by_text(whole).collect()))
+    assert {n for _, _, n, *_ in want} >= {"A", "f", "IN", "W", "s", "M", "E", "X"}
+    rows = spark.createDataFrame([(str(n), i // n, i, line) for n in sizes for i, line in enumerate(lines)], "relative_path string, p int, i int, line string")
+    parts = extract.in_parts(rows, F.col("p"), "i")
+    assert parts.filter("relative_path = '2'").agg(F.max(F.char_length("content"))).first()[0] <= 2 * max(map(len, lines)) + 2
+    assert sorted(map(tuple, extract.by_text(parts).collect())) == want
+
+
+def test_no_row_holds_a_large_file(spark, sf, monkeypatch):
+    """One task read all orders as one text before; now files come in parts, of so many lines."""
+    seen = []
+    monkeypatch.setattr(extract, "by_text", lambda files: seen.append(files) or files)
+    registry.large_file(spark, sf)
+    registry.queries()["extract_whole_text"](spark, sf)
+    for files in seen:
+        got = files.agg(F.count("*").alias("n"), F.max(F.size(F.split("content", "\n"))).alias("m")).first()
+        assert got["n"] > 1 and got["m"] <= registry.LINES + 1
+
+
 def test_columns_are_places_in_the_match(spark):
     got = {r["name"]: r["col"] for r in extract.by_line(lines_of(spark, "#define d 1\n  struct S {\n")).collect()}
     assert got == {"d": 1, "S": 9}
