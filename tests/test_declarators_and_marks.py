@@ -37,6 +37,22 @@ def test_declarations_in_their_places():
     assert [(n, line, col) for n, k, line, col in extract.lexed("int a(void) { }\n  long bb(void)\n  { }\n", False)] == [("a", 1, 4), ("bb", 2, 7)]
 
 
+def test_files_in_parts(spark):
+    """Read in parts cut after any line, a file gives what it gives whole; its tokens aren't held, nor its parts before the last ones."""
+    code = 'struct A\n{ int x; } /* a\n comment { */ a;\nint f(int a,\n  char *b = "x\\\ny")\n{ }\n#define M(a) \\\n  struct N { \\\n  }\n  # define  O\ntypedef struct { int y;\n} P[3]\n[4];\n// line \\\n int no() {\nlate(int a) : x{1},\n y{\n2} { }\ntemplate <\nclass T>\nint g(T a)\n{ }\nu8"s"\nint h() {'
+    lines = code.splitlines(keepends=True)
+    want = sorted(extract.lexed(code, True))
+    assert {n for n, *_ in want} == {"A", "f", "M", "O", "P", "g"}
+    for n in (1, 2, 3, 7):
+        assert sorted(extract.lexed(["".join(lines[i : i + n]) for i in range(0, len(lines), n)], True)) == want
+    rows = spark.createDataFrame([(p, i, line) for p in ("b.cpp", "a.cpp") for i, line in enumerate(lines)], "relative_path string, part int, content string").repartition(5)
+    got = sorted((r["relative_path"], r["name"], r["kind"], r["line_number"], r["col"]) for r in extract.by_lexer(rows).collect())
+    assert got == [(p, *x) for p in ("a.cpp", "b.cpp") for x in want]
+    tokens = extract.Tokens(extract._tokens(("int f(int a) { return a; }\n" for _ in range(5_000)), []))
+    held = [len(tokens.held) for _ in extract._definitions(tokens, True)]
+    assert max(held) < 25_000 < tokens.first  # of 60,000 tokens
+
+
 def test_template_parameters_are_no_classes():
     assert [(n, k) for n, k, *_ in extract.lexed("template <class T, class U = map<int, S>> class Box { };\ntemplate <typename T> struct Pair;\ntemplate < class\n", True)] == [("Box", "class"), ("Pair", "struct")]
 
