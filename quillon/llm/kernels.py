@@ -28,6 +28,11 @@ def trim() -> None:
     """Give memory that this process has freed back to the system; workers live on from stage to stage."""
     _powers.clear()
     gc.collect()
+    release()
+
+
+def release() -> None:
+    """Give free memory back, without a search for garbage: between groups."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -1,23 +1,21 @@
-"""Language-model scores by stupid backoff, computed relationally.
+"""Language-model scores by stupid backoff.
 
 Words are runs without white space, A-Z lower-cased. A word's score is ``ln(c(w1..wn) / c(w1..wn-1))`` for the longest n-gram ending
 there that the corpus holds, and ``ln(ALPHA)`` more for each word by which that is shorter than the longest one that the text
 has there; single words score ``ln(c(w) / words)``. A document's score is the sum. Every n-gram counts, those that occur once too.
 
-Where a corpus scores itself (``scored(docs)``), every n-gram of a text is in the tables. The n-grams, exploded with the texts they
-are of, are dealt by the hash of their context, so one shuffle brings together all that a count table's part needs and all that
-is looked up there: the part is counted, joined with its own rows and summed by text. Rows travel packed, a
-block of arrays for each part of a run of texts; texts of few words ask the tables of shorter n-grams. Parts hold
-about ``ROWS`` rows at any size of the input, in ``slices`` so that disk holds a share of the rows at a time.
+Texts are gathered in runs of about ``RUN`` words, which are stored as hashes of distinct words and each word's number among them. A run
+sends each distinct n-gram of every length once, with how often its texts of the corpus have it, to the part that its hash's range
+gives; the part adds up the counts of equal n-grams and answers each run with the counts of all it was sent, in the order sent. Ranges follow one another, so
+a run's answers, part by part, are the counts of its n-grams in order; with them each word backs off within its run. One shuffle
+goes to the parts and one comes back, for any share of words that back off. A frequent n-gram has a row a run at most, so no part is
+larger for it. Parts hold at most about ``rows`` rows at any size of the input, and go in ``slices`` so that disk holds a share of the rows at a time,
+as do the runs when their answers come back.
 
-N-grams that make up more than a share ``HOT`` of all are not dealt: at most ``2 / HOT`` of a length have more than half of that share
-within runs of texts that they are frequent in, so their exact counts, gathered by run, are a table of bounded size that every task has.
-
-With another corpus (``scored(docs, corpus)``) the tables are counted once each, by key, and joined level by level with the
-words that the level above left over.
+N-grams are known by 63-bit hashes.
 
 Defined cases: a null text or one without words has no words and score 0, with a null mean; very long texts are taken whole; repeated
-rows each count in the corpus, and each gets its score; rows with one doc_id and different texts are scored apart; null doc_ids
+rows each count in the corpus, and each gets its score; rows with one doc_id are scored apart; null doc_ids
 are scored like others; an empty table gives an empty result; other columns are ignored; words outside the corpus score as if
 they had been seen once.
 """
@@ -25,360 +23,231 @@ they had been seen once.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillon.llm import kernels
 from quillon.llm.shared import forget, store
 
 ALPHA = 0.4
-HOT = 1 / 2048
-ROWS = 500_000  # rows of a part
+ROWS = 1_500_000  # rows of a part at most, on average
 MANY = 2_000_000  # words from which rows go by slices
-RUN = 3 << 20  # bytes of text packed together
-END, ASK, FULL = 0, 1, 2  # in place of a full n-gram's key: a context with no word after it, one that is looked up, and a full n-gram without its context
+RUN = 1 << 18  # words, about, of texts that ask together
 
 
-def keys_of(data: np.ndarray, offsets: np.ndarray, order: int):
-    """(text, place in it, keys by n) of each word; the key of n words that would reach over the text's start is not to be used."""
-    lower = kernels.LOWER[data]
-    starts, _, first = kernels.words(lower, offsets)
-    words = kernels.word_hashes(lower, starts)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    place = np.arange(len(words)) - first[text]
-    out = [words]
-    for n in range(2, order + 1):
-        out.append(np.concatenate([np.zeros(min(n - 1, len(words)), np.uint64), kernels.window_hashes(words, n)]))
-    return text, place, out, np.diff(first)
+class Model:
+    """Scores of ``docs`` by the counts of a corpus: another table, the rows of ``docs`` that a condition holds for, or (by default) all of them."""
+
+    def __init__(self, docs: DataFrame, order: int = 3, slices: int = 3, hot: float | None = None, rows: int = ROWS, corpus: DataFrame | Column | None = None):
+        """``hot`` has no effect: frequent n-grams need no care."""
+        if order < 1:
+            raise ValueError("an order of 1 or more is needed")
+        self.order, self.slices, self.rows, self.spark = order, slices, rows, docs.sparkSession
+        each = lambda df, counted, asked: df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(counted, F.lit(False)).alias("counted"), F.lit(asked).alias("asked"))
+        if isinstance(corpus, DataFrame):
+            self.texts = each(docs, F.lit(False), True).unionByName(each(corpus, F.lit(True), False))
+        else:
+            self.texts = each(docs, F.lit(True) if corpus is None else corpus, True)
 
+    def scores(self) -> DataFrame:
+        """(doc_id, n_words, log_score, mean_log_score) of every row of ``docs``."""
+        runs = store(self.texts.mapInArrow(kernels.tidy(_gather), "run long, words long, counted long, data binary"), "runs")
+        sent, total = runs.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("counted"), F.lit(0))).first()
+        slices = self.slices if sent > MANY else 1
+        parts = max(1, math.ceil(sent * self.order / slices / self.rows))
+        at_once = max(parts, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        both, stored = runs.select("run", F.lit(-1).alias("part"), "data"), [runs]
+        for number in range(slices):
+            asked = runs.select("run", "data").mapInArrow(kernels.tidy(_dealer(self.order, number, slices, parts)), "part int, run long, data binary")
+            counts = asked.repartition(at_once, "part").groupBy("part").applyInArrow(_part_counts, "run long, part int, data binary")
+            if slices > 1:
+                stored.append(counts := store(counts, "counts", alone=True))
+            both = both.unionByName(counts)
+        scores = lambda df: df.groupBy("run").applyInArrow(_scorer(self.order, total), "doc_id long, n_words long, t double")
+        if slices > 1:
+            share = F.pmod(F.xxhash64("run"), F.lit(slices))
+            out = reduce(DataFrame.unionByName, [store(scores(both.filter(share == number)), "scores", alone=True) for number in range(slices)])
+            for df in stored:
+                forget(df)
+        else:
+            out = scores(both)
+        return out.select("doc_id", "n_words", F.round("t", 4).alias("log_score"), F.round(F.col("t") / F.when(F.col("n_words") > 0, F.col("n_words")), 6).alias("mean_log_score"))
 
-def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.sort(key)
-    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-    return key[cut], np.diff(np.append(cut, len(key)))
 
+def _planes(a: np.ndarray) -> bytes:
+    """An array's bytes, those of one weight together: zeros, and what numbers in order share, then need little room on disk."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, text): a row is known by doc_id and digest; rows with both equal have equal scores."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
 
+def _array(data: bytes, kind: type, n: int, at: int = 0) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(n)
 
-_COUNT = pa.schema([("n", pa.int32()), ("key", pa.int64()), ("c", pa.int64())])
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(map(_planes, arrays))
 
-def _count_batch(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    n = np.concatenate([np.full(len(k), m, np.int32) for m, k, _ in rows]) if rows else np.zeros(0, np.int32)
-    key = np.concatenate([k for _, k, _ in rows]) if rows else np.zeros(0, np.uint64)
-    c = np.concatenate([c for _, _, c in rows]) if rows else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(n), pa.array(key.view(np.int64)), pa.array(c.astype(np.int64))], schema=_COUNT)
 
+def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, np.int64, len(kinds))
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(_array(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out
 
-def counts(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """(n, key, c): how often each n-gram of ``lengths`` occurs; counted by run of texts before the shuffle."""
 
-    def emit(batches):
-        for batch in batches:
-            for _, data, offsets in kernels.chunks(batch.column("text"), RUN):
-                _, place, keys, _ = keys_of(data, offsets, max(lengths))
-                yield _count_batch([(n, *_counted(keys[n - 1][place >= n - 1])) for n in lengths])
+class Run:
+    """A run's texts: their doc_ids, what they are for, their sizes in words, and the words' hashes."""
 
-    return texts.select("text").mapInArrow(kernels.tidy(emit), "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
+    def __init__(self, data: bytes):
+        self.ids, self.null, self.counted, self.asked, self.sizes, distinct, number = _unpack(data, np.int64, bool, bool, bool, np.int64, np.uint64, np.uint32)
+        self.words = distinct[number]
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(self.words)) - (np.cumsum(self.sizes) - self.sizes)[self.text]
 
+    @staticmethod
+    def packed(ids: np.ndarray, null: np.ndarray, counted: np.ndarray, asked: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> bytes:
+        distinct, number = np.unique(words, return_inverse=True)
+        return _pack(ids, null, counted, asked, sizes, distinct, number.astype(np.uint32))
 
-class Hot:
-    """Exact counts of frequent n-grams: sorted keys and their counts, by length."""
+    def grams(self, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(keys, even, of the n-grams of each length up to ``order``, one length after the other; the places among the words where each length's end)."""
+        ends = [np.flatnonzero(self.place >= n - 1) for n in range(1, order + 1)]
+        key = np.concatenate([self.words, *[kernels.window_hashes(self.words, n)[ends[n - 1] - (n - 1)] for n in range(2, order + 1)]])
+        key &= ~np.uint64(1)
+        return key, ends
 
-    def __init__(self, rows):
-        by: dict[int, dict[int, int]] = {}
-        for r in rows:
-            by.setdefault(r["n"], {})[r["key"]] = r["c"]
-        self.keys = {n: np.array(sorted(d), np.int64).view(np.uint64) for n, d in by.items()}
-        self.logs = {}
-        for n, d in by.items():
-            self.keys[n] = np.sort(np.array(list(d), np.int64).view(np.uint64))
-            self.logs[n] = np.log(np.array([d[int(k)] for k in self.keys[n].view(np.int64)], float))
 
-    def find(self, n: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether hot, log count where it is)."""
-        if n not in self.keys or not len(key):
-            return np.zeros(len(key), bool), np.zeros(len(key))
-        at = np.minimum(np.searchsorted(self.keys[n], key), len(self.keys[n]) - 1)
-        return self.keys[n][at] == key, self.logs[n][at]
+_RUNS = pa.schema([("run", pa.int64()), ("words", pa.int64()), ("counted", pa.int64()), ("data", pa.binary())])
 
 
-class Model:
-    """A corpus that scores itself."""
-
-    def __init__(self, docs: DataFrame, order: int = 3, slices: int = 3, hot: float = HOT, rows: int = ROWS):
-        if order < 2:
-            raise ValueError("an order of 2 or more is needed")
-        self.texts, self.order, self.slices, self.hot_share, self.rows = _texts(docs), order, slices, hot, rows
-        self.spark = docs.sparkSession
-
-    def frequent(self) -> tuple[int, Hot]:
-        """The number of words, and the exact counts of contexts and full n-grams that are frequent."""
-        order, share = self.order, self.hot_share
-
-        def emit(batches):
-            words = 0
-            for batch in batches:
-                for _, data, offsets in kernels.chunks(batch.column("text"), RUN):
-                    _, place, keys, _ = keys_of(data, offsets, order)
-                    words += len(place)
-                    rows = []
-                    for n in (order - 1, order):
-                        key, c = _counted(keys[n - 1][place >= n - 1])
-                        often = c >= max(2, share / 2 * len(place))
-                        rows.append((n, key[often], c[often]))
-                    yield _count_batch(rows)
-            yield _count_batch([(0, np.zeros(1, np.uint64), np.array([words]))])
-
-        seen = self.texts.select("text").mapInArrow(kernels.tidy(emit), "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
-        seen = store(seen, "frequent")
-        total = seen.filter("n = 0").agg(F.sum("c").alias("c")).first()["c"] or 0
-        # what a frequent n-gram has in runs where it isn't frequent is less than half of its share
-        rows = seen.filter((F.col("n") > 0) & (F.col("c") >= max(2, share / 2 * total))).select("n", "key").collect()  # at most 2 / share keys a length
-        forget(seen)
-        if not rows:
-            return total, Hot([])
-        wanted = {n: np.sort(np.array([r["key"] for r in rows if r["n"] == n], np.int64).view(np.uint64)) for n in (order - 1, order)}
-
-        def exact(batches):
-            for batch in batches:
-                for _, data, offsets in kernels.chunks(batch.column("text"), RUN):
-                    _, place, keys, _ = keys_of(data, offsets, order)
-                    out = []
-                    for n, want in wanted.items():
-                        if len(want):
-                            key = keys[n - 1][place >= n - 1]
-                            at = np.minimum(np.searchsorted(want, key), len(want) - 1)
-                            out.append((n, *_counted(key[want[at] == key])))
-                    yield _count_batch(out)
-
-        found = self.texts.select("text").mapInArrow(kernels.tidy(exact), "n int, key long, c long").groupBy("n", "key").agg(F.sum("c").alias("c"))
-        return total, Hot(found.collect())  # the same keys
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as runs: (run, words, words of the corpus, data)."""
+    base, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
-    def scores(self) -> DataFrame:
-        """(doc_id, n_words, log_score, mean_log_score) of every row."""
-        total, hot_ = self.frequent()
-        order, hot = self.order, self.spark.sparkContext.broadcast(hot_)
-        slices = self.slices if total > MANY else 1
-        parts = max(1, math.ceil(total / slices / self.rows))
-        out = None
-        for number in range(slices):
-            packed = self.texts.mapInArrow(kernels.tidy(_packer(order, hot, number, slices, parts)), "part int, run long, data binary")
-            packed = packed.repartition(max(parts, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "part")
-            scored_ = packed.groupBy("part").applyInArrow(_part_scores, "run long, data binary")
-            rows = scored_.groupBy("run").applyInArrow(_by_text, "doc_id long, digest long, words long, head long, s double, copies long")
-            rows = store(rows, "scores")
-            out = rows if out is None else out.unionByName(rows)
-        short = self.short(out, total)
-        if short is not None:
-            out = out.unionByName(short)
-        out = out.groupBy("doc_id", "digest").agg(F.sum("words").alias("words"), F.sum("s").alias("s"), F.sum("copies").alias("copies"))
-        n, s = F.expr("words div copies"), F.col("s") / F.col("copies") - F.when(F.col("words") > 0, F.lit(math.log(max(total, 1)))).otherwise(F.lit(0.0))
-        return _result(out.withColumns({"n": n, "t": s}), "copies")
-
-    def short(self, rows: DataFrame, total: int) -> DataFrame | None:
-        """Scores of texts with fewer words than a context has: their words together, in the table of that length."""
-        few = rows.filter(F.col("head").isNotNull())
-        lengths = [r["n"] for r in few.select(F.expr("words div copies").alias("n")).distinct().collect()]  # below the order
-        if not lengths:
-            return None
-        tables = counts(self.texts, sorted(lengths)).select(F.col("n").alias("_n"), F.col("key").alias("head"), "c")
-        few = few.withColumn("_n", F.expr("words div copies").cast("int")).join(tables, ["_n", "head"])
-        zero = F.lit(0).cast("long")
-        return few.select("doc_id", "digest", zero.alias("words"), F.lit(None).cast("long").alias("head"), (F.log("c") * F.col("copies")).alias("s"), zero.alias("copies"))
-
-
-def _result(rows: DataFrame, copies: str) -> DataFrame:
-    out = rows.select("doc_id", F.col("n").cast("long").alias("n_words"), F.round("t", 4).alias("log_score"), F.round(F.col("t") / F.when(F.col("n") > 0, F.col("n")), 6).alias("mean_log_score"), F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("_row"))
-    return out.drop("_row")
-
-
-_PACKED = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("data", pa.binary())])
-_SCORED = pa.schema([("run", pa.int64()), ("data", pa.binary())])
+    def run():
+        ids, null, counted, asked, sizes, words = (np.concatenate(x) for x in zip(*held, strict=True))
+        row = base + number, len(words), int(sizes[counted].sum()), Run.packed(ids, null, counted, asked, sizes, words)
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _RUNS, strict=True)], schema=_RUNS)
 
+    for batch in batches:
+        for row, data, offsets in kernels.chunks(batch.column("text")):
+            lower = kernels.LOWER[data]
+            starts, _, first = kernels.words(lower, offsets)
+            rows = batch.slice(row, len(offsets) - 1)
+            ids, flag = rows.column("doc_id"), lambda c, rows=rows: rows.column(c).to_numpy(zero_copy_only=False).astype(bool)
+            held.append((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), flag("counted"), flag("asked"), np.diff(first).astype(np.int64), kernels.word_hashes(lower, starts)))
+            size += len(starts) + len(rows)
+            if size >= RUN:
+                yield run()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield run()
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
 
-
-def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
-    sizes = np.frombuffer(data, np.int64, len(kinds))
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return out
+_KINDS = np.int64, np.uint64, np.uint32  # of a block: whether the run waits for counts, n-grams, how often the run's part of the corpus has them
+_ASKED = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("data", pa.binary())])
 
 
-def _packer(order: int, hot_, number: int, slices: int, parts: int):
-    """Rows (part, run, data): a run's n-grams for one part; or, with part -1 - p, a run's texts and what is known of their scores."""
+def _dealer(order: int, number: int, slices: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (part, run, data): a run's distinct n-grams of one part of this slice, in order, and how often its texts of the corpus have each."""
+    edges = [-(-(p << 63) // (parts * slices)) * 2 for p in range(number * parts, (number + 1) * parts + 1)]
+    least, most, starts = np.uint64(edges[0]), np.uint64(edges[-1] - 1), np.array(edges[:-1], np.uint64)
 
-    def emit(batches) -> Iterator[pa.RecordBatch]:
-        hot, run = hot_.value, 0
-        base = TaskContext.get().partitionId() << 32
+    def emit(batches):
         for batch in batches:
-            for row, data, offsets in kernels.chunks(batch.column("text"), RUN):
-                text, place, keys, sizes = keys_of(data, offsets, order)
-                n_texts = len(offsets) - 1
-                context, full = keys[order - 2], np.maximum(keys[order - 1], np.uint64(3))
-                known = np.zeros(n_texts)
-                # a context ends at word j; the full n-gram that starts with it ends at j + 1
-                at = np.flatnonzero(place >= order - 2)
-                more = place[at] < sizes[text[at]] - 1
-                is_hot, log_c = hot.find(order - 1, context[at])
-                entries = []
-                after = at[more] + 1
-                full_hot, log_f = hot.find(order, keys[order - 1][after])
-                np.add.at(known, text[after[full_hot]], log_f[full_hot] - log_c[more][full_hot])
-                lone = is_hot[more] & ~full_hot  # the context's count is known
-                np.add.at(known, text[after[lone]], -log_c[more][lone])
-                entries.append((kernels.mix(full[after[lone]]), np.full(int(lone.sum()), FULL, np.uint64), text[after[lone]]))
-                whole = ~is_hot[more]
-                entries.append((context[at[more]][whole], full[after[whole]], text[after[whole]]))
-                ends = at[~more & ~is_hot]
-                entries.append((context[ends], np.full(len(ends), END, np.uint64), text[ends]))
-                first = place[at] == order - 2  # the words up to here, from the text's start
-                asks, asks_hot = at[first & ~is_hot], at[first & is_hot]
-                np.add.at(known, text[asks_hot], log_c[first & is_hot])
-                entries.append((context[asks], np.full(len(asks), ASK, np.uint64), text[asks]))
-                one, two, who = (np.concatenate(x) for x in zip(*entries, strict=True))
-                part = ((one >> np.uint64(7)) % np.uint64(parts * slices)).astype(np.int64)
-                here = np.flatnonzero(part % slices == number)
-                one, two, who, part = one[here], two[here], who[here].astype(np.uint32), part[here] // slices
-                order_ = np.argsort(part, kind="stable")
-                one, two, who, part = one[order_], two[order_], who[order_], part[order_]
-                bounds = np.searchsorted(part, np.arange(parts + 1))
-                filled = np.flatnonzero(np.diff(bounds))
-                narrow = np.uint16 if n_texts <= 1 << 16 else np.uint32
-                blocks = [_pack(one[bounds[p] : bounds[p + 1]], two[bounds[p] : bounds[p + 1]], who[bounds[p] : bounds[p + 1]].astype(narrow)) for p in filled]
-                me = base + run
-                run += 1
-                head = np.zeros(n_texts, np.int64)
-                few = np.flatnonzero((sizes > 0) & (sizes < order - 1))
-                for n in np.unique(sizes[few]):
-                    those = few[sizes[few] == n]
-                    last = np.searchsorted(text, those, "right") - 1
-                    head[those] = keys[n - 1][last].view(np.int64)
-                if number:  # the first slice says what is known
-                    known, heads, count = np.zeros(n_texts), np.zeros(0, np.int64), np.zeros(n_texts, np.int64)
-                else:
-                    heads, count = few.astype(np.int64), sizes.astype(np.int64)
-                rows = slice(row, row + n_texts)
-                ids = batch.column("doc_id")[rows]
-                null = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).astype(np.int64)
-                blocks.append(_pack(ids.fill_null(0).to_numpy(), null, batch.column("digest")[rows].to_numpy(), count, known, heads, head[heads], np.array([number])))
-                where = [*filled.tolist(), -1 - int(me % parts)]
-                for lo in range(0, len(blocks), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(where[lo : lo + 64], pa.int32()), pa.array([me] * len(blocks[lo : lo + 64]), pa.int64()), pa.array(blocks[lo : lo + 64], pa.binary())], schema=_PACKED)
+            for me, data in zip(batch.column("run").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                run = Run(data)
+                key, ends = run.grams(order)
+                counted = run.counted.astype(np.uint64)[run.text]
+                for n, end in enumerate(ends):  # the lowest bit tells which are the corpus's
+                    at = sum(map(len, ends[:n]))
+                    key[at : at + len(end)] |= counted[end]
+                key = np.sort(key[(key >= least) & (key <= most)])
+                new = np.flatnonzero(np.concatenate([[True], key[1:] ^ key[:-1] > np.uint64(1)])[: len(key)])
+                c = np.add.reduceat(key & np.uint64(1), new).astype(np.uint32) if len(key) else np.zeros(0, np.uint32)
+                distinct, asks = key[new] & ~np.uint64(1), np.array([run.asked.any()], np.int64)
+                cut = np.append(np.searchsorted(distinct, starts), len(distinct))
+                filled = np.flatnonzero(np.diff(cut))
+                for lo in range(0, len(filled), 64):
+                    some = filled[lo : lo + 64]
+                    blocks = [_pack(asks, distinct[cut[p] : cut[p + 1]], c[cut[p] : cut[p + 1]]) for p in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(some + number * parts, pa.int32()), pa.array([me] * len(some), pa.int64()), pa.array(blocks, pa.binary())], schema=_ASKED)
 
     return emit
 
 
-def _part_scores(group: pa.Table) -> pa.Table:
-    """Counts a part, joins its rows with the counts, and sums by run and text."""
-    runs, blocks = group.column("run").to_pylist(), group.column("data").to_pylist()
-    if group.column("part")[0].as_py() < 0:  # texts: on to their run
-        return pa.table({"run": pa.array(runs, pa.int64()), "data": pa.array([b"T" + b for b in blocks], pa.binary())}, schema=_SCORED)
-    cols = []
-    for data in blocks:
-        sizes = np.frombuffer(data, np.int64, 3)
-        narrow = np.uint16 if len(data) == 24 + 18 * int(sizes[0]) else np.uint32
-        cols.append(_unpack(data, np.uint64, np.uint64, narrow))
-    counts_ = [len(c[0]) for c in cols]
-    one, two = np.concatenate([c[0] for c in cols]), np.concatenate([c[1] for c in cols])
-    order = np.lexsort((two, one))
-    a, b = one[order], two[order]
-    del one, two
-    new_a = np.concatenate([[True], a[1:] != a[:-1]])
-    new = new_a | np.concatenate([[True], b[1:] != b[:-1]])
-    of_a, of = np.cumsum(new_a) - 1, np.cumsum(new) - 1
-    full = np.log(np.bincount(of))[of]
-    context = np.bincount(of_a, weights=b != ASK)
-    context = np.log(np.maximum(context, 1))[of_a]
-    value = np.where(b == END, 0.0, np.where(b == ASK, context, np.where(b == FULL, full, full - context)))
-    score = np.empty(len(value))
-    score[order] = value
-    out, at = [], 0
-    for (_, _, who), n in zip(cols, counts_, strict=True):
-        s = np.bincount(who, weights=score[at : at + n])
-        who_ = np.flatnonzero(np.bincount(who))
-        out.append(b"S" + _pack(who_.astype(np.uint32), s[who_]))
-        at += n
-    return pa.table({"run": pa.array(runs, pa.int64()), "data": pa.array(out, pa.binary())}, schema=_SCORED)
-
-
-_TEXTS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("words", pa.int64()), ("head", pa.int64()), ("s", pa.float64()), ("copies", pa.int64())])
-
-
-def _by_text(group: pa.Table) -> pa.Table:
-    """The sums of a run's texts, equal rows together."""
-    blocks = group.column("data").to_pylist()
-    ids, null, digest, words, known, few, heads, number = _unpack(next(b for b in blocks if b[:1] == b"T")[1:], np.int64, np.int64, np.int64, np.int64, float, np.int64, np.int64, np.int64)
-    total = known.copy()
-    for data in sorted(b for b in blocks if b[:1] == b"S"):  # one order of adding
-        who, s = _unpack(data[1:], np.uint32, float)
-        total[who] += s
-    head, has = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
-    head[few], has[few] = heads, True
-    absent = np.zeros(len(ids), bool)
-    absent[null] = True
-    first = np.full(len(ids), int(number[0] == 0), np.int64)
-    return pa.table([pa.array(ids, mask=absent), pa.array(digest), pa.array(words), pa.array(head, mask=~has), pa.array(total), pa.array(first)], schema=_TEXTS)
-
-
-def held_out_scores(docs: DataFrame, corpus: DataFrame, order: int = 3) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) of ``docs`` by the counts of ``corpus``, with backoff, level by level."""
-    table = store(counts(_texts(corpus), list(range(1, order + 1))), "tables")
-    words = table.filter("n = 1").agg(F.sum("c").alias("c")).first()["c"] or 0
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int32()), *[(f"k{n}", pa.int64()) for n in range(1, order + 1)], *[(f"h{n}", pa.int64()) for n in range(1, order)], ("times", pa.int64())])
-
-    def emit(batches):
-        for batch in batches:
-            for row, data, offsets in kernels.chunks(batch.column("text"), RUN):
-                text, place, keys, _ = keys_of(data, offsets, order)
-                level = np.minimum(place + 1, order).astype(np.int32)
-                before = [np.concatenate([np.zeros(min(1, len(k)), np.uint64), k[:-1]]) for k in keys[: order - 1]]
-                top = np.stack([keys[n - 1] for n in range(1, order + 1)])[level - 1, np.arange(len(level))] if len(level) else np.zeros(0, np.uint64)
-                by = np.lexsort((top, level, text))
-                t, lv, k = text[by], level[by], top[by]
-                new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (lv[1:] != lv[:-1]) | (k[1:] != k[:-1])])[: len(t)])
-                times, pick = np.diff(np.append(new, len(t))), by[new]
-                some = lambda a, n: pa.array(a[pick].view(np.int64), mask=level[pick] < n)
-                where = pa.array(row + text[pick])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("digest").take(where), pa.array(level[pick]), *[some(keys[n - 1], n) for n in range(1, order + 1)], *[some(before[n - 1], n + 1) for n in range(1, order)], pa.array(times.astype(np.int64))], schema=schema)
-
-    ddl = ", ".join(["doc_id long, digest long, n int", *[f"k{n} long" for n in range(1, order + 1)], *[f"h{n} long" for n in range(1, order)], "times long"])
-    texts = _texts(docs)
-    rows = store(texts.mapInArrow(kernels.tidy(emit), ddl), "words").withColumn("lost", F.lit(0))
-    found, waiting = None, None
-    for n in range(order, 0, -1):
-        here = rows.filter(F.col("n") == n)
-        if waiting is not None:
-            here = here.unionByName(waiting)
-        here = here.join(table.filter(F.col("n") == n).select(F.col("key").alias(f"k{n}"), "c"), f"k{n}", "left")
-        if n > 1:
-            here = here.join(table.filter(F.col("n") == n - 1).select(F.col("key").alias(f"h{n - 1}"), F.col("c").alias("of")), f"h{n - 1}", "left")
-            here = store(here, "looked")
-            waiting = here.filter("c is null").drop("c", "of").withColumn("lost", F.col("lost") + 1)
-            here = here.filter("c is not null")
-            share = F.log(F.col("c") / F.col("of"))
-        else:
-            share = F.log(F.coalesce("c", F.lit(1)) / F.lit(max(words, 1)))
-        here = here.select("doc_id", "digest", "times", ((share + F.col("lost") * math.log(ALPHA)) * F.col("times")).alias("s"))
-        found = here if found is None else found.unionByName(here)
-    sums = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.sum("times").alias("words"), F.sum("s").alias("s"))
-    each = texts.groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
-    out = each.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    return _result(out.withColumns({"n": F.expr("coalesce(words, 0L) div copies"), "t": F.coalesce(F.col("s") / F.col("copies"), F.lit(0.0))}), "copies")
-
-
-def scored(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3) -> DataFrame:
-    """Scores of ``docs`` by the counts of ``corpus``, or by their own."""
-    return Model(docs, order).scores() if corpus is None else held_out_scores(docs, corpus, order)
+_COUNTS = pa.schema([("run", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
+
+
+def _part_counts(group: pa.Table) -> pa.Table:
+    """Rows (run, part, data): the counts in the whole corpus of the n-grams that each run has sent."""
+    sent = [_unpack(b, *_KINDS) for b in group.column("data").to_pylist()]
+    key, c = np.concatenate([k for _, k, _ in sent]), np.concatenate([c for _, _, c in sent])
+    order = np.argsort(key)
+    key = key[order]
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    total = np.empty(len(key), np.int64)
+    total[order] = np.repeat(np.add.reduceat(c[order].astype(np.int64), cut), np.diff(np.append(cut, len(key))))
+    runs, part, out, at = group.column("run").to_pylist(), group.column("part")[0].as_py(), [], 0
+    total = total if total.max() >> 32 else total.astype(np.uint32)
+    for me, (asks, k, _) in zip(runs, sent, strict=True):
+        if asks[0]:
+            out.append((me, part, bytes([total.itemsize]) + _planes(total[at : at + len(k)])))
+        at += len(k)
+    del sent, key, c, order, total
+    kernels.release()
+    return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_COUNTS)], schema=_COUNTS)
+
+
+def _counts_of(data: bytes) -> np.ndarray:
+    return _array(data, np.int64 if data[0] == 8 else np.uint32, len(data) // data[0], 1)
+
+
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("t", pa.float64())])
+
+
+def _scorer(order: int, total: int) -> Callable[[pa.Table], pa.Table]:
+    """The scores of a run's texts by the counts of its n-grams."""
+
+    def scores(group: pa.Table) -> pa.Table:
+        parts, data = group.column("part").to_pylist(), group.column("data").to_pylist()
+        by = sorted(range(len(parts)), key=parts.__getitem__)
+        data = [data[i] for i in by]
+        run = Run(data[0])
+        if not run.asked.any():
+            return _SCORES.empty_table()
+        key, ends = run.grams(order)
+        by_key = np.argsort(key)
+        key = key[by_key]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        times, counts = np.diff(np.append(new, len(key))), np.empty(len(key), np.int64)
+        del key
+        counts[by_key] = np.repeat(np.concatenate([np.zeros(0, np.int64), *[_counts_of(b) for b in data[1:]]]), times)
+        del by_key, times, new, data
+        c = np.zeros((order, len(run.words)), np.int64)  # of the n-gram that ends at a word
+        for n, end in enumerate(ends):
+            c[n, end], counts = counts[: len(end)], counts[len(end) :]
+        score, left, top = np.zeros(len(run.words)), np.ones(len(run.words), bool), np.minimum(run.place + 1, order)
+        for n in range(order, 0, -1):
+            at = np.flatnonzero(left & (c[n - 1] > 0)) if n > 1 else np.flatnonzero(left)
+            share = c[n - 1, at] / c[n - 2, at - 1] if n > 1 else np.maximum(c[0, at], 1) / max(total, 1)
+            score[at] = np.log(share) + (top[at] - n) * math.log(ALPHA)
+            left[at] = False
+        sums = np.bincount(run.text, weights=score, minlength=len(run.sizes))
+        del c, counts, score, left, top
+        kernels.release()
+        return pa.table([pa.array(run.ids, mask=run.null), pa.array(run.sizes), pa.array(sums)], schema=_SCORES).filter(pa.array(run.asked))
+
+    return scores
+
+
+def scored(docs: DataFrame, corpus: DataFrame | Column | None = None, order: int = 3) -> DataFrame:
+    """Scores of ``docs`` by the counts of ``corpus`` (a table, or a condition on ``docs``), or by their own."""
+    return Model(docs, order, corpus=corpus).scores()

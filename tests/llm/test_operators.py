@@ -521,6 +521,26 @@ def test_scores_by_another_corpus_back_off(spark, odd, odd_rows, none, order):
     same_scores(lm_scoring.scored(odd, odd, order=order).collect(), texts, plain_scores(texts, texts, order))
 
 
+def test_scores_by_part_of_a_table_in_slices(spark, monkeypatch):
+    """Held-out texts took rows of five keys an n-gram, in joins; now runs ask once for each n-gram, and a frequent one has a row a run, not one an occurrence."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "a", "a", *"bcdefghijklmnop"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lm_scoring, "MANY", 10)
+    monkeypatch.setattr(lm_scoring, "RUN", 500)
+    model = lm_scoring.Model(docs, 3, slices=4, rows=1000, corpus=F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 3 != 1))  # null: not in the corpus
+    same_scores(model.scores().collect(), texts, plain_scores(texts, [t for i, t in enumerate(texts) if i % 5 and i % 3 != 1], 3))
+    runs = model.texts.coalesce(1).mapInArrow(lm_scoring._gather, "run long, words long, counted long, data binary")
+    (run,) = map(lm_scoring.Run, (r["data"] for r in runs.collect()))
+    key, ends = run.grams(3)
+    sent = 0
+    for number in range(3):
+        for _, k, c in (lm_scoring._unpack(r["data"], *lm_scoring._KINDS) for r in runs.mapInArrow(lm_scoring._dealer(3, number, 3, 2), "part int, run long, data binary").collect()):
+            assert len(set(k.tolist())) == len(k) == len(c)
+            sent += len(k)
+    assert sent == len(set(key.tolist())) < sum(map(len, ends)) / 2  # a text's frequent n-grams are not rows an occurrence
+
+
 # 9 mixing
 
 
